@@ -65,61 +65,102 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkMemo(dict):
-    """Ids of chunks between spaces, as little-endian uint32 bytes, encoded by the tokenizers library when first seen.
+class ChunkEncoder:
+    """Whole texts to little-endian uint32 ids, by the chunks between spaces.
 
-    A tokenizer whose pretokens never run from a non-space across a space gives a text the ids of its
-    chunks, each with the space before it; ``lead`` says whether that space belongs to the chunk. The
-    memo is bounded: it is emptied when it holds ``most`` chunks.
+    A tokenizer whose pretokens never run from a non-space across a space gives a text the ids of its chunks.
+    Chunks seen before come from a memo (emptied when it holds ``most``); all new chunks of some texts go to
+    the tokenizers library as one text, whose ids are then cut at the chunks.
     """
 
-    def __init__(self, path: str, lead: str, most: int = 400_000):
-        super().__init__()
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.lead, self.most = Tokenizer.from_file(path), lead, most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.memo: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self.whole(self.lead + chunk)
-        if len(chunk) < 100:
-            self[chunk] = ids
-        return ids
-
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-class ByteBpe:
-    """Whole texts to ids for a byte-level BPE whose pretokens take one space before a word."""
+    def whole(self, text: str) -> bytes:
+        return self.ids(text).tobytes()
 
-    def __init__(self, path: str):
-        self.first, self.rest = ChunkMemo(path, ""), ChunkMemo(path, " ")
+    def known(self, lists: list[list[str]]) -> None:
+        """Have all chunks of ``lists`` in the memo."""
+        wanted = set().union(*lists)
+        new = wanted.difference(self.memo)
+        if len(self.memo) + len(new) > self.most:
+            self.memo.clear()
+            new = wanted
+        if new:
+            self.learn(list(new))
 
-    def __call__(self, text: str) -> bytes:
-        if "  " in text:  # runs of spaces are pretokens of their own
-            return self.first.whole(text)
-        head, *tail = text.split(" ")
-        return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
+    def learn(self, new: list[str]) -> None:
+        raise NotImplementedError
 
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        for s, e in slices(texts, 400_000):
+            yield from self.some(texts[s:e])
 
-#: White space that word-level tokenizers drop wherever it stands.
-_BLANKS = str.maketrans("\n\t\r", "   ")
+    def some(self, texts: list[str]) -> list[bytes]:
+        raise NotImplementedError
 
 
-class WordBpe:
-    """Whole texts to ids for a tokenizer that drops white space: each chunk stands alone."""
+class ByteBpe(ChunkEncoder):
+    """For a byte-level BPE whose pretokens take one space before a word: chunks with the space before them."""
 
     def __init__(self, path: str):
-        self.memo = ChunkMemo(path, "")
-        self.memo[""] = b""
+        super().__init__(path)
+        n = self.tokenizer.get_vocab_size()
+        self.leads = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(n)])
+
+    def learn(self, new: list[str]) -> None:
+        named = [c for c in new if c]
+        ids = self.ids(" " + " ".join(named)) if named else np.zeros(0, "<u4")
+        starts = np.flatnonzero(self.leads[ids]) if named else ids
+        if len(starts) == len(named):
+            raw, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+            self.memo.update(zip(named, [raw[s:e] for s, e in zip(at, at[1:], strict=False)], strict=True))
+        else:
+            self.memo.update((c, self.whole(" " + c)) for c in named)
+        self.memo[""] = self.whole(" ")
+
+    def some(self, texts: list[str]) -> list[bytes]:
+        lists = [[] if "  " in t else t.split(" ") for t in texts]  # runs of spaces are pretokens of their own
+        self.known([x[1:] for x in lists])
+        get = self.memo.__getitem__
+        return [self.whole(x[0]) + b"".join(map(get, x[1:])) if x else self.whole(t) for x, t in zip(lists, texts, strict=True)]
+
+
+class WordBpe(ChunkEncoder):
+    """For a tokenizer that drops white space: each chunk stands alone."""
+
+    #: A control character, one id by itself, that parts the chunks given to the library.
+    MARK = "\x1f"
 
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.memo.__getitem__, text.translate(_BLANKS).split(" ")))
+    def __init__(self, path: str):
+        super().__init__(path)
+        (self.mark,) = self.ids(self.MARK)
+
+    def learn(self, new: list[str]) -> None:
+        plain = [c for c in new if self.MARK not in c]
+        ids = self.ids(f" {self.MARK} ".join([*plain, ""]))
+        ends = np.flatnonzero(ids == self.mark)
+        if len(ends) == len(plain):
+            raw, e = ids.tobytes(), (4 * ends).tolist()
+            self.memo.update(zip(plain, [raw[s:t] for s, t in zip([0, *(4 * ends + 4).tolist()], e, strict=False)], strict=True))
+        else:
+            self.memo.update((c, self.whole(c)) for c in plain)
+        self.memo.update((c, self.whole(c)) for c in new if self.MARK in c)
+
+    def some(self, texts: list[str]) -> list[bytes]:
+        lists = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        self.known(lists)
+        get = self.memo.__getitem__
+        return [b"".join(map(get, x)) for x in lists]
 
 
 _encoders: dict[tuple, object] = {}

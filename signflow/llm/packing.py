@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signflow.llm.common import WordBpe, encoder, prepare
+from signflow.llm.common import WordBpe, encoder, prepare, texts_of
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: A piece: doc_id, start, ids, doc_tokens.
@@ -102,8 +102,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -
             return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PIECES.split(", ")])
 
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = np.frombuffer(encode(text or "") + end, "<u4")
+            for doc, raw in zip(b.column("doc_id").to_pylist(), encode.texts(texts_of(b)), strict=True):
+                ids = np.frombuffer(raw + end, "<u4")
                 cut = len(ids) // window * window
                 for k in range(0, cut, window):
                     close([(doc, k, ids[k : k + window], len(ids))])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signflow.llm import packing, token_codec
+from signflow.llm import bpe_lexicon, langid, packing, token_codec
 from signflow.llm.common import table, tokenizer_path
 
 
@@ -18,8 +18,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_lexicon.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_huffman_tokens, op6_packing)}
+    return {f.__name__: f for f in (op1_huffman_tokens, op4_language_id, op6_packing, op7_bpe_lexicon)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signflow.llm.common import ByteBpe, encoder, prepare
+from signflow.llm.common import ByteBpe, encoder, prepare, texts_of
 from signflow.session import discard, materialize, scratch
 
 #: Ids between two checkpoints, and about how many ids a block holds.
@@ -41,8 +41,8 @@ def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         encode = encoder(ByteBpe, path)
         for b in batches:
             n, wide, out = [], [], []
-            for text in b.column("text").to_pylist():
-                ids = np.frombuffer(encode(text or "") + end, "<u4")
+            for raw in encode.texts(texts_of(b)):
+                ids = np.frombuffer(raw + end, "<u4")
                 n.append(len(ids))
                 wide.append(2 if ids.max() < 65536 else 4)
                 planes = ids.view("u1").reshape(-1, 4).T[: wide[-1]]  # byte planes pack better
