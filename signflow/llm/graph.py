@@ -1,0 +1,31 @@
+"""Connected components of an edge table, in rounds of joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, component (its smallest node) of every node of ``edges`` (a, b: bigint).
+
+    Each round takes the smallest label among the neighbours and then the label's own label, so labels travel
+    twice as far as in the round before. Every round's labels go to the checkpoint folder. Aggregation comes
+    before each join, and labels are unique by node, so a node with many edges only means many rows to sum.
+    """
+    both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = both.distinct().checkpoint()
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")).checkpoint()
+    for _ in range(rounds):
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
+        lower = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "m").alias("new"), "component")
+        jump = labels.select(F.col("node").alias("new"), F.col("component").alias("next"))
+        moved = lower.join(jump, "new").select("node", F.least("new", "next").alias("label"), "component")
+        moved = moved.select("node", F.col("label").alias("component"), (F.col("label") != F.col("component")).cast("int").alias("moved")).checkpoint()
+        changed = moved.agg(F.max("moved")).first()[0]
+        labels = moved.select("node", "component")
+        if not changed:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return labels

@@ -5,19 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from signflow.llm import bpe_lexicon, langid, packing, token_codec
+from signflow.llm import ann, bpe_lexicon, langid, near_dup, packing, pii, quality, token_codec, toxicity, urls
 from signflow.llm.common import table, tokenizer_path
+from signflow.session import shared_dir
 
 
 def op1_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.token_report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op3_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -26,8 +40,23 @@ def op7_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_lexicon.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document with its id: bad if of low quality or toxic."""
+    shared_dir(spark)
+    bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.cast("bigint").alias("bad")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_huffman_tokens, op4_language_id, op6_packing, op7_bpe_lexicon)}
+    return {f.__name__: f for f in (op1_huffman_tokens, op2_personal_data, op3_collision_counting, op4_language_id, op5_ngram_jaccard, op6_packing, op7_bpe_lexicon, op8_quality_forest, op9_toxicity, op10_host_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
