@@ -32,7 +32,7 @@ BASE = {
 }
 #: Looser generators: kind, what a text must hold, pattern.
 LOOSE = (
-    ("email", r"(?i)[(\[ ]at[)\] ]", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\x20at\x20) ?[a-z0-9-]++ ?(?:\(dot\)|\[dot\]|\x20dot\x20|\.) ?[a-z]{2,10}(?![a-z0-9])"),
+    ("email", r"(?i)[(\[ ]dot[)\] ]", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?: ?[(\[]at[)\]] ?|\x20at\x20)[a-z0-9-]++(?: ?[(\[]dot[)\]] ?|\x20dot\x20)[a-z]{2,10}(?![a-z0-9])"),
     ("phone", r"[0-9]{4}", r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("card", r"[0-9]{4}", r"(?<![0-9])[0-9]{4}[/._][0-9]{4}[/._][0-9]{4}[/._][0-9]{4}(?![0-9])"),
 )
@@ -91,31 +91,33 @@ def generators() -> list[tuple[str, str, str]]:
     return [(k, needed[k], BASE[k]) for k in KINDS] + list(LOOSE)
 
 
+def dressed(text: Column, g: int, kind: str, c: Column) -> Column:
+    """A match of generator ``g`` with its label and features."""
+    m, digits = c["m"], digits_of(c["m"])
+    n = F.length(digits)
+    before = F.substring(text, F.greatest(c["start"] - 23, F.lit(1)), F.least(c["start"], F.lit(24)))
+    octets = m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
+    fields = {
+        "kind": F.lit(KINDS.index(kind)), "start": c["start"], "stop": c["stop"],
+        "label": passes(kind, m).cast("int") if g < len(KINDS) else F.lit(None).cast("int"),
+        "generator": F.lit(g), "digits": F.least(n, F.lit(24)), "length": F.least(F.length(m), F.lit(40)),
+        "separators": F.least(F.length(F.regexp_replace(m, r"[^\x20().\-/_]", "")), F.lit(8)),
+        "luhn": F.when(n.between(12, 19), luhn(digits)).otherwise(F.lit(False)).cast("int"),
+        "octets": octets.cast("int"), "plus": m.startswith("+").cast("int"),
+        "before": before.rlike(r"[\p{L}\p{N}]$").cast("int"), "after": F.substring(text, c["stop"] + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]").cast("int"),
+        "announced": before.rlike(CONTEXT).cast("int"),
+    }
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
 def candidates(text: Column) -> Column:
     """All generators' matches with their features and labels (1 base match, 0 failed one, null unknown), in one array."""
-    arrays = []
-    for g, (kind, needed, pattern) in enumerate(generators()):
-        base = g < len(KINDS)
-
-        def dress(c: Column, g=g, kind=kind, base=base) -> Column:
-            m, digits = c["m"], digits_of(c["m"])
-            n = F.length(digits)
-            before = F.substring(text, F.greatest(c["start"] - 23, F.lit(1)), F.least(c["start"], F.lit(24)))
-            fields = {
-                "kind": F.lit(KINDS.index(kind)), "start": c["start"], "stop": c["stop"],
-                "label": passes(kind, m).cast("int") if base else F.lit(None).cast("int"),
-                "generator": F.lit(g), "digits": F.least(n, F.lit(24)), "length": F.least(F.length(m), F.lit(40)).cast("int"),
-                "separators": F.least(F.length(F.regexp_replace(m, r"[^\x20().\-/_]", "")), F.lit(8)),
-                "luhn": F.when(n.between(12, 19), luhn(digits)).otherwise(F.lit(False)).cast("int"),
-                "octets": m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$").cast("int"), "plus": m.startswith("+").cast("int"),
-                "before": before.rlike(r"[\p{L}\p{N}]$").cast("int"), "after": F.substring(text, c["stop"] + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]").cast("int"),
-                "announced": before.rlike(CONTEXT).cast("int"),
-            }
-            return F.struct(*[v.alias(k) for k, v in fields.items()])
-
-        arrays.append(F.when(text.rlike(needed), F.transform(matches(text, pattern), dress)))
+
+    def of(g: int, kind: str, needed: str, pattern: str) -> Column:
+        return F.when(text.rlike(needed), F.transform(matches(text, pattern), lambda c: dressed(text, g, kind, c)))
+
     empty = F.array().cast("array<struct<" + ",".join(f"{k}:int" for k in ("kind", "start", "stop", "label", *FEATURES)) + ">>")
-    return reduce(F.concat, [F.coalesce(a, empty) for a in arrays])
+    return reduce(F.concat, [F.coalesce(of(g, *x), empty) for g, x in enumerate(generators())])
 
 
 @dataclass
@@ -198,7 +200,7 @@ def written(spans: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone of the base kinds, base_sha256, spans."""
     found = find(docs.select(F.col("doc_id").cast("bigint"), "text"), fit(docs))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.array_remove(F.transform("base", lambda s: s["kind"] == KINDS.index(k)), False)).cast("bigint").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
