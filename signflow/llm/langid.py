@@ -151,8 +151,9 @@ def calibrate(model: Model, sample: DataFrame, index: dict[str, int]) -> Model:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The columns of ``docs`` with ``lang_pred``, ``score`` and ``ambiguous``; ``docs`` needs a ``text``."""
+    """The columns of ``docs`` with ``lang_pred``, ``score`` and ``ambiguous`` (which replace columns so named); ``docs`` needs a ``text``."""
     prepare(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score", "ambiguous", "has_letter_")
     if model is None or len(model.langs) < 2:
         only = model.langs[0] if model else "und"
         named = F.col("text").rlike(r"\p{L}")
