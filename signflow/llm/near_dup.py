@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signflow.llm.common import concat_bytes, prepare, slices, texts_of
-from signflow.llm.graph import components
+from signflow.operators.graph import components
 from signflow.session import materialize
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9995
