@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,23 +147,34 @@ class WordBpe(ChunkEncoder):
         (self.mark,) = self.ids(self.MARK)
 
     def learn(self, new: list[str]) -> None:
-        plain = [c for c in new if self.MARK not in c]
+        ended = [c for c in new if c[-1:] in (".", ",") and c[:-1].isalpha() and not _CASED.search(c)]  # a word and a mark are pretokens of their own
+        memo, plain = self.memo, set(new).difference(ended, ("",))
+        plain.update([c[:-1] for c in ended if c[:-1] not in memo], ".,")
+        odd = [c for c in plain if self.MARK in c]
+        plain = list(plain.difference(odd))
         ids = self.ids(f" {self.MARK} ".join([*plain, ""]))
         ends = np.flatnonzero(ids == self.mark)
         if len(ends) == len(plain):
             raw, e = ids.tobytes(), (4 * ends).tolist()
-            self.memo.update(zip(plain, [raw[s:t] for s, t in zip([0, *(4 * ends + 4).tolist()], e, strict=False)], strict=True))
+            memo.update(zip(plain, [raw[s:t] for s, t in zip([0, *(4 * ends + 4).tolist()], e, strict=False)], strict=True))
         else:
-            self.memo.update((c, self.whole(c)) for c in plain)
-        self.memo.update((c, self.whole(c)) for c in new if self.MARK in c)
+            memo.update((c, self.whole(c)) for c in plain)
+        memo.update((c, self.whole(c)) for c in odd)
+        memo.update([(c, memo[c[:-1]] + memo[c[-1]]) for c in ended])
+        memo[""] = b""
 
     def some(self, texts: list[str]) -> list[bytes]:
-        lists = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        low = [t if _CASED.search(t) else t.lower() for t in texts]  # the tokenizer does so itself
+        lists = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in low]
         self.known(lists)
         get = self.memo.__getitem__
         return [b"".join(map(get, x)) for x in lists]
 
 
+#: What is neither ASCII nor a Latin-1 letter: there, lower case may depend on neighbours. A special token must keep its case.
+_CASED = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]|<\\|")
+
+
 _encoders: dict[tuple, object] = {}
 
 
