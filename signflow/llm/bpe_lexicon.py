@@ -58,6 +58,9 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+_NONE = 1 << 60
+
+
 class Merges:
     """Exact BPE: merge the pair of the lowest rank, leftmost first, until none is left."""
 
@@ -70,6 +73,11 @@ class Merges:
         for k, m in enumerate(spec["model"]["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.pairs[vocab[a] << 20 | vocab[b]] = k << 20 | vocab[a + b]
+        keys = np.array(sorted(self.pairs), np.int64)
+        values = np.array([self.pairs[k] for k in keys.tolist()], np.int64)
+        self.keys, self.values = np.append(keys, 1 << 62), np.append(values, _NONE)
+        of_byte = np.array(self.first, np.int64)
+        self.of_byte, self.of_bytes = of_byte, self.ranks(np.repeat(of_byte, 256), np.tile(of_byte, 256)).reshape(256, 256)
         back = {c: b for b, c in enumerate(letters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = 1 + max([*vocab.values(), *self.special.values()])
@@ -79,6 +87,51 @@ class Merges:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
 
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """rank << 20 | merged id of each pair, _NONE for those that don't merge."""
+        key = a << 20 | b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.values[at], _NONE)
+
+    def many(self, words: list[bytes]) -> list[list[int]]:
+        """The same for many words at once: in each round every word merges its best pair."""
+        out: list[list[int]] = [[]] * len(words)
+        groups: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            groups.setdefault(-(-len(w) // 6) * 6, []).append(i)
+        for width, rows in groups.items():
+            if width > 36 or len(rows) < 20:
+                for i in rows:
+                    out[i] = self(words[i])
+                continue
+            raw = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in rows]), np.uint8).reshape(-1, width)
+            sizes, place = np.array([len(words[i]) for i in rows]), np.arange(width)
+            ids = np.where(place < sizes[:, None], self.of_byte[raw], -1)
+            rank = np.full((len(rows), width + 1), _NONE, np.int64)
+            rank[:, 1:width] = np.where(place[1:] < sizes[:, None], self.of_bytes[raw[:, :-1], raw[:, 1:]], _NONE)  # of each id with the one before it
+            todo = np.arange(len(rows))
+            while len(todo):
+                best = rank.argmin(1)
+                own = np.arange(len(todo))
+                value = rank[own, best]
+                going = value != _NONE
+                for k in np.flatnonzero(~going):
+                    out[rows[todo[k]]] = ids[k, : sizes[k]].tolist()
+                todo, ids, rank, sizes, best, value = todo[going], ids[going], rank[going], sizes[going], best[going], value[going]
+                if not len(todo):
+                    break
+                own = np.arange(len(todo))
+                ids[own, best - 1] = value & 0xFFFFF
+                later = np.minimum(place + (place >= best[:, None]), width - 1)
+                ids = np.take_along_axis(ids, later, 1)
+                rank[:, :width] = np.take_along_axis(rank, np.minimum(place + (place >= best[:, None]), width), 1)
+                sizes = sizes - 1
+                left = np.flatnonzero(best > 1)
+                rank[left, best[left] - 1] = self.ranks(ids[left, best[left] - 2], ids[left, best[left] - 1])
+                right = np.flatnonzero(best < sizes)
+                rank[right, best[right]] = self.ranks(ids[right, best[right] - 1], ids[right, best[right]])
+        return out
+
     def __call__(self, word: bytes) -> list[int]:
         ids, get, none = [self.first[b] for b in word], self.pairs.get, 1 << 60
         ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
@@ -206,6 +259,15 @@ class Encoder:
         found = self.lexicon.get(raw)
         return self.merges(raw) if found is None else found
 
+    def words(self, words: list[str]) -> dict[str, list[int]]:
+        """The ids of distinct words: the lexicon's, and all others merged together."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        found = list(map(self.lexicon.get, raw))
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, ids in zip(rest, self.merges.many([raw[i] for i in rest]), strict=True):
+            found[i] = ids
+        return dict(zip(words, found, strict=True))
+
     def whole(self, text: str) -> bytes:
         ids = []
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
@@ -230,7 +292,7 @@ class Encoder:
         words = pretokens(" " + " ".join(plain)) if plain else []
         starts = [i for i, w in enumerate(words) if w[0] == " "]
         if len(starts) == len(plain):
-            own = {w: self.word(w) for w in set(words)}
+            own = self.words(list(set(words)))
             for c, s, e in zip(plain, starts, [*starts[1:], len(words)], strict=True):
                 memo[c] = struct.pack(f"<{len(x)}I", *x) if len(x := own[words[s]] if e == s + 1 else [i for w in words[s:e] for i in own[w]]) else b""
         else:
@@ -307,7 +369,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, most: int = LEXICON) -> DataF
         for b in batches:
             n, of_ids, of_text = [], [], []
             texts = texts_of(b)
-            for s, e in slices(texts, 400_000):
+            for s, e in slices(texts, 2_000_000):
                 for raw in encode.some(texts[s:e]):
                     ids = memoryview(raw).cast("I").tolist() if raw else []
                     n.append(len(ids))

@@ -103,7 +103,7 @@ class ChunkEncoder:
         raise NotImplementedError
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
-        for s, e in slices(texts, 400_000):
+        for s, e in slices(texts, 2_000_000):
             yield from self.some(texts[s:e])
 
     def some(self, texts: list[str]) -> list[bytes]:
@@ -145,13 +145,22 @@ class WordBpe(ChunkEncoder):
     def __init__(self, path: str):
         super().__init__(path)
         (self.mark,) = self.ids(self.MARK)
+        self.closing = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
 
     def learn(self, new: list[str]) -> None:
         ended = [c for c in new if c[-1:] in (".", ",") and c[:-1].isalpha() and not _CASED.search(c)]  # a word and a mark are pretokens of their own
         memo, plain = self.memo, set(new).difference(ended, ("",))
         plain.update([c[:-1] for c in ended if c[:-1] not in memo], ".,")
         odd = [c for c in plain if self.MARK in c]
-        plain = list(plain.difference(odd))
+        words = [c for c in plain if c.isalpha() and not _CASED.search(c)]  # one pretoken each, closed by its last id
+        plain = list(plain.difference(odd, words))
+        ids = self.ids(" ".join(words))
+        ends = 4 * np.flatnonzero(self.closing[ids]) + 4
+        if len(ends) == len(words):
+            raw, e = ids.tobytes(), ends.tolist()
+            memo.update(zip(words, [raw[s:t] for s, t in zip([0, *e], e, strict=False)], strict=True))
+        else:
+            memo.update((c, self.whole(c)) for c in words)
         ids = self.ids(f" {self.MARK} ".join([*plain, ""]))
         ends = np.flatnonzero(ids == self.mark)
         if len(ends) == len(plain):
@@ -164,15 +173,15 @@ class WordBpe(ChunkEncoder):
         memo[""] = b""
 
     def some(self, texts: list[str]) -> list[bytes]:
-        low = [t if _CASED.search(t) else t.lower() for t in texts]  # the tokenizer does so itself
+        low = [t if "<|" in t or not t.isascii() and _CASED.search(t) else t.lower() for t in texts]  # the tokenizer does so itself
         lists = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in low]
         self.known(lists)
         get = self.memo.__getitem__
         return [b"".join(map(get, x)) for x in lists]
 
 
-#: What is neither ASCII nor a Latin-1 letter: there, lower case may depend on neighbours. A special token must keep its case.
-_CASED = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]|<\\|")
+#: What is neither ASCII nor a Latin-1 letter: there, lower case may depend on neighbours.
+_CASED = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
 
 
 _encoders: dict[tuple, object] = {}

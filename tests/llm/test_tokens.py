@@ -112,3 +112,10 @@ def test_bpe_report(spark, docs):
         want.append((str(r["doc_id"]), str(len(ids)), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     assert got == sorted(want)
     assert bpe_lexicon.encode_decode(docs.limit(0), BYTE).count() == 0
+
+
+def test_merging_many_words_at_once():
+    merges, rng = bpe_lexicon.Merges(BYTE), np.random.default_rng(3)
+    words = [bytes(rng.choice(list(b" thesaninger\xc3\xa9\xff.01"), rng.integers(1, 45)).tolist()) for _ in range(3000)]
+    assert merges.many(words) == [merges(w) for w in words]
+    assert merges.many([]) == []
