@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signflow.llm.common import prepare, slices, texts_of
+from signflow.session import discard, materialize
 
 #: Pretokens of the lexicon, at most.
 LEXICON = 50_000
@@ -342,8 +343,16 @@ def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
         yield flush()
 
     counted = docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    kept = counted.where(F.length("word").between(1, 64) & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(most)
-    return [r["word"] for r in kept.collect()]
+    known, path = materialize(counted.where(F.length("word").between(1, 64) & (F.col("n") > 1)), "words")
+    level = F.floor(F.log2("n") * 16)  # a few hundred levels, whatever the counts
+    above, lowest = 0, 0
+    for r in sorted(known.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["level"]):
+        above, lowest = above + r["words"], r["level"]
+        if above >= most:
+            break
+    kept = [r["word"] for r in known.where(level >= lowest).orderBy(F.desc("n"), "word").limit(most).collect()]
+    discard(docs.sparkSession, path)
+    return kept
 
 
 def share_lexicon(docs: DataFrame, tokenizer: str, most: int = LEXICON) -> str:
