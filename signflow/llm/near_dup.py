@@ -249,7 +249,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     spread = classes.select("rep", F.explode("keys").alias("key"))
     stars = spread.groupBy("key").agg(F.min("rep").alias("b"), F.count("*").alias("size")).where("size > 1").select("key", "b")
-    edges = spread.join(stars, "key").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    own = spread.join(stars, "key").groupBy("rep").agg(F.min("b").alias("b"), F.collect_set("b").alias("centres"))  # at most one centre for each tree
+    edges = own.select(F.col("rep").alias("a"), "b").unionByName(own.select(F.explode("centres").alias("a"), "b")).where("a <> b").distinct()
     near = components(edges)
 
     member = near.withColumnRenamed("node", "rep").join(classes.select("rep", "n", "copies", "keys"), "rep")
