@@ -35,6 +35,8 @@ from signflow.session import discard, materialize
 
 #: Pretokens of the lexicon, at most.
 LEXICON = 50_000
+#: Characters of a word of the lexicon, at most.
+LONGEST = 64
 #: The byte-level pretokens: contractions; letters, numbers or others with a space before them; white space. Fixed by the tokenizer.
 PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
@@ -97,16 +99,16 @@ class Merges:
     def many(self, words: list[bytes]) -> list[list[int]]:
         """The same for many words at once: in each round every word merges its best pair."""
         out: list[list[int]] = [[]] * len(words)
-        groups: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            groups.setdefault(-(-len(w) // 6) * 6, []).append(i)
-        for width, rows in groups.items():
-            if width > 36 or len(rows) < 20:
-                for i in rows:
+            if len(w) > 36:
+                out[i] = self(w)
+        for rows, raw, sizes in by_width(words, 36):
+            width = raw.shape[1]
+            if len(rows) < 20:
+                for i in rows.tolist():
                     out[i] = self(words[i])
                 continue
-            raw = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in rows]), np.uint8).reshape(-1, width)
-            sizes, place = np.array([len(words[i]) for i in rows]), np.arange(width)
+            place = np.arange(width)
             ids = np.where(place < sizes[:, None], self.of_byte[raw], -1)
             rank = np.full((len(rows), width + 1), _NONE, np.int64)
             rank[:, 1:width] = np.where(place[1:] < sizes[:, None], self.of_bytes[raw[:, :-1], raw[:, 1:]], _NONE)  # of each id with the one before it
@@ -172,7 +174,7 @@ class Merges:
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
-    """The automaton's file: a header, then per arc its label, target and the words skipped, per state its first arc and whether it ends a word, per word its ids.
+    """The automaton's file: a header, then per arc its key (source state and label), target and the words skipped, per state whether it ends a word, per word its ids.
 
     Words are added in order; states that can get no more arcs are merged with equal ones at once, so suffixes
     are shared and the automaton stays minimal throughout.
@@ -205,20 +207,29 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     below = []
     for final, arcs in states:  # targets come before their sources
         below.append(final + sum(below[t] for _, t in arcs))
-    labels, targets, skipped, firsts = bytearray(), [], [], [0]
-    for final, arcs in states:
+    keys, targets, skipped = [], [], []
+    for state, (final, arcs) in enumerate(states):
         passed = int(final)
         for label, t in arcs:
-            labels.append(label)
+            keys.append(state << 8 | label)
             targets.append(t)
             skipped.append(passed)
             passed += below[t]
-        firsts.append(len(targets))
     ids = [words[w] for w in ordered]
     ends = np.cumsum([0, *map(len, ids)])
     flat = np.array([i for x in ids for i in x], "<u4")
-    parts = [np.array(firsts, "<u4"), np.array([f for f, _ in states], "<u4"), np.array(targets, "<u4"), np.array(skipped, "<u4"), ends.astype("<u4"), flat]
-    return struct.pack("<7I", *map(len, parts), len(labels)) + b"".join(p.tobytes() for p in parts) + bytes(labels)
+    parts = [np.array(keys, "<u4"), np.array(targets, "<u4"), np.array(skipped, "<u4"), np.array([f for f, _ in states], "<u4"), ends.astype("<u4"), flat]
+    return struct.pack("<6I", *map(len, parts)) + b"".join(p.tobytes() for p in parts)
+
+
+def by_width(words: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of up to ``most`` bytes in groups of near widths: their rows, bytes (padded with zeros) and sizes."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    widths = -(-sizes // 6) * 6
+    for width in np.unique(widths[(widths > 0) & (widths <= most)]).tolist():
+        rows = np.flatnonzero(widths == width)
+        raw = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in rows.tolist()]), np.uint8).reshape(-1, width)
+        yield rows, raw, sizes[rows]
 
 
 class Lexicon:
@@ -227,79 +238,93 @@ class Lexicon:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.file = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        *sizes, _ = struct.unpack_from("<7I", self.file)
-        view, at, parts = memoryview(self.file), 28, []
-        for n in sizes:
-            parts.append(view[at : at + 4 * n].cast("I"))
+        at, parts = 24, []
+        for n in struct.unpack_from("<6I", self.file):
+            parts.append(np.frombuffer(self.file, "<u4", n, at))
             at += 4 * n
-        self.firsts, self.final, self.targets, self.skipped, self.ends, self.ids = parts
-        self.labels, self.root = at, len(self.final) - 1
+        self.keys, self.targets, self.skipped, self.final, self.ends, self.ids = parts
+
+    def ranks(self, words: list[bytes]) -> np.ndarray:
+        """Each word's rank, -1 for those that the lexicon lacks. All words of a width walk the automaton in step."""
+        out = np.full(len(words), -1, np.int64)
+        if not len(self.keys):
+            return out
+        for rows, raw, sizes in by_width(words, LONGEST * 4):
+            state, rank = np.full(len(rows), len(self.final) - 1, np.uint32), np.zeros(len(rows), np.int64)
+            known, at = np.ones(len(rows), bool), np.arange(len(rows))
+            for k in range(raw.shape[1]):
+                at = at[sizes[at] > k]
+                key = state[at] << np.uint32(8) | raw[at, k]
+                arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                found = self.keys[arc] == key
+                known[at[~found]] = False
+                at, arc = at[found], arc[found]
+                if not len(at):
+                    break
+                rank[at] += self.skipped[arc]
+                state[at] = self.targets[arc]
+            out[rows] = np.where(known & (self.final[state] > 0), rank, -1)
+        return out
+
+    def many(self, words: list[bytes]) -> list[list[int] | None]:
+        """The ids of each word; None for words that the lexicon lacks."""
+        ids, ends = self.ids, self.ends.tolist()
+        return [ids[ends[r] : ends[r + 1]].tolist() if r >= 0 else None for r in self.ranks(words).tolist()]
 
     def get(self, word: bytes) -> list[int] | None:
-        """The ids of a word of the lexicon; None for others."""
-        state, rank, find, base = self.root, 0, self.file.find, self.labels
-        for k in range(len(word)):
-            arc = find(word[k : k + 1], base + self.firsts[state], base + self.firsts[state + 1]) - base
-            if arc < 0:
-                return None
-            rank += self.skipped[arc]
-            state = self.targets[arc]
-        return self.ids[self.ends[rank] : self.ends[rank + 1]].tolist() if self.final[state] else None
+        return self.many([word])[0]
 
 
 class Encoder:
-    """Texts to ids by the lexicon and exact merges, and back. A bounded memo keeps what chunks between spaces came to."""
+    """Texts to ids by the lexicon and exact merges, and back. A bounded memo of two generations keeps what chunks between spaces came to."""
 
     def __init__(self, tokenizer: str, lexicon: str, most: int = 500_000):
         self.merges, self.lexicon, self.most = Merges(tokenizer), Lexicon(lexicon), most
         self.special = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")") if self.merges.special else None
         self.memo: dict[str, bytes] = {}
-
-    def word(self, word: str) -> list[int]:
-        raw = word.encode("utf-8", "surrogatepass")
-        found = self.lexicon.get(raw)
-        return self.merges(raw) if found is None else found
+        self.older: dict[str, bytes] = {}
 
     def words(self, words: list[str]) -> dict[str, list[int]]:
         """The ids of distinct words: the lexicon's, and all others merged together."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        found = list(map(self.lexicon.get, raw))
+        found = self.lexicon.many(raw)
         rest = [i for i, x in enumerate(found) if x is None]
         for i, ids in zip(rest, self.merges.many([raw[i] for i in rest]), strict=True):
             found[i] = ids
         return dict(zip(words, found, strict=True))
 
-    def whole(self, text: str) -> bytes:
-        ids = []
+    def parts(self, text: str) -> list[str | int]:
+        """The pretokens of a text; special tokens as their ids."""
+        out: list[str | int] = []
         for k, part in enumerate(self.special.split(text) if self.special else [text]):
-            if k % 2:
-                ids.append(self.merges.special[part])
-            else:
-                for w in pretokens(part):
-                    ids += self.word(w)
-        return np.array(ids, "<u4").tobytes()
+            out += [self.merges.special[part]] if k % 2 else pretokens(part)
+        return out
 
     def some(self, texts: list[str]) -> list[bytes]:
         lists = [[] if "  " in t else t.split(" ") for t in texts]  # runs of spaces are pretokens of their own
         wanted = set().union(*(x[1:] for x in lists))
         new = wanted.difference(self.memo)
-        if len(self.memo) + len(new) > self.most:
-            self.memo.clear()
-            new = wanted
-        whole, memo = self.whole, self.memo
-        odd = [c for c in new if not c or "<" in c]
+        if len(self.memo) + len(new) > self.most // 2:
+            self.memo, self.older, new = {}, self.memo, wanted
+        memo, older = self.memo, self.older
+        if older:
+            memo.update((c, older[c]) for c in new.intersection(older))
+            new = new.difference(memo)
         plain = [c for c in new if c and "<" not in c]
-        memo.update((c, whole(" " + c)) for c in odd)
+        split = {t: self.parts(t) for t in {x[0] if x else t for x, t in zip(lists, texts, strict=True)}.union(" " + c for c in new if not c or "<" in c)}
         words = pretokens(" " + " ".join(plain)) if plain else []
         starts = [i for i, w in enumerate(words) if w[0] == " "]
-        if len(starts) == len(plain):
-            own = self.words(list(set(words)))
-            for c, s, e in zip(plain, starts, [*starts[1:], len(words)], strict=True):
-                memo[c] = struct.pack(f"<{len(x)}I", *x) if len(x := own[words[s]] if e == s + 1 else [i for w in words[s:e] for i in own[w]]) else b""
-        else:
-            memo.update((c, whole(" " + c)) for c in plain)
+        if len(starts) != len(plain):  # not each chunk begins with its space
+            split.update((" " + c, self.parts(" " + c)) for c in plain)
+            plain, words, starts = [], [], []
+        own = self.words(list(set(words).union(w for x in split.values() for w in x if isinstance(w, str))))
+        pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+        whole = {t: np.array([i for w in x for i in (own[w] if isinstance(w, str) else (w,))], "<u4").tobytes() for t, x in split.items()}
+        for c, s, e in zip(plain, starts, [*starts[1:], len(words)], strict=True):
+            memo[c] = pack(own[words[s]] if e == s + 1 else [i for w in words[s:e] for i in own[w]])
+        memo.update((c, whole[" " + c]) for c in new if c not in memo)
         get = memo.__getitem__
-        return [whole(x[0]) + b"".join(map(get, x[1:])) if x else whole(t) for x, t in zip(lists, texts, strict=True)]
+        return [whole[x[0]] + b"".join(map(get, x[1:])) if x else whole[t] for x, t in zip(lists, texts, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.merges.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -320,30 +345,34 @@ def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: Counter = Counter()
+        heads, chunks = Counter(), Counter()  # at the start of a text, and behind a space
 
         def flush() -> pa.RecordBatch:
             words: Counter = Counter()
-            for c, n in chunks.items():
-                for w in pretokens(c):
-                    words[w] += n
-            chunks.clear()
+            for space, counts in (("", heads), (" ", chunks)):
+                for c, n in counts.items():
+                    if c.isalpha():
+                        words[space + c] += n
+                    else:
+                        for w in pretokens(space + c):
+                            words[w] += n
+                counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
         for b in batches:
             for t in texts_of(b):
                 if "  " in t:
-                    chunks.update(pretokens(t))
+                    heads.update(pretokens(t))
                 else:
                     head, *tail = t.split(" ")
-                    chunks[head] += 1
-                    chunks.update([" " + c for c in tail])
-            if len(chunks) > 400_000:
-                yield flush()
+                    heads[head] += 1
+                    chunks.update(tail)
+                if len(chunks) + len(heads) > 400_000:
+                    yield flush()
         yield flush()
 
     counted = docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    known, path = materialize(counted.where(F.length("word").between(1, 64) & (F.col("n") > 1)), "words")
+    known, path = materialize(counted.where(F.length("word").between(1, LONGEST) & (F.col("n") > 1)), "words")
     level = F.floor(F.log2("n") * 16)  # a few hundred levels, whatever the counts
     above, lowest = 0, 0
     for r in sorted(known.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["level"]):
