@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signflow.operators.graph import components
+from signflow.operators.tokens import tokens
 
 
 def minimal_pairs(corpus: DataFrame, chunk: int | None = 400, *keys: str) -> DataFrame:
@@ -49,13 +50,34 @@ def distinct_contexts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(*_ends()).agg(F.count_distinct("site_a", "motif_a").alias("distinct_contexts"))
 
 
-def classes(edge_table: DataFrame, least: int = 1) -> DataFrame:
-    """sign, component (its smallest sign) of the components of at least two signs."""
+def classes(edge_table: DataFrame, least: int = 1, *keys: str) -> DataFrame:
+    """keys, sign, component (its smallest sign) of the components of at least two signs; ``keys`` are graphs to keep apart."""
     kept = edge_table.where(F.col("weight") >= least)
-    names = kept.select(F.explode(F.array("u", "v")).alias("sign")).distinct().withColumn("node", F.xxhash64("sign"))
-    found = components(kept.select(F.xxhash64("u").alias("a"), F.xxhash64("v").alias("b")))
+    names = kept.select(*keys, F.explode(F.array("u", "v")).alias("sign")).distinct().withColumn("node", F.xxhash64(*keys, "sign"))
+    found = components(kept.select(F.xxhash64(*keys, "u").alias("a"), F.xxhash64(*keys, "v").alias("b")))
     named = names.join(found, "node")
-    return named.join(named.groupBy("component").agg(F.min("sign").alias("name")), "component").select("sign", F.col("name").alias("component"))
+    return named.join(named.groupBy("component").agg(F.min("sign").alias("name")), "component").select(*keys, "sign", F.col("name").alias("component"))
+
+
+def class_positions(pairs: DataFrame, members: DataFrame, slots: DataFrame, min_length: int = 3) -> DataFrame:
+    """Where the classes of ``members`` (sign, component) stand: one row for each class.
+
+    Shares of first and last places are of each member's own total (``slots``: sign, n, n_initial, n_final), given as
+    mean and population deviation over the members, null for under two. Of the pairs within the class, from rows of at
+    least ``min_length`` signs: their number, commonest position (the smaller of a tie) and its share. A class is
+    slot-like if that share is over 0.6 of five pairs or more and the last-place deviation is under 0.15.
+    """
+    final, initial = F.col("n_final") / F.col("n"), F.col("n_initial") / F.col("n")
+    several = lambda c: F.when(F.count("*") > 1, c)
+    profile = members.join(slots, "sign").groupBy("component").agg(F.count("*").alias("members"), several(F.avg(final)).alias("mean_final"), several(F.stddev_pop(final)).alias("std_final"), several(F.avg(initial)).alias("mean_initial"), several(F.stddev_pop(initial)).alias("std_initial"))
+    end = lambda side: members.select(F.col("sign").alias(f"sign_{side}"), F.col("component").alias(f"component_{side}"))
+    counted = pairs.where(F.col("len") >= min_length).groupBy("sign_a", "sign_b", "position").agg(F.count("*").alias("n"))  # by sign before the joins
+    inside = counted.join(end("a"), "sign_a").join(end("b"), "sign_b").where("component_a = component_b")
+    places = inside.groupBy(F.col("component_a").alias("component"), "position").agg(F.sum("n").alias("n"))
+    most = places.groupBy("component").agg(F.sum("n").alias("n_pairs"), F.max_by("position", F.struct("n", -F.col("position"))).alias("top_position"), F.max("n").alias("top"))
+    out = profile.join(most, "component", "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0))).withColumn("top_share", F.col("top") / F.col("n_pairs"))
+    slot = F.coalesce((F.col("top_share") > 0.6) & (F.col("n_pairs") >= 5) & (F.col("std_final") < 0.15), F.lit(False))
+    return out.drop("top").withColumn("slot_like", slot)
 
 
 def degree_centrality(edge_table: DataFrame) -> DataFrame:
@@ -79,6 +101,12 @@ def stability(whole: DataFrame, parts: DataFrame, vocab: DataFrame, *keys: str)
     return sizes.join(best, [*keys, "class"], "left").fillna(0.0, ["jaccard"])
 
 
+def stability_by_part(corpus: DataFrame, whole: DataFrame, key: str, name: str = "motif") -> DataFrame:
+    """``stability`` of the classes of ``whole`` in the parts of the corpus that the column ``key`` names (sites, trials): each part's pairs are mined anew, and its components taken."""
+    own = edges(tier(minimal_pairs(corpus, 400, key), name), key)
+    return stability(whole, classes(own, 1, key), tokens(corpus, key), key)
+
+
 def modularity_classes(edge_table: DataFrame, most: int = 100_000) -> DataFrame:
     """sign, community, by greedy modularity. The edges (vocabulary-sized) come to the driver behind a check of their number."""
     n = edge_table.count()

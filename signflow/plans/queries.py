@@ -215,7 +215,11 @@ def distinct_contexts(spark, sf_dir):
     return substitution.distinct_contexts(_pairs(spark, sf_dir))
 
 
-@query(f"{PAIRS}, me AS (SELECT least(sign_a, sign_b) AS u, greatest(sign_a, sign_b) AS v FROM mp WHERE same_motif GROUP BY 1, 2), un AS (SELECT u AS s, v AS t FROM me UNION SELECT v, u FROM me)".replace("WITH raw", "WITH RECURSIVE raw", 1) + ", re AS (SELECT s, s AS c FROM un UNION SELECT un.t, re.c FROM re JOIN un ON un.s = re.s) SELECT s AS sign, min(c) AS component FROM re GROUP BY 1")
+#: Classes that the motif tier connects: each sign with all that it reaches.
+COMPONENTS = f"{PAIRS}, me AS (SELECT least(sign_a, sign_b) AS u, greatest(sign_a, sign_b) AS v FROM mp WHERE same_motif GROUP BY 1, 2), un AS (SELECT u AS s, v AS t FROM me UNION SELECT v, u FROM me)".replace("WITH raw", "WITH RECURSIVE raw", 1) + ", re AS (SELECT s, s AS c FROM un UNION SELECT un.t, re.c FROM re JOIN un ON un.s = re.s)"
+
+
+@query(COMPONENTS + " SELECT s AS sign, min(c) AS component FROM re GROUP BY 1")
 def components(spark, sf_dir):
     """Classes of signs that the motif tier connects."""
     return substitution.classes(substitution.edges(substitution.tier(_pairs(spark, sf_dir), "motif")))
@@ -232,14 +236,36 @@ def modularity_communities(spark, sf_dir):
     return substitution.modularity_classes(substitution.edges(substitution.tier(_pairs(spark, sf_dir), "motif")))
 
 
+def _motif_classes(c):
+    return substitution.modularity_classes(substitution.edges(substitution.tier(substitution.minimal_pairs(c), "motif"))).withColumnRenamed("community", "component")
+
+
 @query()
 def class_stability_by_site(spark, sf_dir):
-    """Classes of the motif tier against communities of each site's own pairs."""
+    """Communities of the motif tier against the components of each site's own pairs."""
+    c = _orders(spark, sf_dir)
+    return _rounded(substitution.stability_by_part(c, _motif_classes(c), "site"), "jaccard")
+
+
+@query()
+def class_stability_subsampled(spark, sf_dir):
+    """The same against subsamples: 2000 rows of each of five trials (sampling is the feature)."""
     c = _orders(spark, sf_dir)
-    whole = substitution.modularity_classes(substitution.edges(substitution.tier(substitution.minimal_pairs(c), "motif"))).withColumnRenamed("community", "component")
-    own = substitution.edges(substitution.minimal_pairs(c, 400, "site"), "site")
-    parts = own.select("site", F.explode(F.array("u", "v")).alias("sign")).distinct().withColumn("component", F.lit("all"))
-    return _rounded(substitution.stability(whole, parts, tokens(c, "site"), "site"), "jaccard")
+    return _rounded(substitution.stability_by_part(nulls.subsample(c, 2000, 5, 9), _motif_classes(c), "trial"), "jaccard")
+
+
+@query(COMPONENTS + """, cl AS (SELECT s AS sign, min(c) AS component FROM re GROUP BY 1),
+sl AS (SELECT sign, count(*) FILTER (pos = 0) / count(*)::DOUBLE AS fi, count(*) FILTER (pos = len - 1) / count(*)::DOUBLE AS la FROM tok GROUP BY 1),
+pr AS (SELECT component, count(*)::BIGINT AS members, round(avg(la), 6) AS mean_final, stddev_pop(la) AS sd, round(avg(fi), 6) AS mean_initial, round(stddev_pop(fi), 6) AS std_initial FROM cl JOIN sl USING (sign) GROUP BY 1),
+pl AS (SELECT x.component, position, count(*) AS n FROM mp JOIN cl x ON x.sign = sign_a JOIN cl y ON y.sign = sign_b AND x.component = y.component WHERE len >= 3 GROUP BY 1, 2),
+tp AS (SELECT component, n, sum(n) OVER (PARTITION BY component) AS t, position FROM pl QUALIFY row_number() OVER (PARTITION BY component ORDER BY n DESC, position) = 1)
+SELECT component, members, mean_final, round(sd, 6) AS std_final, mean_initial, std_initial, coalesce(t, 0)::BIGINT AS n_pairs, position AS top_position, round(n / t::DOUBLE, 6) AS top_share,
+  coalesce(n / t::DOUBLE > 0.6 AND t >= 5 AND sd < 0.15, false) AS slot_like FROM pr LEFT JOIN tp USING (component)""")
+def class_positions(spark, sf_dir):
+    """Where the classes that the motif tier connects stand in their rows."""
+    c, p = _orders(spark, sf_dir), _pairs(spark, sf_dir)
+    found = substitution.class_positions(p, substitution.classes(substitution.edges(substitution.tier(p, "motif"))), stats.slot_counts(c))
+    return _rounded(found, "mean_final", "std_final", "mean_initial", "std_initial", "top_share")
 
 
 def _joined(df):

@@ -87,6 +87,16 @@ def test_modularity_splits_a_barbell(spark):
     assert got == {**dict.fromkeys("abcd", "a"), **dict.fromkeys("wxyz", "w")}
 
 
+def test_classes_keep_parts_apart_and_stability_measures_each(spark):
+    rows = [(f"{t}{i}", t, [x, "M", "N"]) for t, signs in (("p", "ABC"), ("q", "AB"), ("r", "C")) for i, x in enumerate(signs)]
+    c = spark.createDataFrame(rows, "id string, site string, signs array<string>").withColumns({"object_type": F.lit("o"), "motif": F.lit("m")})
+    whole = spark.createDataFrame([(x, "A") for x in "ABC"], "sign string, component string")
+    got = {r["site"]: (r["members"], r["jaccard"]) for r in substitution.stability_by_part(c, whole, "site").collect()}
+    assert got == {"p": (3, 1.0), "q": (2, 1.0)}  # one member is no class
+    got = {r["component"]: r for r in substitution.class_positions(substitution.minimal_pairs(c), whole, stats.slot_counts(c)).collect()}["A"]
+    assert (got["members"], got["mean_initial"], got["std_initial"], got["mean_final"], got["n_pairs"], got["top_position"], got["top_share"], got["slot_like"]) == (3, 1.0, 0.0, 0.0, 12, 0, 1.0, True)  # 15 pairs of rows, 3 of equal ones
+
+
 def test_shuffles_keep_what_they_should(spark):
     c = seqs(spark, (9, "A B C D E"), (4, "F G"), (2, "H"))
     own = {r["id"]: r["signs"] for r in c.collect()}
@@ -127,7 +137,7 @@ def test_restoration_leaves_the_own_row_out(spark):
     assert (r["truth"], r["predicted"]) == ("C", "B")
 
 
-@pytest.mark.parametrize("name", ["conditional_entropy_by_site", "llr_bigrams", "kn_cv_ppl", "minimal_pairs_by_position", "components", "global_shuffle"])
+@pytest.mark.parametrize("name", ["conditional_entropy_by_site", "llr_bigrams", "kn_cv_ppl", "minimal_pairs_by_position", "components", "class_positions", "global_shuffle"])
 def test_queries_equal_sql(spark, name):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
     for t in ("customer", "nation", "part", "orders", "lineitem"):
