@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,19 +12,24 @@ from signflow.operators.graph import components
 from signflow.operators.tokens import tokens
 
 
-def minimal_pairs(corpus: DataFrame, chunk: int | None = 400, *keys: str) -> DataFrame:
+def _holes() -> Column:
+    """Each place of a row: position, sign, and the signs before and after."""
+    n = F.size("signs")
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).alias("position"), F.element_at("signs", i).alias("sign"), F.slice("signs", F.lit(1), i - 1).alias("before"), F.slice("signs", i + 1, n - i).alias("after")))
+
+
+def minimal_pairs(corpus: DataFrame, chunk: int | None = 400, *keys: str, same: tuple[str, ...] = ()) -> DataFrame:
     """Rows of one length that differ in exactly one place, as an equi-join on everything but that place.
 
     ``chunk``: only rows in the same run of so many of their length, by id, are compared; None compares all.
-    The join key is short (a hash beside the length and the place); prefix and suffix confirm it.
+    ``same``: columns in which the rows of a pair agree, joined on. The join key is short (a hash beside the length
+    and the place); prefix and suffix confirm it. For numbers of pairs take ``pair_counts``, which forms none.
     """
     c = corpus.where(F.size("signs") > 0).withColumn("len", F.size("signs"))
     part = F.floor((F.row_number().over(Window.partitionBy(*keys, "len").orderBy("id")) - 1) / chunk) if chunk else F.lit(0)
     c = c.withColumn("chunk", part.cast("bigint"))
-    n = F.col("len")
-    holes = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct((i - 1).alias("position"), F.element_at("signs", i).alias("sign"), F.slice("signs", F.lit(1), i - 1).alias("before"), F.slice("signs", i + 1, n - i).alias("after")))
-    k = c.select(*keys, "id", "site", "object_type", "motif", "len", "chunk", F.inline(holes)).withColumn("key", F.xxhash64("before", "after"))
-    by = [*keys, "len", "chunk", "position", "key"]
+    k = c.select(*keys, *[F.col(x).alias(f"{x}_same") for x in same], "id", "site", "object_type", "motif", "len", "chunk", F.inline(_holes())).withColumn("key", F.xxhash64("before", "after"))
+    by = [*keys, *[f"{x}_same" for x in same], "len", "chunk", "position", "key"]
     a, b = k.select(*by, *[F.col(x).alias(f"{x}_a") for x in ("id", "sign", "before", "after", "site", "object_type", "motif")]), k.select(*by, *[F.col(x).alias(f"{x}_b") for x in ("id", "sign", "before", "after", "site", "object_type", "motif")])
     joined = a.join(b, by).where("id_a < id_b and sign_a <> sign_b and before_a = before_b and after_a = after_b")
     context = (F.col("site_a") == F.col("site_b")) & (F.col("object_type_a") == F.col("object_type_b")) & (F.col("site_a") != "unknown")
@@ -31,6 +37,35 @@ def minimal_pairs(corpus: DataFrame, chunk: int | None = 400, *keys: str) -> Dat
     return joined.select(*keys, "id_a", "id_b", "len", "position", "sign_a", "sign_b", "site_a", "motif_a", context.alias("context"), motif.alias("same_motif"))
 
 
+def _in_tier(corpus: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+    """The rows that may pair in a tier, and the columns in which its pairs agree."""
+    same = {"all": [], "context": ["site", "object_type"], "motif": ["site", "object_type", "motif"]}[name]
+    for x in same:
+        corpus = corpus.where(F.col(x).isNotNull() if x == "object_type" else F.col(x) != "unknown")
+    return corpus.where(F.size("signs") > 0), same
+
+
+def pair_counts(corpus: DataFrame, name: str = "all", *keys: str) -> DataFrame:
+    """keys, len, position, sign_a < sign_b, n: the number of all minimal pairs of a tier, whatever their ids.
+
+    Rows are counted by what surrounds a place and the sign in it, and the counts joined and multiplied: the pairs
+    themselves are never formed, so that a surrounding shared by many rows (as of rows of one sign) costs its
+    distinct signs only.
+    """
+    rows, same = _in_tier(corpus, name)
+    by = [*keys, "len", "position", *[f"{x}_same" for x in same], "before", "after"]
+    holes = rows.select(*keys, *[F.col(x).alias(f"{x}_same") for x in same], F.size("signs").alias("len"), F.inline(_holes()))
+    counted = holes.groupBy(*by, "sign").agg(F.count("*").alias("n")).withColumn("key", F.xxhash64(*by))
+    a, b = (counted.select("key", *[F.col(x).alias(f"{x}_{side}") for x in (*by, "sign", "n")]) for side in "ab")
+    match = reduce(lambda x, y: x & y, [F.col(f"{x}_a") == F.col(f"{x}_b") for x in by], F.col("sign_a") < F.col("sign_b"))
+    return a.join(b, "key").where(match).groupBy(*[F.col(f"{x}_a").alias(x) for x in (*keys, "len", "position")], "sign_a", "sign_b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
+
+
+def _number(pairs: DataFrame) -> Column:
+    """How many pairs a group has, of pairs or of their counts."""
+    return F.sum("n") if "n" in pairs.columns else F.count("*")
+
+
 def tier(pairs: DataFrame, name: str = "all") -> DataFrame:
     """The pairs of a tier: all, context or motif."""
     return pairs if name == "all" else pairs.where({"context": "context", "motif": "same_motif"}[name])
@@ -41,8 +76,8 @@ def _ends() -> tuple[Column, Column]:
 
 
 def edges(pairs: DataFrame, *keys: str) -> DataFrame:
-    """u < v, weight, positions (sorted, distinct)."""
-    return pairs.groupBy(*keys, *_ends()).agg(F.count("*").alias("weight"), F.array_sort(F.collect_set("position")).alias("positions"))
+    """u < v, weight, positions (sorted, distinct), of pairs or of their counts."""
+    return pairs.groupBy(*keys, *_ends()).agg(_number(pairs).alias("weight"), F.array_sort(F.collect_set("position")).alias("positions"))
 
 
 def distinct_contexts(pairs: DataFrame) -> DataFrame:
@@ -50,6 +85,17 @@ def distinct_contexts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(*_ends()).agg(F.count_distinct("site_a", "motif_a").alias("distinct_contexts"))
 
 
+def distinct_contexts_whole(corpus: DataFrame) -> DataFrame:
+    """``distinct_contexts`` of all minimal pairs, none of them formed: a (site, motif) counts if its first row with the one sign is before the last row with the other."""
+    by = ["len", "position", "before", "after"]
+    holes = corpus.where(F.size("signs") > 0).select("id", "site", "motif", F.size("signs").alias("len"), F.inline(_holes()))
+    first = holes.groupBy(*by, "sign", "site", "motif").agg(F.min("id").alias("first")).withColumn("key", F.xxhash64(*by))
+    last = holes.groupBy(*by, "sign").agg(F.max("id").alias("last")).select(F.xxhash64(*by).alias("key"), *[F.col(x).alias(f"{x}_b") for x in (*by, "sign")], "last")
+    match = reduce(lambda x, y: x & y, [F.col(x) == F.col(f"{x}_b") for x in by], (F.col("sign") != F.col("sign_b")) & (F.col("first") < F.col("last")))
+    pairs = first.join(last, "key").where(match).select(F.col("sign").alias("sign_a"), "sign_b", F.col("site").alias("site_a"), F.col("motif").alias("motif_a"))
+    return distinct_contexts(pairs)
+
+
 def classes(edge_table: DataFrame, least: int = 1, *keys: str) -> DataFrame:
     """keys, sign, component (its smallest sign) of the components of at least two signs; ``keys`` are graphs to keep apart."""
     kept = edge_table.where(F.col("weight") >= least)
@@ -71,7 +117,7 @@ def class_positions(pairs: DataFrame, members: DataFrame, slots: DataFrame, min_
     several = lambda c: F.when(F.count("*") > 1, c)
     profile = members.join(slots, "sign").groupBy("component").agg(F.count("*").alias("members"), several(F.avg(final)).alias("mean_final"), several(F.stddev_pop(final)).alias("std_final"), several(F.avg(initial)).alias("mean_initial"), several(F.stddev_pop(initial)).alias("std_initial"))
     end = lambda side: members.select(F.col("sign").alias(f"sign_{side}"), F.col("component").alias(f"component_{side}"))
-    counted = pairs.where(F.col("len") >= min_length).groupBy("sign_a", "sign_b", "position").agg(F.count("*").alias("n"))  # by sign before the joins
+    counted = pairs.where(F.col("len") >= min_length).groupBy("sign_a", "sign_b", "position").agg(_number(pairs).alias("n"))  # by sign before the joins
     inside = counted.join(end("a"), "sign_a").join(end("b"), "sign_b").where("component_a = component_b")
     places = inside.groupBy(F.col("component_a").alias("component"), "position").agg(F.sum("n").alias("n"))
     most = places.groupBy("component").agg(F.sum("n").alias("n_pairs"), F.max_by("position", F.struct("n", -F.col("position"))).alias("top_position"), F.max("n").alias("top"))
@@ -102,8 +148,8 @@ def stability(whole: DataFrame, parts: DataFrame, vocab: DataFrame, *keys: str)
 
 
 def stability_by_part(corpus: DataFrame, whole: DataFrame, key: str, name: str = "motif") -> DataFrame:
-    """``stability`` of the classes of ``whole`` in the parts of the corpus that the column ``key`` names (sites, trials): each part's pairs are mined anew, and its components taken."""
-    own = edges(tier(minimal_pairs(corpus, 400, key), name), key)
+    """``stability`` of the classes of ``whole`` in the parts of the corpus that the column ``key`` names (sites, trials): all pairs of each part are mined anew, and its components taken."""
+    own = edges(pair_counts(corpus, name, key), key)
     return stability(whole, classes(own, 1, key), tokens(corpus, key), key)
 
 

@@ -230,14 +230,19 @@ def degree_centrality(spark, sf_dir):
     return _rounded(substitution.degree_centrality(substitution.edges(_pairs(spark, sf_dir))), "centrality")
 
 
+def _motif_edges(c):
+    """The graph of all minimal pairs of the motif tier."""
+    return substitution.edges(substitution.pair_counts(c, "motif"))
+
+
 @query()
 def modularity_communities(spark, sf_dir):
-    """Iterative: tested on a barbell graph."""
-    return substitution.modularity_classes(substitution.edges(substitution.tier(_pairs(spark, sf_dir), "motif")))
+    """Iterative: tested on a barbell graph. All minimal pairs."""
+    return substitution.modularity_classes(_motif_edges(_orders(spark, sf_dir)))
 
 
 def _motif_classes(c):
-    return substitution.modularity_classes(substitution.edges(substitution.tier(substitution.minimal_pairs(c), "motif"))).withColumnRenamed("community", "component")
+    return substitution.modularity_classes(_motif_edges(c)).withColumnRenamed("community", "component")
 
 
 @query()
@@ -268,6 +273,60 @@ def class_positions(spark, sf_dir):
     return _rounded(found, "mean_final", "std_final", "mean_initial", "std_initial", "top_share")
 
 
+#: The cut that the SQL above makes: rows meet only in the same run of 400 of their length, by id.
+RUNS = "(row_number() OVER (PARTITION BY len(signs) ORDER BY id) - 1) // 400 AS chunk"
+
+
+def whole(f: Callable) -> Callable:
+    """Register ``NAME_whole``: the query NAME over all minimal pairs, against NAME's SQL without runs of 400."""
+    sql = _registry[f.__name__.removesuffix("_whole")][1]
+    assert RUNS in sql
+    return query(sql.replace(RUNS, "0 AS chunk"))(f)
+
+
+@whole
+def minimal_pairs_by_position_whole(spark, sf_dir):
+    c = _orders(spark, sf_dir)
+    named = [substitution.pair_counts(c, t).withColumn("tier", F.lit(t)) for t in ("all", "context", "motif")]
+    of = lambda t: F.coalesce(F.sum(F.when(F.col("tier") == t, F.col("n"))), F.lit(0))
+    return reduce(DataFrame.unionByName, named).groupBy("len", "position").agg(of("all").alias("n"), of("context").alias("n_context"), of("motif").alias("n_motif"))
+
+
+@whole
+def minimal_pairs_context_whole(spark, sf_dir):
+    """The pairs themselves: their number is quadratic by nature."""
+    p = substitution.minimal_pairs(_orders(spark, sf_dir), None, same=("site", "object_type"))
+    return substitution.tier(p, "context").drop("site_a", "motif_a")
+
+
+@whole
+def substitution_edges_whole(spark, sf_dir):
+    e = substitution.edges(substitution.pair_counts(_orders(spark, sf_dir)))
+    return e.withColumn("positions", F.array_join(F.transform("positions", lambda x: x.cast("string")), ","))
+
+
+@whole
+def distinct_contexts_whole(spark, sf_dir):
+    return substitution.distinct_contexts_whole(_orders(spark, sf_dir))
+
+
+@whole
+def components_whole(spark, sf_dir):
+    return substitution.classes(_motif_edges(_orders(spark, sf_dir)))
+
+
+@whole
+def degree_centrality_whole(spark, sf_dir):
+    return _rounded(substitution.degree_centrality(substitution.edges(substitution.pair_counts(_orders(spark, sf_dir)))), "centrality")
+
+
+@whole
+def class_positions_whole(spark, sf_dir):
+    c = _orders(spark, sf_dir)
+    found = substitution.class_positions(substitution.pair_counts(c), substitution.classes(_motif_edges(c)), stats.slot_counts(c))
+    return _rounded(found, "mean_final", "std_final", "mean_initial", "std_initial", "top_share")
+
+
 def _joined(df):
     return df.select("id", F.array_join("signs", " ").alias("signs"))
 

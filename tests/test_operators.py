@@ -146,3 +146,34 @@ def test_queries_equal_sql(spark, name):
     want = con.execute(plans.oracle_sql()[name])
     columns = [d[0] for d in want.description]
     assert sorted(map(str, df.select(columns).toPandas().itertuples(index=False, name=None))) == sorted(map(str, want.df().itertuples(index=False, name=None)))
+
+
+def test_pair_counts_are_of_all_pairs(spark):
+    rows = [(f"r{i:03}", ["AB"[i >= 450], "M", "N"], f"s{i % 2}", "o", "m") for i in range(900)]
+    c = spark.createDataFrame(rows, FULL)
+    got = {t: [tuple(r) for r in substitution.pair_counts(c, t).collect()] for t in ("all", "context", "motif")}
+    assert got == {"all": [(3, 0, "A", "B", 450 * 450)], "context": [(3, 0, "A", "B", 2 * 225 * 225)], "motif": [(3, 0, "A", "B", 2 * 225 * 225)]}
+    # Rows of the two signs that are far apart by id: runs of 400 would leave the parts without a class
+    far = spark.createDataFrame([(f"r{i:03}", ["ABC"[(i > 0) + (i == 899)], "M", "N"], "s", "o", "m") for i in range(900)], FULL)
+    found = substitution.stability_by_part(far, spark.createDataFrame([(x, "A") for x in "ABC"], "sign string, component string"), "site").first()
+    assert (found["members"], found["jaccard"]) == (3, 1.0)
+    assert substitution.edges(substitution.pair_counts(far)).count() == 3
+
+
+WHOLE = [n for n in plans.queries() if n.endswith("_whole")]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_queries_equal_sql_without_runs(spark, name):
+    sf, con = "/root/testdata/sf0.01", duckdb.connect()  # lengths of far more than 400 rows
+    for t in ("customer", "nation", "part", "orders", "lineitem"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = plans.queries()[name](spark, sf)
+    want = con.execute(plans.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    rows = lambda x: sorted(map(str, x.itertuples(index=False, name=None)))
+    assert rows(df.select(columns).toPandas()) == rows(want.df()[columns])
+
+
+def test_whole_queries_have_sql_of_their_own():
+    assert len(WHOLE) == 7 and not any("// 400" in plans.oracle_sql()[n] for n in WHOLE)
