@@ -2,9 +2,10 @@
 
 Toxic words are learned from labelled documents (a bounded, hashed sample): words that tell toxic documents by
 Wilson's lower bound, near copies (documents with many candidates in common) counted once. A character trigram model is
-trained on the sample's words. A token that could hide a toxic word (its look-alike skeleton is the skeleton of
-one) becomes a lattice: leetspeak characters may be letters, separators may go, runs of a letter may shrink,
-spaced letters are joined; Viterbi decoding finds the likeliest letters, and the restored word is scored. The
+trained on the sample's words. A token (or part) that could hide a toxic word (its look-alike skeleton is the skeleton of
+one) becomes a lattice: leetspeak characters may be letters, separators may go, runs of a letter may shrink.
+Words joined by punctuation and runs of spaced letters are searched for such skeletons from any unit to any later
+one; Viterbi decoding finds the likeliest letters, and the restored word is scored. The
 score of a document is the share of toxic documents among those of the sample with as many toxic words.
 
 Null and empty texts hold no toxic word and get the score of that. Repeated rows get equal scores, a null doc_id
@@ -36,8 +37,13 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: Letters that share a look-alike.
 SKELETON = {**{c: x[0] for c, x in LEET.items()}, "l": "i", "b": "g"}
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…–—¿¡"
-#: Three or more single characters with one separator between each two.
-SPACED_RUN = re.compile(r"(?<!\S)(?:[\w@$!|+(][ .\-_*]){2,}[\w@$!|+(](?=$|[\s.,;:!?)\"'])")
+PLAIN_EDGE = "".join(c for c in EDGE if c not in LEET)
+#: Three or more single characters (or repetitions of one) with anything but letters, digits and look-alikes between each two.
+SPACED_RUN = re.compile(r"(?<![^\W_])(?:([^\W_]|[@$!|+(€£])\1*(?:[^\w@$!|+(€£]|_)+){2,}([^\W_]|[@$!|+(€£])\2*(?![^\W_])")
+#: The units of a token or run: with look-alike signs as letters, or as separators.
+UNITS = (re.compile(r"[^\W_]+|[@$!|+(€£]"), re.compile(r"[^\W_]+"))
+#: Letters with some of them masked.
+MASKED = re.compile(r"[^\W\d_]+(?:\*+[^\W\d_]+)+")
 _REPEAT = re.compile(r"(.)\1+")
 
 
@@ -59,7 +65,8 @@ class Model:
         self.by_skeleton = defaultdict(list)
         for w in self.toxic:
             self.by_skeleton[skeleton(w)].append(w)
-        self.seen: dict[str, str | None] = {}
+        self.prefixes = {k[:i] for k in self.by_skeleton for i in range(1, len(k) + 1)}
+        self.seen: dict[str, tuple[str, ...]] = {}
 
     def decode(self, token: str) -> str:
         """The likeliest letters behind a token: Viterbi over its lattice under the trigram model."""
@@ -69,9 +76,9 @@ class Model:
             options = (c if c.isalpha() else "") + LEET.get(c, "")
             if options:
                 steps.append((options, len(m[0])))
-        best = {"^^": (0.0, "")}
+        best: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}  # cost, and the letters from the last back
         for options, n in steps:
-            after: dict[str, tuple[float, str]] = {}
+            after: dict[str, tuple[float, tuple | None]] = {}
             for state, (cost, text) in best.items():
                 for c in options:
                     letters, s, total = "", state, cost
@@ -80,43 +87,80 @@ class Model:
                         s, letters = s[1] + c, letters + c
                         value = total - 0.5 * (n - k - 1)
                         if s not in after or value > after[s][0]:
-                            after[s] = (value, text + letters)
+                            after[s] = (value, (text, letters))
             best = after
-        return max(((cost + self.log.get(s + "$", self.floor), text) for s, (cost, text) in best.items()), default=(0, ""))[1]
-
-    def word(self, token: str) -> str | None:
-        """The toxic word that a lower-case token is or hides."""
-        bare = token.strip(EDGE)
-        if bare in self.toxic:
-            return bare
-        for shape in (token.strip(".,;:?\"'*#%&-_~()[]{}<>"), bare):
-            if "*" in shape and 3 <= len(shape) <= 40 and shape.replace("*", "").isalpha():
-                hidden = re.compile(re.escape(shape).replace(r"\*", "."))
-                if found := [w for w in self.toxic if hidden.fullmatch(w)]:
-                    return max(found, key=self.toxic.get)
-            if len(shape) <= 80 and (known := self.by_skeleton.get(skeleton(shape))):
-                if shape.isalpha() and not _REPEAT.search(shape):
-                    continue  # a plain word of its own
-                restored = self.decode(shape)
-                if restored in self.toxic:
-                    return restored
-                if close := [w for w in known if _REPEAT.sub(r"\1", restored) == _REPEAT.sub(r"\1", w)]:
-                    return close[0]
-        return None
+        _, link = max(((cost + self.log.get(s + "$", self.floor), text) for s, (cost, text) in best.items()), key=lambda x: x[0])
+        parts = []
+        while link:
+            link, letters = link
+            parts.append(letters)
+        return "".join(reversed(parts))
+
+    def restore(self, shape: str) -> str | None:
+        """The toxic word behind letters and look-alikes that have the skeleton of one."""
+        if shape in self.toxic:
+            return shape
+        if shape.isalpha() and not _REPEAT.search(shape):
+            return None  # a plain word of its own
+        restored = self.decode(shape)
+        if restored in self.toxic:
+            return restored
+        return next((w for w in self.by_skeleton[skeleton(shape)] if _REPEAT.sub(r"\1", restored) == _REPEAT.sub(r"\1", w)), None)
+
+    def within(self, text: str) -> set[str]:
+        """The toxic words that whole units of a token or run are or hide, alone or several together."""
+        found = set()
+        for k, pattern in enumerate(UNITS):
+            units = pattern.findall(text)
+            if k and units == previous:
+                break
+            previous = units
+            groups: list[list[int | str]] = []  # first unit, last unit, skeleton: units of one and the same look-alike together
+            for i, u in enumerate(units):
+                if bones := skeleton(u):
+                    if groups and len(bones) == 1 and groups[-1][2] == bones:
+                        groups[-1][1] = i
+                    else:
+                        groups.append([i, i, bones])
+            for i, (first, start, _) in enumerate(groups):
+                bones = ""
+                for stop, last, more in groups[i:]:
+                    bones += more[1:] if bones[-1:] == more[0] else more
+                    if bones not in self.prefixes:
+                        break
+                    if bones in self.by_skeleton:
+                        shapes = ("".join(units[a : b + 1]) for a in dict.fromkeys((first, start)) for b in dict.fromkeys((last, stop)) if a <= b)
+                        found.update(filter(None, map(self.restore, shapes)))
+        return found
+
+    def token(self, token: str) -> tuple[str, ...]:
+        """The toxic words that a lower-case token holds or hides."""
+        bare = token.strip(PLAIN_EDGE)
+        if bare.isalpha() and not _REPEAT.search(bare):
+            return (bare,) if bare in self.toxic else ()
+        found = self.within(token)
+        for m in MASKED.findall(token) if "*" in token else ():
+            hidden = re.compile(m.replace("*", "."))
+            if fitting := [w for w in self.toxic if len(w) == len(m) and hidden.fullmatch(w)]:
+                found.add(max(fitting, key=self.toxic.get))
+        return tuple(found)
 
     def words(self, text: str) -> set[str]:
         """The distinct toxic words of a text."""
+        if not self.toxic:
+            return set()
         low = text.lower()
         tokens = set(low.split())
-        if SPACED_RUN.search(low):
-            tokens.update(re.sub(r"[ .\-_*]", "", m[0]) for m in SPACED_RUN.finditer(low))
         new = tokens.difference(self.seen)
         if len(self.seen) + len(new) > 400_000:
             self.seen.clear()
             new = tokens
         for t in new:
-            self.seen[t] = self.word(t)
-        return {self.seen[t] for t in tokens if self.seen[t]} if self.toxic else set()
+            self.seen[t] = self.token(t)
+        found = {w for t in tokens for w in self.seen[t]}
+        for m in SPACED_RUN.finditer(low):
+            found |= self.within(m[0])
+        return found
 
     def score(self, text: str) -> float:
         return self.scores[min(2, len(self.words(text)))]

@@ -165,3 +165,14 @@ def test_personal_data(spark):
         assert set(map(tuple, found[i]["base"])) <= set(map(tuple, found[i]["spans"]))
     assert clean[2] == "[email][email] zz@" and clean[1] is None and clean[8] == texts[8] and clean[3].startswith("[phone] é [ip].[ip] 256.1.1.1 😀 [email] ")
     assert pii.report(docs.limit(0)).count() == 0
+
+
+def test_toxic_words_in_runs_and_joined_tokens():
+    m = toxicity.Model({"moron": 0.9, "scumbag": 0.9, "idiot": 0.8, "gall": 0.8, "ass": 0.8}, log={})
+    for t in ("a s c u m b a g", "s c u m b a g a", "x s  c  u  m  b  a  g y", "s/c/u/m/b/a/g", "you a s / c / u / m / b / a / g !", "s c uuu m b a g", "s|c|u|m|b|a|g", "i'm a s.c.u.m.b.a.g"):
+        assert m.words(t) == {"scumbag"}, t
+    for t in ("you...m0r0n", "moron/x", "(x)m-o-r-o-n,y", "m" + "o" * 5000 + "ron", "m" + "o0" * 3000 + "ron!", "you,m*r*n", "x!moron", "moron!x"):
+        assert m.words(t) == {"moron"}, t
+    assert m.words("moron,idiot") == {"moron", "idiot"} and m.words("1 i d i o t") == {"idiot"} and m.words("Moron; I-D-I-O-T") == {"moron", "idiot"}
+    for t in ("ball", "morons", "the b a l l is a", "a, b, c, d", "mor on", "oxymoron", "as", "a-s", "**the**", "* * *", "a" * 90_000, "1 l " * 30_000, ""):
+        assert m.words(t) == set(), t
