@@ -2,7 +2,7 @@
 
 Toxic words are learned from labelled documents (a bounded, hashed sample): words that tell toxic documents by
 Wilson's lower bound, near copies (documents with many candidates in common) counted once. A character trigram model is
-trained on the sample's words. A token (or part) that could hide a toxic word (its look-alike skeleton is the skeleton of
+counted over the words of all documents to learn from, in Spark; the driver gets the trigrams that a lattice can ask for. A token (or part) that could hide a toxic word (its look-alike skeleton is the skeleton of
 one) becomes a lattice: leetspeak characters may be letters, separators may go, runs of a letter may shrink.
 Words joined by punctuation and runs of spaced letters are searched for such skeletons from any unit to any later
 one; Viterbi decoding finds the likeliest letters, and the restored word is scored. The
@@ -27,11 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from signflow.llm.common import fold, prepare, texts_of
+from signflow.session import materialize
 
 #: Labelled documents of either class to learn from, at most.
 MAX_PER_CLASS = 6000
-#: Words that train the character model, and toxic words, at most.
-MAX_WORDS, MAX_TOXIC = 20_000, 500
+#: Distinct tokens that a task counts before it passes on their trigrams.
+TOKENS_HELD = 200_000
+#: Share of toxic documents that a toxic word's lower bound reaches, and the fewest documents with which one can.
+PRECISION, SUPPORT = 0.7, 9
 #: What a character may stand for. Fixed values.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 #: Letters that share a look-alike.
@@ -172,11 +175,81 @@ def lower_bound(hits: float, n: float, z: float = 1.96) -> float:
     return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+def independent(held: list[tuple[int, set[str]]]) -> list[tuple[int, set[str]]]:
+    """The documents (label, candidates) without near copies: of those of six candidates or more, none has 0.75 of all in common with a larger one kept.
+
+    Two sets that much alike share one of the few rarest words of either (prefix filter), so only those with such a
+    word in common are compared, and none that are alike is missed.
+    """
+    often = Counter(w for _, words in held for w in words)
+    leaders: dict[str, list[set[str]]] = defaultdict(list)
+    once = []
+    for y, words in sorted(held, key=lambda x: (len(x[1]), sorted(x[1])), reverse=True):
+        if len(words) >= 6:  # if another document has nearly all of them too, one stands for both
+            rare = sorted(words, key=lambda w: (often[w], w))[: len(words) - -(-3 * len(words) // 4) + 1]
+            if any(4 * len(words & x) >= 3 * len(words | x) for w in rare for x in leaders.get(w, ())):
+                continue
+            for w in rare:
+                leaders[w].append(words)
+        once.append((y, words))
+    return once
+
+
+def trigrams(docs: DataFrame) -> DataFrame:
+    """g, n: character trigrams of the words of all ``docs``, each word once for a document that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def spread() -> pa.RecordBatch:
+            words, out = Counter(), Counter()
+            for x, n in tokens.items():
+                if (w := x.strip(EDGE)).isalpha():
+                    words[w] += n
+            tokens.clear()
+            for w, n in words.items():
+                padded = f"^^{w}$"
+                for i in range(len(padded) - 2):
+                    out[padded[i : i + 3]] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["g", "n"])
+
+        tokens = Counter()
+        for b in batches:
+            for t in texts_of(b):
+                tokens.update(set(t.lower().split()))
+            if len(tokens) > TOKENS_HELD:
+                yield spread()
+        yield spread()
+
+    return docs.select("text").mapInArrow(run, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+
+
+def language_model(docs: DataFrame, toxic: dict[str, float], common: float) -> tuple[dict[str, float], float]:
+    """Logarithms of trigram probabilities, of those that a lattice of ``toxic`` can ask for, and that of an unseen one.
+
+    ``common``: the commonest word's share of documents. Words sought are taken to be as common.
+    """
+    grams, _ = materialize(trigrams(docs), "trigrams")
+    first = F.substring("g", 1, 2)
+    told = grams.agg(F.count_distinct(F.substring("g", 3, 1)).alias("letters"), F.max("n").alias("n")).first()
+    if not told["n"]:
+        return {}, -8.0
+    boost = int(np.ceil(common * docs.count()))
+    sought = Counter(p[i : i + 3] for w in toxic for p in (f"^^{w}$",) for i in range(len(p) - 2))
+    bones = {c for w in toxic for c in skeleton(w)}
+    able = sorted({*"^$", *bones, *(c for w in toxic for c in w), *(c for k, x in LEET.items() for c in x if SKELETON[k] in bones), *(c for c, k in SKELETON.items() if k in bones and c.isalpha())})
+    extra = docs.sparkSession.createDataFrame([(g, boost * n) for g, n in sought.items()], "g string, n bigint")  # vocabulary-sized
+    grams = grams.unionByName(extra).groupBy("g").agg(F.sum("n").alias("n"))
+    totals = grams.groupBy(first.alias("two")).agg(F.sum("n").alias("t"))
+    log = grams.withColumn("two", first).join(totals, "two").withColumn("log", F.log((F.col("n") + 0.1) / (F.col("t") + 0.1 * told["letters"])))
+    least = log.agg(F.min("log")).first()[0]
+    asked = log.where(F.forall(F.split("g", ""), lambda c: c.isin(able)))
+    return {r["g"]: r["log"] for r in asked.select("g", "log").collect()}, float(least - 1)
+
+
 def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = MAX_PER_CLASS) -> Model:
     """Learn from the labelled rows of ``docs`` where ``learn`` holds.
 
-    The sample has at most ``per_class`` documents of either class; the driver gets word counts (the commonest
-    words and the candidates) and each sampled document's candidates.
+    The sample has at most ``per_class`` documents of either class; the driver gets the counts of the candidates
+    and each sampled document's candidates. The character model is counted over all rows, labelled or not.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -191,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = MA
         seen = (Counter(), Counter())
         for b in batches:
             for t, y in zip(texts_of(b), b.column("toxic").to_pylist(), strict=True):
-                seen[y].update({w for x in t.lower().split() if (w := x.strip(EDGE)).isalpha() and len(w) <= 40})
+                seen[y].update({w for x in t.lower().split() if (w := x.strip(EDGE)).isalpha()})
         words = list(seen[0] | seen[1])
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], ["word", "pos", "neg"])
 
@@ -201,9 +274,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = MA
         rows.unpersist()
         return Model()
     counts = rows.mapInArrow(count, "word string, pos bigint, neg bigint").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).persist()
-    common = counts.orderBy(F.desc(F.col("pos") + F.col("neg")), "word").limit(MAX_WORDS).toPandas()
-    least = max(3, 0.002 * n_pos)
-    found = counts.where((F.col("pos") >= least) & (F.col("pos") >= 3 * F.col("neg")) & (F.length("word") >= 3)).orderBy(F.desc("pos"), "word").limit(4 * MAX_TOXIC).toPandas()
+    most = counts.agg(F.max(F.col("pos") + F.col("neg"))).first()[0] or 0
+    least = min(max(3, 0.002 * n_pos), SUPPORT)
+    found = counts.where((F.col("pos") >= least) & (F.col("pos") >= 3 * F.col("neg")) & (F.length("word") >= 3)).toPandas()
     candidates = set(found["word"])
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,31 +285,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = MA
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(own, pa.list_(pa.string()))], ["toxic", "words"])
 
     held = [(r["toxic"], set(r["words"])) for r in rows.mapInArrow(hold, "toxic int, words array<string>").where(F.size("words") > 0).collect()]
-    leaders: list[tuple[int, set]] = []
-    once = []
-    for y, words in sorted(held, key=lambda x: (len(x[1]), sorted(x[1])), reverse=True):
-        if len(words) >= 6:  # if another document has nearly all of them too, one stands for both
-            if any(len(words & x) >= 0.75 * len(words | x) for _, x in leaders[-2000:]):
-                continue
-            leaders.append((y, words))
-        once.append((y, words))
     pos, neg = Counter(), Counter()
-    for y, words in once:
+    for y, words in independent(held):
         (pos if y else neg).update(words)
-    toxic = {w: float(sure) for w, n in pos.items() if n >= 3 and (sure := lower_bound(n, n + neg[w])) >= 0.7}
-    toxic = dict(sorted(toxic.items(), key=lambda x: (-x[1], x[0]))[:MAX_TOXIC])
-    texts = Counter(dict(zip(common["word"], (common["pos"] + common["neg"]).astype(int), strict=True)))
-    for w in toxic:  # the words sought are likely ones
-        texts[w] += max(texts.values())
-    tri, bi, letters = Counter(), Counter(), set("$")
-    for w, n in texts.items():
-        padded = f"^^{w}$"
-        letters.update(w)
-        for i in range(len(padded) - 2):
-            tri[padded[i : i + 3]] += n
-            bi[padded[i : i + 2]] += n
-    log = {g: float(np.log((n + 0.1) / (bi[g[:2]] + 0.1 * len(letters)))) for g, n in tri.items()}
-    model = Model(toxic, (0.0, 0.0, 0.0), log, float(min(log.values()) - 1))
+    toxic = {w: float(sure) for w, n in pos.items() if n >= 3 and (sure := lower_bound(n, n + neg[w])) >= PRECISION}
+    toxic = dict(sorted(toxic.items(), key=lambda x: (-x[1], x[0])))
+    log, floor = language_model(docs.where(learn & F.col("text").isNotNull()), toxic, most / (n_pos + n_neg)) if toxic else ({}, -8.0)
+    model = Model(toxic, (0.0, 0.0, 0.0), log, floor)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -176,3 +176,24 @@ def test_toxic_words_in_runs_and_joined_tokens():
     assert m.words("moron,idiot") == {"moron", "idiot"} and m.words("1 i d i o t") == {"idiot"} and m.words("Moron; I-D-I-O-T") == {"moron", "idiot"}
     for t in ("ball", "morons", "the b a l l is a", "a, b, c, d", "mor on", "oxymoron", "as", "a-s", "**the**", "* * *", "a" * 90_000, "1 l " * 30_000, ""):
         assert m.words(t) == set(), t
+
+
+def test_all_toxic_words_and_all_documents_count(spark):
+    letters, rng = "abcdefghijklmnopqrstuvwxyz", np.random.default_rng(4)
+    bad = [f"z{letters[i // 26]}{letters[i % 26]}x" for i in range(600)]
+    rows = [(i, " ".join([f"w{i}", *rng.choice(bad, 8, replace=False)]), 1) for i in range(1800)]
+    rows += [(5000 + i, f"plain text {letters[i % 26]}{letters[i // 26]}", 0) for i in range(400)]
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(9000, "xzzxz")], "doc_id bigint, text string")
+    model = toxicity.train(docs, labels, F.lit(True))
+    assert set(model.toxic) == set(bad)
+    assert "xzz" in model.log and "zzx" in model.log  # of a document without a label
+    got = [r["score"] for r in toxicity.score(docs, model).where("doc_id < 5000").collect()]
+    assert min(got) >= 0.7
+
+
+def test_near_copies_are_found_however_far_apart():
+    first = {f"a{i}" for i in range(8)}
+    others = [(1, {f"b{i}-{k}" for k in range(7)}) for i in range(2500)]
+    once = toxicity.independent([(1, first), *others, (0, {f"a{i}" for i in range(6)})])
+    assert len(once) == 2501 and (1, first) in once
