@@ -2,8 +2,8 @@
 
 The base rules count words, symbols, repeated lines and repeated three-word windows of every whole text. The
 forest is grown on rule statistics of good labelled documents (a bounded, hashed sample), with random splits over
-the range of all labelled ones: documents that few splits part from the good ones are anomalous. The score from which a document is dropped is set on the labelled sample,
-so that at most ``LOSS`` of its good documents go.
+the range of all labelled ones: documents that few splits part from the good ones are anomalous. The score from
+which a document is dropped is set on all good labelled documents, so that at most ``LOSS`` of them go.
 
 Null and empty texts have no words and fail the base rule. Repeated rows get equal verdicts, a null doc_id is
 kept, very long texts count whole, without labels the base rule decides alone, an empty table gives no rows.
@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signflow.llm.common import prepare, texts_of
+from signflow.session import discard, materialize
 
-#: Labelled documents that the forest and its threshold are fitted on, at most.
+#: Labelled documents that the trees are grown on, at most.
 MAX_LABELLED = 6000
 #: Trees, and the documents each grows on.
 TREES, GROWN_ON = 100, 256
@@ -138,18 +139,37 @@ def with_stats(docs: DataFrame, keep: list[str], forest: Forest | None = None) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, loss: float = LOSS) -> Forest | None:
-    """Grow the forest on good labelled documents and set its cutoff; None without good ones."""
+    """Grow the forest on a sample of good labelled documents, over the range of all, and set its cutoff on all; None without good ones."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = known.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(most)  # so small that it can be broadcast
-    rows = with_stats(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["quality"]).limit(4 * most).toPandas()
-    x, good = features(rows[[*STATS, *MORE]].to_numpy()), rows["quality"].to_numpy() == 1
-    good &= ~base_failed(rows["n_words"].to_numpy(), rows["n_repeat_words"].to_numpy())
-    if not good.any():
-        return None
-    order = np.lexsort(x[good].T)  # the same forest, however the rows arrive
-    forest = grow(x[good][order], x.min(0), x.max(0))
-    forest.cutoff = float(np.quantile(forest.score(x[good]), 1 - loss))
-    return forest
+    rows = with_stats(docs.select("doc_id", "text").join(known, "doc_id"), ["doc_id", "quality"])
+    rows, path = materialize(rows, "labelled")  # statistics only
+    try:
+        columns = [*STATS, *MORE]
+        n, chars, symbols, dup, repeat, capitals, marks, lines = map(F.col, columns)
+        per = F.greatest(n, F.lit(1))
+        box = [n, chars / per, symbols / per, dup / F.greatest(lines, F.lit(1)), repeat / per, capitals / per, marks / per]
+        ends = rows.agg(*[f(c).cast("double").alias(f"{k}{i}") for i, c in enumerate(box) for k, f in (("low", F.min), ("high", F.max))]).first()
+        good = rows.where((F.col("quality") == 1) & ~base_failed(F.col("n_words"), F.col("n_repeat_words")))
+        sample = good.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id", *columns).limit(most).select(*columns).toPandas()
+        if not len(sample):
+            return None
+        low, high = (np.array([ends[f"{k}{i}"] for i in range(len(box))]) for k in ("low", "high"))
+        low[0], high[0] = np.log1p(low[0]), np.log1p(high[0])
+        x = features(sample.to_numpy())
+        forest = grow(x[np.lexsort(x.T)], low, high)  # the same forest, however the rows arrive
+        held = docs.sparkSession.sparkContext.broadcast(forest)  # bounded: trees x nodes
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                stats = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in columns], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(held.value.score(features(stats)))], ["anomaly"])
+
+        # Bins of a millionth, rounded up so that no more than LOSS go: the aggregate's size is bounded
+        scores = good.select(*columns).mapInArrow(run, "anomaly double")
+        forest.cutoff = float(scores.agg(F.percentile(F.ceil(F.col("anomaly") * 1e6) / 1e6, F.lit(1 - loss))).first()[0])
+        return forest
+    finally:
+        discard(docs.sparkSession, path)
 
 
 def base_failed(n_words, n_repeat_words):

@@ -197,3 +197,16 @@ def test_near_copies_are_found_however_far_apart():
     others = [(1, {f"b{i}-{k}" for k in range(7)}) for i in range(2500)]
     once = toxicity.independent([(1, first), *others, (0, {f"a{i}" for i in range(6)})])
     assert len(once) == 2501 and (1, first) in once
+
+
+def test_cutoff_and_range_cover_all_labelled_rows(spark):
+    rng = np.random.default_rng(6)
+    # Each repeated 20 times: more rows than 4 * most
+    rows = [(i, " ".join(text("en", rng, 60).split() + ["#"] * int(rng.integers(0, 20)))) for i in range(200)]
+    docs = spark.createDataFrame([r for r in rows for _ in range(20)] + [(500, "x " * 300)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows] + [(500, 0, 0)], "doc_id bigint, quality int, toxic int")
+    forest = quality.fit(docs, labels, most=20, loss=0.1)
+    got = [r["anomaly"] for r in quality.with_stats(docs.where("doc_id < 500"), ["doc_id"], forest).collect()]
+    assert forest.cutoff == pytest.approx(float(np.quantile(got, 0.9)), abs=2e-6) and len(got) == 4000
+    assert quality.features(np.array([quality.rule_stats("x " * 300)]))[0, 0] > max(quality.features(np.array([quality.rule_stats(t)]))[0, 0] for _, t in rows)
+    assert forest.threshold[forest.feature == 0].max() > np.log1p(max(len(t.split()) for _, t in rows))
