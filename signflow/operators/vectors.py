@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from signflow.operators import stats
 from signflow.session import ship
 
+#: Queries of a block and base rows of a shard, on average.
+BLOCK, SHARD = 4096, 65_536
+
 
 def cooccurrence(corpus: DataFrame, window: int = 2) -> DataFrame:
     """a, b, n: signs within ``window`` places of each other, both ways, formed inside the row."""
@@ -50,13 +53,24 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
-    """For each stated query the ``k`` most similar other rows of ``base``; queries are broadcast behind a check of their number."""
-    n = queries.count()
-    if n > 10_000:
-        raise ValueError(f"{n} queries; ask in blocks of up to 10000")
-    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("query_vector"))
-    sims = base.join(F.broadcast(asked), F.col(key) != F.col("query")).select("query", key, F.round(cosine(F.col(vector), F.col("query_vector")), 6).alias("similarity"))
-    return sims.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), key))).where(F.col("rank") <= k)
+    """For each stated query the ``k`` most similar other rows of ``base``.
+
+    Queries are dealt to blocks and base rows to shards, by hash; each block meets each shard, keeps its best ``k`` a
+    query, and the shards' best are merged. No task holds more than a block and a shard, on average.
+    """
+    blocks, shards = max(1, -(-queries.count() // BLOCK)), max(1, -(-base.count() // SHARD))
+    deal = lambda c, n, salt: F.pmod(F.xxhash64(F.lit(salt), c), F.lit(n)).cast("int")
+    lay = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("query_vector"), deal(F.col(key), blocks, 1).alias("block"))
+    told = base.select(key, vector, deal(F.col(key), shards, 0).alias("shard"))
+    if blocks == 1:
+        met = told.join(F.broadcast(asked.drop("block")), F.col(key) != F.col("query"))
+    else:
+        met = told.withColumn("block", lay(blocks)).join(asked.withColumn("shard", lay(shards)), ["block", "shard"]).where(F.col(key) != F.col("query"))
+    sims = met.select("query", key, "shard", F.round(cosine(F.col(vector), F.col("query_vector")), 6).alias("similarity"))
+    best = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("similarity"), key))
+    kept = sims.withColumn("rank", best(["query", "shard"])).where(F.col("rank") <= k) if shards > 1 else sims
+    return kept.withColumn("rank", best(["query"])).where(F.col("rank") <= k).select("query", key, "similarity", "rank")
 
 
 def fit_zipf(ranked: list[tuple[int, int]]) -> tuple[float, float, float, float]:

@@ -177,3 +177,14 @@ def test_whole_queries_equal_sql_without_runs(spark, name):
 
 def test_whole_queries_have_sql_of_their_own():
     assert len(WHOLE) == 7 and not any("// 400" in plans.oracle_sql()[n] for n in WHOLE)
+
+
+def test_neighbours_of_many_queries(spark, monkeypatch):
+    e = spark.range(10_001).select(F.col("id").alias("k"), F.array(F.lit(1.0), F.col("id") / 10_000).alias("v"))
+    base = spark.createDataFrame([(-1, [1.0, 0.0]), (-2, [0.0, 1.0]), (-3, [1.0, 1.0]), (5, [1.0, 0.0])], "k bigint, v array<double>")
+    want = sorted(tuple(r) for r in vectors.cosine_neighbours(e.where("k < 500"), base, "k", "v", 2).collect())
+    got = vectors.cosine_neighbours(e, base, "k", "v", 2).cache()
+    assert got.count() == 2 * 10_001 and sorted(tuple(r) for r in got.where("query < 500").collect()) == want
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    monkeypatch.setattr(vectors, "SHARD", 1)
+    assert sorted(tuple(r) for r in vectors.cosine_neighbours(e.where("k < 500"), base, "k", "v", 2).collect()) == want
