@@ -4,7 +4,8 @@ Everything that touches rows is DataFrame expressions. Each generator's matches
 from the pieces between them. Base kinds (email, ip, card, phone) keep the matches that pass their checks, and
 always stay. The candidates of all generators carry format features (digits, separators, Luhn sum, parts) and
 context features (what stands beside them). Boosted trees are fitted on the counts of feature cells over all
-documents, base matches telling right from wrong; there are a few thousand cells at most, whatever the input.
+documents, base matches telling right from wrong (and decoys what a bare "at" is worth); loose forms are read as
+their literal ones, so that the same features tell; there are a few thousand cells at most, whatever the input.
 The trees become one expression, and the cutoff is the lowest score at which the labelled candidates reach the
 target precision. Candidates above it that touch no base span and no better-placed candidate are added.
 
@@ -30,16 +31,23 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: A written or literal sign of an address. Each alternative starts with what no label holds, so nothing backtracks into one.
+_AT = r"(?:\x20?[(\[{]\x20?(?:at|@)\x20?[)\]}]\x20?|\x20at\x20|\x20?@\x20?)"
+_DOT = r"(?:\x20?[(\[{]\x20?(?:dot|\.)\x20?[)\]}]\x20?|\x20dot\x20|\.)"
+_LOCAL, _LABELS = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++", rf"[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)++"
 #: Looser generators: kind, what a text must hold, pattern.
 LOOSE = (
-    ("email", r"(?i)[(\[ ]dot[)\] ]", r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++(?: ?[(\[]at[)\]] ?|\x20at\x20)[a-z0-9-]++(?: ?[(\[]dot[)\]] ?|\x20dot\x20)[a-z]{2,10}(?![a-z0-9])"),
-    ("phone", r"[0-9]{4}", r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    ("card", r"[0-9]{4}", r"(?<![0-9])[0-9]{4}[/._][0-9]{4}[/._][0-9]{4}[/._][0-9]{4}(?![0-9])"),
+    ("email", r"(?i)(?:[(\[{ ](?:at|dot)[)\]} ]|[(\[{] ?[@.]| @|@ )", rf"{_LOCAL}(?:\x20dot\x20[a-z0-9._%+-]++)*+{_AT}{_LABELS}"),
+    ("phone", r"[0-9]{3}", r"(?<![0-9+.-])(?:\+?[0-9]{1,3}[\x20./-]{1,2}|00[0-9]{1,3}[\x20./-]?)?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}(?:[\x20./-][0-9]{2,4}){1,2}(?![0-9])"),
+    ("card", r"[0-9]{4}", r"(?<![0-9])(?:[0-9]{4}(?:[\x20./_-]{1,3}[0-9]{4}){3}|[0-9]{4}[\x20./_-]{1,3}[0-9]{6}[\x20./_-]{1,3}[0-9]{5})(?![0-9])"),
+    ("ip", r"(?i)[0-9] ?[(\[{ ] ?(?:dot|\.)", rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])"),
 )
+#: What looks like a written address and is none ("look in example.com"): it teaches the trees what a bare word is worth.
+DECOY = ("email", r"(?i) (?:in|on|by|from) ", rf"{_LOCAL}\x20(?:in|on|by|from)\x20[a-z0-9-]++(?:\.[a-z0-9-]++)++")
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 #: Words that announce personal data. Fixed values.
 CONTEXT = r"(?i)(?:mail|contact|write|call|phone|tel|mobile|fax|card|visa|account|ip|host|server|address)[^a-z]{0,8}$"
-FEATURES = ("generator", "digits", "length", "separators", "luhn", "octets", "plus", "before", "after", "announced")
+FEATURES = ("kind", "bare", "digits", "length", "separators", "luhn", "octets", "plus", "before", "after", "announced")
 #: Rounds of boosting, their step, the depth-2 trees' least weight; the precision that sets the cutoff; cells at most.
 ROUNDS, STEP, LEAST, PRECISION, CELLS = 24, 0.3, 1.0, 0.99, 20_000
 
@@ -88,19 +96,25 @@ def matches(text: Column, pattern: str) -> Column:
 def generators() -> list[tuple[str, str, str]]:
     """kind, needed, pattern: the base ones first."""
     needed = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-    return [(k, needed[k], BASE[k]) for k in KINDS] + list(LOOSE)
+    return [(k, needed[k], BASE[k]) for k in KINDS] + [*LOOSE, DECOY]
 
 
 def dressed(text: Column, g: int, kind: str, c: Column) -> Column:
-    """A match of generator ``g`` with its label and features."""
-    m, digits = c["m"], digits_of(c["m"])
+    """A match of generator ``g`` with its label and features, which are those of its form with literal signs."""
+    m, decoy = c["m"], g == len(KINDS) + len(LOOSE)
+    if g >= len(KINDS):
+        for sign, written_ in (("@", _AT), (".", _DOT)):
+            m = F.regexp_replace(m, "(?i)" + written_, sign) if kind in ("email", "ip") and not decoy else m
+    if kind == "card":
+        m = F.regexp_replace(m, "[^0-9]+", " ")
+    digits = digits_of(m)
     n = F.length(digits)
     before = F.substring(text, F.greatest(c["start"] - 23, F.lit(1)), F.least(c["start"], F.lit(24)))
     octets = m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
     fields = {
         "kind": F.lit(KINDS.index(kind)), "start": c["start"], "stop": c["stop"],
-        "label": passes(kind, m).cast("int") if g < len(KINDS) else F.lit(None).cast("int"),
-        "generator": F.lit(g), "digits": F.least(n, F.lit(24)), "length": F.least(F.length(m), F.lit(40)),
+        "label": passes(kind, c["m"]).cast("int") if g < len(KINDS) else F.lit(0 if decoy else None).cast("int"),
+        "bare": (F.lit(1) if decoy else c["m"].rlike(r"(?i)^[^\x20]+\x20at\x20[a-z0-9.-]+$").cast("int")) if kind == "email" else F.lit(0), "digits": F.least(n, F.lit(24)), "length": F.least(F.length(m), F.lit(40)),
         "separators": F.least(F.length(F.regexp_replace(m, r"[^\x20().\-/_]", "")), F.lit(8)),
         "luhn": F.when(n.between(12, 19), luhn(digits)).otherwise(F.lit(False)).cast("int"),
         "octets": octets.cast("int"), "plus": m.startswith("+").cast("int"),
@@ -116,7 +130,7 @@ def candidates(text: Column) -> Column:
     def of(g: int, kind: str, needed: str, pattern: str) -> Column:
         return F.when(text.rlike(needed), F.transform(matches(text, pattern), lambda c: dressed(text, g, kind, c)))
 
-    empty = F.array().cast("array<struct<" + ",".join(f"{k}:int" for k in ("kind", "start", "stop", "label", *FEATURES)) + ">>")
+    empty = F.array().cast("array<struct<" + ",".join(f"{k}:int" for k in ("kind", "start", "stop", "label", *FEATURES[1:])) + ">>")
     return reduce(F.concat, [F.coalesce(of(g, *x), empty) for g, x in enumerate(generators())])
 
 

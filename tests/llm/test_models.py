@@ -210,3 +210,23 @@ def test_cutoff_and_range_cover_all_labelled_rows(spark):
     assert forest.cutoff == pytest.approx(float(np.quantile(got, 0.9)), abs=2e-6) and len(got) == 4000
     assert quality.features(np.array([quality.rule_stats("x " * 300)]))[0, 0] > max(quality.features(np.array([quality.rule_stats(t)]))[0, 0] for _, t in rows)
     assert forest.threshold[forest.feature == 0].max() > np.log1p(max(len(t.split()) for _, t in rows))
+
+
+def test_loose_personal_data_is_found_and_redacted(spark):
+    rng = np.random.default_rng(8)
+    teach = [f"write to {rng.choice(['user', 'bob', 'info', 'mary.lee'])}{i if i % 2 else ''}@{rng.choice(['mail7.example', 'example', 'a.net', 'some.mail.host'])}.com or +1 ({rng.integers(200, 999)}) 555-{1000 + i} from 10.{i % 200}.3.4, card 4111 1111 1111 1111, not 4111 1111 1111 1112, +12 345 and 999.{i}.1.1{' call +44 20 7946 0958 or +1 212-555-1234' * (i % 3)}, 10.20.3.4" for i in range(300)]
+    loose = {
+        "jane [at] example.com": "email", "jane (at) mail.example.org": "email", "jane at example.com": "email", "jane@example dot com": "email", "x at mail dot example dot com": "email",
+        "3782-822463-10005": "card", "4111 / 1111 / 1111 / 1111": "card", "10 dot 20 dot 3 dot 4": "ip", "10[.]20[.]3[.]4": "ip", "212-555-1234": "phone", "0044 20 7946 0958": "phone",
+    }
+    texts = [*teach, *[f"Reach me: {x}; thanks" for x in loose], "see you at noon. Then we go", "at 5 dot 5 dot"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = pii.fit(docs)
+    last = docs.where(f"doc_id >= {len(teach)}")
+    found = {r["doc_id"] - len(teach): [(pii.KINDS[s["kind"]], r["text"][s["start"] : s["stop"]]) for s in r["spans"]] for r in pii.find(last, model).collect()}
+    clean = {r["doc_id"] - len(teach): r["text"] for r in pii.redact(last, model).collect()}
+    for i, (x, kind) in enumerate(loose.items()):
+        assert found[i] == [(kind, x)] and clean[i] == f"Reach me: [{kind}]; thanks", (x, found[i], clean[i])
+    assert not found[len(loose)] and not found[len(loose) + 1]
+    decoys = spark.createDataFrame([(i, f"a look in page{i}.example.com tells") for i in range(400)] + list(enumerate(teach)) + [(-1, "we met at example.com today")], "doc_id bigint, text string")
+    assert [r["spans"] for r in pii.find(decoys.where("doc_id = -1"), pii.fit(decoys)).collect()] == [[]]
