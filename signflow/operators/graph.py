@@ -5,27 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signflow.functions.skew import join_hot
+from signflow.session import discard, materialize
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Nodes up to which the labels (16 bytes each) are broadcast.
+BROADCAST_NODES = 200_000
+
+
+def components(edges: DataFrame, rounds: int = 60, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """node, component (its smallest node) of every node of ``edges`` (a, b: bigint).
 
     Each round takes the smallest label among the neighbours and then the label's own label, so labels travel
-    twice as far as in the round before. Every round's labels go to the checkpoint folder. Aggregation comes
-    before each join, and labels are unique by node, so a node with many edges only means many rows to sum.
+    twice as far as in the round before. Up to ``broadcast_nodes`` labels are broadcast; beyond, neighbours and
+    labels are looked up by joins in which nodes of many edges and labels of many nodes are split off as hot.
+    Every round's labels are written, which cuts lineage; those of the round before are deleted.
     """
-    both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = both.distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")).checkpoint()
+    spark = edges.sparkSession
+    kept = edges.where("a <> b").select("a", "b")
+    both, both_path = materialize(kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels, path = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component"), F.count("*").alias("degree")).withColumnRenamed("a", "node"), "labels")
+    n = labels.agg(F.count("*").alias("nodes"), F.coalesce(F.sum("degree"), F.lit(0)).alias("edges")).first()
+    small = n["nodes"] <= broadcast_nodes
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        lower = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "m").alias("new"), "component")
+        around = labels.select(F.col("node").alias("b"), F.col("component").alias("label"), "degree")
+        met = both.join(F.broadcast(around.drop("degree")), "b") if small else join_hot(both, around, ["b"], "degree", n["edges"])
+        near = met.groupBy("a").agg(F.min("label").alias("m")).withColumnRenamed("a", "node")
+        lower = labels.join(near, "node").select("node", "component", "degree", F.least("component", "m").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("component").alias("next"))
-        moved = lower.join(jump, "new").select("node", F.least("new", "next").alias("label"), "component")
-        moved = moved.select("node", F.col("label").alias("component"), (F.col("label") != F.col("component")).cast("int").alias("moved")).checkpoint()
-        changed = moved.agg(F.max("moved")).first()[0]
-        labels = moved.select("node", "component")
+        if small:
+            moved = lower.join(F.broadcast(jump), "new")
+        else:
+            lower, lower_path = materialize(lower, "lower")
+            sizes = lower.groupBy("new").agg(F.count("*").alias("size"))
+            moved = join_hot(lower, sizes.join(jump, "new"), ["new"], "size", n["nodes"])
+        moved = moved.select("node", F.least("new", "next").alias("component"), "degree", (F.least("new", "next") != F.col("component")).alias("moved"))
+        moved, new_path = materialize(moved, "labels")
+        changed = moved.agg(F.bool_or("moved")).first()[0]
+        discard(spark, path, *([] if small else [lower_path]))
+        labels, path = moved, new_path
         if not changed:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return labels
+    discard(spark, both_path)
+    return labels.select("node", "component")

@@ -188,3 +188,27 @@ def test_neighbours_of_many_queries(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 100)
     monkeypatch.setattr(vectors, "SHARD", 1)
     assert sorted(tuple(r) for r in vectors.cosine_neighbours(e.where("k < 500"), base, "k", "v", 2).collect()) == want
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    from signflow.functions import skew
+    from signflow.operators.graph import components
+
+    monkeypatch.setattr(skew, "LEAST", 5)
+    pairs = [(1, i) for i in range(2, 60)] + [(i, i + 1) for i in range(100, 160)] + [(200, 200), (300, 301), (301, 300)]
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint")
+    want = {i: 1 for i in range(1, 60)} | {i: 100 for i in range(100, 161)} | {300: 300, 301: 300}
+    for nodes in (1000, 0):
+        assert {r["node"]: r["component"] for r in components(edges, broadcast_nodes=nodes).collect()} == want
+        assert components(edges.limit(0), broadcast_nodes=nodes).count() == 0
+
+
+def test_join_hot(spark, monkeypatch):
+    from signflow.functions import skew
+
+    monkeypatch.setattr(skew, "LEAST", 3)
+    rows = spark.createDataFrame([(k, i) for k, m in (("a", 20), ("b", 2), ("c", 1)) for i in range(m)], "k string, i int")
+    table = spark.createDataFrame([("a", 20, 1.0), ("b", 2, 2.0), ("d", 9, 3.0)], "k string, n bigint, x double")
+    assert skew.join_hot(rows, table, ["k"], "n", 23).count() == 22
+    left = skew.join_hot(rows, table, ["k"], "n", 23, "left")
+    assert left.count() == 23 and left.columns == ["k", "i", "x"] and left.where("x is null").count() == 1
