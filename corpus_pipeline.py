@@ -32,8 +32,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(COLUMNS)
-    kept = near_dup.near_duplicates(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.first(F.struct(COLUMNS[1:])).alias("row"))
+    first = near_dup.near_duplicates(docs).where("first").select("doc_id", "text_hash").distinct()
+    known = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    one = known.join(first, ["doc_id", "text_hash"], "left_semi").groupBy("doc_id", "text_hash").agg(F.min(F.struct(COLUMNS[1:])).alias("row"))
     return one.select("doc_id", "row.*").unionByName(docs.where("doc_id is null")).select(COLUMNS)
 
 
