@@ -39,7 +39,7 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Trees of the forest, min-hashes of a full signature.
 TREES, DEPTH = 24, 6
 #: Shingles in a block, and classes in it, at about most.
-BLOCK_SHINGLES, BLOCK_CLASSES = 250_000, 700
+BLOCK_SHINGLES, BLOCK_CLASSES = 100_000, 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -1,16 +1,24 @@
-"""Toxicity behind a noisy channel: restore obfuscated words, then score.
-
-Toxic words are learned from labelled documents (a bounded, hashed sample): words that tell toxic documents by
-Wilson's lower bound, near copies (documents with many candidates in common) counted once. A character trigram model is
-counted over the words of all documents to learn from, in Spark; the driver gets the trigrams that a lattice can ask for. A token (or part) that could hide a toxic word (its look-alike skeleton is the skeleton of
-one) becomes a lattice: leetspeak characters may be letters, separators may go, runs of a letter may shrink.
-Words joined by punctuation and runs of spaced letters are searched for such skeletons from any unit to any later
-one; Viterbi decoding finds the likeliest letters, and the restored word is scored. The
-score of a document is the share of toxic documents among those of the sample with as many toxic words.
-
-Null and empty texts hold no toxic word and get the score of that. Repeated rows get equal scores, a null doc_id
-is kept (and in no fold), very long texts are read whole, without labels every score is 0, an empty table gives
-no rows. Columns besides those named are ignored.
+"""Toxicity behind a noisy channel: restore disguised words, then score the restored text.
+
+What tells toxic documents is learned from labelled ones (a bounded, hashed sample): whole words, and stems that go
+on (the first letters of longer words). A feature's weight is the logarithm of how much more often toxic documents
+have it, by Wilson's lower bound; a stem counts if no one word makes up half of it; near copies (documents with most shingles in common) count once. A character
+trigram model is counted over the words of all documents to learn from, in Spark, and mixed with one of the
+features: whoever disguises a word has reason to.
+
+Every token (or run of spaced letters) that is not plain letters becomes a lattice. A look-alike may be each of its
+letters or, between letters, a separator; a separator (or space of a run) may be dropped or part two words; a letter
+that is repeated may be meant once or twice; a star may be any letter. The channel charges for each disguise, the
+language model for each letter, and Viterbi decoding takes the cheapest reading. What was decoded stands in the
+restored text, and only whole words of it are scored; a token may well be restored to nothing known. A doubled
+letter in a token of letters is ordinary spelling and is left; disguise by repetition starts at three.
+
+A document's evidence is the sum over its restored text's distinct words of the weight of each one's best feature;
+a logistic curve, fitted to the sample at the shares of all labelled rows, makes it a score.
+
+Null and empty texts have no evidence and get the score of that. Repeated rows get equal scores, a null doc_id is
+kept (and in no fold), very long texts and tokens are read whole, without labels of both classes every score is 0,
+an empty table gives no rows. Columns besides those named are ignored; one named ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -26,132 +34,124 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from signflow.llm import near_dup
 from signflow.llm.common import fold, prepare, texts_of
-from signflow.session import materialize
+from signflow.session import discard, materialize
 
 #: Labelled documents of either class to learn from, at most.
 MAX_PER_CLASS = 6000
+#: Keys by which copies are told, each of three min-hashes.
+COPY_KEYS = 8
 #: Distinct tokens that a task counts before it passes on their trigrams.
 TOKENS_HELD = 200_000
-#: Share of toxic documents that a toxic word's lower bound reaches, and the fewest documents with which one can.
-PRECISION, SUPPORT = 0.7, 9
+#: How much more often toxic documents must have a feature, and in how many of them it is to be found.
+LIFT, SUPPORT = 4.0, 9
+#: Lengths of stems. Evidence beyond MOST counts as MOST.
+STEMS, MOST = range(3, 8), 40.0
 #: What a character may stand for. Fixed values.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-#: Letters that share a look-alike.
-SKELETON = {**{c: x[0] for c, x in LEET.items()}, "l": "i", "b": "g"}
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…–—¿¡"
 PLAIN_EDGE = "".join(c for c in EDGE if c not in LEET)
+MARKS = EDGE + "0123456789"
 #: Three or more single characters (or repetitions of one) with anything but letters, digits and look-alikes between each two.
-SPACED_RUN = re.compile(r"(?<![^\W_])(?:([^\W_]|[@$!|+(€£])\1*(?:[^\w@$!|+(€£]|_)+){2,}([^\W_]|[@$!|+(€£])\2*(?![^\W_])")
-#: The units of a token or run: with look-alike signs as letters, or as separators.
-UNITS = (re.compile(r"[^\W_]+|[@$!|+(€£]"), re.compile(r"[^\W_]+"))
-#: Letters with some of them masked.
-MASKED = re.compile(r"[^\W\d_]+(?:\*+[^\W\d_]+)+")
-_REPEAT = re.compile(r"(.)\1+")
+SPACED_RUN = re.compile(r"(?<![^\W_])(?:([^\W_]|[@$!|+(€£*])\1*(?:[^\w@$!|+(€£*]|_)+){2,}([^\W_]|[@$!|+(€£*])\2*(?![^\W_])")
+#: What makes a token of letters a lattice, and what any other needs to be one: a letter three times; a letter or look-alike sign.
+THRICE, ABLE = re.compile(r"(.)\1\1"), re.compile(r"[^\W\d_]|[@$!|+(€£]")
+RUN = re.compile(r"(.)\1*", re.S)
+#: Logarithms of what the channel does: a look-alike, a separator within a word, a separator between words, a repeated letter meant once, a star as a letter, a character that is no letter at all.
+LEETED, DROPPED, PARTED, REPEATED, STARRED, NOISE = -1.0, -2.5, -0.7, -0.7, -1.5, -9.0
+#: The toxic words' share of what the disguised are taken from.
+MEANT = 0.5
+#: Letters that a star may be: those that follow in the model, the likeliest first.
+STAR_LETTERS = 6
+#: Stands in the model for all letters that neither a toxic word nor a look-alike has, which bounds the model.
+OTHER = "\0"
 
 
-def skeleton(token: str) -> str:
-    """The token's letters with look-alikes made equal, separators gone and runs shrunk to one."""
-    return _REPEAT.sub(r"\1", "".join(SKELETON.get(c, c) for c in token if c.isalnum() or c in LEET))
+def features(word: str) -> list[str]:
+    """The whole word, and its stems (which go on)."""
+    return ["=" + word, *(word[:k] + "+" for k in STEMS if k < len(word))]
 
 
 @dataclass
 class Model:
-    """toxic: word to precision; scores by the number of distinct toxic words (0, 1, 2 or more); log: trigram model."""
+    """weights: feature to weight; curve: of the score over the evidence; log: trigram model, of ``letters``."""
 
-    toxic: dict[str, float] = field(default_factory=dict)
-    scores: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    weights: dict[str, float] = field(default_factory=dict)
+    curve: tuple[float, float] | None = None
     log: dict[str, float] = field(default_factory=dict)
-    floor: float = -8.0
+    floor: float = -12.0
+    letters: frozenset[str] = frozenset()
 
     def __post_init__(self):
-        self.by_skeleton = defaultdict(list)
-        for w in self.toxic:
-            self.by_skeleton[skeleton(w)].append(w)
-        self.prefixes = {k[:i] for k in self.by_skeleton for i in range(1, len(k) + 1)}
-        self.seen: dict[str, tuple[str, ...]] = {}
-
-    def decode(self, token: str) -> str:
-        """The likeliest letters behind a token: Viterbi over its lattice under the trigram model."""
-        steps: list[tuple[str, int]] = []  # the letters a run may be, and its length
-        for m in re.finditer(r"(.)\1*", token):
-            c = m[1]
-            options = (c if c.isalpha() else "") + LEET.get(c, "")
-            if options:
-                steps.append((options, len(m[0])))
-        best: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}  # cost, and the letters from the last back
-        for options, n in steps:
+        follow = defaultdict(list)
+        for g, p in self.log.items():
+            if g[2] not in (OTHER, "$"):
+                follow[g[:2]].append((p, g[2]))
+        self.follow = {s: "".join(c for _, c in sorted(x, key=lambda v: (-v[0], v[1]))[:STAR_LETTERS]) for s, x in follow.items()}
+        self.seen: dict[str, tuple[tuple[str, float], ...]] = {}
+
+    def decode(self, token: str) -> list[str]:
+        return self.reading(token)[1]
+
+    def reading(self, token: str) -> tuple[float, list[str]]:
+        """The cheapest reading of a token or spaced run, by Viterbi over its lattice: its log-probability and its words."""
+        get, floor, letters = self.log.get, self.floor, self.letters
+        best: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}  # by the last two letters: log-probability, and what was read, from the last back
+        for m in RUN.finditer(token):
+            c, n = m[1], m.end() - m.start()
+            letter = c.isalpha()
+            may, own = (c, 0.0) if letter else (LEET.get(c, ""), LEETED) if c != "*" else (None, STARRED)
             after: dict[str, tuple[float, tuple | None]] = {}
-            for state, (cost, text) in best.items():
-                for c in options:
-                    letters, s, total = "", state, cost
-                    for k in range(min(n, 2)):  # a run is one letter or two; each one dropped costs a little
-                        total += self.log.get(s + c, self.floor)
-                        s, letters = s[1] + c, letters + c
-                        value = total - 0.5 * (n - k - 1)
-                        if s not in after or value > after[s][0]:
-                            after[s] = (value, (text, letters))
+            for s, (cost, read) in best.items():
+                for x in self.follow.get(s, "") if may is None else may:
+                    k = x if x in letters else OTHER
+                    one = cost + own + get(s + k, floor)
+                    t = s[1] + k
+                    v = one + REPEATED if n > 1 else one
+                    if t not in after or v > after[t][0]:
+                        after[t] = (v, (read, x))
+                    if n > 1:  # meant twice
+                        v = one + get(t + k, floor) + (REPEATED if n > 2 else 0.0)
+                        t = k + k
+                        if t not in after or v > after[t][0]:
+                            after[t] = (v, (read, x + x))
+                if not letter:
+                    digit = c.isdigit()
+                    v = cost + (NOISE if digit else DROPPED)  # no letter: nothing, or the end of a word
+                    if s not in after or v > after[s][0]:
+                        after[s] = (v, read)
+                    if s != "^^":
+                        v = cost + get(s + "$", floor) + (NOISE if digit else PARTED)
+                        if "^^" not in after or v > after["^^"][0]:
+                            after["^^"] = (v, (read, " "))
             best = after
-        _, link = max(((cost + self.log.get(s + "$", self.floor), text) for s, (cost, text) in best.items()), key=lambda x: x[0])
+        total, _, read = max(((cost + (get(s + "$", floor) if s != "^^" else 0.0), s, read) for s, (cost, read) in best.items()), key=lambda x: x[:2])
         parts = []
-        while link:
-            link, letters = link
-            parts.append(letters)
-        return "".join(reversed(parts))
-
-    def restore(self, shape: str) -> str | None:
-        """The toxic word behind letters and look-alikes that have the skeleton of one."""
-        if shape in self.toxic:
-            return shape
-        if shape.isalpha() and not _REPEAT.search(shape):
-            return None  # a plain word of its own
-        restored = self.decode(shape)
-        if restored in self.toxic:
-            return restored
-        return next((w for w in self.by_skeleton[skeleton(shape)] if _REPEAT.sub(r"\1", restored) == _REPEAT.sub(r"\1", w)), None)
-
-    def within(self, text: str) -> set[str]:
-        """The toxic words that whole units of a token or run are or hide, alone or several together."""
-        found = set()
-        for k, pattern in enumerate(UNITS):
-            units = pattern.findall(text)
-            if k and units == previous:
-                break
-            previous = units
-            groups: list[list[int | str]] = []  # first unit, last unit, skeleton: units of one and the same look-alike together
-            for i, u in enumerate(units):
-                if bones := skeleton(u):
-                    if groups and len(bones) == 1 and groups[-1][2] == bones:
-                        groups[-1][1] = i
-                    else:
-                        groups.append([i, i, bones])
-            for i, (first, start, _) in enumerate(groups):
-                bones = ""
-                for stop, last, more in groups[i:]:
-                    bones += more[1:] if bones[-1:] == more[0] else more
-                    if bones not in self.prefixes:
-                        break
-                    if bones in self.by_skeleton:
-                        shapes = ("".join(units[a : b + 1]) for a in dict.fromkeys((first, start)) for b in dict.fromkeys((last, stop)) if a <= b)
-                        found.update(filter(None, map(self.restore, shapes)))
-        return found
+        while read:
+            read, x = read
+            parts.append(x)
+        return total, "".join(reversed(parts)).split()
 
     def token(self, token: str) -> tuple[str, ...]:
-        """The toxic words that a lower-case token holds or hides."""
+        """The words that a lower-case token is restored to."""
         bare = token.strip(PLAIN_EDGE)
-        if bare.isalpha() and not _REPEAT.search(bare):
-            return (bare,) if bare in self.toxic else ()
-        found = self.within(token)
-        for m in MASKED.findall(token) if "*" in token else ():
-            hidden = re.compile(m.replace("*", "."))
-            if fitting := [w for w in self.toxic if len(w) == len(m) and hidden.fullmatch(w)]:
-                found.add(max(fitting, key=self.toxic.get))
-        return tuple(found)
-
-    def words(self, text: str) -> set[str]:
-        """The distinct toxic words of a text."""
-        if not self.toxic:
-            return set()
+        if bare.isalpha():
+            return (*self.decode(bare), bare) if THRICE.search(bare) else (bare,)
+        if not ABLE.search(bare):
+            return ()
+        core = bare.strip(MARKS)
+        return (*self.decode(bare), core) if core.isalpha() else tuple(self.decode(bare))  # a word with marks or digits beside it, if they are no letters
+
+    def telling(self, words: list[str] | tuple[str, ...]) -> tuple[tuple[str, float], ...]:
+        """The words that have a weight, with it."""
+        get = self.weights.get
+        return tuple((w, v) for w in words if (v := max(get(f, 0.0) for f in features(w))))
+
+    def evidence(self, text: str) -> dict[str, float]:
+        """The distinct words of the restored text that have a weight."""
+        if not self.weights:
+            return {}
         low = text.lower()
         tokens = set(low.split())
         new = tokens.difference(self.seen)
@@ -159,14 +159,23 @@ class Model:
             self.seen.clear()
             new = tokens
         for t in new:
-            self.seen[t] = self.token(t)
-        found = {w for t in tokens for w in self.seen[t]}
+            self.seen[t] = self.telling(self.token(t))
+        found = dict(x for t in tokens for x in self.seen[t])
         for m in SPACED_RUN.finditer(low):
-            found |= self.within(m[0])
+            if ABLE.search(m[0]):
+                found.update(self.telling(self.decode(m[0])))
         return found
 
+    def total(self, text: str) -> float:
+        return min(MOST, sum(sorted(self.evidence(text).values())))
+
     def score(self, text: str) -> float:
-        return self.scores[min(2, len(self.words(text)))]
+        if self.curve is None:
+            return 0.0
+        at, steep = self.curve
+        e = self.total(text)
+        p = 1 / (1 + np.exp(-(at + steep * e)))
+        return float(p if e else min(p, 0.69))
 
 
 def lower_bound(hits: float, n: float, z: float = 1.96) -> float:
@@ -175,35 +184,63 @@ def lower_bound(hits: float, n: float, z: float = 1.96) -> float:
     return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def independent(held: list[tuple[int, set[str]]]) -> list[tuple[int, set[str]]]:
-    """The documents (label, candidates) without near copies: of those of six candidates or more, none has 0.75 of all in common with a larger one kept.
-
-    Two sets that much alike share one of the few rarest words of either (prefix filter), so only those with such a
-    word in common are compared, and none that are alike is missed.
-    """
-    often = Counter(w for _, words in held for w in words)
-    leaders: dict[str, list[set[str]]] = defaultdict(list)
-    once = []
-    for y, words in sorted(held, key=lambda x: (len(x[1]), sorted(x[1])), reverse=True):
-        if len(words) >= 6:  # if another document has nearly all of them too, one stands for both
-            rare = sorted(words, key=lambda w: (often[w], w))[: len(words) - -(-3 * len(words) // 4) + 1]
-            if any(4 * len(words & x) >= 3 * len(words | x) for w in rare for x in leaders.get(w, ())):
-                continue
-            for w in rare:
-                leaders[w].append(words)
-        once.append((y, words))
-    return once
-
-
-def trigrams(docs: DataFrame) -> DataFrame:
-    """g, n: character trigrams of the words of all ``docs``, each word once for a document that has it."""
+def fit_curve(e: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Where and how steeply a logistic curve rises over the evidence: most likely for ``n`` rows of label ``y``, with one more of either label at the ends and a slope that is kept near 1."""
+    x = np.stack([np.ones(len(e) + 2), [*e, 0.0, max(e.max(), 1.0)]], 1)
+    y, n = np.array([*y, 0.0, 1.0]), np.array([*n, 1.0, 1.0])
+    loss = lambda w: (n * np.logaddexp(0, (1 - 2 * y) * (x @ w))).sum() + (w[1] - 1) ** 2 / 2
+    w = np.array([0.0, 1.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        bend = (x.T * (n * p * (1 - p))) @ x + np.diag([1e-6, 1.0])
+        step = np.linalg.solve(bend, x.T @ (n * (y - p)) - [0.0, w[1] - 1])
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0]), float(max(w[1], 0.0))
+
+
+def families(keys: np.ndarray) -> np.ndarray:
+    """Which rows (documents x keys) are copies of each other: those that share a key, and theirs. The smallest row stands for a family."""
+    parent = list(range(len(keys)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    first: dict[int, int] = {}
+    for i, row in enumerate(keys.tolist()):
+        for k in row:
+            a, b = root(first.setdefault(k, i)), root(i)
+            parent[max(a, b)] = min(a, b)
+    return np.array([root(i) for i in range(len(keys))], np.int64)
+
+
+def copy_keys(texts: list[str]) -> np.ndarray:
+    """Keys (texts x COPY_KEYS) that texts with most five-word shingles in common share; texts without words share none."""
+    sets = near_dup.shingles(texts)
+    full = [i for i, x in enumerate(sets) if len(x)]
+    out = np.random.default_rng(len(texts)).integers(-(1 << 63), 1 << 63, (len(texts), COPY_KEYS))
+    if full:
+        sig = near_dup.signatures([sets[i] for i in full], COPY_KEYS, 3).reshape(len(full), COPY_KEYS, 3).astype(np.uint64)
+        hashed = near_dup.mix(near_dup.mix((sig[..., 0] << np.uint64(32)) + sig[..., 1]) + sig[..., 2] + np.arange(COPY_KEYS, dtype=np.uint64) * np.uint64(7919))
+        out[full] = hashed.view(np.int64)
+    return out
+
+
+def trigrams(docs: DataFrame, letters: frozenset[str]) -> DataFrame:
+    """g, n: character trigrams of the words of all ``docs``, each word once for a document that has it; other letters count as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def spread() -> pa.RecordBatch:
             words, out = Counter(), Counter()
             for x, n in tokens.items():
                 if (w := x.strip(EDGE)).isalpha():
-                    words[w] += n
+                    words["".join(c if c in letters else OTHER for c in w)] += n
             tokens.clear()
             for w, n in words.items():
                 padded = f"^^{w}$"
@@ -222,34 +259,31 @@ def trigrams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
 
 
-def language_model(docs: DataFrame, toxic: dict[str, float], common: float) -> tuple[dict[str, float], float]:
-    """Logarithms of trigram probabilities, of those that a lattice of ``toxic`` can ask for, and that of an unseen one.
+def language_model(docs: DataFrame, weights: dict[str, float]) -> tuple[dict[str, float], float, frozenset[str]]:
+    """Logarithms of trigram probabilities (of all words, mixed with those of the features), that of an unseen one, and the model's letters.
 
-    ``common``: the commonest word's share of documents. Words sought are taken to be as common.
+    The counts cover all of ``docs``; the driver gets one row for each trigram of the model's letters.
     """
-    grams, _ = materialize(trigrams(docs), "trigrams")
-    first = F.substring("g", 1, 2)
-    told = grams.agg(F.count_distinct(F.substring("g", 3, 1)).alias("letters"), F.max("n").alias("n")).first()
-    if not told["n"]:
-        return {}, -8.0
-    boost = int(np.ceil(common * docs.count()))
-    sought = Counter(p[i : i + 3] for w in toxic for p in (f"^^{w}$",) for i in range(len(p) - 2))
-    bones = {c for w in toxic for c in skeleton(w)}
-    able = sorted({*"^$", *bones, *(c for w in toxic for c in w), *(c for k, x in LEET.items() for c in x if SKELETON[k] in bones), *(c for c, k in SKELETON.items() if k in bones and c.isalpha())})
-    extra = docs.sparkSession.createDataFrame([(g, boost * n) for g, n in sought.items()], "g string, n bigint")  # vocabulary-sized
-    grams = grams.unionByName(extra).groupBy("g").agg(F.sum("n").alias("n"))
-    totals = grams.groupBy(first.alias("two")).agg(F.sum("n").alias("t"))
-    log = grams.withColumn("two", first).join(totals, "two").withColumn("log", F.log((F.col("n") + 0.1) / (F.col("t") + 0.1 * told["letters"])))
-    least = log.agg(F.min("log")).first()[0]
-    asked = log.where(F.forall(F.split("g", ""), lambda c: c.isin(able)))
-    return {r["g"]: r["log"] for r in asked.select("g", "log").collect()}, float(least - 1)
+    told = ["^^" + (f[1:] + "$" if f[0] == "=" else f[:-1]) for f in weights]
+    letters = frozenset("".join([*told, *LEET.values()])) - {"^", "$"}
+    counts = {r["g"]: r["n"] for r in trigrams(docs, letters).collect()}
+    meant = Counter(p[i : i + 3] for p in told for i in range(len(p) - 2))
+    every, of_toxic = Counter(), Counter()
+    for total, table in ((every, counts), (of_toxic, meant)):
+        for g, n in table.items():
+            total[g[:2]] += n
+    kinds = len(letters) + 2
+    share = lambda g: (1 - MEANT) * (counts.get(g, 0) + 0.1) / (every[g[:2]] + 0.1 * kinds) + (MEANT * meant[g] / of_toxic[g[:2]] if g in meant else 0.0)
+    log = {g: float(np.log(share(g))) for g in {*counts, *meant}}
+    return log, min(log.values(), default=-12.0) - 1, letters
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = MAX_PER_CLASS) -> Model:
     """Learn from the labelled rows of ``docs`` where ``learn`` holds.
 
     The sample has at most ``per_class`` documents of either class; the driver gets the counts of the candidates
-    and each sampled document's candidates. The character model is counted over all rows, labelled or not.
+    and each sampled document's candidates, by number. The character model is counted over all rows where
+    ``learn`` holds, labelled or not.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -258,52 +292,55 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = MA
     sample = picked[0].unionByName(picked[1])  # so small that it can be broadcast
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows = docs.where(learn & F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
-    rows = rows.persist()  # the sample's distinct texts
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
-        for b in batches:
-            for t, y in zip(texts_of(b), b.column("toxic").to_pylist(), strict=True):
-                seen[y].update({w for x in t.lower().split() if (w := x.strip(EDGE)).isalpha()})
-        words = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[1][w] for w in words], pa.int64()), pa.array([seen[0][w] for w in words], pa.int64())], ["word", "pos", "neg"])
-
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
-    if not n_pos or not n_neg:
-        rows.unpersist()
-        return Model()
-    counts = rows.mapInArrow(count, "word string, pos bigint, neg bigint").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).persist()
-    most = counts.agg(F.max(F.col("pos") + F.col("neg"))).first()[0] or 0
-    least = min(max(3, 0.002 * n_pos), SUPPORT)
-    found = counts.where((F.col("pos") >= least) & (F.col("pos") >= 3 * F.col("neg")) & (F.length("word") >= 3)).toPandas()
-    candidates = set(found["word"])
-
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [sorted({w for x in t.lower().split() if (w := x.strip(EDGE)) in candidates}) for t in texts_of(b)]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(own, pa.list_(pa.string()))], ["toxic", "words"])
-
-    held = [(r["toxic"], set(r["words"])) for r in rows.mapInArrow(hold, "toxic int, words array<string>").where(F.size("words") > 0).collect()]
-    pos, neg = Counter(), Counter()
-    for y, words in independent(held):
-        (pos if y else neg).update(words)
-    toxic = {w: float(sure) for w, n in pos.items() if n >= 3 and (sure := lower_bound(n, n + neg[w])) >= PRECISION}
-    toxic = dict(sorted(toxic.items(), key=lambda x: (-x[1], x[0])))
-    log, floor = language_model(docs.where(learn & F.col("text").isNotNull()), toxic, most / (n_pos + n_neg)) if toxic else ({}, -8.0)
-    model = Model(toxic, (0.0, 0.0, 0.0), log, floor)
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([min(2, len(model.words(t))) for t in texts_of(b)], pa.int32())], ["toxic", "k"])
-
-    cells = {(r["k"], r["toxic"]): r["n"] for r in rows.mapInArrow(tally, "toxic int, k int").groupBy("k", "toxic").agg(F.count("*").alias("n")).collect()}
-    rows.unpersist()
-    counts.unpersist()
-    up = {1: totals[1] / n_pos, 0: totals[0] / n_neg}  # back to the labelled rows' shares
-    share = lambda ks: (sum(cells.get((k, 1), 0) * up[1] for k in ks) + 0.5) / (sum(cells.get((k, y), 0) * up[y] for k in ks for y in (0, 1)) + 1)
-    model.scores = (min(share([0]), 0.69), share([1]), max(share([2]), share([1])))
-    return model
+    rows, path = materialize(rows, "sample")
+    try:
+        sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
+        if not n_pos or not n_neg:
+            return Model()
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = (Counter(), Counter())
+            for b in batches:
+                for t, y in zip(texts_of(b), b.column("toxic").to_pylist(), strict=True):
+                    seen[y].update({f for x in t.lower().split() if (w := x.strip(EDGE)).isalpha() for f in features(w)})
+            found = [f for f in seen[1] | seen[0]]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([seen[1][f] for f in found], pa.int64()), pa.array([seen[0][f] for f in found], pa.int64())], ["feature", "pos", "neg"])
+
+        counts = rows.mapInArrow(count, "feature string, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        often = (F.col("pos") >= SUPPORT) & (F.col("pos") / n_pos >= LIFT * (F.col("neg") + 0.5) / (n_neg + 1)) & (F.length("feature") >= 4)
+        names = sorted(r["feature"] for r in counts.where(often).select("feature").collect())
+        number = {f: i for i, f in enumerate(names)}
+
+        def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = texts_of(b)
+                own = [np.array(sorted({k for x in set(t.lower().split()) for f in features(x.strip(EDGE)) if (k := number.get(f)) is not None}), np.int32).tobytes() for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(own, pa.binary()), pa.array([k.tobytes() for k in copy_keys(texts)], pa.binary())], ["toxic", "found", "keys"])
+
+        held = rows.mapInArrow(hold, "toxic int, found binary, keys binary").where(F.length("found") > 0).collect()
+        family = families(np.array([np.frombuffer(bytes(r["keys"]), np.int64) for r in held]).reshape(len(held), -1))
+        seen = {(f, r["toxic"], k) for f, r in zip(family.tolist(), held, strict=True) for k in np.frombuffer(bytes(r["found"]), np.int32).tolist()}
+        pos, neg = Counter(k for _, y, k in seen if y), Counter(k for _, y, k in seen if not y)
+        lift = {names[k]: lower_bound(n, n_pos) / ((neg[k] + 0.5) / (n_neg + 1)) for k, n in pos.items() if n >= SUPPORT}
+        top: dict[str, int] = {}  # of the words that a stem begins, the commonest one's documents
+        for k, n in pos.items():
+            for f in features(names[k][1:])[1:] if names[k][0] == "=" else ():
+                top[f] = max(top.get(f, 0), n)
+        weights = {f: float(np.log(x)) for f, x in sorted(lift.items()) if x >= LIFT and (f[0] == "=" or 2 * top.get(f, 0) < pos[number[f]])}
+        learned = docs.where(learn & F.col("text").isNotNull())
+        model = Model(weights, None, *(language_model(learned, weights) if weights else ()))
+
+        def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([round(4 * model.total(t)) for t in texts_of(b)], pa.int32())], ["toxic", "step"])
+
+        cells = rows.mapInArrow(tally, "toxic int, step int").groupBy("toxic", "step").agg(F.count("*").alias("n")).collect()  # by class and step of evidence
+        up = (totals[0] / n_neg, totals[1] / n_pos)  # back to the labelled rows' shares
+        model.curve = fit_curve(np.array([r["step"] / 4 for r in cells]), np.array([r["toxic"] for r in cells], float), np.array([r["n"] * up[r["toxic"]] for r in cells]))
+        return model
+    finally:
+        discard(spark, path)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

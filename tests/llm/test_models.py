@@ -167,36 +167,95 @@ def test_personal_data(spark):
     assert pii.report(docs.limit(0)).count() == 0
 
 
-def test_toxic_words_in_runs_and_joined_tokens():
-    m = toxicity.Model({"moron": 0.9, "scumbag": 0.9, "idiot": 0.8, "gall": 0.8, "ass": 0.8}, log={})
-    for t in ("a s c u m b a g", "s c u m b a g a", "x s  c  u  m  b  a  g y", "s/c/u/m/b/a/g", "you a s / c / u / m / b / a / g !", "s c uuu m b a g", "s|c|u|m|b|a|g", "i'm a s.c.u.m.b.a.g"):
-        assert m.words(t) == {"scumbag"}, t
-    for t in ("you...m0r0n", "moron/x", "(x)m-o-r-o-n,y", "m" + "o" * 5000 + "ron", "m" + "o0" * 3000 + "ron!", "you,m*r*n", "x!moron", "moron!x"):
-        assert m.words(t) == {"moron"}, t
-    assert m.words("moron,idiot") == {"moron", "idiot"} and m.words("1 i d i o t") == {"idiot"} and m.words("Moron; I-D-I-O-T") == {"moron", "idiot"}
-    for t in ("ball", "morons", "the b a l l is a", "a, b, c, d", "mor on", "oxymoron", "as", "a-s", "**the**", "* * *", "a" * 90_000, "1 l " * 30_000, ""):
-        assert m.words(t) == set(), t
+GENERAL = """the you are a is i and well known this that with have for not but what all were when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who oil its now find long down day did get come made may part ball ma mar man on ron more mo at as was class pass""".split()
+
+
+@pytest.fixture(scope="module")
+def channel(spark):
+    """A model of a few toxic words and everyday English."""
+    weights = {"=moron": 5.0, "=scumbag": 5.0, "=idiot": 5.0, "=ass": 5.0, "vermi+": 4.0}
+    docs = spark.createDataFrame([(i, " ".join(GENERAL)) for i in range(20)], "doc_id bigint, text string")
+    return toxicity.Model(weights, (-4.0, 1.0), *toxicity.language_model(docs, weights))
+
+
+def readings(m, token):
+    """All readings of a token's lattice, with their log-probabilities."""
+    found = [(0.0, "^^", "")]
+    for g in re.finditer(r"(.)\1*", token):
+        c, n, after = g[1], len(g[0]), []
+        for cost, s, text in found:
+            own, options = (0.0, c) if c.isalpha() else (toxicity.LEETED, toxicity.LEET.get(c, "")) if c != "*" else (toxicity.STARRED, m.follow.get(s, ""))
+            for x in options:
+                for k in range(1, min(n, 2) + 1):
+                    v, t = cost + own + (toxicity.REPEATED if n > k else 0.0), s
+                    for _ in range(k):
+                        v, t = v + m.log.get(t + (x if x in m.letters else toxicity.OTHER), m.floor), t[1] + (x if x in m.letters else toxicity.OTHER)
+                    after.append((v, t, text + x * k))
+            if not c.isalpha():
+                after.append((cost + (toxicity.NOISE if c.isdigit() else toxicity.DROPPED), s, text))
+                if s != "^^":
+                    after.append((cost + m.log.get(s + "$", m.floor) + (toxicity.NOISE if c.isdigit() else toxicity.PARTED), "^^", text + " "))
+        found = after
+    return [(v + (m.log.get(s + "$", m.floor) if s != "^^" else 0.0), text.split()) for v, s, text in found]
+
+
+def test_decoding_is_the_best_of_all_readings(channel):
+    for t in ("m0r0n", "mo-ron", "1d10t", "s.c.u", "b@11", "m**n", "w311-kn", "aaa5", "x|y", "moo0n", "-a-", "th!s!", "é1é"):
+        best = max(v for v, _ in readings(channel, t))
+        got, words = channel.reading(t)
+        assert got == pytest.approx(best, abs=1e-9) and any(words == w for v, w in readings(channel, t) if v > best - 1e-9), t
+
+
+def test_only_decoding_restores_these(channel):
+    found = lambda t: set(channel.evidence(t))
+    for t in ("a s c u m b a g", "x s  c  u  m  b  a  g y", "s/c/u/m/b/a/g", "you a s / c / u / m / b / a / g !", "s c uuu m b a g", "s|c|u|m|b|a|g", "i'm a s.c.u.m.b.a.g", "sc*mb*g", "5cumb@g"):
+        assert found(t) == {"scumbag"}, t
+    for t in ("you...m0r0n", "moron/x", "(x)m-o-r-o-n,y", "m" + "o" * 5000 + "ron", "m" + "o0" * 30 + "ron moron!", "you,m*r*n", "x!moron", "moron123"):
+        assert "moron" in found(t), t
+    assert found("moron,idiot") == {"moron", "idiot"} and found("1 i d i o t") == {"idiot"} and found("Moron; I-D-I-O-T, 1d10t") == {"moron", "idiot"}
+    assert found("the vermin and vermine") == {"vermin", "vermine"} and found("v3rm1n") == {"vermin"} and not found("vermi")
+    # plain words whose letters are those of a toxic one with others, or parted, and what is no word
+    for t in ("ball", "morons", "the b a l l is a", "a, b, c, d", "mor on", "oxymoron", "as", "was", "class", "**the**", "* * *", "a" * 90_000, "1 l " * 30_000, "", "455", "12-34", "well-known", "so-on"):
+        assert not found(t), t
+    assert channel.token("w311-kn0wn") == ("well", "known")
+    assert channel.score("moron idiot") > channel.score("moron") > channel.score("v3rmin") > channel.score("the") > 0
+    assert channel.score("moron m0r0n MORON!") == channel.score("moron")  # distinct words
 
 
 def test_all_toxic_words_and_all_documents_count(spark):
     letters, rng = "abcdefghijklmnopqrstuvwxyz", np.random.default_rng(4)
-    bad = [f"z{letters[i // 26]}{letters[i % 26]}x" for i in range(600)]
+    bad = [f"z{letters[i // 26]}{letters[i % 26]}x" for i in range(300)]
     rows = [(i, " ".join([f"w{i}", *rng.choice(bad, 8, replace=False)]), 1) for i in range(1800)]
-    rows += [(5000 + i, f"plain text {letters[i % 26]}{letters[i // 26]}", 0) for i in range(400)]
+    rows += [(5000 + i, f"plain text {letters[i % 26]}{letters[i // 26 % 26]}", 0) for i in range(1600)]
     labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int")
     docs = spark.createDataFrame([r[:2] for r in rows] + [(9000, "xzzxz")], "doc_id bigint, text string")
     model = toxicity.train(docs, labels, F.lit(True))
-    assert set(model.toxic) == set(bad)
+    assert {"=" + w for w in bad} <= set(model.weights)
     assert "xzz" in model.log and "zzx" in model.log  # of a document without a label
-    got = [r["score"] for r in toxicity.score(docs, model).where("doc_id < 5000").collect()]
-    assert min(got) >= 0.7
-
-
-def test_near_copies_are_found_however_far_apart():
-    first = {f"a{i}" for i in range(8)}
-    others = [(1, {f"b{i}-{k}" for k in range(7)}) for i in range(2500)]
-    once = toxicity.independent([(1, first), *others, (0, {f"a{i}" for i in range(6)})])
-    assert len(once) == 2501 and (1, first) in once
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert min(got[i] for i in range(1800)) >= 0.7 > max(got[i] for i in range(5000, 6600))
+    one = toxicity.train(docs, labels.where("toxic = 1"), F.lit(True))
+    assert one.score(bad[0]) == 0.0  # one class only
+
+
+def test_copies_count_once(spark):
+    rng = np.random.default_rng(14)
+    base = rng.choice([f"w{i}" for i in range(2000)], 100).tolist()
+    copies = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in range(0, 100, 5)]
+    others = [" ".join(rng.choice([f"w{i}" for i in range(2000)], 100)) for _ in range(20)]
+    same = toxicity.families(toxicity.copy_keys([*copies, *others, "", ""]))
+    assert set(same[:20].tolist()) == {0} and same[20:].tolist() == list(range(20, 42))
+    rows = [(i, t + " unluckyword", 1) for i, t in enumerate(copies)] + [(100 + i, t + f" badword{i % 2}", 1) for i, t in enumerate(others)]
+    rows += [(1000 + i, " ".join(rng.choice([f"w{i}" for i in range(2000)], 100)), 0) for i in range(400)]
+    docs = spark.createDataFrame([(i, t.replace("badword0", "badwordx").replace("badword1", "badwordy")) for i, t, _ in rows], "doc_id bigint, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"), F.lit(True))
+    assert "=badwordx" in model.weights and "=unluckyword" not in model.weights
+
+
+def test_curve_is_calibrated():
+    at, steep = toxicity.fit_curve(np.array([0.0, 0.0, 5.0, 5.0]), np.array([0.0, 1.0, 0.0, 1.0]), np.array([9000.0, 1000.0, 200.0, 800.0]))
+    p = lambda e: 1 / (1 + np.exp(-at - steep * e))
+    assert p(0) == pytest.approx(0.1, abs=0.01) and p(5) == pytest.approx(0.8, abs=0.01)
 
 
 def test_cutoff_and_range_cover_all_labelled_rows(spark):
