@@ -2,20 +2,26 @@
 
 Everything that touches rows is DataFrame expressions. Each generator's matches get their code-point positions
 from the pieces between them. Base kinds (email, ip, card, phone) keep the matches that pass their checks, and
-always stay. The candidates of all generators carry format features (digits, separators, Luhn sum, parts) and
-context features (what stands beside them). Boosted trees are fitted on the counts of feature cells over all
-documents, base matches telling right from wrong (and decoys what a bare "at" is worth); loose forms are read as
-their literal ones, so that the same features tell; there are a few thousand cells at most, whatever the input.
-The trees become one expression, and the cutoff is the lowest score at which the labelled candidates reach the
-target precision. Candidates above it that touch no base span and no better-placed candidate are added.
+always stay. The candidates of all generators carry format features (digits, separators, Luhn sum, octets, the look
+of a date) and context features (letters beside them, words before them that announce personal data or deny it).
+Loose forms are read as their literal ones, so that the same features tell.
+
+Boosted trees are fitted on counts of feature cells: of the base matches in all documents, right ones and failed
+ones, and of a planted table of loose forms, right and look-alike, behind announcing, denying and plain words, in
+equal weight. One half of both (by hash) grows the trees, the other sets each kind's cutoff: the lowest score that
+reaches the target precision on it. The trees become one expression. Candidates above the cutoff that touch no base
+span, nor a candidate that begins before them, are added.
 
 Null texts are empty. Repeated rows get equal spans, a null doc_id is kept, very long texts and matches are read
-whole (no pattern backtracks over a repeated group), an empty table gives no rows. Columns besides ``doc_id`` and
-``text`` are kept by ``find`` and ``redact`` and ignored by ``report``.
+whole (no pattern backtracks over a repeated group, positions are running sums in blocks), an empty table gives no
+rows. Columns besides ``doc_id`` and ``text`` are kept by ``find`` and ``redact`` (those named ``base``, ``spans`` are
+replaced) and ignored by ``report``.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -37,19 +43,21 @@ _DOT = r"(?:\x20?[(\[{]\x20?(?:dot|\.)\x20?[)\]}]\x20?|\x20dot\x20|\.)"
 _LOCAL, _LABELS = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++", rf"[a-z0-9-]++(?:{_DOT}[a-z0-9-]++)++"
 #: Looser generators: kind, what a text must hold, pattern.
 LOOSE = (
-    ("email", r"(?i)(?:[(\[{ ](?:at|dot)[)\]} ]|[(\[{] ?[@.]| @|@ )", rf"{_LOCAL}(?:\x20dot\x20[a-z0-9._%+-]++)*+{_AT}{_LABELS}"),
+    ("email", r"(?:@\x20?|[(\[{\x20](?:[aA][tT]|@)[)\]}\x20]\x20?|[(\[{]\x20(?:[aA][tT]|@)\x20[)\]}]\x20?)[A-Za-z0-9-]++(?:\.|\x20?[(\[{\x20]\x20?(?:[dD][oO][tT]|\.))", rf"{_LOCAL}(?:\x20dot\x20[a-z0-9._%+-]++)*+{_AT}{_LABELS}"),
     ("phone", r"[0-9]{3}", r"(?<![0-9+.-])(?:\+?[0-9]{1,3}[\x20./-]{1,2}|00[0-9]{1,3}[\x20./-]?)?\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}(?:[\x20./-][0-9]{2,4}){1,2}(?![0-9])"),
     ("card", r"[0-9]{4}", r"(?<![0-9])(?:[0-9]{4}(?:[\x20./_-]{1,3}[0-9]{4}){3}|[0-9]{4}[\x20./_-]{1,3}[0-9]{6}[\x20./_-]{1,3}[0-9]{5})(?![0-9])"),
     ("ip", r"(?i)[0-9] ?[(\[{ ] ?(?:dot|\.)", rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])"),
 )
-#: What looks like a written address and is none ("look in example.com"): it teaches the trees what a bare word is worth.
-DECOY = ("email", r"(?i) (?:in|on|by|from) ", rf"{_LOCAL}\x20(?:in|on|by|from)\x20[a-z0-9-]++(?:\.[a-z0-9-]++)++")
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-#: Words that announce personal data. Fixed values.
-CONTEXT = r"(?i)(?:mail|contact|write|call|phone|tel|mobile|fax|card|visa|account|ip|host|server|address)[^a-z]{0,8}$"
-FEATURES = ("kind", "bare", "digits", "length", "separators", "luhn", "octets", "plus", "before", "after", "announced")
-#: Rounds of boosting, their step, the depth-2 trees' least weight; the precision that sets the cutoff; cells at most.
-ROUNDS, STEP, LEAST, PRECISION, CELLS = 24, 0.3, 1.0, 0.99, 20_000
+#: Words that announce personal data, and words that deny it. Fixed values.
+CONTEXT = r"(?i)(?:mail|contact|write|reach|call|phone|tel|mobile|fax|card|visa|account|ip|host|server|address)(?:\x20(?:to|me|us|at|on|is|no|number))?[^a-z]{0,8}$"
+DENIAL = r"(?i)\b(?:version|ver|v|release|build|section|chapter|isbn|order|invoice|ref|serial|batch|part|item|model|date|since)(?:\x20(?:no|nr|number|id|of|is))?[^a-z]{0,6}$"
+DATED = r"^\D{0,2}(?:(?:19|20)[0-9]{2}[-/. ][01]?[0-9][-/. ][0-3]?[0-9](?![0-9])|[0-3]?[0-9][-/. ][01]?[0-9][-/. ](?:19|20)[0-9]{2}(?![0-9]))"
+FEATURES = ("kind", "bare", "digits", "length", "separators", "luhn", "octets", "plus", "before", "after", "announced", "denied", "dated")
+#: Rounds of boosting, their step, the depth-2 trees' least weight; the precision that sets the cutoffs; planted rows of a kind.
+ROUNDS, STEP, LEAST, PRECISION, PLANTED = 60, 0.3, 1.0, 0.98, 1000
+#: Elements of a block of a running value.
+BLOCK = 256
 
 
 def digits_of(m: Column) -> Column:
@@ -79,32 +87,54 @@ def passes(kind: str, m: Column) -> Column:
     return digits.between(10, 15) if kind == "phone" else F.lit(True)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column], start: int = 0) -> Column:
+    """What ``combine`` makes of ``start`` and all values before each one; block by block, so that long arrays cost little more than their length."""
+
+    def scan(x: Column) -> Column:
+        none = F.struct(F.lit(start).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(x, none, lambda acc, v: F.struct(combine(acc["at"], v).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))
+
+    def joined(parts: Column) -> Column:
+        before = scan(F.transform(parts, lambda p: p["at"]))["out"]
+        return F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p["out"], lambda x: combine(x, b))))
+
+    def blocks(v: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(v) / BLOCK).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: scan(F.slice(v, i * BLOCK + 1, F.lit(BLOCK))))
+
+    return let(values, lambda v: let(blocks(v), joined))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<m, start, stop>> of a pattern's matches, in code points, stop exclusive."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,start:int,stop:int>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        stop = begin + F.length(x["m"])
-        return F.struct(stop.alias("at"), F.array_append(acc["out"], F.struct(x["m"].alias("m"), begin.alias("start"), stop.alias("stop"))).alias("out"))
+    def placed(x: Column) -> Column:
+        gaps = F.slice(x["between"], F.lit(1), F.size(x["found"]))
+        before = running(F.zip_with(gaps, x["found"], lambda g, m: F.length(g) + F.length(m)), lambda a, b: a + b)
+        starts = F.zip_with(gaps, before, lambda g, b: F.length(g) + b)
+        return F.zip_with(x["found"], starts, lambda m, at: F.struct(m.alias("m"), at.alias("start"), (at + F.length(m)).alias("stop")))
 
-    zipped = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("gap"))
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+    return let(both, lambda x: F.when(F.size(x["found"]) > 0, placed(x)))
 
 
 def generators() -> list[tuple[str, str, str]]:
     """kind, needed, pattern: the base ones first."""
     needed = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-    return [(k, needed[k], BASE[k]) for k in KINDS] + [*LOOSE, DECOY]
+    return [(k, needed[k], BASE[k]) for k in KINDS] + list(LOOSE)
 
 
 def dressed(text: Column, g: int, kind: str, c: Column) -> Column:
     """A match of generator ``g`` with its label and features, which are those of its form with literal signs."""
-    m, decoy = c["m"], g == len(KINDS) + len(LOOSE)
+    m = c["m"]
     if g >= len(KINDS):
         for sign, written_ in (("@", _AT), (".", _DOT)):
-            m = F.regexp_replace(m, "(?i)" + written_, sign) if kind in ("email", "ip") and not decoy else m
+            m = F.regexp_replace(m, "(?i)" + written_, sign) if kind in ("email", "ip") else m
     if kind == "card":
         m = F.regexp_replace(m, "[^0-9]+", " ")
     digits = digits_of(m)
@@ -113,13 +143,13 @@ def dressed(text: Column, g: int, kind: str, c: Column) -> Column:
     octets = m.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
     fields = {
         "kind": F.lit(KINDS.index(kind)), "start": c["start"], "stop": c["stop"],
-        "label": passes(kind, c["m"]).cast("int") if g < len(KINDS) else F.lit(0 if decoy else None).cast("int"),
-        "bare": (F.lit(1) if decoy else c["m"].rlike(r"(?i)^[^\x20]+\x20at\x20[a-z0-9.-]+$").cast("int")) if kind == "email" else F.lit(0), "digits": F.least(n, F.lit(24)), "length": F.least(F.length(m), F.lit(40)),
+        "label": passes(kind, c["m"]).cast("int") if g < len(KINDS) else F.lit(None).cast("int"),
+        "bare": c["m"].rlike(r"(?i)^[^\x20]+\x20(?:at|@)\x20[a-z0-9.-]+$").cast("int") if kind == "email" else F.lit(0), "digits": F.least(n, F.lit(24)), "length": F.least(F.floor(F.length(m) / 4), F.lit(10)).cast("int"),
         "separators": F.least(F.length(F.regexp_replace(m, r"[^\x20().\-/_]", "")), F.lit(8)),
         "luhn": F.when(n.between(12, 19), luhn(digits)).otherwise(F.lit(False)).cast("int"),
         "octets": octets.cast("int"), "plus": m.startswith("+").cast("int"),
         "before": before.rlike(r"[\p{L}\p{N}]$").cast("int"), "after": F.substring(text, c["stop"] + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]").cast("int"),
-        "announced": before.rlike(CONTEXT).cast("int"),
+        "announced": before.rlike(CONTEXT).cast("int"), "denied": before.rlike(DENIAL).cast("int"), "dated": c["m"].rlike(DATED).cast("int"),
     }
     return F.struct(*[v.alias(k) for k, v in fields.items()])
 
@@ -131,29 +161,87 @@ def candidates(text: Column) -> Column:
         return F.when(text.rlike(needed), F.transform(matches(text, pattern), lambda c: dressed(text, g, kind, c)))
 
     empty = F.array().cast("array<struct<" + ",".join(f"{k}:int" for k in ("kind", "start", "stop", "label", *FEATURES[1:])) + ">>")
-    return reduce(F.concat, [F.coalesce(of(g, *x), empty) for g, x in enumerate(generators())])
+    return F.concat(*[F.coalesce(of(g, *x), empty) for g, x in enumerate(generators())])
+
+
+def planted(n: int = PLANTED, seed: int = 41) -> list[tuple]:
+    """Loose forms with a label: text, kind, start, stop, label (1 personal, 0 not). About ``n`` of each kind, half of which are looked at in fitting and half in calibration."""
+    rng = np.random.default_rng(seed)
+    pick = lambda *x: x[rng.integers(len(x))]
+    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    lead = {
+        1: ("Write to ", "mail: ", "Contact ", "call me on ", "phone ", "Tel. ", "reach us at ", "fax: ", "my card ", "account no. ", "the server ", "host "),
+        -1: ("version ", "release ", "build ", "see section ", "order no. ", "invoice ", "Ref. ", "serial number ", "ISBN ", "batch ", "since ", "date: "),
+        0: ("then ", "we went with ", "", "and ", "it was near ", "they met ", "again, ", "some of the "),
+    }
+
+    def card(size: int, good: bool) -> str:
+        head = digits(size - 1)
+        odd = sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(head)))
+        return head + str((-odd + (0 if good else rng.integers(1, 10))) % 10)
+
+    rows = []
+    for kind in range(len(KINDS)):
+        for _ in range(n):
+            told = int(rng.choice([1, -1, 0]))
+            if kind == 0:
+                at, dot = pick(" at ", " @ ", " at ", " [at] ", " (at) ", "(at)", "[ @ ]", "@"), pick(".", ".", " dot ", " [dot] ", "(dot)")
+                dot = pick(" dot ", "(dot)") if at == "@" else "." if at in (" at ", " @ ") and rng.random() < 0.8 else dot
+                m = pick("jane", "bob.lee", "info", "m_meyer7", "sales", "page" + digits(2)) + at + pick("mail", "example", "web" + digits(1)) + dot + pick("com", "org", "net")
+                label = int(told == 1) if at in (" at ", " @ ") and dot == "." else 1
+            elif kind == 1:
+                good = rng.random() < 0.7
+                parts = [str(rng.integers(0, 256)) for _ in range(4)]
+                parts[rng.integers(4)] = parts[0] if good else str(rng.integers(256, 1000))
+                m, label = pick(" dot ", "[.]", "(dot)", " [dot] ").join(parts), int(good and told >= 0)
+            elif kind == 2:
+                good, size = rng.random() < 0.6, int(rng.choice([15, 16]))
+                d, sep = card(size, good), pick("/", ".", " - ", "_", " / ", "-")
+                cuts = (4, 10) if size == 15 else (4, 8, 12)
+                m, label = sep.join(d[i:j] for i, j in zip((0, *cuts), (*cuts, size), strict=True)), int(good and told >= 0)
+            else:
+                form = rng.integers(6)
+                sep = pick("-", ".", " ", "/")
+                if form == 0:
+                    m, label = sep.join([str(rng.integers(1990, 2030)), f"{rng.integers(1, 13):02}", f"{rng.integers(1, 29):02}"]) + pick(" ", "-") + digits(4), 0
+                    m = m if re.fullmatch(LOOSE[1][2], m) else "2021 1234 5678"
+                else:
+                    m = [f"{rng.integers(200, 999)}{sep}{digits(3)}{sep}{digits(4)}", f"({rng.integers(200, 999)}) {digits(3)}{sep}{digits(4)}", f"00{rng.integers(1, 99)} {digits(2)} {digits(4)} {digits(4)}", f"0{digits(3)}{sep}{digits(3)}{sep}{digits(4)}", f"{rng.integers(1, 99)}{sep}{rng.integers(200, 999)}{sep}{digits(3)}{sep}{digits(4)}"][form - 1]
+                    label = int(told == 1 or told == 0 and form in (2, 3))
+            before = pick("", "Note. ", "As said, ") + str(pick(*lead[told]))
+            rows.append((before + m + pick("", ".", ", thanks", "; and so on", ") it said"), kind, len(before), len(before) + len(m), label))
+    return rows
 
 
 @dataclass
 class Model:
-    """trees: (feature, threshold, (feature, threshold, low, high) for either side); cutoff of the summed score."""
+    """trees: (feature, threshold, (feature, threshold, low, high) for either side); cutoffs of the summed score, by kind."""
 
     base: float
     trees: list[tuple]
-    cutoff: float
+    cutoffs: list[float]
 
     def score(self, c: Column) -> Column:
         """The summed score of a candidate as one expression."""
         leaf = lambda side: F.when(c[side[0]] < side[1], F.lit(side[2])).otherwise(F.lit(side[3]))
         return reduce(lambda s, t: s + F.when(c[t[0]] < t[1], leaf(t[2])).otherwise(leaf(t[3])), self.trees, F.lit(self.base))
 
+    def passes(self, c: Column) -> Column:
+        return self.score(c) >= F.get(F.array(*map(F.lit, self.cutoffs)), c["kind"])
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The same scores of rows of features."""
+        out = np.full(len(x), self.base)
+        for f, t, *sides in self.trees:
+            side = [np.where(x[:, FEATURES.index(g)] < u, low, high) for g, u, low, high in sides]
+            out += np.where(x[:, FEATURES.index(f)] < t, *side)
+        return out
 
-def boost(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> Model:
-    """Gradient-boosted depth-2 trees under logistic loss, on cells with counts; the cutoff reaches PRECISION on them."""
-    total = max(pos.sum() + neg.sum(), 1)
+
+def boost(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """Gradient-boosted depth-2 trees under logistic loss, on cells with weights; no cutoffs yet."""
     base = float(np.log((pos.sum() + 0.5) / (neg.sum() + 0.5)))
-    score, trees = np.full(len(x), base), []
-    n = pos + neg
+    score, trees, n = np.full(len(x), base), [], pos + neg
 
     def split(rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[float, int, float]:
         best = (0.0, 0, -1e9)
@@ -168,7 +256,7 @@ def boost(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> Model:
                     best = (float(gain[k]), f, float(v[cut[k]] + v[cut[k] + 1]) / 2)
         return best
 
-    for _ in range(ROUNDS if pos.sum() and neg.sum() else 0):
+    for _ in range(rounds if pos.sum() and neg.sum() else 0):
         p = 1 / (1 + np.exp(-score))
         g, h = pos - n * p, n * p * (1 - p)
         _, f, t = split(np.arange(len(x)), g, h)
@@ -180,29 +268,68 @@ def boost(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> Model:
             score[rows] += np.where(low, *values)
             sides.append((FEATURES[f2], t2, *values))
         trees.append((FEATURES[f], t, *sides))
-    order = np.argsort(-score, kind="stable")
-    right = (np.cumsum(pos[order]) + 0.0) / np.maximum(np.cumsum(n[order]), 1)
-    good = np.flatnonzero((right >= PRECISION) & (np.cumsum(n[order]) <= total))
-    cutoff = float(score[order[good[-1]]]) if len(good) else float("inf")
-    return Model(base, trees, max(cutoff, 0.0))
+    return Model(base, trees, [float("inf")] * len(KINDS))
+
+
+def calibrated(model: Model, x: np.ndarray, pos: np.ndarray, neg: np.ndarray, precision: float = PRECISION) -> Model:
+    """Sets each kind's cutoff: the lowest score down to which the cells reach the precision; none passes if none does."""
+    score = model.of(x)
+    for kind in range(len(KINDS)):
+        own = np.flatnonzero((x[:, 0] == kind) & (pos + neg > 0))
+        values = np.unique(score[own])[::-1]
+        right = np.array([pos[own][score[own] >= v].sum() / (pos + neg)[own][score[own] >= v].sum() for v in values])
+        good = np.flatnonzero(right >= precision)
+        model.cutoffs[kind] = float(values[good[-1]]) if len(good) else float("inf")
+    return model
+
+
+def cells(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """half, planted, features, pos, neg of the labelled candidates of all documents and of the planted table.
+
+    The driver gets one row for each cell that occurs; features have few values, so their number is bounded.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(2)).cast("int")
+    of_docs = docs.select(half.alias("half"), F.lit(0).alias("planted"), F.explode(candidates(text)).alias("c")).select("half", "planted", "c.*").where("label is not null")
+    rows = docs.sparkSession.createDataFrame([(i % 2, *r) for i, r in enumerate(planted())], "half int, text string, k int, first int, last int, is_right int")
+    own = rows.select("half", "k", "first", "last", "is_right", F.lit(1).alias("planted"), F.explode(candidates(F.col("text"))).alias("c"))
+    own = own.where("c.label is null and c.kind = k and c.start = first and c.stop = last").select("half", "planted", F.col("is_right").alias("label"), *[f"c.{f}" for f in FEATURES])
+    every = of_docs.select("half", "planted", "label", *FEATURES).unionByName(own)
+    found = every.groupBy("half", "planted", *FEATURES).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).orderBy("half", "planted", *FEATURES).toPandas()
+    x = found[list(FEATURES)].to_numpy(np.float64).reshape(-1, len(FEATURES))
+    return found["half"].to_numpy(), found["planted"].to_numpy(), x, found["pos"].to_numpy(np.float64), found["neg"].to_numpy(np.float64)
 
 
 def fit(docs: DataFrame) -> Model:
-    """Fit the trees on the counts of labelled candidates by feature cell, over all documents."""
-    labelled = docs.select(F.explode(candidates(F.coalesce("text", F.lit("")))).alias("c")).where("c.label is not null").select("c.label", *[f"c.{f}" for f in FEATURES])
-    cells = labelled.groupBy(*FEATURES).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    rows = cells.orderBy(F.desc(F.col("pos") + F.col("neg")), *FEATURES).limit(CELLS).toPandas()
-    return boost(rows[list(FEATURES)].to_numpy(np.float64).reshape(-1, len(FEATURES)), rows["pos"].to_numpy(np.float64), rows["neg"].to_numpy(np.float64))
+    """Grow the trees on one half of the labelled candidates, base and planted in equal weight, and set the cutoffs on the other half of the planted ones."""
+    half, own, x, pos, neg = cells(docs)
+    total = (pos + neg)[own == 1].sum() / max((pos + neg)[own == 0].sum(), 1)
+    weight = np.where(own == 1, 1.0, total)
+    grown = half == 0
+    model = boost(x[grown], (pos * weight)[grown], (neg * weight)[grown])
+    rest = ~grown & (own == 1)
+    return calibrated(model, x[rest], pos[rest], neg[rest])
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` with ``base`` and ``spans``: array<struct<start, kind, stop>>, sorted; kind by its place in KINDS."""
     span = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"))
     base = F.array_sort(F.transform(F.filter("found_", lambda c: c["label"] == 1), span))
-    loose = F.filter("found_", lambda c: c["label"].isNull() & (model.score(c) >= model.cutoff) & ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
-    placed = F.aggregate(F.array_sort(F.transform(loose, span)), none, lambda acc, c: F.when((F.size(acc) > 0) & (F.element_at(F.coalesce(F.when(F.size(acc) > 0, acc), F.array(c)), -1)["stop"] > c["start"]), acc).otherwise(F.array_append(acc, c)))
-    return docs.withColumn("found_", candidates(F.coalesce("text", F.lit("")))).withColumn("base", base).withColumn("spans", F.array_sort(F.concat("base", placed))).drop("found_")
+    loose = F.transform(F.filter("found_", lambda c: c["label"].isNull() & model.passes(c)), span)
+    least = F.lit(2**31 - 1)
+    marked = lambda spans, k: F.transform(spans, lambda c: F.struct(c["start"].alias("start"), F.lit(k).alias("loose"), c["kind"].alias("kind"), c["stop"].alias("stop")))
+
+    def chosen(x: Column) -> Column:
+        """Of base and loose spans in order: the base ones, and the loose ones that overlap none, nor a loose one that begins before."""
+        reach = running(F.transform(x, lambda c: c["stop"]), F.greatest)
+        following = F.reverse(running(F.reverse(F.transform(x, lambda c: F.when(c["loose"] == 0, c["start"]).otherwise(least))), F.least, 2**31 - 1))
+        told = F.zip_with(F.zip_with(x, reach, lambda c, r: F.struct(c.alias("c"), r.alias("r"))), following, lambda y, n: F.struct(y["c"].alias("c"), y["r"].alias("r"), n.alias("n")))
+        free = lambda y: (y["r"] <= y["c"]["start"]) & (y["n"] >= y["c"]["stop"])
+        return F.array_sort(F.transform(F.filter(told, lambda y: (y["c"]["loose"] == 0) | free(y)), lambda y: span(y["c"])))
+
+    both = F.array_sort(F.concat(marked(F.col("base"), 0), marked(F.col("loose_"), 1)))
+    found = docs.drop("base", "spans", "found_", "loose_").withColumn("found_", candidates(F.coalesce("text", F.lit("")))).withColumns({"base": base, "loose_": loose}).drop("found_")
+    return found.withColumn("spans", F.when(F.size("loose_") > 0, let(both, chosen)).otherwise(F.col("base"))).drop("loose_")
 
 
 def written(spans: Column) -> Column:
@@ -219,14 +346,14 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` with every span of ``text`` replaced by its kind in brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The columns of ``docs`` with every span of ``text`` replaced by its kind in brackets; a span that begins within another one goes with it."""
     names = F.array(*map(F.lit, KINDS))
+    text = F.col("text")
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        piece = F.when(s["start"] >= acc["at"], F.concat(kept, F.lit("["), F.get(names, s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(s["stop"], acc["at"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+    def clean(spans: Column) -> Column:
+        reach = running(F.transform(spans, lambda s: s["stop"]), F.greatest)
+        piece = lambda s, at: F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit("["), F.get(names, s["kind"]), F.lit("]"))).otherwise("")
+        end = F.array_max(F.transform(spans, lambda s: s["stop"]))
+        return F.concat(F.array_join(F.zip_with(spans, reach, piece), ""), F.substring(text, end + 1, F.length(text)))
 
-    clean = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return find(docs, model).withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).drop("base", "spans")
+    return find(docs, model).withColumn("text", F.when(F.size("spans") > 0, clean(F.col("spans"))).otherwise(text)).drop("base", "spans")
