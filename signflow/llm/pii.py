@@ -202,10 +202,9 @@ def planted(n: int = PLANTED, seed: int = 41) -> list[tuple]:
             else:
                 form = rng.integers(6)
                 sep = pick("-", ".", " ", "/")
-                if form == 0:
-                    m, label = sep.join([str(rng.integers(1990, 2030)), f"{rng.integers(1, 13):02}", f"{rng.integers(1, 29):02}"]) + pick(" ", "-") + digits(4), 0
-                    m = m if re.fullmatch(LOOSE[1][2], m) else "2021 1234 5678"
-                else:
+                m, label = sep.join([str(rng.integers(1990, 2030)), f"{rng.integers(1, 13):02}", f"{rng.integers(1, 29):02}"]) + pick(" ", "-") + digits(4), 0
+                if form or not re.fullmatch(LOOSE[1][2], m):
+                    form = max(int(form), 1)
                     m = [f"{rng.integers(200, 999)}{sep}{digits(3)}{sep}{digits(4)}", f"({rng.integers(200, 999)}) {digits(3)}{sep}{digits(4)}", f"00{rng.integers(1, 99)} {digits(2)} {digits(4)} {digits(4)}", f"0{digits(3)}{sep}{digits(3)}{sep}{digits(4)}", f"{rng.integers(1, 99)}{sep}{rng.integers(200, 999)}{sep}{digits(3)}{sep}{digits(4)}"][form - 1]
                     label = int(told == 1 or told == 0 and form in (2, 3))
             before = pick("", "Note. ", "As said, ") + str(pick(*lead[told]))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from signflow.llm import ann, bpe_lexicon, langid, near_dup, packing, pii, quality, token_codec, toxicity, urls
 from signflow.llm.common import table, tokenizer_path
-from signflow.session import shared_dir
 
 
 def op1_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,14 +49,60 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the label of the document with its id: bad if of low quality or toxic."""
-    shared_dir(spark)
     bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
-    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.cast("bigint").alias("bad")))
+    found = urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.cast("bigint").alias("bad")))
+    return found.withColumns({c: F.round(c, 6) for c in ("rate", "bound")})
+
+
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op8's base rules, which SQL can express."""
+    found = quality.with_stats(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", *quality.STATS)
+    return found.withColumn("base_failed", quality.base_failed(F.col("n_words"), F.col("n_repeat_words")))
+
+
+#: All pairs of documents with a five-word shingle in common, and what their links connect.
+OP5 = """WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+sh AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY 1),
+li AS (SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.r <> y.r GROUP BY 1, 2) JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE c >= 0.8 * (p.n + q.n - c)),
+re AS (SELECT a AS r, b AS o FROM li UNION SELECT re.r, li.b FROM re JOIN li ON li.a = re.o),
+cl AS (SELECT re.r, min(d.doc_id) AS least FROM re JOIN d ON d.r = re.o GROUP BY 1), co AS (SELECT a AS r, count(*) AS n FROM li GROUP BY 1)
+SELECT doc_id, coalesce(least(doc_id, cl.least), doc_id) AS class_id, coalesce(co.n, 0)::BIGINT AS n_links FROM d LEFT JOIN cl USING (r) LEFT JOIN co USING (r)"""
+
+COUNTS = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
+li AS (SELECT r, sum(n - 1)::BIGINT AS n FROM (SELECT r, s, count(*) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS s FROM d) WHERE regexp_matches(s, '[^\\x20\\x09-\\x0D]') GROUP BY 1, 2) GROUP BY 1),
+wi AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k:k+2])) AS t FROM w WHERE len(w) >= 3),
+tw AS (SELECT r, i FROM wi QUALIFY count(*) OVER (PARTITION BY r, t) > 1), re AS (SELECT r, count(DISTINCT i + k)::BIGINT AS n FROM tw CROSS JOIN (SELECT unnest(range(3)) AS k) GROUP BY 1),
+x AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(li.n, 0)::BIGINT AS n_dup_lines, coalesce(re.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN li USING (r) LEFT JOIN re USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x"""
+
+
+def _strength(children: str) -> str:
+    """The beta prior's weight from the children's counts, by the method of moments."""
+    return f"""(SELECT CASE WHEN coalesce(k, 0) < 2 OR m <= 0 OR m >= 1 THEN 10.0::DOUBLE ELSE 1 / least(greatest(CASE WHEN n - nn / n - (k - 1) > 0 THEN (ss / (m * (1 - m)) - (k - 1)) / (n - nn / n - (k - 1)) ELSE 0 END, 0.002), 0.9) - 1 END
+  FROM (SELECT any_value(m) AS m, count(*)::DOUBLE AS k, sum(n)::DOUBLE AS n, sum(n * n)::DOUBLE AS nn, sum((bad - n * m) * (bad - n * m))::DOUBLE AS ss FROM {children} CROSS JOIN mean WHERE n > 0))"""
+
+
+OP10 = f"""WITH p AS (SELECT page_id, CASE WHEN url IS NULL THEN '' ELSE regexp_extract(url, '(?s)^.*?://([^?#]*)', 1) END AS rest FROM pages),
+q AS (SELECT page_id, rest, regexp_extract(rest, '(?s)^([^/]*)', 1) AS h FROM p),
+pg AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(h) + 1) AS path FROM q),
+la AS (SELECT doc_id, max(greatest(1 - quality, toxic)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1 HAVING max(greatest(1 - quality, toxic)) IS NOT NULL),
+ho AS (SELECT host, string_split(host, '.') AS parts, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM pg LEFT JOIN la ON page_id = doc_id GROUP BY 1),
+na AS (SELECT host, parts[-1] AS suffix, array_to_string(parts[-2:], '.') AS domain, n, bad FROM ho), mean AS (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1) AS m FROM na),
+su AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM na GROUP BY 1), dm AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM na GROUP BY 1, 2),
+st AS (SELECT m, {_strength("su")} AS s0, {_strength("dm")} AS s1, {_strength("na")} AS s2 FROM mean),
+r0 AS (SELECT suffix, (bad + s0 * m) / (n + s0) AS rate FROM su CROSS JOIN st), r1 AS (SELECT domain, (bad + s1 * r0.rate) / (n + s1) AS rate FROM dm JOIN r0 USING (suffix) CROSS JOIN st),
+r2 AS (SELECT host, n, s2, (bad + s2 * r1.rate) / (n + s2) AS rate FROM na JOIN r1 USING (domain) CROSS JOIN st), r3 AS (SELECT host, rate, rate - {urls.Z} * sqrt(rate * (1 - rate) / (n + s2 + 1)) AS bound FROM r2),
+x AS (SELECT page_id, host, path, rate, bound, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM pg JOIN r3 USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > {urls.LIMIT} THEN 'block' ELSE 'allow' END AS verdict, round(rate, 6) AS rate, round(bound, 6) AS bound FROM x"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_huffman_tokens, op2_personal_data, op3_collision_counting, op4_language_id, op5_ngram_jaccard, op6_packing, op7_bpe_lexicon, op8_quality_forest, op9_toxicity, op10_host_reputation)}
+    return {f.__name__: f for f in (op1_huffman_tokens, op2_personal_data, op3_collision_counting, op4_language_id, op5_ngram_jaccard, op6_packing, op7_bpe_lexicon, op8_quality_forest, op9_toxicity, op10_host_reputation, quality_rule_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_ngram_jaccard": OP5, "op10_host_reputation": OP10, "quality_rule_counts": COUNTS}

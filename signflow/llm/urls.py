@@ -1,6 +1,7 @@
 """URL filters: rules first, then empirical-Bayes reputation of hosts.
 
-Labelled page outcomes are counted by host, registered domain (the last two labels) and suffix (the last one).
+Labelled page outcomes are counted by host, registered domain and suffix. A suffix is the last label, or the longest
+of the public suffixes given (such as ``co.uk``) that the host ends with; a registered domain is one label more.
 Each level's rate is shrunk towards its parent's by a beta prior whose strength is fitted by the method of
 moments to how much the children vary. A page without a rule is blocked when the lower bound of its host's
 posterior bad rate passes a threshold; hosts without labels carry their parents' posterior.
@@ -19,6 +20,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signflow.functions.skew import join_hot
+from signflow.session import discard, materialize
+
 #: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Rows of the host table (about 100 bytes each) up to which it is broadcast, and the salts beyond.
@@ -53,28 +57,43 @@ def strength(children: DataFrame, mean: float) -> float:
     return 1 / rho - 1
 
 
-def reputation(hosts: DataFrame) -> DataFrame:
-    """``host, n, bad`` (one row for each host) with ``rate``, the posterior mean, and ``bound``, below which it is unlikely."""
-    labels = F.split("host", r"\.")
-    named = hosts.withColumns({"suffix": F.element_at(labels, -1), "domain": F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(2)), 2), ".")})
+def registered(host: Column, public_suffixes: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """A host's suffix and registered domain (the host itself if it is a suffix)."""
+    suffix = F.element_at(F.split(host, r"\."), -1)
+    for s in sorted(public_suffixes, key=len):
+        suffix = F.when((host == s) | host.endswith("." + s), F.lit(s)).otherwise(suffix)
+    rest = F.split(F.substring(host, F.lit(1), F.length(host) - F.length(suffix) - 1), r"\.")
+    return suffix, F.when(F.length(host) > F.length(suffix), F.concat_ws(".", F.element_at(rest, -1), suffix)).otherwise(host)
+
+
+def reputation(hosts: DataFrame, public_suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """``host, n, bad`` (one row for each host) with ``rate``, the posterior mean, and ``bound``, below which it is unlikely.
+
+    One domain or suffix may own any share of the hosts: their tables are split by ``join_hot``.
+    """
+    n_hosts = hosts.count()
+    suffix, domain = registered(F.col("host"), public_suffixes)
+    named = hosts.withColumns({"suffix": suffix, "domain": domain})
     total = named.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
     mean = (total["bad"] + 0.5) / (total["n"] + 1)
-    suffixes = named.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    domains = named.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    suffixes = named.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count_distinct("domain").alias("size"))
+    domains = named.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("size"))
     s0, s1, s2 = strength(suffixes, mean), strength(domains, mean), strength(named, mean)
-    of_suffix = suffixes.select("suffix", ((F.col("bad") + s0 * mean) / (F.col("n") + s0)).alias("suffix_rate"))
-    of_domain = domains.join(of_suffix, "suffix").select("domain", ((F.col("bad") + s1 * F.col("suffix_rate")) / (F.col("n") + s1)).alias("domain_rate"))
-    rated = named.join(of_domain, "domain").withColumn("rate", (F.col("bad") + s2 * F.col("domain_rate")) / (F.col("n") + s2))
+    of_suffix = suffixes.select("suffix", "size", ((F.col("bad") + s0 * mean) / (F.col("n") + s0)).alias("suffix_rate"))
+    of_domain = join_hot(domains.withColumnRenamed("size", "hosts"), of_suffix, ["suffix"], "size", n_hosts).select("domain", F.col("hosts").alias("size"), ((F.col("bad") + s1 * F.col("suffix_rate")) / (F.col("n") + s1)).alias("domain_rate"))
+    rated = join_hot(named, of_domain, ["domain"], "size", n_hosts).withColumn("rate", (F.col("bad") + s2 * F.col("domain_rate")) / (F.col("n") + s2))
     return rated.select("host", "n", "bad", "rate", (F.col("rate") - Z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + s2 + 1))).alias("bound"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, limit: float = LIMIT, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES, limit: float = LIMIT, broadcast_hosts: int = BROADCAST_HOSTS, public_suffixes: tuple[str, ...] = ()) -> DataFrame:
     """page_id, host, path, rule, verdict, rate, bound. ``outcomes``: page_id, bad (0 or 1) of the labelled pages."""
     host, path = url_parts(F.col("url"))
     parts = pages.select(F.col("page_id").cast("bigint"), host.alias("host"), path.alias("path"))
     labelled = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
     known = parts.select("page_id", "host").join(labelled, "page_id", "left")
-    hosts = reputation(known.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))).select("host", "rate", "bound").checkpoint()
+    counted, path = materialize(known.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "hosts")
+    hosts, _ = materialize(reputation(counted, public_suffixes).select("host", "rate", "bound"), "reputation")
+    discard(pages.sparkSession, path)
     if hosts.count() <= broadcast_hosts:
         joined = parts.join(F.broadcast(hosts), "host", "left")
     else:

@@ -119,3 +119,25 @@ def test_merging_many_words_at_once():
     words = [bytes(rng.choice(list(b" thesaninger\xc3\xa9\xff.01"), rng.integers(1, 45)).tolist()) for _ in range(3000)]
     assert merges.many(words) == [merges(w) for w in words]
     assert merges.many([]) == []
+
+
+def test_placement_makes_the_sum_of_squares_least():
+    rng = np.random.default_rng(3)
+    for window in (8, 32):
+        packer, counts = packing.SumOfSquares(window), [0] * (window + 1)
+        for k in range(400):
+            n = int(rng.integers(1, window))
+
+            def after(level):
+                c = list(counts)
+                c[level] -= level > 0
+                c[level + n] += level + n < window
+                return sum(x * x for x in c[1:window])
+
+            able = [level for level in range(window + 1 - n) if level == 0 or counts[level]]
+            least = min(map(after, able))
+            at = max(level for level in able if after(level) == least)
+            full = packer.place((k, 0, np.zeros(n, "<u4"), n))
+            counts[at] -= at > 0
+            counts[at + n] += at + n < window
+            assert (full is not None) == (at + n == window) and packer.level[1:window].tolist() == counts[1:window]
