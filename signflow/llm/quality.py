@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from signflow.llm.common import prepare, texts_of
 from signflow.session import discard, materialize
@@ -118,31 +119,41 @@ def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int = TREES, s
     return out
 
 
-def with_stats(docs: DataFrame, keep: list[str], forest: Forest | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with STATS and MORE, and ``anomaly`` if a forest is given."""
+def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with STATS and MORE."""
     prepare(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(forest)  # bounded: trees x nodes
     names = [*STATS, *MORE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = held.value
         for b in batches:
             stats = np.array([rule_stats(t) for t in texts_of(b)], np.int64).reshape(-1, len(names))
-            columns = [*(b.column(c) for c in keep), *(pa.array(c) for c in stats.T)]
-            if f is not None:
-                columns.append(pa.array(f.score(features(stats))))
-            yield pa.RecordBatch.from_arrays(columns, [*keep, *names, *["anomaly"] * (f is not None)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c) for c in stats.T)], [*keep, *names])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    schema = f"{kinds}, {', '.join(f'{c} bigint' for c in names)}" + ", anomaly double" * (forest is not None)
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, {', '.join(f'{c} bigint' for c in names)}")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, loss: float = LOSS) -> Forest | None:
-    """Grow the forest on a sample of good labelled documents, over the range of all, and set its cutoff on all; None without good ones."""
+def with_anomaly(stats: DataFrame, forest: Forest) -> DataFrame:
+    """A table with STATS and MORE, and ``anomaly``."""
+    held = stats.sparkSession.sparkContext.broadcast(forest)  # bounded: trees x nodes
+    names = stats.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in (*STATS, *MORE)], 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(held.value.score(features(x)))], [*names, "anomaly"])
+
+    return stats.mapInArrow(run, StructType([*stats.schema.fields, StructField("anomaly", DoubleType())]))
+
+
+def fit(stats: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, loss: float = LOSS) -> Forest | None:
+    """Grow the forest on a sample of good labelled documents, over the range of all, and set its cutoff on all; None without good ones.
+
+    ``stats``: doc_id, STATS and MORE of all documents; read several times, so give a written table. Texts never meet
+    the labels: only the statistics are joined.
+    """
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = with_stats(docs.select("doc_id", "text").join(known, "doc_id"), ["doc_id", "quality"])
-    rows, path = materialize(rows, "labelled")  # statistics only
+    rows, path = materialize(stats.join(known, "doc_id"), "labelled")
     try:
         columns = [*STATS, *MORE]
         n, chars, symbols, dup, repeat, capitals, marks, lines = map(F.col, columns)
@@ -157,19 +168,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, loss: floa
         low[0], high[0] = np.log1p(low[0]), np.log1p(high[0])
         x = features(sample.to_numpy())
         forest = grow(x[np.lexsort(x.T)], low, high)  # the same forest, however the rows arrive
-        held = docs.sparkSession.sparkContext.broadcast(forest)  # bounded: trees x nodes
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                stats = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in columns], 1)
-                yield pa.RecordBatch.from_arrays([pa.array(held.value.score(features(stats)))], ["anomaly"])
-
-        # Bins of a millionth, rounded up so that no more than LOSS go: the aggregate's size is bounded
-        scores = good.select(*columns).mapInArrow(run, "anomaly double")
-        forest.cutoff = float(scores.agg(F.percentile(F.ceil(F.col("anomaly") * 1e6) / 1e6, F.lit(1 - loss))).first()[0])
+        # Bins of a hundred-thousandth, rounded up so that no more than LOSS go: the aggregate's size is bounded
+        scores = with_anomaly(good.select(*columns), forest)
+        forest.cutoff = float(scores.agg(F.percentile(F.ceil(F.col("anomaly") * 1e5) / 1e5, F.lit(1 - loss))).first()[0])
         return forest
     finally:
-        discard(docs.sparkSession, path)
+        discard(stats.sparkSession, path)
 
 
 def base_failed(n_words, n_repeat_words):
@@ -178,10 +182,9 @@ def base_failed(n_words, n_repeat_words):
 
 
 def judge(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, loss: float = LOSS) -> DataFrame:
-    """doc_id, STATS, base_failed, kept and the anomaly score of every document."""
-    forest = fit(docs, labels, most, loss)
-    scored = with_stats(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), ["doc_id"], forest)
-    if forest is None:
-        scored = scored.withColumn("anomaly", F.lit(0.0))
+    """doc_id, STATS, base_failed, kept and the anomaly score of every document. Texts are read once."""
+    stats, _ = materialize(with_stats(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ["doc_id"]), "stats")
+    forest = fit(stats, labels, most, loss)
+    scored = with_anomaly(stats, forest) if forest else stats.withColumn("anomaly", F.lit(0.0))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return scored.select("doc_id", *STATS, failed.alias("base_failed"), (~failed & (F.col("anomaly") <= (forest.cutoff if forest else 1.0))).alias("kept"), "anomaly")

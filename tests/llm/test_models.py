@@ -119,6 +119,25 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), outcomes).count() == 0
 
 
+def test_paths_and_scores_of_the_forest(spark):
+    """Against a walk of each tree, and brute-force path lengths."""
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((300, 7))
+    forest = quality.grow(x, x.min(0), x.max(0), trees=10, size=64, seed=1)
+    for row, got in zip(x[:40], forest.score(x[:40])):
+        total = 0.0
+        for f, cut, path in zip(forest.feature, forest.threshold, forest.path):
+            at = 0
+            while f[at] >= 0:
+                at = 2 * at + 1 + (row[f[at]] >= cut[at])
+            total += path[at]
+        assert got == pytest.approx(2 ** (-total / 10 / quality.expected_path(64)))
+    assert forest.score(np.full((1, 7), 9.0))[0] > np.quantile(forest.score(x), 0.95)
+    # no label of quality 1: the base rule alone decides
+    docs = spark.createDataFrame([(1, "word " * 60)], "doc_id bigint, text string")
+    assert quality.judge(docs, spark.createDataFrame([(1, 0, 0)], "doc_id bigint, quality int, toxic int")).first()["anomaly"] == 0.0
+
+
 def test_suffixes_and_shrinkage(spark):
     hosts = spark.createDataFrame([("a.x.co.uk",), ("y.co.uk",), ("co.uk",), ("b.a.com",), ("com",), ("",)], "host string")
     got = hosts.select("host", *[c.alias(n) for c, n in zip(urls.registered(F.col("host"), ("co.uk",)), ("suffix", "domain"))]).collect()
@@ -318,9 +337,10 @@ def test_cutoff_and_range_cover_all_labelled_rows(spark):
     rows = [(i, " ".join(text("en", rng, 60).split() + ["#"] * int(rng.integers(0, 20)))) for i in range(200)]
     docs = spark.createDataFrame([r for r in rows for _ in range(20)] + [(500, "x " * 300)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows] + [(500, 0, 0)], "doc_id bigint, quality int, toxic int")
-    forest = quality.fit(docs, labels, most=20, loss=0.1)
-    got = [r["anomaly"] for r in quality.with_stats(docs.where("doc_id < 500"), ["doc_id"], forest).collect()]
-    assert forest.cutoff == pytest.approx(float(np.quantile(got, 0.9)), abs=2e-6) and len(got) == 4000
+    stats = quality.with_stats(docs, ["doc_id"])
+    forest = quality.fit(stats, labels, most=20, loss=0.1)
+    got = [r["anomaly"] for r in quality.with_anomaly(stats.where("doc_id < 500"), forest).collect()]
+    assert forest.cutoff == pytest.approx(float(np.quantile(got, 0.9)), abs=2e-5) and len(got) == 4000
     assert quality.features(np.array([quality.rule_stats("x " * 300)]))[0, 0] > max(quality.features(np.array([quality.rule_stats(t)]))[0, 0] for _, t in rows)
     assert forest.threshold[forest.feature == 0].max() > np.log1p(max(len(t.split()) for _, t in rows))
 
