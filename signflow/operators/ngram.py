@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from signflow.functions.portable import global_rank, hashed
 from signflow.operators.tokens import contexts
+from signflow.session import materialize
 
 
 def _context(order: int) -> list[str]:
@@ -36,10 +38,11 @@ def _held(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
 
 def add_alpha(folded: DataFrame, orders: tuple[int, ...] = (1, 2, 3), alpha: float = 0.5) -> DataFrame:
     """order, fold, perplexity with add-alpha smoothing; the vocabulary is all signs and one more."""
-    v = folded.select(F.explode("signs").alias("w")).distinct().count() + 1
+    grams, _ = materialize(_grams(folded, max(orders)), "grams")
+    v = grams.select("w").distinct().count() + 1
     out = []
     for order in orders:
-        own, seen = _held(_grams(folded, order), order)
+        own, seen = _held(grams, order)
         p = (F.col("c") + alpha) / (F.col("t") + alpha * v)
         scored = own.join(seen, ["fold", *_context(order)])
         out.append(scored.groupBy("fold").agg(F.pow(F.lit(2.0), -F.sum(F.col("n") * F.log2(p)) / F.sum("n")).alias("perplexity")).select(F.lit(order).alias("order"), "fold", "perplexity"))
@@ -55,7 +58,7 @@ def kneser_ney(folded: DataFrame, orders: int = 3, discounts: tuple[float, ...]
     Order 0 is the share of distinct predecessors (the start among them). The counts don't depend on the
     discounts, which only multiply the rows of the last step.
     """
-    grams = _grams(folded, max(orders, 2))
+    grams, _ = materialize(_grams(folded, max(orders, 2)), "grams")  # all lower orders are summed from these
     kinds = grams.groupBy("c1", "w").agg(F.sum("n").alias("all_n"))
     own_kinds = grams.where("fold >= 0").groupBy("fold", "c1", "w").agg(F.sum("n").alias("n")).join(kinds, ["c1", "w"])
     gone = own_kinds.where("n = all_n")
@@ -105,3 +108,33 @@ def restoration(corpus: DataFrame, trials: DataFrame, alpha: float = 0.5) -> Dat
     before = F.coalesce(F.sum("p").over(one.orderBy(F.desc("p"), "w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     kept = ranked.withColumn("kept", before / F.sum("p").over(one) < 0.9)
     return kept.groupBy("id", "pos", "truth").agg(F.max_by("w", -F.col("rank")).alias("predicted"), F.count_if("kept").alias("set_size"), F.bool_or(F.col("kept") & (F.col("w") == F.col("truth"))).alias("in_set"))
+
+
+def restored(trials: DataFrame) -> DataFrame:
+    """Of a table of restorations: trials, the share restored, the share whose truth is in the set, and the set's mean size. One row."""
+    hit = F.avg((F.col("predicted") == F.col("truth")).cast("double"))
+    return trials.agg(F.count("*").alias("n"), hit.alias("accuracy"), F.avg(F.col("in_set").cast("double")).alias("set_accuracy"), F.avg("set_size").alias("mean_set_size"))
+
+
+def perplexity_ratio(corpus: DataFrame, key: str, k: int = 3, alpha: float = 0.5, seed: int = 0) -> DataFrame:
+    """key, ratio: mean perplexity of order 2 over that of order 1, each part of the corpus under its own ``k`` folds (in hashed order; the remainder always trains)."""
+    ranked = global_rank(corpus.select(key, "id", "signs").withColumn("order_", hashed(seed, F.col("id"))), key, "order_", "id")
+    sizes = ranked.groupBy(key).agg(F.min("rank").alias("first_"), F.greatest(F.floor(F.count("*") / k), F.lit(1)).alias("size_"))
+    at = F.col("rank") - F.col("first_")
+    folded = ranked.join(F.broadcast(sizes), key).select(key, F.when(at < k * F.col("size_"), F.floor(at / F.col("size_"))).otherwise(-1).cast("int").alias("fold"), "id", "signs")
+    grams, _ = materialize(contexts(folded, 2, key, "fold").groupBy(key, "fold", "c1", "w").agg(F.count("*").alias("n")), "grams")
+    kinds = grams.groupBy(key).agg((F.count_distinct("w") + 1).alias("v"))
+
+    def perplexity(order: int) -> DataFrame:
+        ctx = [key, *(["c1"] if order == 2 else [])]
+        g = grams.groupBy(*ctx, "fold", "w").agg(F.sum("n").alias("n"))
+        total = g.groupBy(*ctx, "w").agg(F.sum("n").alias("all_n"))
+        by_ctx = total.groupBy(*ctx).agg(F.sum("all_n").alias("all_t"))
+        own = g.where("fold >= 0")
+        own_t = own.groupBy(*ctx, "fold").agg(F.sum("n").alias("own_t"))
+        x = own.join(total, [*ctx, "w"]).join(own_t, [*ctx, "fold"]).join(by_ctx, ctx).join(F.broadcast(kinds), key)
+        p = (F.col("all_n") - F.col("n") + alpha) / (F.col("all_t") - F.col("own_t") + alpha * F.col("v"))
+        folds = x.groupBy(key, "fold").agg(F.pow(F.lit(2.0), -F.sum(F.col("n") * F.log2(p)) / F.sum("n")).alias("p"))
+        return folds.groupBy(key).agg(F.avg("p").alias(f"p{order}"))
+
+    return perplexity(1).join(perplexity(2), key).select(key, (F.col("p2") / F.col("p1")).alias("ratio"))

@@ -40,49 +40,62 @@ def global_shuffle(corpus: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def subsample(corpus: DataFrame, n: int, trials: int = 1, seed: int = 0) -> DataFrame:
-    """``n`` rows of each trial without replacement: those first in hashed order."""
-    fanned = corpus.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("order_", hashed(F.col("trial"), seed, F.col("id")))
-    ranked = fanned.withColumn("rank_", F.row_number().over(Window.partitionBy("trial").orderBy("order_", "id")))
-    return ranked.where(F.col("rank_") <= n).drop("rank_", "order_")
+    """``n`` rows of each trial without replacement: those first in hashed order. Ranked in parts first, so that the last step has ``n`` rows of each part only."""
+    fanned = corpus.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("order_", hashed(F.col("trial"), seed, F.col("id"))).withColumn("part_", F.pmod(F.xxhash64("id"), F.lit(64)))
+    for by in (["trial", "part_"], ["trial"]):
+        fanned = fanned.withColumn("rank_", F.row_number().over(Window.partitionBy(*by).orderBy("order_", "id"))).where(F.col("rank_") <= n)
+    return fanned.drop("rank_", "order_", "part_")
 
 
 def intervals(counts: DataFrame, *keys: str) -> DataFrame:
-    """keys, sign, lo, hi: the signs' shares of the counts ``n`` laid end to end, for drawing."""
+    """keys, sign, lo, hi, total, kinds: the counts ``n`` of the signs laid end to end, for drawing. Windows hold a vocabulary."""
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    hi = F.sum("n").over(w.orderBy("sign").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(w)
-    return counts.withColumn("hi", hi).withColumn("lo", hi - F.col("n") / F.sum("n").over(w)).select(*keys, "sign", "lo", "hi")
+    hi = F.sum("n").over(w.orderBy("sign").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.select(*keys, "sign", (hi - F.col("n")).alias("lo"), hi.alias("hi"), F.sum("n").over(w).alias("total"), F.count("*").over(w).alias("kinds"))
 
 
 def draw(rows: DataFrame, u: str, table: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """``rows`` with ``out``: the sign in whose interval ``u`` lies. The table is packed to one array for each key and searched inside the row."""
-    packed = table.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("hi", "sign"))).alias("table_"))
-    joined = rows.join(packed, keys, "left") if keys else rows.join(F.broadcast(packed))
-    above = F.try_element_at(F.filter("table_", lambda x: x["hi"] > F.col(u)), F.lit(1))
-    return joined.withColumn(out, F.coalesce(above["sign"], F.try_element_at("table_", F.lit(-1))["sign"])).drop("table_")
+    """``rows`` with ``out``: the sign in whose interval the number ``u`` times the total lies; null for keys without a table.
 
-
-def matched_null(corpus: DataFrame, n: int, seed: int = 0, stratum: Column | None = None, least: int = 20) -> DataFrame:
-    """``n`` rows whose lengths, first, middle and last signs are drawn independently from the corpus' own.
-
-    With ``stratum`` (a column expression) each stratum has its own marginals, those of under ``least`` rows share the pooled ones.
+    Intervals are cut at multiples of a width that makes about twice as many pieces as there are signs, and rows meet
+    those of their own piece by an equi-join, so neither a vocabulary nor a packed array travels with a row.
     """
-    c = corpus.where(F.size("signs") > 0).withColumn("stratum", F.lit("all") if stratum is None else stratum)
+    t = table.withColumn("width_", F.floor(F.col("total") / (2 * F.col("kinds"))) + 1)
+    sizes = t.groupBy(*keys).agg(F.first("total").alias("total_"), F.first("width_").alias("width_"))
+    piece = F.explode(F.sequence(F.floor(F.col("lo") / F.col("width_")), F.floor((F.col("hi") - 1) / F.col("width_"))))
+    pieces = t.select(*keys, F.col("sign").alias(out), "lo", "hi", piece.alias("piece_"))
+    asked = rows.join(F.broadcast(sizes), keys, "left") if keys else rows.join(F.broadcast(sizes))
+    asked = asked.withColumn("at_", F.floor(F.col(u) * F.col("total_"))).withColumn("piece_", F.floor(F.col("at_") / F.col("width_")))
+    inside = [F.col(f"r.{k}") == F.col(f"t.{k}") for k in keys] + [F.col("r.piece_") == F.col("t.piece_"), F.col("r.at_") >= F.col("t.lo"), F.col("r.at_") < F.col("t.hi")]
+    met = asked.alias("r").join(pieces.alias("t"), inside, "left")
+    return met.select(*[F.col(f"r.`{c}`") for c in rows.columns], F.col(f"t.{out}").alias(out))
+
+
+def matched_null(corpus: DataFrame, n: int, seed: int = 0, stratum: Column | None = None, least: int = 20, trials: int = 1) -> DataFrame:
+    """trial, id, signs, stratum: ``n`` rows of each trial whose lengths, first, middle and last signs are drawn independently from the corpus' own.
+
+    With ``stratum`` (a column expression) each stratum has its own marginals, those of under ``least`` rows share
+    the pooled ones. All trials are one job; rows are numbered through them.
+    """
+    c = corpus.where(F.size("signs") > 0).select("signs", (F.lit("all") if stratum is None else stratum).alias("stratum"))
     sizes = counted(c, "stratum").withColumn("source", F.when(F.col("n") >= least, F.col("stratum")).otherwise("__pooled__"))
-    pooled = c.withColumn("source", F.lit("__pooled__"))
-    c = c.withColumn("source", F.col("stratum")).unionByName(pooled)
+    pooled = c.select("signs", F.lit("__pooled__").alias("source"))
+    c = c.select("signs", F.col("stratum").alias("source")).unionByName(pooled)
     marginal = lambda e, rows: intervals(counted(rows.select("source", e.alias("sign")), "source", "sign"), "source")
     lengths = marginal(F.lpad(F.size("signs").cast("string"), 6, "0"), c)
     first, last = marginal(F.element_at("signs", 1), c), marginal(F.element_at("signs", -1), c.where(F.size("signs") > 1))
     every = marginal(F.explode("signs"), c)
-    rows = corpus.sparkSession.range(n).withColumnRenamed("id", "k").withColumn("u0", uniform(seed, "stratum", F.col("k"))).withColumn("u1", uniform(seed, "length", F.col("k")))
+    rows = corpus.sparkSession.range(n * trials).withColumnRenamed("id", "k").withColumn("u0", uniform(seed, "stratum", F.col("k"))).withColumn("u1", uniform(seed, "length", F.col("k")))
     strata = intervals(sizes.select(F.col("stratum").alias("sign"), "n"))
     rows = draw(rows, "u0", strata, [], "stratum").join(F.broadcast(sizes.select("stratum", "source")), "stratum")
     rows = draw(rows, "u1", lengths, ["source"], "length").withColumn("length", F.col("length").cast("int"))
     spots = rows.select("k", "stratum", "source", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("pos")).withColumn("u", uniform(seed, "sign", F.col("k"), F.col("pos")))
-    drawn = draw(draw(draw(spots, "u", first, ["source"], "a"), "u", every, ["source"], "m"), "u", last, ["source"], "z")
-    sign = F.when(F.col("pos") == 0, F.col("a")).when(F.col("pos") == F.col("length") - 1, F.coalesce("z", "m")).otherwise(F.col("m"))
-    built = drawn.withColumn("sign", sign).groupBy("k", "stratum").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sign"))), lambda x: x["sign"]).alias("signs"))
-    return built.select(F.format_string("NULL-%05d", "k").alias("id"), "signs", "stratum")
+    ends = (F.col("pos") == 0, F.col("pos") == F.col("length") - 1)
+    a = draw(spots.where(ends[0]), "u", first, ["source"], "sign")
+    z = draw(spots.where(~ends[0] & ends[1]), "u", last, ["source"], "sign")
+    m = draw(spots.where(~ends[0] & ~ends[1]), "u", every, ["source"], "sign")
+    built = a.unionByName(z).unionByName(m).groupBy("k", "stratum").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sign"))), lambda x: x["sign"]).alias("signs"))
+    return built.select(F.floor(F.col("k") / n).cast("int").alias("trial"), F.format_string("NULL-%05d", "k").alias("id"), "signs", "stratum")
 
 
 def markov_null(corpus: DataFrame, n: int, order: int = 1, seed: int = 0, longest: int = 40) -> DataFrame:
@@ -151,7 +164,7 @@ def rigid_control(spark: SparkSession, vocab: int, n: int, mean: float, template
 
 
 def civilization(spark: SparkSession, kind: str, n: int, seed: int = 0) -> DataFrame:
-    """Labelled synthetic corpora: ``a`` root, agreeing suffixes and a case marker; ``b`` administrative slots; ``c`` a mix of both with numerals; ``e`` category, sub-category and item, sometimes twice."""
+    """Labelled synthetic corpora: ``a`` root, agreeing suffixes and a case marker; ``b`` administrative slots; ``c`` a mix of both with numerals; ``d`` a chain of order two; ``e`` category, sub-category and item, sometimes twice."""
     k = F.col("k")
     u = lambda *p: uniform(seed, kind, k, *p)
     pick = lambda prefix, m, *p: F.concat(F.lit(prefix), F.floor(u(*p) * m).cast("string"))
@@ -172,4 +185,67 @@ def civilization(spark: SparkSession, kind: str, n: int, seed: int = 0) -> DataF
         return F.array(F.concat(F.lit("CAT"), name(cat)), F.concat(F.lit("SUB"), name(cat, sub)), F.concat(F.lit("ITM"), name(cat, sub, F.floor(u("itm", p) * 6))))
 
     e = F.concat(triple("1"), F.when(u("twice") < 0.35, triple("2")).otherwise(none))
-    return rows.select(F.format_string(f"CIV{kind.upper()}-%05d", "k").alias("id"), {"a": a, "b": b, "c": c, "e": e}[kind].alias("signs"))
+    d = chain_of_two(rows, u)
+    return rows.select(F.format_string(f"CIV{kind.upper()}-%05d", "k").alias("id"), {"a": a, "b": b, "c": c, "d": d, "e": e}[kind].alias("signs"))
+
+
+def normal(u1: Column, u2: Column) -> Column:
+    """A normal number from two uniform ones."""
+    return F.sqrt(-2 * F.ln(F.greatest(u1, F.lit(1e-9)))) * F.cos(2 * np.pi * u2)
+
+
+def chosen(edges: list[float], u: Column) -> Column:
+    """Which of the intervals that end at ``edges`` holds ``u``."""
+    return F.least(F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x <= u)), F.lit(len(edges) - 1))
+
+
+def chain_of_two(rows: DataFrame, u, signs: int = 40, special: int = 60, sure: float = 0.85) -> Column:
+    """Order-2 rows: after one of ``special`` pairs mostly that pair's own sign, else any by a fixed weight."""
+    rng = np.random.default_rng(4)
+    pairs = rng.choice(signs * signs, special, replace=False).tolist()
+    wanted = F.create_map(*[x for p, w in zip(pairs, rng.integers(0, signs, special).tolist(), strict=True) for x in (F.lit(p), F.lit(w))])
+    weights = np.cumsum(rng.uniform(0.5, 1.5, signs))
+    edges = (weights / weights[-1]).tolist()
+    size = F.least(F.greatest(F.round(4.4 + 1.8 * normal(u("n1"), u("n2"))).cast("int"), F.lit(1)), F.lit(14))
+
+    def grow(out: Column, i: Column) -> Column:
+        before = F.get(out, i - 2) * signs + F.get(out, i - 1)
+        own = F.when((i >= 2) & (u("sure", i) < sure), F.try_element_at(wanted, before))
+        any_ = F.when(i < 2, F.floor(u("any", i) * signs).cast("int")).otherwise(chosen(edges, u("any", i)))
+        return F.concat(out, F.array(F.coalesce(own, any_)))
+
+    numbers = F.aggregate(F.sequence(F.lit(0), size - 1), F.array().cast("array<int>"), grow)
+    return F.transform(numbers, lambda x: F.concat(F.lit("D"), x.cast("string")))
+
+
+#: Sites and object types of the demo corpus. Fixed values.
+SITES = ("Mohenjo-daro", "Harappa", "Lothal", "Dholavira", "Kalibangan")
+TYPES = ("seal", "tablet", "pottery", "copper_plate", "ivory")
+
+
+def demo_corpus(spark: SparkSession, n: int = 2000, signs: int = 120, seed: int = 42) -> DataFrame:
+    """A corpus with known habits: Zipf-Mandelbrot signs, favoured first signs, a common last sign, doubling, strong successors, sites, types and damage."""
+    rng = np.random.default_rng(seed)
+    weights = np.cumsum(1 / (np.arange(1, signs + 1) + 2.7) ** 1.15)
+    edges = (weights / weights[-1]).tolist()
+    has = rng.random(signs) < 0.15
+    strong = F.array(*[F.lit(int(w) if h else -1) for h, w in zip(has, rng.integers(0, signs, signs), strict=True)])
+    k = F.col("k")
+    u = lambda *p: uniform(seed, "demo", k, *p)
+    size = F.least(F.greatest(F.round(4.4 + 2.0 * normal(u("n1"), u("n2"))).cast("int"), F.lit(1)), F.lit(26))
+    first = F.when(u("first?") < 0.55, 2 + F.floor(u("first") * 3).cast("int")).otherwise(chosen(edges, u("first")))
+
+    def grow(out: Column, i: Column) -> Column:
+        last = F.element_at(out, -1)
+        after = F.get(strong, last)
+        middle = F.when((after >= 0) & (u("strong", i) < 0.8), after).otherwise(chosen(edges, u("any", i)))
+        final = F.when(u("final") < 0.45, F.lit(0)).when(u("double") < 0.33, last).otherwise(chosen(edges, u("any", i)))
+        return F.when(i >= size, out).otherwise(F.concat(out, F.array(F.when(i == size - 1, final).otherwise(middle))))
+
+    numbers = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), F.array(first), grow)
+    of = lambda names, x: F.get(F.array(*map(F.lit, names)), F.floor(x * len(names)).cast("int"))
+    return spark.range(n).withColumnRenamed("id", "k").select(
+        F.format_string("SYN-%05d", "k").alias("id"), F.transform(numbers, lambda x: F.format_string("S%03d", x + 1)).alias("signs"),
+        of(SITES, u("site")).alias("site"), F.get(F.array(*map(F.lit, TYPES)), chosen([0.55, 0.75, 0.9, 0.96, 1.0], u("type"))).alias("object_type"),
+        F.lit("unknown").alias("motif"), (u("damaged") < 0.08).alias("damaged"), F.when(u("lines") < 0.9, 1).otherwise(2).alias("line_count"),
+    )

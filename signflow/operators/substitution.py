@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signflow.functions.portable import global_rank, uniform
 from signflow.operators.graph import components
 from signflow.operators.tokens import tokens
 
@@ -26,8 +27,12 @@ def minimal_pairs(corpus: DataFrame, chunk: int | None = 400, *keys: str, same:
     and the place); prefix and suffix confirm it. For numbers of pairs take ``pair_counts``, which forms none.
     """
     c = corpus.where(F.size("signs") > 0).withColumn("len", F.size("signs"))
-    part = F.floor((F.row_number().over(Window.partitionBy(*keys, "len").orderBy("id")) - 1) / chunk) if chunk else F.lit(0)
-    c = c.withColumn("chunk", part.cast("bigint"))
+    if chunk:
+        ranked = global_rank(c, *keys, "len", "id")
+        first = ranked.groupBy(*keys, "len").agg(F.min("rank").alias("first_"))  # one row for each length
+        c = ranked.join(F.broadcast(first), [*keys, "len"]).withColumn("chunk", F.floor((F.col("rank") - F.col("first_")) / chunk)).drop("rank", "first_")
+    else:
+        c = c.withColumn("chunk", F.lit(0).cast("bigint"))
     k = c.select(*keys, *[F.col(x).alias(f"{x}_same") for x in same], "id", "site", "object_type", "motif", "len", "chunk", F.inline(_holes())).withColumn("key", F.xxhash64("before", "after"))
     by = [*keys, *[f"{x}_same" for x in same], "len", "chunk", "position", "key"]
     a, b = k.select(*by, *[F.col(x).alias(f"{x}_a") for x in ("id", "sign", "before", "after", "site", "object_type", "motif")]), k.select(*by, *[F.col(x).alias(f"{x}_b") for x in ("id", "sign", "before", "after", "site", "object_type", "motif")])
@@ -177,3 +182,40 @@ def modularity_classes(edge_table: DataFrame, most: int = 100_000) -> DataFrame:
         degree[a] += degree.pop(b)
     rows = [(s, min(g)) for g in groups.values() if len(g) > 1 for s in g]
     return edge_table.sparkSession.createDataFrame(rows, "sign string, community string")
+
+
+def summaries(pairs: DataFrame, members: DataFrame, examples: int = 5) -> DataFrame:
+    """component, size, signs (sorted) and the first ``examples`` pairs within each class of ``members``, in order of ids and position."""
+    sizes = members.groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_set("sign")).alias("signs"))
+    inside = pairs.join(members.select(F.col("sign").alias("sign_a"), "component"), "sign_a")
+    order = Window.partitionBy("component").orderBy("id_a", "id_b", "position")
+    few = inside.withColumn("rank_", F.row_number().over(order)).where(F.col("rank_") <= examples)
+    told = few.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank_", "sign_a", "sign_b"))), lambda x: F.concat(x["sign_a"], F.lit(">"), x["sign_b"])).alias("examples"))
+    return sizes.join(told, "component", "left")
+
+
+def mean_similarity(members: DataFrame, vectors: DataFrame, *keys: str) -> DataFrame:
+    """keys, members, similarity: the mean cosine over all pairs of a group's signs, null for under two.
+
+    No pair is formed: of unit vectors, the squared length of the sum is the members' number and twice all cosines.
+    ``members``: keys, sign. ``vectors``: sign, vector (zero ones count as no similarity).
+    """
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
+    unit = vectors.withColumn("norm_", norm).select("sign", (F.col("norm_") > 0).cast("int").alias("solid_"), F.when(F.col("norm_") > 0, F.transform("vector", lambda x: x / F.col("norm_"))).otherwise(F.col("vector")).alias("unit_"))
+    own = members.join(unit, "sign")
+    sizes = own.groupBy(*keys).agg(F.count("*").alias("members"), F.sum("solid_").alias("solid_"))
+    sums = own.select(*keys, F.posexplode("unit_").alias("at_", "x_")).groupBy(*keys, "at_").agg(F.sum("x_").alias("x_")).groupBy(*keys).agg(F.sum(F.col("x_") * F.col("x_")).alias("length_"))
+    k = F.col("members")
+    return sizes.join(sums, list(keys)).select(*keys, "members", F.when(k > 1, (F.col("length_") - F.col("solid_")) / (k * (k - 1))).alias("similarity"))
+
+
+def corroborated(members: DataFrame, vectors: DataFrame, draws: int = 200, seed: int = 0) -> DataFrame:
+    """component, members, similarity, baseline (the mean of ``draws`` sets of as many signs, drawn by hash) and whether the class is more alike than that."""
+    own = mean_similarity(members, vectors, "component").where("members > 1")
+    numbered = global_rank(vectors.select("sign"), "sign").withColumnRenamed("rank", "number_")
+    n = numbered.count()
+    asked = own.select("component", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), "members").select("component", "draw", F.explode(F.sequence(F.lit(1), F.col("members"))).alias("j"))
+    asked = asked.withColumn("number_", F.floor(uniform(seed, F.col("component"), F.col("draw"), F.col("j")) * n))
+    drawn = asked.join(numbered, "number_").select("component", "draw", "sign").distinct()
+    baseline = mean_similarity(drawn, vectors, "component", "draw").groupBy("component").agg(F.avg("similarity").alias("baseline"))
+    return own.join(baseline, "component", "left").withColumn("corroborated", F.col("similarity") > F.col("baseline"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signflow.functions.portable import folds, uniform, wilson
-from signflow.operators import ngram, nulls, stats, substitution, vectors
+from signflow.operators import ngram, nulls, resampling, stats, substitution, vectors
 from signflow.operators.tokens import tokens
 from signflow.sources import corpus as source
 
@@ -183,6 +183,61 @@ def kn_gain_by_discount(spark, sf_dir):
     return df.withColumns({"perplexity": F.round("perplexity", 4), "gain": F.round("gain", 5)})
 
 
+@query(f"""{FOLDS}, v AS (SELECT count(*) + 1 AS v FROM uni), p AS (SELECT he.k,
+  (coalesce(g1.n, 0) + 0.5) / (coalesce(t1.t, 0) + 0.5 * v) AS p1, (coalesce(g2.n, 0) + 0.5) / (coalesce(t2.t, 0) + 0.5 * v) AS p2, (coalesce(g3.n, 0) + 0.5) / (coalesce(t3.t, 0) + 0.5 * v) AS p3
+  FROM he CROSS JOIN v LEFT JOIN g1 USING (k, w) LEFT JOIN t1 USING (k) LEFT JOIN g2 USING (k, c1, w) LEFT JOIN t2 USING (k, c1) LEFT JOIN g3 USING (k, c1, c2, w) LEFT JOIN t3 USING (k, c1, c2)),
+f AS (SELECT 1 AS o, k, pow(2, -avg(log2(p1))) AS x FROM p GROUP BY k UNION ALL SELECT 2, k, pow(2, -avg(log2(p2))) FROM p GROUP BY k UNION ALL SELECT 3, k, pow(2, -avg(log2(p3))) FROM p GROUP BY k)
+SELECT o AS "order", round(avg(x), 4) AS perplexity FROM f GROUP BY 1""")
+def addalpha_mean_ppl(spark, sf_dir):
+    """The mean over the folds."""
+    df = ngram.add_alpha(folds(_orders(spark, sf_dir).select("id", "signs"), 5))
+    return df.groupBy("order").agg(F.round(F.avg("perplexity"), 4).alias("perplexity"))
+
+
+def _curve_sql(orders: int, discounts: tuple[float, ...]) -> str:
+    """``ppl`` (o, dis, k, p) in SQL for any number of orders: counts by order and fold, then one interpolation after another."""
+    ctx = lambda o: "".join(f", c{j}" for j in range(1, o))
+    parts = [f"x6 AS (SELECT fold, sign AS w{''.join(f', lag(sign, {j}, chr(60) || chr(83) || chr(62)) OVER q AS c{j}' for j in range(1, orders))} FROM (SELECT id, fold, unnest(signs) AS sign, unnest(range(len(signs))) AS pos FROM fo) WINDOW q AS (PARTITION BY id ORDER BY pos))".replace("chr(60) || chr(83) || chr(62)", "'<S>'")]
+    parts += [f"y AS (SELECT fold, w{ctx(orders)}, count(*) AS n FROM x6 GROUP BY ALL)", f"tr6 AS (SELECT ks.k, w{ctx(orders)}, sum(n) AS n FROM y JOIN ks ON fold <> ks.k GROUP BY ALL)", f"he6 AS (SELECT fold AS k, w{ctx(orders)}, n AS held FROM y WHERE fold >= 0)"]
+    parts += ["b AS (SELECT DISTINCT k, c1, w FROM tr6), bw AS (SELECT k, w, count(*) AS kinds FROM b GROUP BY ALL), bk AS (SELECT k, count(*) AS kinds FROM b GROUP BY ALL)", f"ds AS (SELECT unnest([{', '.join(map(str, discounts))}])::DOUBLE AS dis)"]
+    parts += [f"h{o} AS (SELECT k, w{ctx(o)}, sum(n) AS n FROM tr6 GROUP BY ALL), s{o} AS (SELECT k{ctx(o)}, sum(n) AS t, count(*) AS d FROM h{o} GROUP BY ALL)" for o in range(1, orders + 1)]
+    parts.append("q0 AS (SELECT he6.*, dis, coalesce(bw.kinds, 0) / bk.kinds::DOUBLE AS p0 FROM he6 CROSS JOIN ds JOIN bk USING (k) LEFT JOIN bw USING (k, w))")
+    for o in range(1, orders + 1):
+        parts.append(f"q{o} AS (SELECT q{o - 1}.*, CASE WHEN s{o}.t IS NULL THEN p{o - 1} ELSE greatest(coalesce(h{o}.n, 0) - dis, 0) / s{o}.t::DOUBLE + dis * s{o}.d / s{o}.t::DOUBLE * p{o - 1} END AS p{o} FROM q{o - 1} LEFT JOIN h{o} USING (k, w{ctx(o)}) LEFT JOIN s{o} USING (k{ctx(o)}))")
+    parts.append("ppl AS (" + " UNION ALL ".join(f"SELECT {o} AS o, dis, k, pow(2, -sum(held * log2(greatest(p{o}, 1e-12))) / sum(held)) AS p FROM q{orders} GROUP BY ALL" for o in range(1, orders + 1)) + ")")
+    return f"{FOLDS}, " + ", ".join(parts)
+
+
+SWEEP = (0.5, 0.6, 0.7, 0.75, 0.8, 0.9)
+
+
+@query(f'{_curve_sql(6, (0.75,))}, m AS (SELECT o, dis, avg(p) AS p FROM ppl GROUP BY ALL) SELECT dis AS discount, o AS "order", round(p, 4) AS perplexity, round(log2(lag(p) OVER (PARTITION BY dis ORDER BY o)) - log2(p), 5) AS gain FROM m')
+def entropy_curve(spark, sf_dir):
+    """Orders one to six: perplexity and the information that each order adds."""
+    df = ngram.gains(ngram.kneser_ney(folds(_orders(spark, sf_dir).select("id", "signs"), 5), 6, (0.75,)))
+    return df.withColumns({"perplexity": F.round("perplexity", 4), "gain": F.round("gain", 5)})
+
+
+@query(f"""{_curve_sql(3, SWEEP)}, m AS (SELECT o, dis, avg(p) AS p FROM ppl GROUP BY ALL), g AS (SELECT dis, max(log2(p)) FILTER (o = 1) - max(log2(p)) FILTER (o = 2) AS g2, max(log2(p)) FILTER (o = 2) - max(log2(p)) FILTER (o = 3) AS g3 FROM m GROUP BY 1)
+SELECT dis AS discount, round(g2, 5) AS gain_2, round(g3, 5) AS gain_3, g2 > 0 AND g2 > g3 AS holds FROM g""")
+def discount_sweep(spark, sf_dir):
+    """Six discounts: whether the second order gains, and more than the third, whatever the discount."""
+    g = ngram.gains(ngram.kneser_ney(folds(_orders(spark, sf_dir).select("id", "signs"), 5), 3, SWEEP))
+    of = lambda k: F.max(F.when(F.col("order") == k, F.col("gain")))
+    wide = g.groupBy("discount").agg(of(2).alias("gain_2"), of(3).alias("gain_3"))
+    return wide.select("discount", F.round("gain_2", 5).alias("gain_2"), F.round("gain_3", 5).alias("gain_3"), ((F.col("gain_2") > 0) & (F.col("gain_2") > F.col("gain_3"))).alias("holds"))
+
+
+@query(f"""{WITH}, r AS (SELECT site, id, signs, row_number() OVER (PARTITION BY site ORDER BY md5('0|' || id), id) - 1 AS r, greatest(count(*) OVER (PARTITION BY site) // 3, 1) AS size FROM corpus),
+fo AS (SELECT site, id, signs, CASE WHEN r < 3 * size THEN r // size ELSE -1 END AS fold FROM r), x AS (SELECT site, fold, sign AS w, lag(sign, 1, '<S>') OVER (PARTITION BY id ORDER BY pos) AS c1 FROM (SELECT site, id, fold, unnest(signs) AS sign, unnest(range(len(signs))) AS pos FROM fo)),
+ks AS (SELECT unnest(range(3)) AS k), tr AS (SELECT site, k, w, c1, count(*) AS n FROM x JOIN ks ON fold <> k GROUP BY ALL), he AS (SELECT site, fold AS k, w, c1, count(*) AS held FROM x WHERE fold >= 0 GROUP BY ALL), v AS (SELECT site, count(DISTINCT w) + 1 AS v FROM x GROUP BY 1),
+h1 AS (SELECT site, k, w, sum(n) AS n FROM tr GROUP BY ALL), s1 AS (SELECT site, k, sum(n) AS t FROM tr GROUP BY ALL), s2 AS (SELECT site, k, c1, sum(n) AS t FROM tr GROUP BY ALL),
+p AS (SELECT site, k, held, (coalesce(h1.n, 0) + 0.5) / (coalesce(s1.t, 0) + 0.5 * v) AS p1, (coalesce(tr.n, 0) + 0.5) / (coalesce(s2.t, 0) + 0.5 * v) AS p2 FROM he JOIN v USING (site) LEFT JOIN h1 USING (site, k, w) LEFT JOIN s1 USING (site, k) LEFT JOIN tr USING (site, k, w, c1) LEFT JOIN s2 USING (site, k, c1)),
+f AS (SELECT site, k, pow(2, -sum(held * log2(p1)) / sum(held)) AS x1, pow(2, -sum(held * log2(p2)) / sum(held)) AS x2 FROM p GROUP BY 1, 2) SELECT site, round(avg(x2) / avg(x1), 5) AS ratio FROM f GROUP BY 1""")
+def perplexity_ratio_by_site(spark, sf_dir):
+    return ngram.perplexity_ratio(_orders(spark, sf_dir), "site").withColumn("ratio", F.round("ratio", 5))
+
+
 PAIRS = f"""{WITH}, ch AS (SELECT id, site, object_type, motif, signs, len(signs) AS len, (row_number() OVER (PARTITION BY len(signs) ORDER BY id) - 1) // 400 AS chunk FROM corpus),
 ho AS (SELECT * EXCLUDE (signs, p), p - 1 AS position, signs[p] AS sign, signs[1:p-1] AS pre, signs[p+1:] AS suf FROM (SELECT *, unnest(range(1, len(signs) + 1)) AS p FROM ch)),
 mp AS (SELECT a.id AS id_a, b.id AS id_b, a.len::INT AS len, a.position::INT AS position, a.sign AS sign_a, b.sign AS sign_b, a.site AS site_a, a.motif AS motif_a,
@@ -327,6 +382,60 @@ def class_positions_whole(spark, sf_dir):
     return _rounded(found, "mean_final", "std_final", "mean_initial", "std_initial", "top_share")
 
 
+WHOLE = PAIRS.replace(RUNS, "0 AS chunk")
+CLASSES = COMPONENTS.replace(RUNS, "0 AS chunk") + ", cl AS (SELECT s AS sign, min(c) AS component FROM re GROUP BY 1)"
+
+
+@query(f"""{CLASSES}, ex AS (SELECT component, sign_a || '>' || sign_b AS x, row_number() OVER (PARTITION BY component ORDER BY id_a, id_b, position) AS r FROM mp JOIN cl ON sign = sign_a WHERE same_motif)
+SELECT component, size, signs, examples FROM (SELECT component, count(*)::BIGINT AS size, string_agg(sign, ',' ORDER BY sign) AS signs FROM cl GROUP BY 1) JOIN (SELECT component, string_agg(x, ',' ORDER BY r) AS examples FROM ex WHERE r <= 5 GROUP BY 1) USING (component)""")
+def class_summaries(spark, sf_dir):
+    """Classes of the motif tier with their first five pairs."""
+    c = _orders(spark, sf_dir)
+    pairs = substitution.tier(substitution.minimal_pairs(c, None, same=("site", "object_type", "motif")), "motif")
+    found = substitution.summaries(pairs, substitution.classes(_motif_edges(c)))
+    return found.select("component", "size", F.array_join("signs", ",").alias("signs"), F.array_join("examples", ",").alias("examples"))
+
+
+@query(f"""{CLASSES} SELECT (SELECT count(*) FROM corpus)::BIGINT AS n, (SELECT count(*) FILTER (motif <> 'unknown') FROM corpus)::BIGINT AS n_known_motif, (SELECT count(*) FROM mp)::BIGINT AS n_pairs, (SELECT count(*) FROM mp WHERE context)::BIGINT AS n_context, (SELECT count(*) FROM mp WHERE same_motif)::BIGINT AS n_motif,
+  (SELECT count(*) FROM ed)::BIGINT AS n_edges, (SELECT count(*) FROM me)::BIGINT AS n_motif_edges, (SELECT count(DISTINCT component) FROM cl)::BIGINT AS n_classes, (SELECT max(n) FROM (SELECT count(*) AS n FROM cl GROUP BY component))::BIGINT AS largest""")
+def pair_report(spark, sf_dir):
+    """Minimal pairs, graph and classes in one row."""
+    c = _orders(spark, sf_dir)
+    one = c.agg(F.count("*").alias("n"), F.count_if(F.col("motif") != "unknown").alias("n_known_motif"))
+    for name, tier in (("n_pairs", "all"), ("n_context", "context"), ("n_motif", "motif")):
+        one = one.join(F.broadcast(substitution.pair_counts(c, tier).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))))
+    motif = _motif_edges(c)
+    sizes = substitution.classes(motif).groupBy("component").agg(F.count("*").alias("size"))
+    for df in (substitution.edges(substitution.pair_counts(c)).agg(F.count("*").alias("n_edges")), motif.agg(F.count("*").alias("n_motif_edges")), sizes.agg(F.count("*").alias("n_classes"), F.max("size").alias("largest"))):
+        one = one.join(F.broadcast(df))
+    return one
+
+
+@query(f"{WHOLE} SELECT u, v, contexts::BIGINT AS distinct_contexts FROM ed ORDER BY 3 DESC, 1, 2 LIMIT 10")
+def edges_by_contexts(spark, sf_dir):
+    """A top-10 report."""
+    return substitution.distinct_contexts_whole(_orders(spark, sf_dir)).orderBy(F.desc("distinct_contexts"), "u", "v").limit(10)
+
+
+@query(_registry["llr_bigrams"][1] + " ORDER BY g2 DESC, a, b LIMIT 10")
+def llr_top(spark, sf_dir):
+    """A top-10 report."""
+    return llr_bigrams(spark, sf_dir).orderBy(F.desc("g2"), "a", "b").limit(10)
+
+
+@query()
+def class_corroboration(spark, sf_dir):
+    """Whether classes of substitutable signs are alike in what stands beside them: mean cosine of PPMI rows against sets drawn by hash."""
+    c = _orders(spark, sf_dir)
+    p = vectors.ppmi(vectors.cooccurrence(c))
+    at = p.select(F.col("b").alias("sign")).distinct()
+    columns = at.agg(F.array_sort(F.collect_list("sign")).alias("signs_"))  # the vocabulary
+    rows = p.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "ppmi"))).alias("m_")).join(F.broadcast(columns))
+    vector = F.transform("signs_", lambda x: F.coalesce(F.try_element_at("m_", x), F.lit(0.0)))
+    found = substitution.corroborated(_motif_classes(c), rows.select(F.col("a").alias("sign"), vector.alias("vector")), 50, 3)
+    return _rounded(found, "similarity", "baseline")
+
+
 def _joined(df):
     return df.select("id", F.array_join("signs", " ").alias("signs"))
 
@@ -358,17 +467,80 @@ def portable_uniform(spark, sf_dir):
     return _orders(spark, sf_dir).select("id", uniform("u", F.col("id")).alias("u"))
 
 
-@query()
+def _u(*parts: str) -> str:
+    """A hashed number from 0 to 1 in SQL."""
+    return f"('0x' || substr(md5({' || chr(124) || '.join(parts)}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def _drawn(stratum: str, n: int, seed: int, corpus: str = "corpus") -> str:
+    """``nl`` (k, stratum, signs) in SQL: rows drawn from the marginals of their stratum, or the pooled ones."""
+    u = lambda *parts: _u(f"'{seed}'", *parts)
+    return f"""sc AS (SELECT signs, {stratum} AS stratum FROM {corpus}), ss AS (SELECT stratum, count(*) AS n, CASE WHEN count(*) >= 20 THEN stratum ELSE '__pooled__' END AS source FROM sc GROUP BY 1),
+so AS (SELECT stratum AS source, signs FROM sc UNION ALL SELECT '__pooled__', signs FROM sc),
+mg AS (SELECT source, 'len' AS kind, lpad(len(signs)::VARCHAR, 6, '0') AS sign FROM so UNION ALL SELECT source, 'first', signs[1] FROM so UNION ALL SELECT source, 'last', signs[-1] FROM so WHERE len(signs) > 1 UNION ALL SELECT source, 'any', unnest(signs) FROM so
+  UNION ALL SELECT '', 'stratum', stratum FROM sc),
+iv AS (SELECT *, hi - n AS lo FROM (SELECT source, kind, sign, n, sum(n) OVER (PARTITION BY source, kind ORDER BY sign ROWS UNBOUNDED PRECEDING) AS hi, sum(n) OVER (PARTITION BY source, kind) AS total FROM (SELECT source, kind, sign, count(*) AS n FROM mg GROUP BY ALL))),
+nk AS (SELECT k, {u("'stratum'", "k")} AS u0, {u("'length'", "k")} AS u1 FROM (SELECT unnest(range({n})) AS k)),
+ns AS (SELECT k, u1, sign AS stratum, ss.source FROM nk JOIN iv ON kind = 'stratum' AND floor(u0 * total) >= lo AND floor(u0 * total) < hi JOIN ss ON ss.stratum = sign),
+nn AS (SELECT k, stratum, ns.source, sign::INT AS len FROM ns JOIN iv ON iv.source = ns.source AND kind = 'len' AND floor(u1 * total) >= lo AND floor(u1 * total) < hi),
+np AS (SELECT k, stratum, source, pos, CASE WHEN pos = 0 THEN 'first' WHEN pos = len - 1 THEN 'last' ELSE 'any' END AS kind, {u("'sign'", "k", "pos")} AS u FROM (SELECT *, unnest(range(len)) AS pos FROM nn)),
+nl AS (SELECT k, stratum, list(sign ORDER BY pos) AS signs FROM np JOIN iv ON iv.source = np.source AND iv.kind = np.kind AND floor(u * total) >= lo AND floor(u * total) < hi GROUP BY 1, 2)"""
+
+
+def _null_sql(stratum: str) -> str:
+    return f"{WITH}, {_drawn(stratum, 2000, 42)} SELECT format('NULL-{{:05d}}', k) AS id, array_to_string(signs, ' ') AS signs FROM nl"
+
+
+@query(_null_sql("'all'"))
 def matched_null(spark, sf_dir):
-    """Drawn from marginals: tested by its invariants."""
     return _joined(nulls.matched_null(_orders(spark, sf_dir), 2000, 42))
 
 
-@query()
+@query(_null_sql("concat_ws('|', site, motif)"))
 def stratified_null(spark, sf_dir):
     return _joined(nulls.matched_null(_orders(spark, sf_dir), 2000, 42, F.concat_ws("|", "site", source.broad_motif(F.col("motif")))))
 
 
+@query(_null_sql("site"))
+def site_null(spark, sf_dir):
+    return _joined(nulls.matched_null(_orders(spark, sf_dir), 2000, 42, F.col("site")))
+
+
+@query(_null_sql("motif"))
+def motif_null(spark, sf_dir):
+    return _joined(nulls.matched_null(_orders(spark, sf_dir), 2000, 42, source.broad_motif(F.col("motif"))))
+
+
+@query(f"""{WITH}, {_drawn("'all'", 10000, 5)}, re AS (SELECT count(DISTINCT signs) / count(*)::DOUBLE AS x FROM (SELECT signs FROM corpus QUALIFY row_number() OVER (ORDER BY md5('0|5|' || id), id) <= 500)),
+tr AS (SELECT k // 500 AS trial, count(DISTINCT signs) / count(*)::DOUBLE AS x FROM nl GROUP BY 1)
+SELECT count(*)::BIGINT AS n, round(avg(tr.x), 6) AS mean, round(min(tr.x), 6) AS low, round(max(tr.x), 6) AS high, round(stddev_pop(tr.x), 6) AS sd, round(any_value(re.x), 6) AS real, round(avg((tr.x >= re.x)::INT::DOUBLE), 6) AS p_value FROM tr CROSS JOIN re""")
+def uniqueness_against_null_trials(spark, sf_dir):
+    """Uniqueness of 500 rows (a sampling operator) against 20 null trials of as many rows."""
+    c = _orders(spark, sf_dir)
+    real = stats.uniqueness(nulls.subsample(c, 500, 1, 5)).select(F.col("uniqueness").alias("real_"))
+    trials = stats.uniqueness(nulls.matched_null(c, 500, 5, trials=20), "trial").join(F.broadcast(real))
+    return _rounded(resampling.over_trials(trials, "uniqueness", F.col("real_")), "mean", "low", "high", "sd", "real", "p_value")
+
+
+@query(f"""{WITH}, f AS (SELECT t AS trial, id, signs FROM corpus CROSS JOIN (SELECT unnest(range(8)) AS t) QUALIFY row_number() OVER (PARTITION BY t ORDER BY md5(t || '|0|' || id), id) <= 500),
+g AS (SELECT trial, id, unnest(signs) AS sign, unnest(range(len(signs))) AS pos FROM f), sh AS (SELECT trial, id, list(sign ORDER BY md5('3|' || id || '|' || pos), pos) AS signs FROM g GROUP BY 1, 2),
+al AS (SELECT 'real' AS label, trial, signs FROM f UNION ALL SELECT 'within', trial, signs FROM sh),
+bg AS (SELECT label, trial, a, b, count(*) AS n FROM (SELECT label, trial, unnest(signs[:-2]) AS a, unnest(signs[2:]) AS b FROM al WHERE len(signs) > 1) GROUP BY ALL),
+en AS (SELECT label, trial, -sum(n / t::DOUBLE * log2(n / m::DOUBLE)) AS entropy FROM (SELECT label, trial, n, sum(n) OVER (PARTITION BY label, trial, a) AS m, sum(n) OVER (PARTITION BY label, trial) AS t FROM bg) GROUP BY 1, 2),
+un AS (SELECT label, trial, count(DISTINCT signs) / count(*)::DOUBLE AS uniqueness, avg(len(signs)) AS mean_len FROM al GROUP BY 1, 2),
+fe AS (SELECT label, avg(entropy) AS entropy, avg(uniqueness) AS uniqueness, avg(mean_len) AS mean_len FROM en JOIN un USING (label, trial) GROUP BY 1),
+lo AS (UNPIVOT fe ON entropy, uniqueness, mean_len INTO NAME feature VALUE mean)
+SELECT n.label, n.feature, round(n.mean, 6) AS mean, round(r.mean, 6) AS real_mean, round(abs(r.mean - n.mean) / (abs(r.mean) + 1e-9) * 100, 4) AS pct_diff FROM lo n JOIN lo r ON n.feature = r.feature AND r.label = 'real' AND n.label <> 'real'""")
+def feature_differences(spark, sf_dir):
+    """Mean features of eight samples of 500 rows and of their shuffles: how far the shuffle moves each."""
+    sample = nulls.subsample(_orders(spark, sf_dir), 500, 8, 0).select("trial", "id", "signs")
+    every = sample.withColumn("label", F.lit("real")).unionByName(nulls.within_shuffle(sample, 3).withColumn("label", F.lit("within")))
+    keys = ("label", "trial")
+    f = stats.conditional_entropy(every, *keys).join(stats.uniqueness(every, *keys).select(*keys, "uniqueness"), list(keys)).join(stats.summary(every, *keys).select(*keys, "mean_len"), list(keys))
+    d = resampling.differences(f, "label", "real", ["entropy", "uniqueness", "mean_len"])
+    return _rounded(d, "mean", "real_mean").withColumn("pct_diff", F.round("pct_diff", 4))
+
+
 @query()
 def bigram_markov_null(spark, sf_dir):
     return _joined(nulls.markov_null(_orders(spark, sf_dir), 2000, 1, 42))
@@ -449,6 +621,70 @@ def civilization_leave_one_out(spark, sf_dir):
     return vectors.nearest_centroid(f.withColumn("query", F.concat_ws("-", "label", "instance")), FEATURES, "query", "label").select("query", "actual", "predicted", F.round("distance", 4).alias("distance"))
 
 
+@query()
+def leave_one_out_accuracy(spark, sf_dir):
+    """Of the synthetic corpora, overall (label null) and by label."""
+    hit = civilization_leave_one_out(spark, sf_dir).withColumn("hit", (F.col("actual") == F.col("predicted")).cast("double"))
+    return hit.rollup(F.col("actual").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"))
+
+
+@query()
+def site_features(spark, sf_dir):
+    """The six features of each site's corpus."""
+    f = resampling.features(_orders(spark, sf_dir), "site")
+    return f.select("site", *[F.round(n, 3).alias(n) for n in resampling.FEATURES])
+
+
+def _labelled(spark):
+    r = resampling.features(resampling.references(spark), "key")
+    return r.select(F.split_part("key", F.lit("/"), F.lit(1)).alias("label"), *resampling.FEATURES)
+
+
+@query()
+def sample_size_curve(spark, sf_dir):
+    """Labels that samples of several sizes are given (ten trials each): share, error and interval."""
+    c = _orders(spark, sf_dir)
+    rows = [nulls.subsample(c, n, 10, n).select(F.concat_ws("/", F.lit(str(n)), F.col("trial").cast("string")).alias("query"), "id", "signs") for n in (100, 500, 1000)]
+    f = resampling.features(reduce(DataFrame.unionByName, rows), "query")
+    shares = resampling.label_shares(resampling.classify(f, _labelled(spark)).withColumn("n_rows", F.split_part("query", F.lit("/"), F.lit(1)).cast("int")), "n_rows")
+    return _rounded(shares, "share", "error", "low", "high")
+
+
+@query()
+def subsample_interval(spark, sf_dir):
+    """The label of 80% samples without replacement, of each site, with its interval, and whether it is clear."""
+    c = _orders(spark, sf_dir)
+    fanned = c.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(4)))).where(uniform(F.col("trial"), 42, F.col("id")) < 0.8)
+    f = resampling.features(fanned.withColumn("query", F.concat_ws("/", "site", F.col("trial").cast("string"))), "query")
+    named = resampling.classify(f, _labelled(spark)).withColumn("site", F.split_part("query", F.lit("/"), F.lit(1)))
+    shares = resampling.label_shares(named, "site").withColumn("verdict", resampling.verdict(F.col("share"), 0.85, 0.65, ("clear", "mixed", "unclear")))
+    return _rounded(shares, "share", "error", "low", "high")
+
+
+@query()
+def control_verdict(spark, sf_dir):
+    """Whether the corpus' entropy lies between a rigid and a random control."""
+    e = entropy_against_controls(spark, sf_dir)
+    of = lambda k: F.max(F.when(F.col("label") == k, F.col("entropy"))).alias(k)
+    one = e.agg(of("rigid"), of("corpus"), of("random"))
+    return one.withColumn("verdict", F.when((F.col("rigid") < F.col("corpus")) & (F.col("corpus") < F.col("random")), "intermediate").otherwise("outside"))
+
+
+@query(f"""{WITH} SELECT * FROM (VALUES ('rows', CASE WHEN (SELECT count(*) > 0 FROM corpus) THEN 'PASS' ELSE 'FAIL' END, 'the corpus has rows'), ('lengths', CASE WHEN (SELECT min(len(signs)) >= 1 FROM corpus) THEN 'PASS' ELSE 'FAIL' END, 'no row is empty'),
+  ('mean length', CASE WHEN (SELECT abs(avg(len(signs)) - 4) <= 0.5 FROM corpus) THEN 'PASS' ELSE 'FAIL' END, 'about four signs'), ('stream', 'SKIPPED', 'no stream here')) AS t(name, status, detail)""")
+def check_ledger(spark, sf_dir):
+    one = stats.summary(_orders(spark, sf_dir))
+    checks = [("rows", F.col("n") > 0, "the corpus has rows"), ("lengths", F.col("min_len") >= 1, "no row is empty"), ("mean length", resampling.within(F.col("mean_len"), 4, 0.5), "about four signs"), ("stream", None, "no stream here")]
+    return resampling.ledger(spark, checks, one)
+
+
+@query()
+def demo_corpus_summary(spark, sf_dir):
+    """What the generator of the demo corpus makes."""
+    c = nulls.demo_corpus(spark)
+    return _rounded(stats.summary(source.keep(c)), "mean_len")
+
+
 @query(f"""{WITH}, s AS (SELECT count(*) AS n_signs, count(*) FILTER (f) AS n_beginners, count(*) FILTER (l) AS n_enders, count(*) FILTER (o) AS n_solo FROM (SELECT sign, bool_and(pos = 0) AS f, bool_and(pos = len - 1) AS l, bool_and(len = 1) AS o FROM tok GROUP BY 1))
 SELECT n_signs::BIGINT AS n_signs, n_beginners::BIGINT AS n_beginners, n_enders::BIGINT AS n_enders, n_solo::BIGINT AS n_solo, (SELECT count(*) FROM big)::BIGINT AS n_edges,
   (SELECT count(*) FROM big x JOIN big y ON x.a = y.b AND x.b = y.a)::BIGINT AS n_mutual, round((SELECT count(*) FROM big) / (n_signs * n_signs)::DOUBLE, 6) AS connectivity FROM s""")
@@ -489,7 +725,15 @@ def event_windows(spark, sf_dir):
     return windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-@query()
+#: Trials of restoration in SQL: what all other rows say about the sign after the one before.
+RESTORED = f"""{WITH}, x AS (SELECT id, pos, sign AS w, lag(sign, 1, '<S>') OVER (PARTITION BY id ORDER BY pos) AS c1 FROM tok), su AS (SELECT id, len(signs) AS len FROM corpus WHERE len(signs) > 1 QUALIFY row_number() OVER (ORDER BY md5('0|11|' || id), id) <= 300),
+ask AS (SELECT x.id, x.pos, x.c1, x.w AS truth FROM su JOIN x ON x.id = su.id AND x.pos = floor({_u("'11'", "su.id")} * su.len)), tot AS (SELECT c1, w, count(*) AS n FROM x GROUP BY 1, 2), own AS (SELECT id, c1, w, count(*) AS n FROM x GROUP BY ALL),
+gr AS (SELECT ask.id, ask.pos, truth, v.w, coalesce(tot.n, 0) - coalesce(own.n, 0) AS c, (SELECT count(*) FROM uni) AS nv FROM ask CROSS JOIN (SELECT sign AS w FROM uni) v LEFT JOIN tot ON tot.c1 = ask.c1 AND tot.w = v.w LEFT JOIN own ON own.id = ask.id AND own.c1 = ask.c1 AND own.w = v.w),
+pr AS (SELECT *, (c + 0.5) / (sum(c) OVER (PARTITION BY id, pos) + 0.5 * nv)::DOUBLE AS p FROM gr), ra AS (SELECT *, row_number() OVER z AS r, coalesce(sum(p) OVER (PARTITION BY id, pos ORDER BY p DESC, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(p) OVER (PARTITION BY id, pos) < 0.9 AS kept FROM pr WINDOW z AS (PARTITION BY id, pos ORDER BY p DESC, w)),
+res AS (SELECT id, pos::INT AS pos, truth, max(w) FILTER (r = 1) AS predicted, count(*) FILTER (kept)::BIGINT AS set_size, bool_or(kept AND w = truth) AS in_set FROM ra GROUP BY id, pos, truth)"""
+
+
+@query(f"{RESTORED} SELECT * FROM res")
 def restoration(spark, sf_dir):
     """300 masked signs (a sampling operator): what the other rows predict."""
     c = _orders(spark, sf_dir).select("id", "signs")
@@ -498,6 +742,11 @@ def restoration(spark, sf_dir):
     return ngram.restoration(c, trials)
 
 
+@query(f"{RESTORED} SELECT count(*)::BIGINT AS n, round(avg((predicted = truth)::INT::DOUBLE), 6) AS accuracy, round(avg(in_set::INT::DOUBLE), 6) AS set_accuracy, round(avg(set_size), 6) AS mean_set_size FROM res")
+def restoration_summary(spark, sf_dir):
+    return _rounded(ngram.restored(restoration(spark, sf_dir)), "accuracy", "set_accuracy", "mean_set_size")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _registry.items()}
 
