@@ -169,7 +169,7 @@ def sketch(docs: DataFrame, trees: int, depth: int) -> DataFrame:
 
 
 def tries(classes: DataFrame, trees: int, depth: int, floor: int) -> tuple[DataFrame, str]:
-    """tree, prev, cid, shared: neighbours in the sorted signatures of a tree that share at least ``floor`` min-hashes; and where they are written.
+    """tree, cid, shared, heads: of each row of a tree's sorted signatures that shares at least ``floor`` min-hashes with the row before, how many, and the first class of its run at each length from ``floor`` on; and where they are written.
 
     Rows are sorted by ranges of (tree, signature, class), which are unique, so equal signatures never pile up. The
     driver gets the first and last row of each range, to compare them across the ranges' borders.
@@ -182,12 +182,15 @@ def tries(classes: DataFrame, trees: int, depth: int, floor: int) -> tuple[DataF
     def shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.cumprod(x == y, 1).sum(1)
 
+    lengths = range(floor, depth + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, names = TaskContext.get().partitionId(), None, ["tree", "prev", "cid", "shared", "part", "label"]
+        part, last, names = TaskContext.get().partitionId(), None, ["tree", "cid", "shared", "heads", "part", "label"]
+        heads = [0] * len(lengths)  # of the runs that go on
 
         def border(row: tuple) -> pa.RecordBatch:
             tree, cid, bytes_ = row
-            return pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([None], pa.int64()), pa.array([cid], pa.int64()), pa.array([-1], pa.int32()), pa.array([part], pa.int32()), pa.array([bytes_], pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([cid], pa.int64()), pa.array([-1], pa.int32()), pa.array([None], pa.list_(pa.int64())), pa.array([part], pa.int32()), pa.array([bytes_], pa.binary())], names)
 
         for b in batches:
             if not b.num_rows:
@@ -196,17 +199,22 @@ def tries(classes: DataFrame, trees: int, depth: int, floor: int) -> tuple[DataF
             labels = np.frombuffer(b"".join(b.column("label").to_pylist()), np.uint32).reshape(-1, depth)
             if last is None:
                 yield border((tree[0], cid[0], labels[0].tobytes()))
-                last = (-1, cid[0], labels[0].tobytes())
-            before_tree, before_cid = np.concatenate([[last[0]], tree[:-1]]), np.concatenate([[last[1]], cid[:-1]])
-            before = np.concatenate([np.frombuffer(last[2], np.uint32)[None], labels[:-1]])
+                last = (-1, labels[0].tobytes())
+            before_tree = np.concatenate([[last[0]], tree[:-1]])
+            before = np.concatenate([np.frombuffer(last[1], np.uint32)[None], labels[:-1]])
             length = np.where(before_tree == tree, shared(before, labels), 0)
+            own = np.zeros((len(cid), len(lengths)), np.int64)
+            for j, d in enumerate(lengths):
+                first = np.maximum.accumulate(np.where(length < d, np.arange(len(cid)), -1))
+                own[:, j] = np.where(first < 0, heads[j], cid[first])
+            heads = own[-1].tolist()
             at = np.flatnonzero(length >= floor)
-            yield pa.RecordBatch.from_arrays([pa.array(tree[at], pa.int32()), pa.array(before_cid[at], pa.int64()), pa.array(cid[at], pa.int64()), pa.array(length[at], pa.int32()), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names)
-            last = (tree[-1], cid[-1], labels[-1].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(tree[at], pa.int32()), pa.array(cid[at], pa.int64()), pa.array(length[at], pa.int32()), pa.array(list(own[at]), pa.list_(pa.int64())), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names)
+            last, end = (tree[-1], labels[-1].tobytes()), (tree[-1], cid[-1], labels[-1].tobytes())
         if last is not None:
-            yield border(last)
+            yield border(end)
 
-    found, path = materialize(ordered.mapInArrow(run, "tree int, prev bigint, cid bigint, shared int, part int, label binary"), "tries")
+    found, path = materialize(ordered.mapInArrow(run, "tree int, cid bigint, shared int, heads array<bigint>, part int, label binary"), "tries")
     ends: dict[int, list] = {}
     for r in found.where("shared < 0").select("part", "tree", "cid", "label").orderBy("part", "tree", "label", "cid").collect():  # two rows for each range
         ends.setdefault(r["part"], []).append(r)
@@ -215,10 +223,10 @@ def tries(classes: DataFrame, trees: int, depth: int, floor: int) -> tuple[DataF
         first = ends[part][0]
         if before is not None and before["tree"] == first["tree"]:
             n = int(shared(*(np.frombuffer(bytes(x["label"]), np.uint32)[None] for x in (before, first)))[0])
-            if n >= floor:
-                joined.append((first["tree"], before["cid"], first["cid"], n))
+            if n >= floor:  # the run goes on from the range before: its last row leads to that run's head
+                joined.append((first["tree"], first["cid"], n, [before["cid"] if n >= d else first["cid"] for d in lengths]))
         before = ends[part][-1]
-    within = found.where("shared >= 0").select("tree", "prev", "cid", "shared")
+    within = found.where("shared >= 0").select("tree", "cid", "shared", "heads")
     return within.unionByName(spark.createDataFrame(joined, within.schema)), path
 
 
@@ -339,7 +347,7 @@ def _shared(columns: list[str]) -> Column:
     return F.greatest(F.lit(False), F.lit(False), *[F.min(c) == F.max(c) for c in columns])
 
 
-def match(tried: DataFrame, classes: DataFrame, texts: DataFrame, depths: list[int], before: list[int] | None, depth: int, threshold: float, temporary: list[str]) -> DataFrame:
+def match(tried: DataFrame, classes: DataFrame, texts: DataFrame, depths: list[int], before: list[int] | None, depth: int, floor: int, threshold: float, temporary: list[str]) -> DataFrame:
     """``links`` of all pairs that share a prefix at ``depths`` and shared none at ``before``. Written; adds the paths of what it writes to ``temporary``."""
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -348,7 +356,11 @@ def match(tried: DataFrame, classes: DataFrame, texts: DataFrame, depths: list[i
         return df
 
     trees = len(depths)
-    near = components(tried.where(F.col("shared") >= F.element_at(F.array(*map(F.lit, depths)), F.col("tree") + 1)).select(F.col("prev").alias("a"), F.col("cid").alias("b")))
+    # Runs of many trees overlap: a class is linked to the smallest of its runs' heads, and those heads to that one
+    head = F.element_at("heads", F.element_at(F.array(*map(F.lit, depths)), F.col("tree") + 1) - floor + 1)
+    own_runs = tried.select("cid", head.alias("head")).where("head <> cid").groupBy("cid").agg(F.min("head").alias("b"), F.collect_set("head").alias("heads"))
+    edges = own_runs.select(F.col("cid").alias("a"), "b").unionByName(own_runs.select(F.explode("heads").alias("a"), "b")).where("a <> b").distinct()
+    near = components(edges)
     done = prefixes(before, depth) if before else F.array().cast("array<bigint>")
     member = kept(near.withColumnRenamed("node", "cid").join(classes, "cid").select("component", "cid", "n", "copies", prefixes(depths, depth).alias("now"), done.alias("done")), "members")
     n_members = member.count()
@@ -393,13 +405,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     floor = floor_depth(threshold, recall, trees, depth)
     tried, path = tries(classes, trees, depth, floor)
     temporary.append(path)
-    able = tried.select(F.explode(F.array("prev", "cid")).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid")
+    able = tried.select(F.explode(F.array_append("heads", F.col("cid"))).alias("cid")).distinct().join(classes.select("cid", "rep"), "cid")
     texts = kept(docs.join(able.select("cid", "rep.*"), ["doc_id", "text_hash"]).select("cid", "text").dropDuplicates(["cid"]), "texts")
     adds = {(r["tree"], r["shared"]): r["n"] for r in tried.groupBy("tree", "shared").agg(F.count("*").alias("n")).collect()}  # trees x depth
 
     depths, before, found, least = [depth] * trees, None, [], 1.01
     while True:
-        found.append(match(tried, classes, texts, depths, before, depth, threshold, temporary))
+        found.append(match(tried, classes, texts, depths, before, depth, floor, threshold, temporary))
         seen = found[-1].where("a is null").agg(F.min("b")).first()[0]
         least = least if seen is None else min(least, max(threshold, seen / 100))
         longer = shortened(depths, least if least <= 1 else threshold, recall, adds, floor)
