@@ -110,3 +110,8 @@ def events_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("id"), "signs", F.lit("unknown").alias("site"), F.lit("session").alias("object_type"), F.lit(1).alias("line_count"), F.lit(False).alias("damaged"),
         F.lit("R-L").alias("reading_direction"), F.lit("unknown").alias("motif"), F.lit(0.0).alias("mean_uncertainty"), F.lit("unknown").alias("cisi_number"),
     )
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report (few rows) as one JSON file of a line for each row."""
+    rows.coalesce(1).write.mode("overwrite").json(path)

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +213,146 @@ def test_join_hot(spark, monkeypatch):
     assert skew.join_hot(rows, table, ["k"], "n", 23).count() == 22
     left = skew.join_hot(rows, table, ["k"], "n", 23, "left")
     assert left.count() == 23 and left.columns == ["k", "i", "x"] and left.where("x is null").count() == 1
+
+
+def _corpus(spark, rows):
+    return spark.createDataFrame([(f"T{i:03}", x.split(), f"Site{i % 2}", "seal", "M") for i, x in enumerate(rows)], "id string, signs array<string>, site string, object_type string, motif string")
+
+
+def test_draws_follow_their_table(spark):
+    from signflow.functions.portable import uniform
+    from signflow.operators import nulls
+
+    counts = spark.createDataFrame([("x", "A", 900), ("x", "B", 100), ("y", "C", 1), *[("z", f"w{i}", 1 + 5000 * (i == 3)) for i in range(300)]], "source string, sign string, n bigint")
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 4 == 0, "z").when(F.col("id") % 4 == 3, "none").otherwise("x").alias("source"), uniform("d", F.col("id")).alias("u"))
+    got = nulls.draw(rows, "u", nulls.intervals(counts, "source"), ["source"], "sign").collect()
+    assert len(got) == 3000 and all((r["sign"] is None) == (r["source"] == "none") for r in got)
+    x = [r["sign"] for r in got if r["source"] == "x"]
+    assert 0.86 < x.count("A") / len(x) < 0.94
+    z = [r["sign"] for r in got if r["source"] == "z"]
+    assert 0.9 < z.count("w3") / len(z) < 0.98 and len(set(z)) > 10
+
+
+def test_trials_and_shares(spark):
+    from signflow.operators import resampling
+
+    t = spark.createDataFrame([(i, float(i)) for i in range(10)], "trial int, x double")
+    r = resampling.over_trials(t, "x", 7.0).first()
+    assert (r["n"], r["mean"], r["low"], r["high"], r["p_value"]) == (10, 4.5, 0.0, 9.0, 0.3) and abs(r["sd"] - 2.8722813) < 1e-6
+    shares = {r["predicted"]: r for r in resampling.label_shares(spark.createDataFrame([("a",)] * 3 + [("b",)], "predicted string")).collect()}
+    assert shares["a"]["share"] == 0.75 and abs(shares["a"]["error"] - 0.2165064) < 1e-6 and 0.3 < shares["a"]["low"] < 0.31
+    v = spark.createDataFrame([(0.9,), (0.7,), (0.1,), (None,)], "x double").select(resampling.verdict(F.col("x"), 0.85, 0.65, ("hi", "mid", "lo")).alias("v")).collect()
+    assert [r["v"] for r in v] == ["hi", "mid", "lo", None]
+    f = spark.createDataFrame([("real", 2.0), ("real", 4.0), ("null", 6.0)], "label string, x double")
+    d = resampling.differences(f, "label", "real", ["x"]).first()
+    assert (d["mean"], d["real_mean"]) == (6.0, 3.0) and abs(d["pct_diff"] - 100) < 1e-4
+    one = spark.createDataFrame([(5,)], "n int")
+    got = resampling.ledger(spark, [("a", F.col("n") == 5, ""), ("b", F.col("n") == 6, ""), ("c", None, ""), ("d", resampling.within(F.col("n"), 5.2, 0.3), "")], one).collect()
+    assert [r["status"] for r in got] == ["PASS", "FAIL", "SKIPPED", "PASS"]
+
+
+def test_nearest_reference(spark):
+    from signflow.operators import resampling
+
+    labelled = spark.createDataFrame([("a", 0.0, 1.0), ("a", 0.2, 1.0), ("b", 5.0, 1.0), ("b", 5.4, 1.0)], "label string, x double, y double")
+    queries = spark.createDataFrame([("q", 0.5, 1.0), ("r", 4.0, 1.0)], "query string, x double, y double")
+    got = {r["query"]: r for r in resampling.classify(queries, labelled, ("x", "y")).collect()}
+    assert got["q"]["predicted"] == "a" and got["r"]["predicted"] == "b"
+    x = np.array([0.0, 0.2, 5.0, 5.4, 0.5])
+    assert abs(got["q"]["distance"] - 0.4 / x.std()) < 1e-9
+
+
+def test_perplexity_ratio_matches_a_loop(spark):
+    import hashlib
+
+    from signflow.operators import ngram
+
+    rng = np.random.default_rng(2)
+    rows = [(f"i{i}", " ".join(rng.choice(list("ABCD"), rng.integers(1, 6))).split(), f"s{i % 3}") for i in range(40)]
+    got = {r["site"]: r["ratio"] for r in ngram.perplexity_ratio(spark.createDataFrame(rows, "id string, signs array<string>, site string"), "site").collect()}
+    for site in ("s0", "s1", "s2"):
+        own = sorted((r for r in rows if r[2] == site), key=lambda r: (hashlib.md5(f"0|{r[0]}".encode()).hexdigest(), r[0]))
+        v, size = len({w for r in own for w in r[1]}) + 1, max(1, len(own) // 3)
+        means = []
+        for order in (1, 2):
+            each = []
+            for k in range(3):
+                held, train = own[k * size : (k + 1) * size], own[: k * size] + own[(k + 1) * size :]
+                grams = lambda part: [((("<S>", *r[1])[j],) if order == 2 else (), w) for r in part for j, w in enumerate(r[1])]  # noqa: E731, B023
+                seen = grams(train)
+                p = [(seen.count(g) + 0.5) / (sum(c == g[0] for c, _ in seen) + 0.5 * v) for g in grams(held)]
+                each.append(2 ** -np.mean(np.log2(p)))
+            means.append(np.mean(each))
+        assert abs(got[site] - means[1] / means[0]) < 1e-9
+
+
+def test_class_similarity_equals_its_pairs(spark):
+    from signflow.operators import substitution
+
+    rng = np.random.default_rng(3)
+    v = {f"s{i}": rng.standard_normal(5) for i in range(12)}
+    v["s11"] = np.zeros(5)
+    members = spark.createDataFrame([("a", f"s{i}") for i in range(5)] + [("b", "s10"), ("b", "s11"), ("c", "s7")], "component string, sign string")
+    vectors = spark.createDataFrame([(k, x.tolist()) for k, x in v.items()], "sign string, vector array<double>")
+    got = {r["component"]: r for r in substitution.mean_similarity(members, vectors, "component").collect()}
+    cos = [v[f"s{i}"] @ v[f"s{j}"] / np.linalg.norm(v[f"s{i}"]) / np.linalg.norm(v[f"s{j}"]) for i in range(5) for j in range(i)]
+    assert abs(got["a"]["similarity"] - np.mean(cos)) < 1e-9 and got["b"]["similarity"] == 0 and got["c"]["similarity"] is None
+    found = substitution.corroborated(members, vectors, 20, 1).collect()
+    assert {r["component"] for r in found} == {"a", "b"} and all(r["corroborated"] == (r["similarity"] > r["baseline"]) for r in found)
+
+
+def test_summaries_name_the_first_pairs(spark):
+    from signflow.operators import substitution
+
+    c = _corpus(spark, ["A B C", "X Y", "A B D", "X Z", "A B E", "X Y"])
+    c = c.withColumn("site", F.lit("S"))
+    pairs = substitution.minimal_pairs(c, None)
+    got = {r["component"]: r for r in substitution.summaries(pairs, substitution.classes(substitution.edges(pairs)), 2).collect()}
+    assert got["C"]["signs"] == ["C", "D", "E"] and got["C"]["examples"] == ["C>D", "C>E"] and got["Y"]["size"] == 2 and got["Y"]["examples"] == ["Y>Z", "Z>Y"]
+
+
+def test_generators_keep_their_habits(spark):
+    from signflow.operators import nulls
+
+    c = nulls.demo_corpus(spark, 1500).collect()
+    long = [r["signs"] for r in c if len(r["signs"]) > 1]
+    assert len(c) == 1500 and min(len(r["signs"]) for r in c) >= 1 and max(len(r["signs"]) for r in c) <= 26
+    assert 0.4 < np.mean([s[-1] == "S001" for s in long]) < 0.6 and 0.5 < np.mean([r["signs"][0] in ("S003", "S004", "S005") for r in c]) < 0.7
+    assert 0.05 < np.mean([r["damaged"] for r in c]) < 0.11 and len({r["site"] for r in c}) == 5
+    assert c == nulls.demo_corpus(spark, 1500).collect()
+    d = nulls.civilization(spark, "d", 800, 1).collect()
+    assert all(1 <= len(r["signs"]) <= 14 for r in d) and len({x for r in d for x in r["signs"]}) <= 40
+    for kind in "abce":
+        assert nulls.civilization(spark, kind, 50, 1).where(F.size("signs") > 0).count() == 50
+
+
+def test_controls_and_streams(spark, tmp_path):
+    from signflow.operators import nulls
+    from signflow.sources import corpus
+
+    rows = nulls.rigid_control(spark, 30, 200, 4.2, 5, 1).collect()
+    assert len({tuple(r["signs"]) for r in rows}) <= 5 and {len(r["signs"]) for r in rows} == {4}
+    corpus.write_report(spark.createDataFrame([("a", 1, [1.5])], "k string, n int, x array<double>"), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).first().asDict() == {"k": "a", "n": 1, "x": [1.5]}
+
+
+SQL_QUERIES = ["matched_null", "stratified_null", "uniqueness_against_null_trials", "feature_differences", "entropy_curve", "discount_sweep", "perplexity_ratio_by_site", "class_summaries", "pair_report", "restoration_summary", "check_ledger", "subsample", "minimal_pairs_by_position"]
+
+
+@pytest.mark.parametrize("name", SQL_QUERIES)
+def test_more_queries_equal_sql(spark, name):
+    from collections import Counter
+
+    import duckdb
+
+    from signflow.plans import queries
+
+    con = duckdb.connect()
+    for t in ("lineitem", "part", "orders", "customer", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    found = con.execute(queries.oracle_sql()[name])
+    order = [d[0] for d in found.description]
+    columns = sorted(order)
+    want = Counter(tuple(str(r[order.index(c)]) for c in columns) for r in found.fetchall())
+    df = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    assert sorted(df.columns) == columns and Counter(tuple(str(r[c]) for c in columns) for r in df.collect()) == want
