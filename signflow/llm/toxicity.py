@@ -18,7 +18,7 @@ a logistic curve, fitted to the sample at the shares of all labelled rows, makes
 
 Null and empty texts have no evidence and get the score of that. Repeated rows get equal scores, a null doc_id is
 kept (and in no fold), very long texts and tokens are read whole, without labels of both classes every score is 0,
-an empty table gives no rows. Columns besides those named are ignored; one named ``score`` is replaced.
+without any telling feature (few toxic documents) every score is about the toxic share of the labelled rows, an empty table gives no rows. Columns besides those named are ignored; one named ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -173,9 +173,7 @@ class Model:
         if self.curve is None:
             return 0.0
         at, steep = self.curve
-        e = self.total(text)
-        p = 1 / (1 + np.exp(-(at + steep * e)))
-        return float(p if e else min(p, 0.69))
+        return float(1 / (1 + np.exp(-(at + steep * self.total(text)))))
 
 
 def lower_bound(hits: float, n: float, z: float = 1.96) -> float:
@@ -319,7 +317,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int = MA
                 yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(own, pa.binary()), pa.array([k.tobytes() for k in copy_keys(texts)], pa.binary())], ["toxic", "found", "keys"])
 
         held = rows.mapInArrow(hold, "toxic int, found binary, keys binary").where(F.length("found") > 0).collect()
-        family = families(np.array([np.frombuffer(bytes(r["keys"]), np.int64) for r in held]).reshape(len(held), -1))
+        family = families(np.array([np.frombuffer(bytes(r["keys"]), np.int64) for r in held]).reshape(len(held), COPY_KEYS))
         seen = {(f, r["toxic"], k) for f, r in zip(family.tolist(), held, strict=True) for k in np.frombuffer(bytes(r["found"]), np.int32).tolist()}
         pos, neg = Counter(k for _, y, k in seen if y), Counter(k for _, y, k in seen if not y)
         lift = {names[k]: lower_bound(n, n_pos) / ((neg[k] + 0.5) / (n_neg + 1)) for k, n in pos.items() if n >= SUPPORT}

@@ -396,3 +396,10 @@ def test_long_texts_of_many_matches(spark):
     r = pii.find(docs, model).first()
     assert [tuple(s) for s in r["base"]] == brute_spans(text) and len(r["spans"]) == 9000
     assert pii.redact(docs, model).first()["text"] == " é".join(["[email] [ip] write to [email]"] * 3000)
+
+
+def test_toxicity_without_telling_words(spark):
+    rows = [(i, f"plain words number {i}", int(i < 20)) for i in range(40)] + [(40, None, 0), (41, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score int")
+    got = toxicity.judge(docs.select("doc_id", "text"), docs.select("doc_id", F.lit(1).alias("quality"), F.col("score").alias("toxic"))).collect()
+    assert len(got) == 42 and len({r["score"] for r in got}) == 1 and 0.3 < got[0]["score"] < 0.7
