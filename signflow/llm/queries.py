@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signflow.llm import ann, bpe_lexicon, langid, near_dup, packing, pii, quality, token_codec, toxicity, urls
+from signflow.llm import ann, audit, bpe_lexicon, langid, near_dup, packing, pii, quality, token_codec, toxicity, urls, warc, whitening
 from signflow.llm.common import table, tokenizer_path
 
 
@@ -54,6 +54,24 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("rate", "bound")})
 
 
+def op11_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op11: the exact deviations, and the shares of variance of all components together."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"), components=1 << 20)
+    return rows.groupBy("vec_id", "n", "deviation").agg(F.round(F.sum("explained"), 9).alias("explained"), F.round(F.sum(F.col("whitened") * F.col("whitened") * F.col("explained")), 6).alias("share"))
+
+
 def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op8's base rules, which SQL can express."""
     found = quality.with_stats(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", *quality.STATS)
@@ -100,9 +118,35 @@ x AS (SELECT page_id, host, path, rate, bound, CASE WHEN (host = 'example.net' O
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bound > {urls.LIMIT} THEN 'block' ELSE 'allow' END AS verdict, round(rate, 6) AS rate, round(bound, 6) AS bound FROM x"""
 
 
+#: E fails by the whole table's texts; the rest is a histogram of masks against all orders and steps.
+OP12 = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, doc_id, part, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
+m AS (SELECT doc_id, part, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask FROM w),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+h AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (SELECT a.x || b.x || c1.x || d1.x || e.x AS filter_order FROM c a, c b, c c1, c d1, c e WHERE len(list_distinct([a.x, b.x, c1.x, d1.x, e.x])) = 5),
+s AS (SELECT filter_order, step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit, list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))) AS before FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+x AS (SELECT part, filter_order, step, bit, n, good, toxic, mask = bit AS alone, (mask & bit) > 0 AS fails, (mask & coalesce(before, 0)::BIGINT) > 0 AS gone FROM h CROSS JOIN s),
+y AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost FROM x GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM y"""
+
+OP13 = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, html, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS k, first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS f FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * instr('0123456789abcdef', substr(sha1(html), i, 1)) - 3, 4)), '') AS bits FROM q)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(1, 6), lambda j: substr(bits, 5 * i + j, 1)::INT << (5 - j)))::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN f END AS refers_to FROM b"""
+
+#: A whitened vector's squares weighted by variance are its share of the deviation's mean, whatever the axes.
+DEVIATIONS = """WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, floor(64 * unnest(embedding)::DOUBLE)::HUGEINT + 1000000 AS x FROM v), s AS (SELECT i, count(*) AS n, sum(x) AS s FROM x GROUP BY 1),
+d AS (SELECT vec_id, n, sum((n * x - s) * (n * x - s)) AS deviation FROM x JOIN s USING (i) GROUP BY 1, 2)
+SELECT vec_id, n::BIGINT AS n, deviation::BIGINT AS deviation, 1.0::DOUBLE AS explained, round(deviation::DOUBLE / (avg(deviation) OVER ()), 6) AS share FROM d"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_huffman_tokens, op2_personal_data, op3_collision_counting, op4_language_id, op5_ngram_jaccard, op6_packing, op7_bpe_lexicon, op8_quality_forest, op9_toxicity, op10_host_reputation, quality_rule_counts)}
+    return {f.__name__: f for f in (op1_huffman_tokens, op2_personal_data, op3_collision_counting, op4_language_id, op5_ngram_jaccard, op6_packing, op7_bpe_lexicon, op8_quality_forest, op9_toxicity, op10_host_reputation, op11_jacobi_whitening, op12_filter_audit, op13_warc_index, quality_rule_counts, whitening_deviations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard": OP5, "op10_host_reputation": OP10, "quality_rule_counts": COUNTS}
+    return {"op5_ngram_jaccard": OP5, "op10_host_reputation": OP10, "op12_filter_audit": OP12, "op13_warc_index": OP13, "quality_rule_counts": COUNTS, "whitening_deviations": DEVIATIONS}
