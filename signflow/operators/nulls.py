@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signflow.functions.portable import global_rank, hashed, uniform
 from signflow.operators.tokens import counted, pairs, tokens
+from signflow.session import discard, materialize
 
 #: Rows that a marginal table may have to be broadcast.
 SMALL = 200_000
@@ -39,12 +40,26 @@ def global_shuffle(corpus: DataFrame, seed: int = 0) -> DataFrame:
     return rows
 
 
-def subsample(corpus: DataFrame, n: int, trials: int = 1, seed: int = 0) -> DataFrame:
-    """``n`` rows of each trial without replacement: those first in hashed order. Ranked in parts first, so that the last step has ``n`` rows of each part only."""
-    fanned = corpus.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("order_", hashed(F.col("trial"), seed, F.col("id"))).withColumn("part_", F.pmod(F.xxhash64("id"), F.lit(64)))
-    for by in (["trial", "part_"], ["trial"]):
-        fanned = fanned.withColumn("rank_", F.row_number().over(Window.partitionBy(*by).orderBy("order_", "id"))).where(F.col("rank_") <= n)
-    return fanned.drop("rank_", "order_", "part_")
+def cuts(corpus: DataFrame, trials: int, seed: int = 0, n: int | None = None, fraction: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, trial, cut: the largest hash of the rows that a trial takes, ``n`` or a ``fraction`` (at least one row) of each key's rows; all, if fewer.
+
+    Hashes are counted by their first four digits; only the rows of the digits that hold the last one are ranked.
+    """
+    fanned = corpus.select(*keys, "id", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")).withColumn("order_", hashed(F.col("trial"), seed, F.col("id"))).withColumn("bucket_", F.substring("order_", 1, 4))
+    own = Window.partitionBy(*keys, "trial")  # 65,536 rows at most
+    counts = fanned.groupBy(*keys, "trial", "bucket_").agg(F.count("*").alias("here_")).withColumns({"upto_": F.sum("here_").over(own.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, 0)), "all_": F.sum("here_").over(own)})
+    want = F.lit(n) if fraction is None else F.greatest(F.lit(1), F.rint(F.col("all_") * fraction))
+    rest = F.least(want, F.col("all_")).cast("bigint") - F.col("upto_") + F.col("here_")
+    last = counts.withColumn("rest_", rest).where((F.col("rest_") > 0) & (F.col("rest_") <= F.col("here_"))).select(*keys, "trial", "bucket_", "rest_")
+    ranked = fanned.join(F.broadcast(last), [*keys, "trial", "bucket_"]).withColumn("rank_", F.row_number().over(own.orderBy("order_")))
+    return ranked.where(F.col("rank_") == F.col("rest_")).select(*keys, "trial", F.col("order_").alias("cut"))
+
+
+def subsample(corpus: DataFrame, n: int | None = None, trials: int = 1, seed: int = 0, fraction: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``n`` rows (or a ``fraction``, of each key's rows) of each trial without replacement: those first in hashed order. Rows of one id stay together."""
+    table, _ = materialize(cuts(corpus, trials, seed, n, fraction, keys), "cuts")  # a row for each trial and key
+    fanned = corpus.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    return fanned.join(F.broadcast(table), [*keys, "trial"]).where(hashed(F.col("trial"), seed, F.col("id")) <= F.col("cut")).select(*corpus.columns, "trial")
 
 
 def intervals(counts: DataFrame, *keys: str) -> DataFrame:
@@ -54,8 +69,27 @@ def intervals(counts: DataFrame, *keys: str) -> DataFrame:
     return counts.select(*keys, "sign", (hi - F.col("n")).alias("lo"), hi.alias("hi"), F.sum("n").over(w).alias("total"), F.count("*").over(w).alias("kinds"))
 
 
-def draw(rows: DataFrame, u: str, table: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """``rows`` with ``out``: the sign in whose interval the number ``u`` times the total lies; null for keys without a table.
+@dataclass
+class Urn:
+    """Intervals ready to draw from: ``pieces`` of them, and by key the ``sizes``, broadcast where there are few."""
+
+    pieces: DataFrame
+    sizes: DataFrame
+    keys: list[str]
+    few: bool
+
+    def draw(self, rows: DataFrame, u: str, out: str) -> DataFrame:
+        """``rows`` with ``out``: the sign in whose interval the number ``u`` times the total lies; null for keys without a table."""
+        keys, sizes = self.keys, F.broadcast(self.sizes) if self.few else self.sizes
+        asked = rows.join(sizes, keys, "left") if keys else rows.join(sizes)
+        asked = asked.withColumn("at_", F.floor(F.col(u) * F.col("total_"))).withColumn("piece_", F.floor(F.col("at_") / F.col("width_")))
+        inside = [F.col(f"r.{k}") == F.col(f"t.{k}") for k in keys] + [F.col("r.piece_") == F.col("t.piece_"), F.col("r.at_") >= F.col("t.lo"), F.col("r.at_") < F.col("t.hi")]
+        met = asked.alias("r").join(self.pieces.alias("t"), inside, "left")
+        return met.select(*[F.col(f"r.`{c}`") for c in rows.columns], F.col("t.sign").alias(out))
+
+
+def urn(table: DataFrame, keys: list[str], few: bool = True) -> Urn:
+    """An urn of ``intervals``; ``few``: whether the keys are so few that their sizes may be broadcast.
 
     Intervals are cut at multiples of a width that makes about twice as many pieces as there are signs, and rows meet
     those of their own piece by an equi-join, so neither a vocabulary nor a packed array travels with a row.
@@ -63,12 +97,12 @@ def draw(rows: DataFrame, u: str, table: DataFrame, keys: list[str], out: str) -
     t = table.withColumn("width_", F.floor(F.col("total") / (2 * F.col("kinds"))) + 1)
     sizes = t.groupBy(*keys).agg(F.first("total").alias("total_"), F.first("width_").alias("width_"))
     piece = F.explode(F.sequence(F.floor(F.col("lo") / F.col("width_")), F.floor((F.col("hi") - 1) / F.col("width_"))))
-    pieces = t.select(*keys, F.col("sign").alias(out), "lo", "hi", piece.alias("piece_"))
-    asked = rows.join(F.broadcast(sizes), keys, "left") if keys else rows.join(F.broadcast(sizes))
-    asked = asked.withColumn("at_", F.floor(F.col(u) * F.col("total_"))).withColumn("piece_", F.floor(F.col("at_") / F.col("width_")))
-    inside = [F.col(f"r.{k}") == F.col(f"t.{k}") for k in keys] + [F.col("r.piece_") == F.col("t.piece_"), F.col("r.at_") >= F.col("t.lo"), F.col("r.at_") < F.col("t.hi")]
-    met = asked.alias("r").join(pieces.alias("t"), inside, "left")
-    return met.select(*[F.col(f"r.`{c}`") for c in rows.columns], F.col(f"t.{out}").alias(out))
+    return Urn(t.select(*keys, "sign", "lo", "hi", piece.alias("piece_")), sizes, keys, few)
+
+
+def draw(rows: DataFrame, u: str, table: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """``rows`` with ``out``, drawn from a table of few keys."""
+    return urn(table, keys).draw(rows, u, out)
 
 
 def matched_null(corpus: DataFrame, n: int, seed: int = 0, stratum: Column | None = None, least: int = 20, trials: int = 1) -> DataFrame:
@@ -98,52 +132,131 @@ def matched_null(corpus: DataFrame, n: int, seed: int = 0, stratum: Column | Non
     return built.select(F.floor(F.col("k") / n).cast("int").alias("trial"), F.format_string("NULL-%05d", "k").alias("id"), "signs", "stratum")
 
 
-def markov_null(corpus: DataFrame, n: int, order: int = 1, seed: int = 0, longest: int = 40) -> DataFrame:
-    """``n`` rows from a Markov chain with a learned end, of order 1 or 2 (backing off to 1, then to single signs).
+END = "<END>"
+#: Steps of chains between writes.
+STEPS = 4
 
-    The transition tables are vocabulary-sized: they are collected behind a check of their size and given to the
-    tasks that walk the chains.
+
+def markov_null(corpus: DataFrame, n: int, order: int = 1, seed: int = 0, longest: int = 40, paired: float = 0.9) -> DataFrame:
+    """id, signs: ``n`` rows from a Markov chain with a learned end, of order 1 or 2.
+
+    All chains go on together, a sign a step: those that have not ended meet the transitions of their last signs by
+    joins. Every ``STEPS`` steps (each step, if tables are too large to be broadcast) what has ended leaves and the rest
+    is written, which cuts lineage. At order 2 a share ``paired`` of the chains begins with the
+    first two signs of a row, the others with one sign; two signs without transitions of their own go on as the last
+    alone does. Tables of transitions may be of any size. Without rows to learn from there are no chains.
     """
     if order not in (1, 2):
         raise ValueError("order is 1 or 2")
-    c = corpus.where(F.size("signs") > 0).withColumn("signs", F.concat("signs", F.array(F.lit("<END>"))))
-    two = counted(pairs(c), "a", "b")
-    tables = [two.select(F.array("a").alias("ctx"), F.col("b").alias("w"), "n")]
+    spark, temporary = corpus.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df, path = materialize(df, name)
+        temporary.append(path)
+        return df
+
+    def prepared(counts: DataFrame, *keys: str) -> Urn:
+        made = urn(kept(intervals(counts, *keys), "intervals"), list(keys))
+        sizes, pieces = kept(made.sizes, "sizes"), kept(made.pieces, "pieces")
+        few = sizes.count() <= SMALL and pieces.count() <= SMALL
+        return Urn(F.broadcast(pieces) if few else pieces, sizes, list(keys), few)
+
+    rows = corpus.where(F.size("signs") > 0)
+    ended = rows.withColumn("signs", F.concat("signs", F.array(F.lit(END))))
+    urns = [prepared(counted(pairs(ended).select(F.col("a").alias("c1"), F.col("b").alias("sign")), "c1", "sign"), "c1")]
+    first = prepared(counted(rows.select(F.element_at("signs", 1).alias("sign")), "sign"))
+    chains = spark.range(n).select(F.col("id").alias("k"), uniform(seed, "first", F.col("id")).alias("u"))
+    s, nothing = F.col("signs"), F.lit(None).cast("string")
     if order == 2:
-        s = F.col("signs")
-        three = F.transform(F.sequence(F.lit(1), F.size(s) - 2), lambda i: F.struct(F.element_at(s, i).alias("a"), F.element_at(s, i + 1).alias("b"), F.element_at(s, i + 2).alias("w")))
-        tables.append(counted(c.where(F.size(s) > 2).select(F.inline(three)), "a", "b", "w").select(F.array("a", "b").alias("ctx"), "w", "n"))
-    starts = counted(corpus.where(F.size("signs") > 0).select(F.slice("signs", 1, order).alias("ctx")), "ctx").select(F.array().cast("array<string>").alias("ctx"), F.array_join("ctx", "\x1f").alias("w"), "n")
-    every = tables[0].unionByName(starts) if order == 1 else tables[0].unionByName(tables[1]).unionByName(starts)
-    size = every.count()
-    if size > SMALL:
-        raise ValueError(f"the transition tables have {size} rows; {SMALL} can be given to tasks")
-    chain: dict[tuple, list] = {}
-    for r in every.orderBy("ctx", "w").collect():
-        chain.setdefault(tuple(r["ctx"]), []).append((r["w"], r["n"]))
-    ready = {k: ([w for w, _ in v], np.cumsum([x for _, x in v]) / sum(x for _, x in v)) for k, v in chain.items()}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pick(ctx: tuple, u: float) -> str:
-            words, edges = ready[ctx]
-            return words[min(int(np.searchsorted(edges, u, "right")), len(words) - 1)]
-
-        for b in batches:
-            out = []
-            for k in b.column("id").to_pylist():
-                rng = np.random.default_rng((seed, k))
-                signs = pick((), rng.random()).split("\x1f")
-                while len(signs) < longest:
-                    ctx = tuple(signs[-order:])
-                    ctx = ctx if ctx in ready else tuple(signs[-1:])
-                    w = pick(ctx, rng.random())
-                    if w == "<END>":
-                        break
-                    signs.append(w)
-                out.append(signs)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.list_(pa.string()))], ["k", "signs"])
-
-    return corpus.sparkSession.range(n).mapInArrow(run, "k bigint, signs array<string>").select(F.format_string("MARKOV-%05d", "k").alias("id"), "signs")
+        three = F.transform(F.sequence(F.lit(1), F.size(s) - 2), lambda i: F.struct(F.element_at(s, i).alias("c2"), F.element_at(s, i + 1).alias("c1"), F.element_at(s, i + 2).alias("sign")))
+        urns.insert(0, prepared(counted(ended.where(F.size(s) > 2).select(F.inline(three)), "c2", "c1", "sign"), "c2", "c1"))
+        first_two = prepared(counted(rows.where(F.size(s) > 1).select(F.concat_ws("\x1f", F.element_at(s, 1), F.element_at(s, 2)).alias("sign")), "sign"))
+        by_two = (uniform(seed, "paired", F.col("k")) < paired) & F.lit(first_two.sizes.count() > 0)
+        pair = first_two.draw(chains.where(by_two).withColumn("u", uniform(seed, "pair", F.col("k"))), "u", "sign")
+        state = first.draw(chains.where(~by_two), "u", "sign").unionByName(pair)
+    else:
+        state = first.draw(chains, "u", "sign")
+    state = state.where("sign is not null").select("k", F.split("sign", "\x1f").alias("signs"))
+    state = kept(state.select("k", "signs", F.when(F.size("signs") > 1, F.element_at("signs", -2)).alias("c2"), F.element_at("signs", -1).alias("c1")), "chains")
+
+    def step(df: DataFrame) -> DataFrame:
+        df = df.withColumn("u", uniform(seed, "step", F.col("k"), F.size("signs")))
+        for i, made in enumerate(urns):
+            df = made.draw(df, "u", f"sign{i}")
+        df = df.withColumn("sign", F.coalesce(*[f"sign{i}" for i in range(len(urns))]))
+        goes = F.col("sign").isNotNull() & (F.col("sign") != END)
+        df = df.select("k", F.when(goes, F.concat("signs", F.array("sign"))).otherwise(F.col("signs")).alias("signs"), (F.when(F.col("sign").isNotNull(), F.col("c1")).otherwise(F.col("c2")) if order == 2 else nothing).alias("c2"), F.coalesce("sign", "c1").alias("c1"))
+        return df.withColumn("c1", F.when(F.size("signs") >= longest, F.lit(END)).otherwise(F.col("c1")))
+
+    at_once = STEPS if all(x.few for x in urns) else 1
+    done = []
+    while state.limit(1).count():
+        for _ in range(at_once):
+            state = step(state)
+        state = kept(state, "chains")
+        done.append(state.where(F.col("c1") == END))
+        state = state.where(F.col("c1") != END)
+    every = reduce(DataFrame.unionByName, done) if done else state
+    out, _ = materialize(every.select(F.format_string("MARKOV-%05d", "k").alias("id"), "signs"), "markov")
+    discard(spark, *temporary)
+    return out
+
+
+def _guide(table: list[tuple[int, int]]) -> tuple[str, str, str, int, int]:
+    """Ids, ends of intervals, and by bucket the first interval that ends beyond its start, as JSON; bucket width; total. ``table``: id, n."""
+    ends = np.cumsum([n for _, n in table])
+    total = int(ends[-1])
+    width = total // (2 * len(table)) + 1
+    guide = np.searchsorted(ends, np.arange(total // width + 2) * width, "right")
+    said = lambda x: "[" + ",".join(map(str, x)) + "]"
+    return said(i for i, _ in table), said(ends.tolist()), said(np.minimum(guide, len(table) - 1).tolist()), width, total
+
+
+def _guided(u: Column, table: list[tuple[int, int]]) -> Column:
+    """The id in whose interval ``u`` times the total lies: its bucket's intervals are looked through, on average two."""
+    ids, ends, guide, width, total = _guide(table)
+    array = lambda x, kind: F.from_json(F.lit(x), f"array<{kind}>")  # noqa: E731  a constant, parsed once
+    at = F.floor(u * total)
+    bucket = F.floor(at / width).cast("int")
+    start, stop = F.get(array(guide, "int"), bucket), F.get(array(guide, "int"), bucket + 1)
+    passed = F.size(F.filter(F.slice(array(ends, "bigint"), start + 1, stop - start + 1), lambda x: x <= at))
+    return F.get(array(ids, "int"), start + passed)
+
+
+def matched_null_uniqueness(corpus: DataFrame, trials: int, n: int | None = None, seed: int = 0, most: int = SMALL) -> DataFrame:
+    """trial, n_distinct, n, uniqueness of the rows that ``matched_null`` draws (without strata), ``n`` for each trial (None: as many as the corpus has).
+
+    Marginal tables of up to ``most`` entries are constants of one expression that draws a whole row, so nothing is
+    exploded or regrouped: what is shuffled is 128 bits of hash for each distinct row of a task and trial. Larger tables
+    are drawn from by joins, with the same result.
+    """
+    c = corpus.where(F.size("signs") > 0).select("signs")
+    n = c.count() if n is None else n
+    if not n:
+        return corpus.sparkSession.createDataFrame([], "trial int, n_distinct bigint, n bigint, uniqueness double")
+    kinds = {"length": F.lpad(F.size("signs").cast("string"), 6, "0"), "first": F.element_at("signs", 1), "last": F.when(F.size("signs") > 1, F.element_at("signs", -1))}
+    ends = c.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), e.alias("sign")) for k, e in kinds.items()])).alias("x")).select("x.*")
+    every = c.select(F.lit("any").alias("kind"), F.explode("signs").alias("sign"))
+    tables, path = materialize(counted(ends.unionByName(every).where("sign is not null"), "kind", "sign"), "marginals")
+    if tables.count() > most:
+        drawn = matched_null(corpus, n, seed, trials=trials).select("trial", F.xxhash64("signs").alias("h1"), F.xxhash64(F.lit(1), "signs").alias("h2"))
+    else:
+        held: dict[str, list] = {k: [] for k in (*kinds, "any")}
+        for r in tables.orderBy("kind", "sign").collect():
+            held[r["kind"]].append((r["sign"], r["n"]))
+        number = {s: i for i, s in enumerate(sorted({s for k in ("first", "last", "any") for s, _ in held[k]}))}
+        table = {k: [(int(s) if k == "length" else number[s], m) for s, m in x] for k, x in held.items()}
+        k = F.col("id")
+        size = _guided(uniform(seed, "length", k), table["length"])
+        sign = lambda pos: uniform(seed, "sign", F.col("id"), pos)
+        last = lambda pos: _guided(sign(pos), table["last"]) if table["last"] else F.lit(None).cast("int")
+        place = lambda pos: F.when(pos == 0, _guided(sign(pos), table["first"])).when(pos == F.col("size") - 1, last(pos)).otherwise(_guided(sign(pos), table["any"]))
+        rows = corpus.sparkSession.range(n * trials).withColumn("size", size).withColumn("signs", F.transform(F.sequence(F.lit(0), F.col("size") - 1), place))
+        drawn = rows.select(F.floor(F.col("id") / n).cast("int").alias("trial"), F.xxhash64("signs").alias("h1"), F.xxhash64(F.lit(1), "signs").alias("h2"))
+    found = drawn.groupBy("trial", "h1", "h2").agg(F.count("*").alias("m")).groupBy("trial").agg(F.count("*").alias("n_distinct"), F.sum("m").alias("n"))
+    out, _ = materialize(found.withColumn("uniqueness", F.col("n_distinct") / F.col("n")), "uniqueness")
+    discard(corpus.sparkSession, path)
+    return out
 
 
 def uniform_control(spark: SparkSession, vocab: int, n: int, mean: float, seed: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signflow.functions.portable import wilson
+from signflow.functions.portable import hashed, wilson
 from signflow.operators import ngram, nulls, stats, vectors
 from signflow.session import materialize
 
@@ -63,6 +63,20 @@ def references(spark: SparkSession, kinds: str = "abc", seeds: int = 4, n: int =
     return out
 
 
+def with_trials(corpus: DataFrame, n: int, trials: int, seed: int = 0) -> DataFrame:
+    """``corpus`` with ``trials``, a bitmap (longs) of the trials whose sample of ``n`` rows a row is in; the same samples as ``nulls.subsample``."""
+    known = {r["trial"]: r["cut"] for r in nulls.cuts(corpus, trials, seed, n).collect()}  # one for each trial
+    cuts = F.array(*[F.lit(known.get(t, "")) for t in range(trials)])
+
+    def word(i: int) -> Column:
+        own = F.sequence(F.lit(64 * i), F.lit(min(64 * i + 64, trials) - 1))
+        within = lambda t: hashed(t, seed, F.col("id")) <= F.get(cuts, t)
+        bit = lambda t: F.when(within(t), F.call_function("shiftleft", F.lit(1).cast("bigint"), t % 64)).otherwise(F.lit(0).cast("bigint"))
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda out, t: out.bitwiseOR(bit(t)))
+
+    return corpus.withColumn("trials", F.array(*[word(i) for i in range(-(-trials // 64))]))
+
+
 def classify(queries: DataFrame, labelled: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFrame:
     """query, predicted, distance: each query's nearest centroid, after z-scores over its own features and all labelled ones.
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signflow.functions.portable import global_rank, uniform
+from signflow.operators.communities import communities
 from signflow.operators.graph import components
 from signflow.operators.tokens import tokens
+from signflow.session import discard, materialize
 
 
 def _holes() -> Column:
@@ -66,6 +67,50 @@ def pair_counts(corpus: DataFrame, name: str = "all", *keys: str) -> DataFrame:
     return a.join(b, "key").where(match).groupBy(*[F.col(f"{x}_a").alias(x) for x in (*keys, "len", "position")], "sign_a", "sign_b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
 
 
+def pair_trials(corpus: DataFrame, trials: int, name: str = "all") -> DataFrame:
+    """trial, u < v: in which trials a tier has a minimal pair of two signs, all trials from one mining.
+
+    ``corpus`` has the bitmap ``trials`` of the trials that a row is in (see ``resampling.with_trials``). The bitmaps of
+    the rows that have a sign in one surrounding are joined by or, those of two signs in it by and: a trial with a row
+    of each has the pair.
+    """
+    rows, same = _in_tier(corpus, name)
+    words = [f"w{i}" for i in range(-(-trials // 64))]
+    by = ["len", "position", *[f"{x}_same" for x in same], "before", "after"]
+    holes = rows.select(*[F.get("trials", i).alias(w) for i, w in enumerate(words)], *[F.col(x).alias(f"{x}_same") for x in same], F.size("signs").alias("len"), F.inline(_holes()))
+    held = holes.groupBy(*by, "sign").agg(*[F.bit_or(w).alias(w) for w in words]).withColumn("key", F.xxhash64(*by))
+    a, b = (held.select("key", *[F.col(x).alias(f"{x}_{side}") for x in (*by, "sign", *words)]) for side in "ab")
+    match = reduce(lambda x, y: x & y, [F.col(f"{x}_a") == F.col(f"{x}_b") for x in by], F.col("sign_a") < F.col("sign_b"))
+    both = a.join(b, "key").where(match).select(F.col("sign_a").alias("u"), F.col("sign_b").alias("v"), *[F.col(f"{w}_a").bitwiseAND(F.col(f"{w}_b")).alias(w) for w in words])
+    return both.groupBy("u", "v").agg(*[F.bit_or(w).alias(w) for w in words]).select("u", "v", F.explode(trials_of(F.array(*words), trials)).alias("trial"))
+
+
+def trials_of(bitmap: Column, trials: int) -> Column:
+    """The trials whose bits are set."""
+    return F.filter(F.sequence(F.lit(0), F.lit(trials - 1)), lambda t: F.call_function("shiftright", F.get(bitmap, F.floor(t / 64).cast("int")), t % 64).bitwiseAND(F.lit(1)) == 1)
+
+
+def stability_by_trial(corpus: DataFrame, whole: DataFrame, trials: int, name: str = "motif") -> DataFrame:
+    """``stability`` of the classes of ``whole`` (sign, component) in the trials that the rows' bitmaps ``trials`` name: as ``stability_by_part`` with a trial for a part, from one mining."""
+    edge_table, path = materialize(pair_trials(corpus, trials, name).withColumn("weight", F.lit(1)), "trial-edges")
+    words = range(-(-trials // 64))
+    seen = corpus.select(F.explode(F.array_distinct("signs")).alias("sign"), *[F.get("trials", i).alias(f"w{i}") for i in words]).groupBy("sign").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in words])
+    vocab = seen.select("sign", F.explode(trials_of(F.array(*[f"w{i}" for i in words]), trials)).alias("trial"))
+    out, _ = materialize(stability(whole, classes(edge_table, 1, "trial"), vocab, "trial"), "stability")
+    discard(corpus.sparkSession, path)
+    return out
+
+
+def matched_size(here: DataFrame, sampled: DataFrame) -> DataFrame:
+    """class, members, jaccard in the smaller corpus (``here``), that of samples as small of the larger one (``sampled``: mean, low, high, trials), and the call.
+
+    ``explained``: the smaller corpus does as well as the worst sample, so that its size explains it; ``vacuous``: the
+    worst sample has no overlap at all, which anything reaches. Both are null for a class without testable samples.
+    """
+    of = sampled.groupBy("class").agg(F.avg("jaccard").alias("mean"), F.min("jaccard").alias("low"), F.max("jaccard").alias("high"), F.count("*").alias("trials"))
+    return here.select("class", "members", "jaccard").join(of, "class", "left").withColumns({"explained": F.col("jaccard") >= F.col("low"), "vacuous": F.col("low") == 0})
+
+
 def _number(pairs: DataFrame) -> Column:
     """How many pairs a group has, of pairs or of their counts."""
     return F.sum("n") if "n" in pairs.columns else F.count("*")
@@ -158,30 +203,14 @@ def stability_by_part(corpus: DataFrame, whole: DataFrame, key: str, name: str =
     return stability(whole, classes(own, 1, key), tokens(corpus, key), key)
 
 
-def modularity_classes(edge_table: DataFrame, most: int = 100_000) -> DataFrame:
-    """sign, community, by greedy modularity. The edges (vocabulary-sized) come to the driver behind a check of their number."""
-    n = edge_table.count()
-    if n > most:
-        raise ValueError(f"{n} edges; greedy merging takes up to {most}")
-    weight: dict[str, dict[str, float]] = defaultdict(dict)
-    for r in edge_table.select("u", "v", "weight").collect():
-        weight[r["u"]][r["v"]] = weight[r["v"]][r["u"]] = float(r["weight"])
-    total = sum(sum(x.values()) for x in weight.values())
-    groups = {s: {s} for s in weight}
-    degree = {s: sum(x.values()) / total for s, x in weight.items()}
-    share = {s: {t: w / total for t, w in x.items()} for s, x in weight.items()}
-    while True:
-        gain, a, b = max(((2 * (w - degree[s] * degree[t]), s, t) for s in sorted(share) for t, w in share[s].items() if s < t), default=(0, "", ""), key=lambda x: x[0])
-        if gain <= 1e-12:
-            break
-        groups[a] |= groups.pop(b)
-        for t, w in share.pop(b).items():
-            share[t].pop(b)
-            if t != a:
-                share[a][t] = share[t][a] = share[a].get(t, 0.0) + w
-        degree[a] += degree.pop(b)
-    rows = [(s, min(g)) for g in groups.values() if len(g) > 1 for s in g]
-    return edge_table.sparkSession.createDataFrame(rows, "sign string, community string")
+def modularity_classes(edge_table: DataFrame, *keys: str) -> DataFrame:
+    """keys, sign, community (its smallest sign) of the modularity communities of at least two signs; ``keys`` are graphs to keep apart."""
+    names = edge_table.select(*keys, F.explode(F.array("u", "v")).alias("sign")).distinct().withColumn("node", F.xxhash64(*keys, "sign"))
+    graph = F.xxhash64(F.lit("graph"), *keys)
+    found = communities(edge_table.select(graph.alias("graph"), F.xxhash64(*keys, "u").alias("a"), F.xxhash64(*keys, "v").alias("b"), "weight"))
+    named = names.join(found, "node")
+    sizes = named.groupBy("community").agg(F.min("sign").alias("name"), F.count("*").alias("size")).where("size > 1")
+    return named.join(sizes, "community").select(*keys, "sign", F.col("name").alias("community"))
 
 
 def summaries(pairs: DataFrame, members: DataFrame, examples: int = 5) -> DataFrame:

@@ -307,11 +307,19 @@ def class_stability_by_site(spark, sf_dir):
     return _rounded(substitution.stability_by_part(c, _motif_classes(c), "site"), "jaccard")
 
 
+STABILITY_TRIALS = 100
+
+
+def _trials(c, n, trials, seed):
+    """The rows that any trial takes, each once, with the bitmap of its trials."""
+    return resampling.with_trials(c, n, trials, seed)
+
+
 @query()
 def class_stability_subsampled(spark, sf_dir):
-    """The same against subsamples: 2000 rows of each of five trials (sampling is the feature)."""
+    """Communities of the motif tier against the components of 2000 rows of each of 100 trials (sampling is the feature)."""
     c = _orders(spark, sf_dir)
-    return _rounded(substitution.stability_by_part(nulls.subsample(c, 2000, 5, 9), _motif_classes(c), "trial"), "jaccard")
+    return _rounded(substitution.stability_by_trial(_trials(c, 2000, STABILITY_TRIALS, 9), _motif_classes(c), STABILITY_TRIALS), "jaccard")
 
 
 @query(COMPONENTS + """, cl AS (SELECT s AS sign, min(c) AS component FROM re GROUP BY 1),
@@ -386,6 +394,48 @@ WHOLE = PAIRS.replace(RUNS, "0 AS chunk")
 CLASSES = COMPONENTS.replace(RUNS, "0 AS chunk") + ", cl AS (SELECT s AS sign, min(c) AS component FROM re GROUP BY 1)"
 
 
+def _stability_sql(trials: str, out: str) -> str:
+    """``jc`` (trial, class, members, jaccard) of the components ``cl`` in the rows ``tr`` (trial, and those of the corpus)."""
+    return f"""{CLASSES}, tr AS ({trials}), th AS (SELECT trial, site, object_type, motif, len(signs) AS len, p, signs[p] AS sign, signs[1:p-1] AS pre, signs[p+1:] AS suf FROM (SELECT *, unnest(range(1, len(signs) + 1)) AS p FROM tr) WHERE motif <> 'unknown' AND site <> 'unknown'),
+hd AS (SELECT DISTINCT * FROM th), te AS (SELECT DISTINCT a.trial, a.sign AS s, b.sign AS t FROM hd a JOIN hd b ON a.trial = b.trial AND a.site = b.site AND a.object_type = b.object_type AND a.motif = b.motif AND a.len = b.len AND a.p = b.p AND a.pre = b.pre AND a.suf = b.suf AND a.sign <> b.sign),
+tc AS (SELECT trial, s, s AS c FROM te UNION SELECT te.trial, te.t, tc.c FROM tc JOIN te ON te.trial = tc.trial AND te.s = tc.s), tp AS (SELECT trial, s AS sign, min(c) AS part FROM tc GROUP BY 1, 2),
+vo AS (SELECT DISTINCT trial, unnest(signs) AS sign FROM tr), he AS (SELECT trial, cl.component AS class, sign FROM vo JOIN cl USING (sign)), hs AS (SELECT trial, class, count(*) AS members FROM he GROUP BY 1, 2 HAVING count(*) > 1), ps AS (SELECT trial, part, count(*) AS n FROM tp GROUP BY 1, 2),
+bo AS (SELECT trial, class, part, count(*) AS common FROM he JOIN tp USING (trial, sign) GROUP BY 1, 2, 3), ja AS (SELECT trial, class, max(common / (members + ps.n - common)::DOUBLE) AS jaccard FROM bo JOIN ps USING (trial, part) JOIN hs USING (trial, class) GROUP BY 1, 2),
+jc AS (SELECT hs.trial, hs.class, hs.members, coalesce(jaccard, 0) AS jaccard FROM hs LEFT JOIN ja USING (trial, class)) {out}"""
+
+
+@query(_stability_sql(f"SELECT t AS trial, id, signs, site, object_type, motif FROM corpus CROSS JOIN (SELECT unnest(range({STABILITY_TRIALS})) AS t) QUALIFY row_number() OVER (PARTITION BY t ORDER BY md5(t || '|9|' || id), id) <= 2000", "SELECT trial::INT AS trial, class, members::BIGINT AS members, round(jaccard, 6) AS jaccard FROM jc"))
+def component_stability_subsampled(spark, sf_dir):
+    """Components of the motif tier against those of 2000 rows of each of 100 trials (sampling is the feature), all trials mined at once."""
+    c = _orders(spark, sf_dir)
+    return _rounded(substitution.stability_by_trial(_trials(c, 2000, STABILITY_TRIALS, 9), components_whole(spark, sf_dir), STABILITY_TRIALS), "jaccard")
+
+
+@query(_stability_sql("SELECT site AS trial, id, signs, site, object_type, motif FROM corpus", "SELECT trial AS site, class, members::BIGINT AS members, round(jaccard, 6) AS jaccard FROM jc"))
+def component_stability_by_site(spark, sf_dir):
+    """Components of the motif tier against those of each site's own pairs."""
+    return _rounded(substitution.stability_by_part(_orders(spark, sf_dir), components_whole(spark, sf_dir), "site"), "jaccard")
+
+
+#: The sites of most and of fewest rows with a motif, and those rows' number at the latter.
+_MATCHED = "(SELECT site, count(*) AS n FROM corpus WHERE motif <> 'unknown' GROUP BY 1)"
+
+
+@query(_stability_sql(f"""SELECT -1 AS trial, id, signs, site, object_type, motif FROM corpus WHERE site = (SELECT site FROM {_MATCHED} ORDER BY n, site LIMIT 1) UNION ALL
+SELECT t, id, signs, site, object_type, motif FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY md5(t || '|4|' || id), id) AS r FROM corpus CROSS JOIN (SELECT unnest(range({STABILITY_TRIALS})) AS t) WHERE site = (SELECT site FROM {_MATCHED} ORDER BY n DESC, site LIMIT 1)) WHERE r <= (SELECT min(n) FROM {_MATCHED})""",
+    """SELECT h.class, h.members::BIGINT AS members, round(h.jaccard, 6) AS jaccard, round(avg(s.jaccard), 6) AS mean, round(min(s.jaccard), 6) AS low, round(max(s.jaccard), 6) AS high, count(s.jaccard)::BIGINT AS trials, h.jaccard >= min(s.jaccard) AS explained, min(s.jaccard) = 0 AS vacuous
+FROM jc h LEFT JOIN jc s ON s.class = h.class AND s.trial >= 0 WHERE h.trial = -1 GROUP BY h.class, h.members, h.jaccard"""))
+def matched_size_call(spark, sf_dir):
+    """Whether the size of the smallest site explains how its components differ from the whole's: against 100 samples as small of the largest site."""
+    c = _orders(spark, sf_dir)
+    counts = c.where("motif <> 'unknown'").groupBy("site").agg(F.count("*").alias("n"))
+    small, large = counts.orderBy("n", "site").first(), counts.orderBy(F.desc("n"), "site").first()
+    whole = components_whole(spark, sf_dir)
+    here = substitution.stability_by_part(c.where(F.col("site") == small["site"]), whole, "site")
+    sampled = substitution.stability_by_trial(_trials(c.where(F.col("site") == large["site"]), small["n"], STABILITY_TRIALS, 4), whole, STABILITY_TRIALS)
+    return _rounded(substitution.matched_size(here, sampled), "jaccard", "mean", "low", "high")
+
+
 @query(f"""{CLASSES}, ex AS (SELECT component, sign_a || '>' || sign_b AS x, row_number() OVER (PARTITION BY component ORDER BY id_a, id_b, position) AS r FROM mp JOIN cl ON sign = sign_a WHERE same_motif)
 SELECT component, size, signs, examples FROM (SELECT component, count(*)::BIGINT AS size, string_agg(sign, ',' ORDER BY sign) AS signs FROM cl GROUP BY 1) JOIN (SELECT component, string_agg(x, ',' ORDER BY r) AS examples FROM ex WHERE r <= 5 GROUP BY 1) USING (component)""")
 def class_summaries(spark, sf_dir):
@@ -472,7 +522,7 @@ def _u(*parts: str) -> str:
     return f"('0x' || substr(md5({' || chr(124) || '.join(parts)}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 
 
-def _drawn(stratum: str, n: int, seed: int, corpus: str = "corpus") -> str:
+def _drawn(stratum: str, n: int | str, seed: int, corpus: str = "corpus") -> str:
     """``nl`` (k, stratum, signs) in SQL: rows drawn from the marginals of their stratum, or the pooled ones."""
     u = lambda *parts: _u(f"'{seed}'", *parts)
     return f"""sc AS (SELECT signs, {stratum} AS stratum FROM {corpus}), ss AS (SELECT stratum, count(*) AS n, CASE WHEN count(*) >= 20 THEN stratum ELSE '__pooled__' END AS source FROM sc GROUP BY 1),
@@ -511,14 +561,17 @@ def motif_null(spark, sf_dir):
     return _joined(nulls.matched_null(_orders(spark, sf_dir), 2000, 42, source.broad_motif(F.col("motif"))))
 
 
-@query(f"""{WITH}, {_drawn("'all'", 10000, 5)}, re AS (SELECT count(DISTINCT signs) / count(*)::DOUBLE AS x FROM (SELECT signs FROM corpus QUALIFY row_number() OVER (ORDER BY md5('0|5|' || id), id) <= 500)),
-tr AS (SELECT k // 500 AS trial, count(DISTINCT signs) / count(*)::DOUBLE AS x FROM nl GROUP BY 1)
+NULL_TRIALS = 200
+
+
+@query(f"""{WITH}, {_drawn("'all'", f"(SELECT {NULL_TRIALS} * count(*) FROM corpus)", 5)}, re AS (SELECT count(*) AS n, count(DISTINCT signs) / count(*)::DOUBLE AS x FROM corpus),
+tr AS (SELECT k // n AS trial, count(DISTINCT signs) / count(*)::DOUBLE AS x FROM nl CROSS JOIN re GROUP BY 1)
 SELECT count(*)::BIGINT AS n, round(avg(tr.x), 6) AS mean, round(min(tr.x), 6) AS low, round(max(tr.x), 6) AS high, round(stddev_pop(tr.x), 6) AS sd, round(any_value(re.x), 6) AS real, round(avg((tr.x >= re.x)::INT::DOUBLE), 6) AS p_value FROM tr CROSS JOIN re""")
 def uniqueness_against_null_trials(spark, sf_dir):
-    """Uniqueness of 500 rows (a sampling operator) against 20 null trials of as many rows."""
+    """Uniqueness of the corpus against 200 null corpora of as many rows."""
     c = _orders(spark, sf_dir)
-    real = stats.uniqueness(nulls.subsample(c, 500, 1, 5)).select(F.col("uniqueness").alias("real_"))
-    trials = stats.uniqueness(nulls.matched_null(c, 500, 5, trials=20), "trial").join(F.broadcast(real))
+    real = stats.uniqueness(c).select(F.col("uniqueness").alias("real_"))
+    trials = nulls.matched_null_uniqueness(c, NULL_TRIALS, seed=5).join(F.broadcast(real))
     return _rounded(resampling.over_trials(trials, "uniqueness", F.col("real_")), "mean", "low", "high", "sd", "real", "p_value")
 
 
@@ -541,14 +594,37 @@ def feature_differences(spark, sf_dir):
     return _rounded(d, "mean", "real_mean").withColumn("pct_diff", F.round("pct_diff", 4))
 
 
-@query()
+def _markov_sql(order: int, seed: int = 42, longest: int = 40) -> str:
+    """Markov chains with the same draws, a recursion a sign; at order 2 all but the first step of a chain begun with one sign have two signs to go on from."""
+    u = lambda *parts: _u(f"'{seed}'", *parts)
+    within = lambda c: f"floor({c} * total) >= lo AND floor({c} * total) < hi"
+    laid = lambda name, counts, *keys: f"{name} AS (SELECT *, hi - n AS lo FROM (SELECT *, sum(n) OVER ({f'PARTITION BY {chr(44).join(keys)} ' if keys else ''}ORDER BY sign ROWS UNBOUNDED PRECEDING) AS hi, sum(n) OVER ({f'PARTITION BY {chr(44).join(keys)}' if keys else ''}) AS total FROM ({counts})))"
+    parts = ["en AS (SELECT list_append(signs, '<END>') AS s FROM corpus)", laid("i1", "SELECT c1, sign, count(*) AS n FROM (SELECT unnest(s[:-2]) AS c1, unnest(s[2:]) AS sign FROM en) GROUP BY ALL", "c1"), laid("f1", "SELECT signs[1] AS sign, count(*) AS n FROM corpus GROUP BY 1"), "ks AS (SELECT unnest(range((SELECT count(*) FROM corpus))) AS k)"]
+    one = f"SELECT k, 0 AS pos, NULL::VARCHAR AS c2, sign AS c1 FROM ks JOIN f1 ON {within(u(chr(39) + 'first' + chr(39), 'k'))}"
+    step = u("'step'", "k", "pos + 1")
+    if order == 1:
+        again = f"SELECT k, pos + 1, NULL, sign FROM ch JOIN i1 ON i1.c1 = ch.c1 AND {within(step)} WHERE ch.c1 <> '<END>' AND pos + 1 < {longest}"
+    else:
+        parts += [laid("i2", "SELECT c2, c1, sign, count(*) AS n FROM (SELECT unnest(s[:-3]) AS c2, unnest(s[2:-2]) AS c1, unnest(s[3:]) AS sign FROM en) GROUP BY ALL", "c2", "c1"), laid("f2", "SELECT signs[1] || chr(31) || signs[2] AS sign, count(*) AS n FROM corpus WHERE len(signs) > 1 GROUP BY 1"), "i3 AS (SELECT c2, c1, sign, lo, hi, total FROM i2 UNION ALL SELECT '', c1, sign, lo, hi, total FROM i1)"]
+        paired = f"{u(chr(39) + 'paired' + chr(39), 'k')} < 0.9"
+        one = f"{one} WHERE NOT {paired} UNION ALL SELECT k, 1, split_part(sign, chr(31), 1), split_part(sign, chr(31), 2) FROM ks JOIN f2 ON {within(u(chr(39) + 'pair' + chr(39), 'k'))} WHERE {paired}"
+        again = f"SELECT k, pos + 1, ch.c1, sign FROM ch JOIN i3 ON i3.c1 = ch.c1 AND i3.c2 = coalesce(ch.c2, '') AND {within(step)} WHERE ch.c1 <> '<END>' AND pos + 1 < {longest}"
+    recursive = f"{WITH}, ".replace("WITH raw", "WITH RECURSIVE raw", 1) + ", ".join(parts) + f", ch AS (SELECT * FROM ({one}) UNION ALL {again})"
+    return f"{recursive}, al AS (SELECT k, pos, c1 AS sign FROM ch UNION ALL SELECT k, 0, c2 FROM ch WHERE pos = 1 AND c2 IS NOT NULL AND k NOT IN (SELECT k FROM ch WHERE pos = 0)) SELECT format('MARKOV-{{:05d}}', k) AS id, string_agg(sign, ' ' ORDER BY pos) AS signs FROM al WHERE sign <> '<END>' GROUP BY k"
+
+
+@query(_markov_sql(1))
 def bigram_markov_null(spark, sf_dir):
-    return _joined(nulls.markov_null(_orders(spark, sf_dir), 2000, 1, 42))
+    """As many chains as the corpus has rows."""
+    c = _orders(spark, sf_dir)
+    return _joined(nulls.markov_null(c, c.count(), 1, 42))
 
 
-@query()
+@query(_markov_sql(2))
 def trigram_markov_null(spark, sf_dir):
-    return _joined(nulls.markov_null(_orders(spark, sf_dir), 2000, 2, 42))
+    """As many chains as the corpus has rows."""
+    c = _orders(spark, sf_dir)
+    return _joined(nulls.markov_null(c, c.count(), 2, 42))
 
 
 @query()

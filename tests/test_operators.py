@@ -78,8 +78,9 @@ def test_minimal_pairs_and_graph(tiny):
 
 def test_components_of_a_long_chain(spark):
     df = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert {r["component"] for r in components(df).collect()} == {0}
-    assert components(df.limit(0)).count() == 0
+    for small in (0, 1000):
+        assert {r["component"] for r in components(df, small=small).collect()} == {0}
+        assert components(df.limit(0), small=small - 1).count() == 0
 
 
 def test_modularity_splits_a_barbell(spark):
@@ -115,6 +116,52 @@ def test_null_models_stay_in_the_vocabulary(spark):
         rows = [r["signs"] for r in df.collect()]
         assert len(rows) == 200 and all(r and set(r) <= set("ABC") for r in rows)
     assert {tuple(r["signs"]) for r in nulls.matched_null(c, 50).where("signs[0] <> 'A'").collect()} == set()
+    assert nulls.markov_null(c.limit(0), 5).count() == 0 == nulls.markov_null(c.limit(0), 5, 2).count()
+
+
+def test_markov_chains_of_any_table_size_and_their_start(spark, monkeypatch):
+    c = seqs(spark, (30, "A B"), (20, "A B C"), (10, "C"), (5, "B A A"))
+    few = [sorted(map(tuple, nulls.markov_null(c, 300, k, 5).collect())) for k in (1, 2)]
+    monkeypatch.setattr(nulls, "SMALL", 0)
+    assert [sorted(map(tuple, nulls.markov_null(c, 300, k, 5).collect())) for k in (1, 2)] == few
+    two = [r for _, r in few[1]]
+    assert set(map(tuple, two)) <= {("A", "B"), ("A", "B", "C"), ("C",), ("B",), ("A",), ("B", "A", "A"), ("B", "C")} | {t for t in map(tuple, two) if len(t) == 1 or t[0] in "AB"}
+    assert 0.02 < np.mean([len(t) == 1 for t in two]) < 0.12  # a tenth begins with one sign
+    assert max(len(r) for _, r in map(tuple, nulls.markov_null(seqs(spark, (3, "A A A A A A")), 20, 1, 1, 7).collect())) == 7
+
+
+def test_whole_corpus_trials_draw_what_the_null_draws(spark, monkeypatch):
+    c = seqs(spark, (30, "A B"), (20, "A B C"), (10, "C"), (5, "B A A"))
+    want = {}
+    for r in nulls.matched_null(c, 65, 3, trials=4).collect():
+        want.setdefault(r["trial"], []).append(tuple(r["signs"]))
+    for most in (nulls.SMALL, 0):
+        got = {r["trial"]: (r["n_distinct"], r["n"]) for r in nulls.matched_null_uniqueness(c, 4, seed=3, most=most).collect()}
+        assert got == {t: (len(set(x)), 65) for t, x in want.items()}
+    assert nulls.matched_null_uniqueness(c.limit(0), 4).count() == 0
+
+
+def test_one_mining_gives_the_pairs_of_all_trials(spark):
+    from signflow.operators import resampling
+
+    rng = np.random.default_rng(2)
+    rows = [(f"r{i}", list(rng.choice(list("ABCD"), rng.integers(1, 4))), str(rng.choice(["s", "t", "unknown"])), "o", "m") for i in range(300)]
+    c = spark.createDataFrame(rows, FULL)
+    with_bits = resampling.with_trials(c, 40, 70, 6)
+    samples = nulls.subsample(c, 40, 70, 6)
+    bits = {(r["id"], t) for r in with_bits.collect() for t in range(70) if (r["trials"][t // 64] >> t % 64) & 1}
+    assert bits == {(r["id"], r["trial"]) for r in samples.collect()} and len(bits) == 70 * 40
+    want = {(r["trial"], r["sign_a"], r["sign_b"]) for r in substitution.pair_counts(samples, "context", "trial").collect()}
+    assert {(r["trial"], r["u"], r["v"]) for r in substitution.pair_trials(with_bits, 70, "context").collect()} == want
+    whole = spark.createDataFrame([(x, "A") for x in "ABC"] + [("D", "D")], "sign string, component string")
+    one = substitution.stability_by_trial(with_bits, whole, 70, "context").collect()
+    assert sorted(map(str, one)) == sorted(str(r) for r in substitution.stability_by_part(samples, whole, "trial", "context").select(one[0].__fields__).collect())
+    call = substitution.matched_size(spark.createDataFrame([("A", 3, 0.5), ("Z", 2, 0.1)], "class string, members bigint, jaccard double"), spark.createDataFrame([("A", 0.4, 0), ("A", 0.6, 1)], "class string, jaccard double, trial int"))
+    assert {r["class"]: (r["low"], r["high"], r["explained"], r["vacuous"]) for r in call.collect()} == {"A": (0.4, 0.6, True, False), "Z": (None, None, None, None)}
+    assert {(r["id"], r["trial"]) for r in nulls.subsample(c, 1000, 2, 1).collect()} == {(r[0], t) for r in rows for t in (0, 1)}
+    half = nulls.subsample(c, fraction=0.25, trials=3, seed=2, keys=("site",)).groupBy("site", "trial").count().collect()
+    sizes = Counter(r[2] for r in rows)
+    assert {(r["site"], r["trial"]): r["count"] for r in half} == {(s, t): max(1, round(0.25 * n)) for s, n in sizes.items() for t in range(3)}
 
 
 def test_direction_of_a_planted_corpus(spark):
@@ -199,9 +246,9 @@ def test_components_with_hot_nodes(spark, monkeypatch):
     pairs = [(1, i) for i in range(2, 60)] + [(i, i + 1) for i in range(100, 160)] + [(200, 200), (300, 301), (301, 300)]
     edges = spark.createDataFrame(pairs, "a bigint, b bigint")
     want = {i: 1 for i in range(1, 60)} | {i: 100 for i in range(100, 161)} | {300: 300, 301: 300}
-    for nodes in (1000, 0):
-        assert {r["node"]: r["component"] for r in components(edges, broadcast_nodes=nodes).collect()} == want
-        assert components(edges.limit(0), broadcast_nodes=nodes).count() == 0
+    for nodes, small in ((1000, 0), (0, 0), (0, 1000)):
+        assert {r["node"]: r["component"] for r in components(edges, broadcast_nodes=nodes, small=small).collect()} == want
+        assert components(edges.limit(0), broadcast_nodes=nodes, small=small).count() == 0
 
 
 def test_join_hot(spark, monkeypatch):
@@ -336,7 +383,7 @@ def test_controls_and_streams(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).first().asDict() == {"k": "a", "n": 1, "x": [1.5]}
 
 
-SQL_QUERIES = ["matched_null", "stratified_null", "uniqueness_against_null_trials", "feature_differences", "entropy_curve", "discount_sweep", "perplexity_ratio_by_site", "class_summaries", "pair_report", "restoration_summary", "check_ledger", "subsample", "minimal_pairs_by_position"]
+SQL_QUERIES = ["bigram_markov_null", "trigram_markov_null", "component_stability_subsampled", "component_stability_by_site", "matched_size_call", "matched_null", "stratified_null", "uniqueness_against_null_trials", "feature_differences", "entropy_curve", "discount_sweep", "perplexity_ratio_by_site", "class_summaries", "pair_report", "restoration_summary", "check_ledger", "subsample", "minimal_pairs_by_position"]
 
 
 @pytest.mark.parametrize("name", SQL_QUERIES)
