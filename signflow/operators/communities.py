@@ -24,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signflow.functions.skew import join_hot
+from signflow.functions import skew
+from signflow.functions.skew import join_hot, look_up
 from signflow.session import discard, materialize, ship
 
-#: Edges of a level's graph (40 bytes each) that one task finishes; rows (16 to 40 bytes) that may be broadcast.
-SMALL, BROADCAST = 200_000, 200_000
+#: Edges of a level's graph (40 bytes each) that one task finishes.
+SMALL = 200_000
 #: Places in line, and rounds without a move after which a level ends though some would move.
 CLASSES, DRY = 256, 8
 #: Rounds by which the hashes of one climb from the bottom differ from those of the next.
@@ -49,14 +50,6 @@ def _hashed(x: np.ndarray, round_: int, salt: int) -> np.ndarray:
     return (np.mod(x, _P) + 1) * _factor(round_, salt) % _P
 
 
-def look_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``rows`` (written) joined with ``table`` (unique by ``key``): by broadcast where it is small, else with hot keys split off."""
-    if table.count() <= BROADCAST:
-        return rows.join(F.broadcast(table), key, how)
-    sizes = rows.groupBy(key).agg(F.count("*").alias("size_"))
-    return join_hot(rows, table.join(sizes, key), [key], "size_", rows.count(), how)
-
-
 def climb(a: np.ndarray, b: np.ndarray, w: np.ndarray, m2: np.ndarray, round_: int = 0, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, bool]:
     """All levels of a graph (a <= b) in memory, from single nodes or the communities ``start``: its nodes, their communities, and whether any of the nodes moved by itself."""
     names = np.unique(np.concatenate([a, b]))
@@ -160,7 +153,7 @@ def _local_moves(level: DataFrame, round_: int, start: DataFrame | None = None)
         discard(nodes.sparkSession, path)
         nodes, path = own, own_path
     size = nodes.agg(F.count("*").alias("n"), F.coalesce(F.sum("degree"), F.lit(0)).alias("links")).first()
-    small = size["n"] <= BROADCAST
+    small = size["n"] <= skew.BROADCAST
     dry, ever = 0, False
     while dry < DRY:
         written: list[str] = []

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from signflow.functions import skew
 from signflow.operators import communities as com
 from signflow.operators import substitution
 
@@ -75,7 +76,7 @@ def test_joins_agree_with_one_task(spark, monkeypatch, k):
     assert one == many
     if k == 0:
         assert len(set(one.values())) == 2
-        monkeypatch.setattr(com, "BROADCAST", 0)
+        monkeypatch.setattr(skew, "BROADCAST", 0)
         assert {r["node"]: r["community"] for r in com.communities(df, small=0).collect()} == one
     members = spark.createDataFrame(list(one.items()), "node bigint, community bigint")
     assert com.modularity(df, members).first()["modularity"] == pytest.approx(quality(edges, one))
