@@ -8,10 +8,11 @@ one tree at a time and the tree first that lets in the fewest further matches, u
 similar link found so far is met with the target recall (without a link, a pair at the threshold); with the
 links that shorter prefixes bring, that is asked again. A pair met at longer prefixes is not verified again.
 
-Classes that share a prefix with a neighbour form components. A component that fits a block is checked by itself;
-the members of a larger one are checked by subtrie, in pairs of bounded blocks, each pair of classes in the first
-tree where they meet. So a chain of subtries never makes unrelated classes travel together, and no task holds
-more than two blocks. Tasks give back counts of links, their similarities in steps of a hundredth, and a spanning
+Classes that share a prefix with a neighbour form components. A component that fits a block is checked by itself. A
+larger one is checked in pairs of bounded blocks: by subtrie, each pair of classes in the first tree where they meet,
+so that a chain of subtries never makes unrelated classes travel together; or, if its subtries are so large that this
+would move more rows (many near copies of one text), as a whole. No task holds more than two blocks, and a class of a
+group travels once for each of its group's blocks, which is quadratic in the distinct near copies over the block size. Tasks give back counts of links, their similarities in steps of a hundredth, and a spanning
 forest, never all pairs. No subtrie is cut and no pair of one is lost.
 
 Null texts and texts without words have no shingles: each is alone, without links. Copies count as links of each
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signflow.functions.skew import join_hot
+from signflow.functions.skew import join_hot, look_up
 from signflow.llm.common import concat_bytes, prepare, slices, texts_of
 from signflow.operators.graph import components
 from signflow.session import discard, materialize
@@ -368,14 +369,19 @@ def match(tried: DataFrame, classes: DataFrame, texts: DataFrame, depths: list[i
     names = [f"d{t}" for t in range(len(old))]
     blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks")
     sized = kept(member.select("component", "n", *old).groupBy("component").agg(blocks, F.count("*").alias("size"), _shared(names).alias("old")), "components")
-    placed = kept(join_hot(member, sized, ["component"], "size", n_members), "placed").where("not old or blocks > 1")  # what shared a prefix before was verified then
-    own = placed.where("blocks = 1").select(F.col("component").alias("part"), F.lit(-1).alias("tree"), "blocks", "cid", "copies", "now", "done")
-    spread = placed.where("blocks > 1").select("cid", "n", "copies", "now", "done", F.posexplode("now").alias("tree", "part"))
+    placed = kept(join_hot(member, sized, ["component"], "size", n_members).where("not old or blocks > 1"), "placed")  # what shared a prefix before was verified then
+    spread = placed.where("blocks > 1").select("component", "cid", "n", "copies", "now", "done", F.posexplode("now").alias("tree", "part"))
     told = [F.col("now")[t].alias(f"k{t}") for t in range(trees)]
     earlier = [F.when(F.col("tree") > t, F.col(f"k{t}")).otherwise(F.col("cid")).alias(f"e{t}") for t in range(trees - 1)]  # of one value in all rows only if of an earlier tree
-    subtries = spread.select("*", *told, *old).select("tree", "part", "n", *names, *earlier).groupBy("tree", "part").agg(blocks, F.count("*").alias("size"), _shared([*names, *(f"e{t}" for t in range(trees - 1))]).alias("old"))
+    subtries = spread.select("*", *told, *old).select("tree", "part", "component", "n", *names, *earlier).groupBy("tree", "part").agg(blocks, F.count("*").alias("size"), F.min("component").alias("component"), _shared([*names, *(f"e{t}" for t in range(trees - 1))]).alias("old"))
     subtries = kept(subtries.where("size > 1 and not old").drop("old"), "subtries")
-    spread = kept(spread.drop("n"), "spread")
+    # A component whose subtries overlap so much that they would hold its classes more often than all its blocks in pairs goes as a whole
+    by_tries = subtries.groupBy("component").agg(F.sum(F.col("size") * F.col("blocks")).alias("rows"))
+    ways = kept(sized.where("blocks > 1").join(by_tries, "component").select("component", (F.col("size") * F.col("blocks") <= F.col("rows")).alias("whole")), "ways")
+    chosen = kept(look_up(placed, ways, "component", "left").where("blocks = 1 or whole is not null"), "chosen")
+    own = chosen.where("blocks = 1 or whole").select(F.col("component").alias("part"), F.lit(-1).alias("tree"), "blocks", "cid", "copies", "now", "done")
+    spread = kept(chosen.where("blocks > 1 and not whole").select("cid", "copies", "now", "done", F.posexplode("now").alias("tree", "part")), "spread")
+    subtries = kept(look_up(subtries, ways.where("not whole").select("component"), "component").drop("component"), "dealt")
     dealt = join_hot(spread, subtries, ["tree", "part"], "size", spread.count()).select("part", "tree", "blocks", "cid", "copies", "now", "done")
     block = F.pmod(F.xxhash64(F.lit("block"), "cid"), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, block).alias("left"), F.greatest(k, block).alias("right"), (k < block).cast("int").alias("side")))

@@ -124,3 +124,21 @@ def test_pipeline(spark):
         out = stage(spark, docs, sf)
         assert out.columns == corpus_pipeline.COLUMNS, name
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_near_copies_travel_by_block_not_by_tree(spark, monkeypatch):
+    """Payload rows of one large group: classes times blocks, whatever the trees."""
+    seen = []
+    links = near_dup.links
+    monkeypatch.setattr(near_dup, "links", lambda payload, threshold: seen.append(payload.count()) or links(payload, threshold))
+    monkeypatch.setattr(near_dup, "BLOCK_CLASSES", 50)
+    rng = np.random.default_rng(3)
+    base = rng.choice([f"w{i}" for i in range(3000)], 120).tolist()
+    rows = []
+    for k in range(200):
+        own = list(base)
+        own[int(rng.integers(120))] = f"new{k}"
+        rows.append((k, " ".join(own)))
+    compared(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect(), rows)
+    blocks = -(-200 // 50)
+    assert max(seen) <= 200 * blocks and sum(seen) <= 2 * 200 * blocks
