@@ -7,8 +7,8 @@ of a date) and context features (letters beside them, words before them that ann
 Loose forms are read as their literal ones, so that the same features tell.
 
 Boosted trees are fitted on counts of feature cells: of the base matches in all documents, right ones and failed
-ones, and of a planted table of loose forms, right and look-alike, behind announcing, denying and plain words, in
-equal weight. One half of both (by hash) grows the trees, the other sets each kind's cutoff: the lowest score that
+ones, and of a planted table of loose forms, right and look-alike, behind announcing, denying and plain words, dated
+and grown together with letters, in equal weight. One half of both (by hash) grows the trees, the other sets each kind's cutoff: the lowest score that
 reaches the target precision on it. The trees become one expression. Candidates above the cutoff that touch no base
 span, nor a candidate that begins before them, are added.
 
@@ -29,6 +29,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signflow.session import discard, materialize
+
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that they never backtrack into a group. Fixed values.
 BASE = {
@@ -53,9 +55,11 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 CONTEXT = r"(?i)(?:mail|contact|write|reach|call|phone|tel|mobile|fax|card|visa|account|ip|host|server|address)(?:\x20(?:to|me|us|at|on|is|no|number))?[^a-z]{0,8}$"
 DENIAL = r"(?i)\b(?:version|ver|v|release|build|section|chapter|isbn|order|invoice|ref|serial|batch|part|item|model|date|since)(?:\x20(?:no|nr|number|id|of|is))?[^a-z]{0,6}$"
 DATED = r"^\D{0,2}(?:(?:19|20)[0-9]{2}[-/. ][01]?[0-9][-/. ][0-3]?[0-9](?![0-9])|[0-3]?[0-9][-/. ][01]?[0-9][-/. ](?:19|20)[0-9]{2}(?![0-9]))"
-FEATURES = ("kind", "bare", "digits", "length", "separators", "luhn", "octets", "plus", "before", "after", "announced", "denied", "dated")
+FEATURES = ("kind", "bare", "digits", "separators", "luhn", "octets", "before", "after", "announced", "denied", "dated")
 #: Rounds of boosting, their step, the depth-2 trees' least weight; the precision that sets the cutoffs; planted rows of a kind.
-ROUNDS, STEP, LEAST, PRECISION, PLANTED = 60, 0.3, 1.0, 0.98, 1000
+ROUNDS, STEP, LEAST, PRECISION, PLANTED = 120, 0.3, 1.0, 0.98, 1000
+#: Cells of features that the driver takes: some hundred times as many as occur.
+CELLS = 500_000
 #: Elements of a block of a running value.
 BLOCK = 256
 
@@ -144,10 +148,10 @@ def dressed(text: Column, g: int, kind: str, c: Column) -> Column:
     fields = {
         "kind": F.lit(KINDS.index(kind)), "start": c["start"], "stop": c["stop"],
         "label": passes(kind, c["m"]).cast("int") if g < len(KINDS) else F.lit(None).cast("int"),
-        "bare": c["m"].rlike(r"(?i)^[^\x20]+\x20(?:at|@)\x20[a-z0-9.-]+$").cast("int") if kind == "email" else F.lit(0), "digits": F.least(n, F.lit(24)), "length": F.least(F.floor(F.length(m) / 4), F.lit(10)).cast("int"),
+        "bare": c["m"].rlike(r"(?i)^[^\x20]+\x20(?:at|@)\x20[a-z0-9.-]+$").cast("int") if kind == "email" else F.lit(0), "digits": F.least(n, F.lit(24)),
         "separators": F.least(F.length(F.regexp_replace(m, r"[^\x20().\-/_]", "")), F.lit(8)),
         "luhn": F.when(n.between(12, 19), luhn(digits)).otherwise(F.lit(False)).cast("int"),
-        "octets": octets.cast("int"), "plus": m.startswith("+").cast("int"),
+        "octets": octets.cast("int"),
         "before": before.rlike(r"[\p{L}\p{N}]$").cast("int"), "after": F.substring(text, c["stop"] + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]").cast("int"),
         "announced": before.rlike(CONTEXT).cast("int"), "denied": before.rlike(DENIAL).cast("int"), "dated": c["m"].rlike(DATED).cast("int"),
     }
@@ -165,7 +169,11 @@ def candidates(text: Column) -> Column:
 
 
 def planted(n: int = PLANTED, seed: int = 41) -> list[tuple]:
-    """Loose forms with a label: text, kind, start, stop, label (1 personal, 0 not). About ``n`` of each kind, half of which are looked at in fitting and half in calibration."""
+    """Loose forms with a label: text, kind, start, stop, label (1 personal, 0 not). About ``n`` of each kind, half of which are looked at in fitting and half in calibration.
+
+    A phone, card or address is personal by its form unless it is dated, denied by the words before it, or grown
+    together with letters on either side; a bare ``x at y.z`` must be announced.
+    """
     rng = np.random.default_rng(seed)
     pick = lambda *x: x[rng.integers(len(x))]
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
@@ -196,19 +204,25 @@ def planted(n: int = PLANTED, seed: int = 41) -> list[tuple]:
                 m, label = pick(" dot ", "[.]", "(dot)", " [dot] ").join(parts), int(good and told >= 0)
             elif kind == 2:
                 good, size = rng.random() < 0.6, int(rng.choice([15, 16]))
-                d, sep = card(size, good), pick("/", ".", " - ", "_", " / ", "-")
+                d, sep = card(size, good), pick("/", ".", " - ", "_", " / ")
                 cuts = (4, 10) if size == 15 else (4, 8, 12)
                 m, label = sep.join(d[i:j] for i, j in zip((0, *cuts), (*cuts, size), strict=True)), int(good and told >= 0)
             else:
-                form = rng.integers(6)
-                sep = pick("-", ".", " ", "/")
-                m, label = sep.join([str(rng.integers(1990, 2030)), f"{rng.integers(1, 13):02}", f"{rng.integers(1, 29):02}"]) + pick(" ", "-") + digits(4), 0
-                if form or not re.fullmatch(LOOSE[1][2], m):
-                    form = max(int(form), 1)
-                    m = [f"{rng.integers(200, 999)}{sep}{digits(3)}{sep}{digits(4)}", f"({rng.integers(200, 999)}) {digits(3)}{sep}{digits(4)}", f"00{rng.integers(1, 99)} {digits(2)} {digits(4)} {digits(4)}", f"0{digits(3)}{sep}{digits(3)}{sep}{digits(4)}", f"{rng.integers(1, 99)}{sep}{rng.integers(200, 999)}{sep}{digits(3)}{sep}{digits(4)}"][form - 1]
-                    label = int(told == 1 or told == 0 and form in (2, 3))
+                form, sep = rng.integers(8), pick("-", ".", " ", "/")
+                day, month, year = f"{rng.integers(1, 29):02}", f"{rng.integers(1, 13):02}", str(rng.integers(1990, 2030))
+                slash = pick("/", ".")
+                m = [
+                    f"{day}{slash}{month}{slash}{year}{pick(' ', '-')}{rng.integers(10, 24)}{rng.integers(10, 60)}", f"{month}-{day}-{year} {rng.integers(10, 24)}.{rng.integers(10, 60)}",
+                    f"{rng.integers(200, 999)}{sep}{digits(3)}{sep}{digits(4)}", f"({rng.integers(200, 999)}) {digits(3)}{sep}{digits(4)}", f"00{rng.integers(1, 99)} {digits(2)} {digits(4)} {digits(4)}",
+                    f"0{digits(3)}{sep}{digits(3)}{sep}{digits(4)}", f"{rng.integers(1, 99)}{sep}{rng.integers(200, 999)}{sep}{digits(3)}{sep}{digits(4)}", f"+{rng.integers(1, 99)}/{digits(3)}/{digits(3)}/{digits(4)}",
+                ][form]
+                label = int(form > 1 and told >= 0)
+            glued = rng.random() < 0.15  # part of a longer token
+            front, back = [("é", ""), ("", "ß"), ("x", "y")][rng.integers(3)] if glued and kind else ("", "")
+            label = 0 if glued and kind else label
             before = pick("", "Note. ", "As said, ") + str(pick(*lead[told]))
-            rows.append((before + m + pick("", ".", ", thanks", "; and so on", ") it said"), kind, len(before), len(before) + len(m), label))
+            before += front
+            rows.append((before + m + back + pick("", ".", ", thanks", "; and so on", ") it said"), kind, len(before), len(before) + len(m), label))
     return rows
 
 
@@ -282,19 +296,27 @@ def calibrated(model: Model, x: np.ndarray, pos: np.ndarray, neg: np.ndarray, pr
     return model
 
 
+def proposed(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` with ``found_``, the candidates of its ``text``."""
+    return docs.withColumn("found_", candidates(F.coalesce("text", F.lit(""))))
+
+
 def cells(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """half, planted, features, pos, neg of the labelled candidates of all documents and of the planted table.
+    """half, planted, features, pos, neg of the labelled candidates of all documents (with ``text``, or ``found_`` of ``proposed``) and of the planted table.
 
     The driver gets one row for each cell that occurs; features have few values, so their number is bounded.
     """
-    text = F.coalesce("text", F.lit(""))
+    docs = docs if "found_" in docs.columns else proposed(docs)
     half = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(2)).cast("int")
-    of_docs = docs.select(half.alias("half"), F.lit(0).alias("planted"), F.explode(candidates(text)).alias("c")).select("half", "planted", "c.*").where("label is not null")
+    of_docs = docs.select(half.alias("half"), F.lit(0).alias("planted"), F.explode("found_").alias("c")).select("half", "planted", "c.*").where("label is not null")
     rows = docs.sparkSession.createDataFrame([(i % 2, *r) for i, r in enumerate(planted())], "half int, text string, k int, first int, last int, is_right int")
     own = rows.select("half", "k", "first", "last", "is_right", F.lit(1).alias("planted"), F.explode(candidates(F.col("text"))).alias("c"))
     own = own.where("c.label is null and c.kind = k and c.start = first and c.stop = last").select("half", "planted", F.col("is_right").alias("label"), *[f"c.{f}" for f in FEATURES])
     every = of_docs.select("half", "planted", "label", *FEATURES).unionByName(own)
-    found = every.groupBy("half", "planted", *FEATURES).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).orderBy("half", "planted", *FEATURES).toPandas()
+    counted = every.groupBy("half", "planted", *FEATURES).agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    found = counted.orderBy("half", "planted", *FEATURES).limit(CELLS + 1).toPandas()
+    if len(found) > CELLS:
+        raise ValueError(f"more than {CELLS} cells of features")
     x = found[list(FEATURES)].to_numpy(np.float64).reshape(-1, len(FEATURES))
     return found["half"].to_numpy(), found["planted"].to_numpy(), x, found["pos"].to_numpy(np.float64), found["neg"].to_numpy(np.float64)
 
@@ -312,6 +334,11 @@ def fit(docs: DataFrame) -> Model:
 
 def find(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of ``docs`` with ``base`` and ``spans``: array<struct<start, kind, stop>>, sorted; kind by its place in KINDS."""
+    return judged(proposed(docs.drop("base", "spans", "found_", "loose_")), model)
+
+
+def judged(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``base`` and ``spans`` in place of ``found_``."""
     span = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"))
     base = F.array_sort(F.transform(F.filter("found_", lambda c: c["label"] == 1), span))
     loose = F.transform(F.filter("found_", lambda c: c["label"].isNull() & model.passes(c)), span)
@@ -327,7 +354,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
         return F.array_sort(F.transform(F.filter(told, lambda y: (y["c"]["loose"] == 0) | free(y)), lambda y: span(y["c"])))
 
     both = F.array_sort(F.concat(marked(F.col("base"), 0), marked(F.col("loose_"), 1)))
-    found = docs.drop("base", "spans", "found_", "loose_").withColumn("found_", candidates(F.coalesce("text", F.lit("")))).withColumns({"base": base, "loose_": loose}).drop("found_")
+    found = docs.withColumns({"base": base, "loose_": loose}).drop("found_")
     return found.withColumn("spans", F.when(F.size("loose_") > 0, let(both, chosen)).otherwise(F.col("base"))).drop("loose_")
 
 
@@ -338,10 +365,13 @@ def written(spans: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone of the base kinds, base_sha256, spans."""
-    found = find(docs.select(F.col("doc_id").cast("bigint"), "text"), fit(docs))
+    """doc_id, n_email, n_ip, n_card, n_phone of the base kinds, base_sha256, spans. Texts are read once: candidates are written, learned from and judged."""
+    told, path = materialize(proposed(docs.select(F.col("doc_id").cast("bigint"), "text")).drop("text"), "candidates")
+    found = judged(told, fit(told))
     counts = [F.size(F.array_remove(F.transform("base", lambda s: s["kind"] == KINDS.index(k)), False)).cast("bigint").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    out, _ = materialize(found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")), "spans")
+    discard(docs.sparkSession, path)
+    return out
 
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:
