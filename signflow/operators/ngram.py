@@ -6,12 +6,14 @@ nothing is counted once for each fold, and perplexities sum over distinct n-gram
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signflow.functions.portable import global_rank, hashed
 from signflow.operators.tokens import contexts
-from signflow.session import materialize
+from signflow.session import discard, materialize
 
 
 def _context(order: int) -> list[str]:
@@ -55,32 +57,52 @@ def add_alpha(folded: DataFrame, orders: tuple[int, ...] = (1, 2, 3), alpha: flo
 def kneser_ney(folded: DataFrame, orders: int = 3, discounts: tuple[float, ...] = (0.75,)) -> DataFrame:
     """order, discount, fold, perplexity of interpolated Kneser-Ney models up to ``orders``.
 
-    Order 0 is the share of distinct predecessors (the start among them). The counts don't depend on the
-    discounts, which only multiply the rows of the last step.
+    Order 0 is the share of distinct predecessors (the start among them). An n-gram is one row whatever the folds, with
+    its count in each of them, so what a fold trains on is a difference of two columns; lower orders are summed from
+    the highest. Totals and distinct signs of a context are window sums over its rows, and each order joins the
+    probabilities of the order below once. Perplexities of an order are sums over that order's own n-grams.
     """
-    grams, _ = materialize(_grams(folded, max(orders, 2)), "grams")  # all lower orders are summed from these
-    kinds = grams.groupBy("c1", "w").agg(F.sum("n").alias("all_n"))
-    own_kinds = grams.where("fold >= 0").groupBy("fold", "c1", "w").agg(F.sum("n").alias("n")).join(kinds, ["c1", "w"])
-    gone = own_kinds.where("n = all_n")
-    by_w = kinds.groupBy("w").agg(F.count("*").alias("all_k"))
-    n_kinds = kinds.agg(F.count("*").alias("kinds"))
-    gone_w = gone.groupBy("fold", "w").agg(F.count("*").alias("gone_k"))
-    gone_all = gone.groupBy("fold").agg(F.count("*").alias("gone_kinds"))
-    n_signs = by_w.count()
-    x = grams.where("fold >= 0").withColumn("discount", F.explode(F.array(*map(F.lit, discounts))))
-    x = x.join(by_w, "w").join(gone_w, ["fold", "w"], "left").join(F.broadcast(gone_all), "fold", "left").join(F.broadcast(n_kinds))
-    left = F.col("kinds") - F.coalesce("gone_kinds", F.lit(0))
-    x = x.withColumn("p0", F.when(left > 0, (F.col("all_k") - F.coalesce("gone_k", F.lit(0))) / left).otherwise(1.0 / max(n_signs, 1))).drop("all_k", "gone_k", "gone_kinds", "kinds")
-    for order in range(1, orders + 1):
-        ctx = _context(order)
-        own, seen = _held(grams, order)
-        x = x.join(own.select("fold", *ctx, "w", "c"), ["fold", *ctx, "w"], "left").join(seen, ["fold", *ctx], "left")
-        p = F.greatest(F.col("c") - F.col("discount"), F.lit(0.0)) / F.col("t") + F.col("discount") * F.col("d") / F.col("t") * F.col(f"p{order - 1}")
-        x = x.withColumn(f"p{order}", F.when(F.coalesce("t", F.lit(0)) > 0, p).otherwise(F.col(f"p{order - 1}"))).drop("c", "t", "d")
-    bits = [F.sum(F.col("n") * F.log2(F.greatest(F.col(f"p{k}"), F.lit(1e-12)))).alias(f"s{k}") for k in range(1, orders + 1)]
-    sums = x.groupBy("discount", "fold").agg(F.sum("n").alias("n"), *bits)
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), F.pow(F.lit(2.0), -F.col(f"s{k}") / F.col("n")).alias("perplexity")) for k in range(1, orders + 1)]))
-    return sums.select("discount", "fold", each.alias("x")).select("x.order", "discount", "fold", "x.perplexity")
+    top = max(orders, 2)
+    grams, path = materialize(_grams(folded, top), "grams")
+    paths, most = [path], grams.agg(F.max("fold")).first()[0]
+    n_folds = 0 if most is None else most + 1
+    if not n_folds:
+        discard(folded.sparkSession, path)
+        return folded.sparkSession.createDataFrame([], '`order` int, discount double, fold int, perplexity double')
+    folds = range(n_folds)
+    table = {top: grams.groupBy(*_context(top), "w").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("fold") == j, F.col("n")).otherwise(0)).alias(f"n{j}") for j in folds])}
+    for o in range(top, 1, -1):
+        table[o], path = materialize(table[o], "counts")
+        paths.append(path)
+        table[o - 1] = table[o].groupBy(*_context(o - 1), "w").agg(F.sum("all").alias("all"), *[F.sum(f"n{j}").alias(f"n{j}") for j in folds])
+    stays = lambda j: F.col("all") > F.col(f"n{j}")  # noqa: E731  whether the n-gram is in the training rows
+    kinds = table[2].groupBy("w").agg(*[F.count_if(stays(j)).alias(f"k{j}") for j in folds])
+    of_kinds = kinds.agg(*[F.sum(f"k{j}").alias(f"k{j}") for j in folds]).first()
+    of_signs = table[1].agg(F.count("*").alias("signs"), *[F.sum(F.col("all") - F.col(f"n{j}")).alias(f"t{j}") for j in folds], *[F.count_if(stays(j)).alias(f"d{j}") for j in folds]).first()
+    x = table[1].join(kinds, "w").withColumn("discount", F.explode(F.array(*map(F.lit, discounts))))
+    x = x.withColumns({f"p{j}": F.col(f"k{j}") / of_kinds[f"k{j}"] if of_kinds[f"k{j}"] else F.lit(1.0 / of_signs["signs"]) for j in folds})
+    x = x.withColumns({f"{c}{j}": F.lit(of_signs[f"{c}{j}"]) for c in "td" for j in folds})
+    each = []
+    for o in range(1, orders + 1):
+        if o > 1:
+            own = Window.partitionBy(*_context(o))
+            seen = table[o].withColumns({f"t{j}": F.sum(F.col("all") - F.col(f"n{j}")).over(own) for j in folds} | {f"d{j}": F.count_if(stays(j)).over(own) for j in folds})
+            x = seen.join(x.select("discount", *_context(o - 1), "w", *[f"p{j}" for j in folds]), [*_context(o - 1), "w"])
+
+        def at(j: int) -> Column:
+            left, t = F.greatest(F.col("all") - F.col(f"n{j}") - F.col("discount"), F.lit(0.0)), F.col(f"t{j}")
+            return F.when(t > 0, F.try_divide(left, t) + F.try_divide(F.col("discount") * F.col(f"d{j}"), t) * F.col(f"p{j}")).otherwise(F.col(f"p{j}"))
+
+        x = x.select("discount", *_context(o), "w", *[f"n{j}" for j in folds], *[at(j).alias(f"p{j}") for j in folds])
+        if o < orders:
+            x, path = materialize(x, "probabilities")
+            paths.append(path)
+        bits = x.groupBy("discount").agg(*[F.sum(F.col(f"n{j}") * F.log2(F.greatest(F.col(f"p{j}"), F.lit(1e-12)))).alias(f"s{j}") for j in folds], *[F.sum(f"n{j}").alias(f"m{j}") for j in folds])
+        by_fold = F.explode(F.array(*[F.struct(F.lit(j).alias("fold"), F.pow(F.lit(2.0), -F.col(f"s{j}") / F.col(f"m{j}")).alias("perplexity")) for j in folds]))
+        each.append(bits.select(F.lit(o).alias("order"), "discount", by_fold.alias("x")).select("order", "discount", "x.fold", "x.perplexity"))
+    out, _ = materialize(reduce(DataFrame.unionByName, each), "perplexities")
+    discard(folded.sparkSession, *paths)
+    return out
 
 
 def gains(perplexities: DataFrame) -> DataFrame:
@@ -90,24 +112,33 @@ def gains(perplexities: DataFrame) -> DataFrame:
     return mean.join(before, ["discount", "order"], "left").select("discount", "order", "perplexity", (F.log2("before") - F.log2("perplexity")).alias("gain"))
 
 
-def restoration(corpus: DataFrame, trials: DataFrame, alpha: float = 0.5) -> DataFrame:
-    """For each trial (id, pos; rows of at least two signs): the sign predicted from the one before it, trained on all other rows, and the size of the smallest set with 90% of the mass.
+def restoration(corpus: DataFrame, trials: DataFrame, alpha: float = 0.5, share: float = 0.9) -> DataFrame:
+    """For each trial (id, pos; rows of at least two signs): the sign predicted from the one before it, trained on all other rows, and the size of the smallest set with ``share`` of the mass.
 
-    Counts without a row are the totals less its own, so no model is trained again.
+    Counts without a row are the totals less its own, so no model is trained again. Only signs that do follow in the
+    other rows are scored: all others have the same mass and come after them in the order of signs, so how many of them
+    are in the set, and whether the true one is, follows from their number and its place among all signs.
     """
     x = contexts(corpus, 2)
     totals = x.groupBy("c1", "w").agg(F.count("*").alias("n"))
-    vocab = totals.select("w").distinct()
-    v = vocab.count()
+    places = global_rank(totals.select("w").distinct(), "w").select(F.col("w").alias("truth"), F.col("rank").alias("place"))
+    v, least = places.count(), places.agg(F.min("truth").alias("least"))
     asked = x.join(trials.select("id", "pos"), ["id", "pos"]).select("id", "pos", "c1", F.col("w").alias("truth"))
     own = x.join(trials.select("id").distinct(), "id", "left_semi").groupBy("id", "c1", "w").agg(F.count("*").alias("own"))
-    grid = asked.join(F.broadcast(vocab)) if v <= 10_000 else asked.join(vocab)
-    scored = grid.join(totals, ["c1", "w"], "left").join(own, ["id", "c1", "w"], "left").withColumn("c", F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0)))
+    follows = asked.join(totals, "c1").join(own, ["id", "c1", "w"], "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0))).where("c > 0")
     one = Window.partitionBy("id", "pos")
-    ranked = scored.withColumn("p", (F.col("c") + alpha) / (F.sum("c").over(one) + alpha * v)).withColumn("rank", F.row_number().over(one.orderBy(F.desc("p"), "w")))
-    before = F.coalesce(F.sum("p").over(one.orderBy(F.desc("p"), "w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    kept = ranked.withColumn("kept", before / F.sum("p").over(one) < 0.9)
-    return kept.groupBy("id", "pos", "truth").agg(F.max_by("w", -F.col("rank")).alias("predicted"), F.count_if("kept").alias("set_size"), F.bool_or(F.col("kept") & (F.col("w") == F.col("truth"))).alias("in_set"))
+    mass = F.col("c") + alpha
+    before = F.coalesce(F.sum(mass).over(one.orderBy(F.desc("c"), "w").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    scored = follows.withColumn("kept", before / (F.sum("c").over(one) + alpha * v) < share)
+    true = F.col("w") == F.col("truth")
+    told = scored.groupBy("id", "pos").agg(
+        F.sum("c").alias("t"), F.count("*").alias("m"), F.min(F.struct((-F.col("c")).alias("minus"), "w"))["w"].alias("top"), F.count_if("kept").alias("kept"),
+        F.bool_or(true).alias("follows"), F.bool_or(true & F.col("kept")).alias("true_kept"), F.count_if(F.col("w") < F.col("truth")).alias("below"),
+    )
+    res = asked.join(told, ["id", "pos"], "left").join(places, "truth").join(F.broadcast(least)).fillna(0, ["t", "m", "kept", "below"])
+    rest = F.greatest(F.lit(0), F.least(F.ceil((share * (F.col("t") + alpha * v) - F.col("t") - alpha * F.col("m")) / alpha), v - F.col("m")))  # of the others, those in the set
+    in_set = F.when(F.coalesce("follows", F.lit(False)), F.col("true_kept")).otherwise(F.col("place") - F.col("below") < rest)
+    return res.select("id", "pos", "truth", F.coalesce("top", "least").alias("predicted"), (F.col("kept") + rest).cast("bigint").alias("set_size"), in_set.alias("in_set"))
 
 
 def restored(trials: DataFrame) -> DataFrame:
