@@ -349,13 +349,14 @@ def demo_corpus(spark: SparkSession, n: int = 2000, signs: int = 120, seed: int
     first = F.when(u("first?") < 0.55, 2 + F.floor(u("first") * 3).cast("int")).otherwise(chosen(edges, u("first")))
 
     def grow(out: Column, i: Column) -> Column:
-        last = F.element_at(out, -1)
-        after = F.get(strong, last)
+        after = F.get(strong, F.element_at(out, -1))
         middle = F.when((after >= 0) & (u("strong", i) < 0.8), after).otherwise(chosen(edges, u("any", i)))
-        final = F.when(u("final") < 0.45, F.lit(0)).when(u("double") < 0.33, last).otherwise(chosen(edges, u("any", i)))
-        return F.when(i >= size, out).otherwise(F.concat(out, F.array(F.when(i == size - 1, final).otherwise(middle))))
+        return F.when(i >= size - 1, out).otherwise(F.concat(out, F.array(middle)))
 
     numbers = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), F.array(first), grow)
+    favoured = F.when(u("double") < 0.33, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0)))  # the common last sign, itself doubled
+    final = F.when(u("final") < 0.45, favoured).otherwise(F.array(chosen(edges, u("any", "final"))))
+    numbers = F.when(size > 1, F.concat(numbers, final)).otherwise(numbers)
     of = lambda names, x: F.get(F.array(*map(F.lit, names)), F.floor(x * len(names)).cast("int"))
     return spark.range(n).withColumnRenamed("id", "k").select(
         F.format_string("SYN-%05d", "k").alias("id"), F.transform(numbers, lambda x: F.format_string("S%03d", x + 1)).alias("signs"),

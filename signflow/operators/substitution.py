@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signflow.functions.portable import global_rank, uniform
+from signflow.functions.portable import global_rank, hashed
 from signflow.operators.communities import communities
 from signflow.operators.graph import components
 from signflow.operators.tokens import tokens
@@ -239,12 +239,20 @@ def mean_similarity(members: DataFrame, vectors: DataFrame, *keys: str) -> DataF
 
 
 def corroborated(members: DataFrame, vectors: DataFrame, draws: int = 200, seed: int = 0) -> DataFrame:
-    """component, members, similarity, baseline (the mean of ``draws`` sets of as many signs, drawn by hash) and whether the class is more alike than that."""
-    own = mean_similarity(members, vectors, "component").where("members > 1")
-    numbered = global_rank(vectors.select("sign"), "sign").withColumnRenamed("rank", "number_")
-    n = numbered.count()
-    asked = own.select("component", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), "members").select("component", "draw", F.explode(F.sequence(F.lit(1), F.col("members"))).alias("j"))
-    asked = asked.withColumn("number_", F.floor(uniform(seed, F.col("component"), F.col("draw"), F.col("j")) * n))
-    drawn = asked.join(numbered, "number_").select("component", "draw", "sign").distinct()
-    baseline = mean_similarity(drawn, vectors, "component", "draw").groupBy("component").agg(F.avg("similarity").alias("baseline"))
-    return own.join(baseline, "component", "left").withColumn("corroborated", F.col("similarity") > F.col("baseline"))
+    """component, members, similarity, baseline and whether the class is more alike than that: the mean of ``draws`` sets of as many signs.
+
+    Sets are drawn without replacement: a draw puts all signs of ``vectors`` in hashed order, and a class of k members
+    is held against its first k; a class of all signs is no more alike than that. ``members``: sign, component; those
+    without a vector don't count.
+    """
+    own, path = materialize(mean_similarity(members, vectors, "component").where("members > 1"), "similarity")
+    sizes = own.select("members").distinct()
+    most = sizes.agg(F.max("members")).first()[0] or 0
+    order = F.row_number().over(Window.partitionBy("draw").orderBy("order_", "sign"))  # a vocabulary
+    lines = vectors.select("sign", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("order_", hashed(seed, F.col("draw"), F.col("sign"))).withColumn("place", order).where(F.col("place") <= most)
+    sets = lines.join(F.broadcast(sizes.withColumnRenamed("members", "k")), F.col("place") <= F.col("k")).select("k", "draw", "sign")  # as many sizes as classes at most
+    alike = mean_similarity(sets, vectors, "k", "draw")
+    baseline = alike.groupBy(F.col("k").alias("members")).agg(F.avg("similarity").alias("baseline"))
+    out, _ = materialize(own.join(baseline, "members", "left").select("component", "members", "similarity", "baseline", (F.col("similarity") > F.col("baseline") + 1e-9).alias("corroborated")), "corroborated")
+    discard(members.sparkSession, path)
+    return out

@@ -2,44 +2,139 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signflow.functions.portable import uniform
+from signflow.functions.skew import look_up
 from signflow.operators import stats
-from signflow.session import ship
+from signflow.session import discard, materialize, ship
 
 #: Queries of a block and base rows of a shard, on average.
 BLOCK, SHARD = 4096, 65_536
 
 
-def cooccurrence(corpus: DataFrame, window: int = 2) -> DataFrame:
-    """a, b, n: signs within ``window`` places of each other, both ways, formed inside the row."""
+def cooccurrence(corpus: DataFrame, window: int = 2, *keys: str) -> DataFrame:
+    """keys, a, b, n: signs within ``window`` places of each other, both ways, formed inside the row."""
     s = F.col("signs")
     near = F.transform(s, lambda x, i: F.transform(F.filter(F.sequence(F.greatest(i - window, F.lit(0)), F.least(i + window, F.size(s) - 1)), lambda j: j != i), lambda j: F.struct(x.alias("a"), F.get(s, j).alias("b"))))
-    return corpus.where(F.size(s) > 1).select(F.inline(F.flatten(near))).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return corpus.where(F.size(s) > 1).select(*keys, F.inline(F.flatten(near))).groupBy(*keys, "a", "b").agg(F.count("*").alias("n"))
+
+
+def ppmi(counts: DataFrame, *keys: str) -> DataFrame:
+    """keys, a, b, ppmi of observed pairs (others are 0), each key's by its own counts."""
+    margin = lambda c: counts.groupBy(*keys, c).agg(F.sum("n").alias(f"n{c}"))
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("t"))
+    x = counts.join(margin("a"), [*keys, "a"]).join(margin("b"), [*keys, "b"])
+    x = x.join(F.broadcast(total), list(keys)) if keys else x.join(F.broadcast(total))
+    return x.select(*keys, "a", "b", F.greatest(F.lit(0.0), F.log2(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("ppmi"))
+
+
+def rows_of(ppmi_table: DataFrame) -> DataFrame:
+    """sign, vector: the table's rows over its columns in order, which are a vocabulary."""
+    columns = ppmi_table.select(F.col("b").alias("sign")).distinct().agg(F.array_sort(F.collect_list("sign")).alias("signs_"))
+    rows = ppmi_table.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "ppmi"))).alias("m_")).join(F.broadcast(columns))
+    return rows.select(F.col("a").alias("sign"), F.transform("signs_", lambda x: F.coalesce(F.try_element_at("m_", x), F.lit(0.0))).alias("vector"))
+
+
+def _gram(table: DataFrame, names: list[str]) -> np.ndarray:
+    """Products of all columns with each other: a matrix a task, added up, so that the driver gets one."""
+    ship(table.sparkSession)
+    k = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for b in batches:
+            m = np.stack([b.column(n).to_numpy() for n in names], 1)
+            total += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(k), k), pa.int32()), pa.array(np.tile(np.arange(k), k), pa.int32()), pa.array(total.ravel())], ["i", "j", "x"])
+
+    out = np.zeros((k, k))
+    for r in table.select(*names).mapInArrow(run, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
+        out[r["i"], r["j"]] = r["x"]
+    return out
 
 
-def ppmi(counts: DataFrame) -> DataFrame:
-    """a, b, ppmi of observed pairs (others are 0)."""
-    margin = lambda c: counts.groupBy(c).agg(F.sum("n").alias(f"n{c}"))
-    total = counts.agg(F.sum("n").alias("t"))
-    x = counts.join(margin("a"), "a").join(margin("b"), "b").join(F.broadcast(total))
-    return x.select("a", "b", F.greatest(F.lit(0.0), F.log2(F.col("n") * F.col("t") / (F.col("na") * F.col("nb")))).alias("ppmi"))
+def _turned(table: DataFrame, names: list[str], by: np.ndarray) -> DataFrame:
+    """sign and the columns ``names`` times a matrix, as x0, x1, ..."""
+    width = by.shape[1]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = np.stack([b.column(n).to_numpy() for n in names], 1) @ by
+            yield pa.RecordBatch.from_arrays([b.column("sign"), *(pa.array(m[:, j]) for j in range(width))], ["sign", *(f"x{j}" for j in range(width))])
 
-def embed(ppmi_table: DataFrame, dims: int = 20, most: int = 3000) -> DataFrame:
-    """sign, vector: truncated SVD of the PPMI matrix. The vocabulary is checked to fit the driver's matrix."""
-    signs = [r["a"] for r in ppmi_table.select("a").distinct().orderBy("a").limit(most + 1).collect()]
-    if len(signs) > most:
-        raise ValueError(f"more than {most} signs; filter rare ones first")
-    at = {s: i for i, s in enumerate(signs)}
-    m = np.zeros((len(signs), len(signs)))
-    for r in ppmi_table.where("ppmi > 0").collect():
-        m[at[r["a"]], at[r["b"]]] = r["ppmi"]
-    u, s, _ = np.linalg.svd(m)
-    k = max(1, min(dims, len(signs) - 1))
-    return ppmi_table.sparkSession.createDataFrame([(w, (u[i, :k] * s[:k]).tolist()) for w, i in at.items()], "sign string, vector array<double>")
+    return table.select("sign", *names).mapInArrow(run, "sign string, " + ", ".join(f"x{j} double" for j in range(width)))
+
+
+def embed(ppmi_table: DataFrame, dims: int = 20, more: int = 20, tolerance: float = 1e-10, rounds: int = 200, seed: int = 0) -> DataFrame:
+    """sign, vector: truncated SVD (left vectors times singular values) of a sparse table of any vocabulary.
+
+    Subspace iteration: a basis of ``dims`` + ``more`` columns over the signs, hashed at first, is multiplied by the table
+    and back (joins, and a sum for each column), and made orthonormal by the small matrix of its products. It ends when
+    the ``dims`` largest singular values no longer change; with a vocabulary no wider than the basis the first round is
+    exact. Signs without a positive entry get zeros. The driver holds the small matrices only.
+    """
+    spark, temporary = ppmi_table.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df, path = materialize(df, name)
+        temporary.append(path)
+        return df
+
+    cells = kept(ppmi_table.where("ppmi > 0").select("a", "b", "ppmi"), "cells")
+    names = kept(ppmi_table.select(F.col("a").alias("sign")).distinct(), "signs")
+    n = names.count()
+    if not n:
+        return spark.createDataFrame([], "sign string, vector array<double>")
+    across = kept(cells.select(F.col("b").alias("sign")).distinct(), "columns")
+    m, k = across.count(), max(1, min(dims, n - 1))
+    width = max(1, min(m, k + more))
+    columns = [f"x{j}" for j in range(width)]
+    normal = lambda j: F.sqrt(-2 * F.ln(F.greatest(uniform(seed, "u", F.col("sign"), j), F.lit(1e-9)))) * F.cos(2 * np.pi * uniform(seed, "v", F.col("sign"), j))
+    basis = kept(across.select("sign", *[normal(j).alias(f"x{j}") for j in range(width)]), "basis")
+
+    def times(basis: DataFrame, on: str, to: str, names: list[str]) -> DataFrame:
+        met = look_up(cells, basis.withColumnRenamed("sign", on), on)
+        return kept(met.groupBy(F.col(to).alias("sign")).agg(*[F.sum(F.col("ppmi") * F.col(c)).alias(c) for c in names]), "product")
+
+    def axes(table: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of the table's principal axes, falling, and the directions of those that have any."""
+        e, v = np.linalg.eigh(_gram(table, names))
+        e, v = e[::-1], v[:, ::-1]
+        solid = e > max(e[0], 0.0) * 1e-14
+        return np.sqrt(e[solid]), v[:, solid]
+
+    lengths, v = axes(basis, columns)
+    names_ = columns
+    before = None
+    for round_ in range(rounds if len(lengths) else 0):
+        basis = kept(_turned(basis, names_, v / lengths), "basis")
+        names_ = [f"x{j}" for j in range(v.shape[1])]
+        left = times(basis, "b", "a", names_)
+        lengths, v = axes(left, names_)
+        top = lengths[:k]
+        if len(names_) >= m or round_ + 1 == rounds or before is not None and len(before) == len(top) and np.abs(top - before).max() <= tolerance * top[0]:
+            break
+        before = top
+        turned = kept(_turned(left, names_, v / lengths), "left")
+        names_ = [f"x{j}" for j in range(v.shape[1])]
+        basis = times(turned, "a", "b", names_)
+        lengths, v = axes(basis, names_)
+    zeros = F.array(*[F.lit(0.0)] * k)
+    if len(lengths):
+        found = _turned(left, names_, v[:, :k])
+        flat = [*[F.col(f"x{j}") for j in range(min(k, v.shape[1]))], *[F.lit(0.0)] * (k - min(k, v.shape[1]))]
+        out = names.join(found.select("sign", F.array(*flat).alias("vector")), "sign", "left").select("sign", F.coalesce("vector", zeros).alias("vector"))
+    else:
+        out = names.select("sign", zeros.alias("vector"))
+    out, _ = materialize(out, "vectors")
+    discard(spark, *temporary)
+    return out
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -73,25 +168,50 @@ def cosine_neighbours(queries: DataFrame, base: DataFrame, key: str, vector: str
     return kept.withColumn("rank", best(["query"])).where(F.col("rank") <= k).select("query", key, "similarity", "rank")
 
 
-def fit_zipf(ranked: list[tuple[int, int]]) -> tuple[float, float, float, float]:
-    """C, q, gamma, r2 of n = C / (rank + q)**gamma by least squares: C is linear, so only q (0 to 50) and gamma (.01 to 5) are searched, on grids that close in."""
+def fit_zipf(ranked: list[tuple[int, int]], rounds: int = 60) -> tuple[float, float, float, float]:
+    """C, q, gamma, r2 of n = C / (rank + q)**gamma by least squares, q from 0 to 50 and gamma from .01 to 5.
+
+    C is linear, so it follows from the others; those are found by damped Gauss-Newton steps from several starts, held
+    within their bounds.
+    """
     r, n = np.array(ranked, float).T
     lo, hi = np.array([0.0, 0.01]), np.array([50.0, 5.0])
-    best = (np.inf, 0.0, 1.0, 1.0)
-    a, b = lo.copy(), hi.copy()
-    for _ in range(40):
-        for q in np.linspace(a[0], b[0], 13):
-            for g in np.linspace(a[1], b[1], 13):
-                x = (r + q) ** -g
-                c = max(float(x @ n / (x @ x)), 0.0)
-                loss = float(((n - c * x) ** 2).sum())
-                if loss < best[0]:
-                    best = (loss, c, float(q), float(g))
-        half = (b - a) / 3
-        centre = np.array(best[2:])
-        a, b = np.maximum(lo, centre - half), np.minimum(hi, centre + half)
+
+    def at(p: np.ndarray) -> tuple[float, float, np.ndarray]:
+        x = (r + p[0]) ** -p[1]
+        c = max(float(x @ n / (x @ x)), 0.0)
+        gap = n - c * x
+        return float(gap @ gap), c, gap
+
+    best = (np.inf, 0.0, np.array([0.0, 1.0]))
+    for start in ((2.0, 1.0), (0.1, 0.5), (10.0, 1.5), (30.0, 3.0), (1.0, 2.5)):
+        p, damp = np.array(start), 1e-3
+        loss, c, gap = at(p)
+        for _ in range(rounds):
+            x = (r + p[0]) ** -p[1]
+            slopes = np.stack([-p[1] * x / (r + p[0]), -x * np.log(r + p[0])], 1) * c
+            slopes = slopes - np.outer(x, x @ slopes / (x @ x))  # what C does not take up
+            a, g = slopes.T @ slopes, slopes.T @ gap
+            free = ~(((p <= lo) & (g < 0)) | ((p >= hi) & (g > 0)))
+            step = np.zeros(2)
+            if free.any():
+                own = a[np.ix_(free, free)]
+                step[free] = np.linalg.solve(own + damp * np.diag(np.diag(own)) + 1e-30 * np.eye(len(own)), g[free])
+            new = np.clip(p + step, lo, hi)
+            after = at(new)
+            if after[0] < loss:
+                done = loss - after[0] <= 1e-14 * loss
+                p, (loss, c, gap), damp = new, after, damp / 5
+                if done:
+                    break
+            else:
+                damp *= 5
+                if damp > 1e9:
+                    break
+        if loss < best[0]:
+            best = (loss, c, p)
     spread = float(((n - n.mean()) ** 2).sum())
-    return best[1], best[2], best[3], 1 - best[0] / spread if spread else float("nan")
+    return best[1], float(best[2][0]), float(best[2][1]), 1 - best[0] / spread if spread else float("nan")
 
 
 def zipf(corpus: DataFrame, *keys: str) -> DataFrame:

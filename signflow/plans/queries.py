@@ -475,17 +475,45 @@ def llr_top(spark, sf_dir):
 
 @query()
 def class_corroboration(spark, sf_dir):
-    """Whether classes of substitutable signs are alike in what stands beside them: mean cosine of PPMI rows against sets drawn by hash."""
+    """Whether communities of substitutable signs are alike in what stands beside them: mean cosine of PPMI rows against 200 sets drawn by hash."""
     c = _orders(spark, sf_dir)
-    p = vectors.ppmi(vectors.cooccurrence(c))
-    at = p.select(F.col("b").alias("sign")).distinct()
-    columns = at.agg(F.array_sort(F.collect_list("sign")).alias("signs_"))  # the vocabulary
-    rows = p.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "ppmi"))).alias("m_")).join(F.broadcast(columns))
-    vector = F.transform("signs_", lambda x: F.coalesce(F.try_element_at("m_", x), F.lit(0.0)))
-    found = substitution.corroborated(_motif_classes(c), rows.select(F.col("a").alias("sign"), vector.alias("vector")), 50, 3)
+    found = substitution.corroborated(_motif_classes(c), vectors.rows_of(vectors.ppmi(vectors.cooccurrence(c))), 200, 3)
     return _rounded(found, "similarity", "baseline")
 
 
+def _corroborated_sql(head: str, rows: str) -> str:
+    """The same of classes ``cl`` (sign, component) by the PPMI rows of ``rows`` (id, pos, sign)."""
+    return f"""{head}, co AS (SELECT x.sign AS a, y.sign AS b, count(*) AS n FROM {rows} x JOIN {rows} y ON x.id = y.id AND y.pos BETWEEN x.pos - 2 AND x.pos + 2 AND x.pos <> y.pos GROUP BY 1, 2),
+pp AS (SELECT a, b, greatest(0, log2(n * sum(n) OVER () / (sum(n) OVER (PARTITION BY a) * sum(n) OVER (PARTITION BY b))::DOUBLE)) AS x FROM co), nr AS (SELECT a, sqrt(sum(x * x)) AS r FROM pp GROUP BY 1),
+si AS (SELECT p.a AS s, q.a AS t, sum(p.x * q.x) / (any_value(m.r) * any_value(w.r)) AS c FROM pp p JOIN pp q ON p.b = q.b AND p.a < q.a JOIN nr m ON m.a = p.a JOIN nr w ON w.a = q.a WHERE m.r > 0 AND w.r > 0 GROUP BY 1, 2),
+me2 AS (SELECT component, sign FROM cl JOIN nr ON a = sign), ms AS (SELECT component, count(*) AS k FROM me2 GROUP BY 1 HAVING count(*) > 1), sm AS (SELECT x.component, sum(c) AS c FROM si JOIN me2 x ON x.sign = s JOIN me2 y ON y.sign = t AND y.component = x.component GROUP BY 1),
+li AS (SELECT d, sign, row_number() OVER (PARTITION BY d ORDER BY md5('3|' || d || '|' || sign), sign) AS place FROM (SELECT a AS sign FROM nr) CROSS JOIN (SELECT unnest(range(200)) AS d)),
+ba AS (SELECT k, x.d, sum(c) AS c FROM (SELECT DISTINCT k FROM ms) JOIN li x ON x.place <= k JOIN li y ON y.d = x.d AND y.place <= k JOIN si ON s = x.sign AND t = y.sign GROUP BY k, x.d), bs AS (SELECT k, sum(c) / 200 AS c FROM ba GROUP BY 1),
+fi AS (SELECT ms.component, k, coalesce(sm.c, 0) * 2 / (k * (k - 1)) AS similarity, coalesce(bs.c, 0) * 2 / (k * (k - 1)) AS baseline FROM ms LEFT JOIN sm USING (component) LEFT JOIN bs USING (k))
+SELECT component, k::BIGINT AS members, round(similarity, 6) AS similarity, round(baseline, 6) AS baseline, similarity > baseline + 1e-9 AS corroborated FROM fi"""
+
+
+@query(_corroborated_sql(CLASSES, "tok"))
+def component_corroboration(spark, sf_dir):
+    """The same of the components of the motif tier."""
+    c = _orders(spark, sf_dir)
+    return _rounded(substitution.corroborated(components_whole(spark, sf_dir), vectors.rows_of(vectors.ppmi(vectors.cooccurrence(c))), 200, 3), "similarity", "baseline")
+
+
+_BY_SIZE = "(SELECT site, count(*) AS n FROM corpus GROUP BY 1)"
+
+
+@query(_corroborated_sql(f"{WHOLE}, sx AS (SELECT least(sign_a, sign_b) AS u, greatest(sign_a, sign_b) AS v FROM mp WHERE same_motif AND site_a = (SELECT site FROM {_BY_SIZE} ORDER BY n DESC, site LIMIT 1) GROUP BY 1, 2), un AS (SELECT u AS s, v AS t FROM sx UNION SELECT v, u FROM sx)".replace("WITH raw", "WITH RECURSIVE raw", 1)
+    + f", re AS (SELECT s, s AS c FROM un UNION SELECT un.t, re.c FROM re JOIN un ON un.s = re.s), cl AS (SELECT s AS sign, min(c) AS component FROM re GROUP BY 1), t2 AS (SELECT id, pos, sign FROM tok WHERE site = (SELECT site FROM {_BY_SIZE} ORDER BY n DESC, site LIMIT 1 OFFSET 1))", "t2"))
+def cross_site_corroboration(spark, sf_dir):
+    """Components found at the largest site, judged by what stands beside their signs at the second largest."""
+    c = _orders(spark, sf_dir)
+    first, second = (r["site"] for r in c.groupBy("site").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "site").limit(2).collect())
+    at = lambda site: c.where(F.col("site") == site)
+    found = substitution.classes(_motif_edges(at(first)))
+    return _rounded(substitution.corroborated(found, vectors.rows_of(vectors.ppmi(vectors.cooccurrence(at(second)))), 200, 3), "similarity", "baseline")
+
+
 def _joined(df):
     return df.select("id", F.array_join("signs", " ").alias("signs"))
 
@@ -627,7 +655,18 @@ def trigram_markov_null(spark, sf_dir):
     return _joined(nulls.markov_null(c, c.count(), 2, 42))
 
 
-@query()
+def _controls_sql(seed: int = 0) -> str:
+    """``en`` (label, entropy, n_bigrams) of the corpus and of a uniform and a rigid control of its size, drawn alike."""
+    u = lambda *parts: _u(f"'{seed}'", *parts)
+    normal = f"sqrt(-2 * ln(greatest({u(chr(39) + 'a' + chr(39), 'k')}, 1e-9))) * cos(2 * pi() * {u(chr(39) + 'b' + chr(39), 'k')})"
+    return f"""{WITH}, ct AS (SELECT (SELECT count(*) FROM uni) AS v, count(*) AS n, avg(len(signs)) AS m FROM corpus), ks AS (SELECT unnest(range((SELECT n FROM ct))) AS k),
+ra AS (SELECT k, greatest(1, round(m + 1.5 * {normal}))::INT AS len, v FROM ks CROSS JOIN ct), rg AS (SELECT k, floor({u("'t'", "k")} * 5)::INT AS t, greatest(1, round_even(m, 0))::INT AS len, v FROM ks CROSS JOIN ct),
+tk AS (SELECT 'random' AS label, k, i, 'R' || floor({u("k", "i")} * v)::BIGINT AS sign FROM (SELECT *, unnest(range(1, len + 1)) AS i FROM ra) UNION ALL SELECT 'rigid', k, i, 'F' || floor({u("'f'", "t", "i")} * v)::BIGINT FROM (SELECT *, unnest(range(1, len + 1)) AS i FROM rg)),
+pr AS (SELECT 'corpus' AS label, a, b FROM pairs UNION ALL SELECT label, sign, lead(sign) OVER (PARTITION BY label, k ORDER BY i) FROM tk),
+en AS (SELECT label, -sum(n / t::DOUBLE * log2(n / m::DOUBLE)) AS entropy, sum(n) AS n_bigrams FROM (SELECT label, n, sum(n) OVER (PARTITION BY label, a) AS m, sum(n) OVER (PARTITION BY label) AS t FROM (SELECT label, a, b, count(*) AS n FROM pr WHERE b IS NOT NULL GROUP BY ALL)) GROUP BY 1)"""
+
+
+@query(f"{_controls_sql()} SELECT label, round(entropy, 6) AS entropy, n_bigrams::BIGINT AS n_bigrams FROM en")
 def entropy_against_controls(spark, sf_dir):
     """Conditional entropy beside a uniform and a rigid control of the same size."""
     c = _orders(spark, sf_dir).select("id", "signs")
@@ -688,18 +727,18 @@ def site_feature_zscores(spark, sf_dir):
 
 @query()
 def civilization_leave_one_out(spark, sf_dir):
-    """Four labelled synthetic corpora of eight instances: each instance's nearest label, itself left out."""
-    rows = [nulls.civilization(spark, k, 4000, 5).select(F.lit(k).alias("label"), F.pmod(F.xxhash64("id"), F.lit(8)).cast("int").alias("instance"), "id", "signs") for k in "abce"]
-    c = reduce(DataFrame.unionByName, rows)
-    keys = ("label", "instance")
-    ends = stats.edge_counts(c, True, *keys).groupBy(*keys).agg((F.max("n") / F.sum("n")).alias("top_final_share"))
-    f = stats.conditional_entropy(c, *keys).drop("n_bigrams").join(stats.uniqueness(c, *keys).select(*keys, "uniqueness"), list(keys)).join(stats.summary(c, *keys).select(*keys, "mean_len"), list(keys)).join(ends, list(keys))
-    return vectors.nearest_centroid(f.withColumn("query", F.concat_ws("-", "label", "instance")), FEATURES, "query", "label").select("query", "actual", "predicted", F.round("distance", 4).alias("distance"))
+    """The corpus and four labelled synthetic ones of as many rows, in eight instances each: each instance's nearest label by the six features, itself left out."""
+    c = _orders(spark, sf_dir).select(F.lit("given").alias("label"), F.col("id").cast("string").alias("id"), "signs")
+    n = c.count()
+    rows = [c, *[nulls.civilization(spark, k, n, 5).select(F.lit(k).alias("label"), "id", "signs") for k in "abce"]]
+    every = reduce(DataFrame.unionByName, rows).withColumn("query", F.concat_ws("-", "label", F.pmod(F.xxhash64("id"), F.lit(8)).cast("string")))
+    f = resampling.features(every, "query").withColumn("label", F.split_part("query", F.lit("-"), F.lit(1)))
+    return vectors.nearest_centroid(f, list(resampling.FEATURES), "query", "label").select("query", "actual", "predicted", F.round("distance", 4).alias("distance"))
 
 
 @query()
 def leave_one_out_accuracy(spark, sf_dir):
-    """Of the synthetic corpora, overall (label null) and by label."""
+    """Of the corpus and the synthetic ones, overall (label null) and by label."""
     hit = civilization_leave_one_out(spark, sf_dir).withColumn("hit", (F.col("actual") == F.col("predicted")).cast("double"))
     return hit.rollup(F.col("actual").alias("label")).agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("accuracy"))
 
@@ -718,9 +757,9 @@ def _labelled(spark):
 
 @query()
 def sample_size_curve(spark, sf_dir):
-    """Labels that samples of several sizes are given (ten trials each): share, error and interval."""
+    """Labels that samples of several sizes are given (30 trials each): share, error and interval."""
     c = _orders(spark, sf_dir)
-    rows = [nulls.subsample(c, n, 10, n).select(F.concat_ws("/", F.lit(str(n)), F.col("trial").cast("string")).alias("query"), "id", "signs") for n in (100, 500, 1000)]
+    rows = [nulls.subsample(c, n, 30, n).select(F.concat_ws("/", F.lit(str(n)), F.col("trial").cast("string")).alias("query"), "id", "signs") for n in (100, 500, 1000)]
     f = resampling.features(reduce(DataFrame.unionByName, rows), "query")
     shares = resampling.label_shares(resampling.classify(f, _labelled(spark)).withColumn("n_rows", F.split_part("query", F.lit("/"), F.lit(1)).cast("int")), "n_rows")
     return _rounded(shares, "share", "error", "low", "high")
@@ -728,16 +767,17 @@ def sample_size_curve(spark, sf_dir):
 
 @query()
 def subsample_interval(spark, sf_dir):
-    """The label of 80% samples without replacement, of each site, with its interval, and whether it is clear."""
+    """The label of 200 samples of 80% of the rows of the site with most, without replacement, with its interval, and whether it is clear."""
     c = _orders(spark, sf_dir)
-    fanned = c.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(4)))).where(uniform(F.col("trial"), 42, F.col("id")) < 0.8)
+    site = c.groupBy("site").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "site").first()["site"]
+    fanned = nulls.subsample(c.where(F.col("site") == site), trials=200, seed=42, fraction=0.8)
     f = resampling.features(fanned.withColumn("query", F.concat_ws("/", "site", F.col("trial").cast("string"))), "query")
     named = resampling.classify(f, _labelled(spark)).withColumn("site", F.split_part("query", F.lit("/"), F.lit(1)))
     shares = resampling.label_shares(named, "site").withColumn("verdict", resampling.verdict(F.col("share"), 0.85, 0.65, ("clear", "mixed", "unclear")))
     return _rounded(shares, "share", "error", "low", "high")
 
 
-@query()
+@query(f"""{_controls_sql()}, x AS (SELECT round(max(entropy) FILTER (label = 'rigid'), 6) AS rigid, round(max(entropy) FILTER (label = 'corpus'), 6) AS corpus, round(max(entropy) FILTER (label = 'random'), 6) AS random FROM en) SELECT *, CASE WHEN rigid < corpus AND corpus < random THEN 'intermediate' ELSE 'outside' END AS verdict FROM x""")
 def control_verdict(spark, sf_dir):
     """Whether the corpus' entropy lies between a rigid and a random control."""
     e = entropy_against_controls(spark, sf_dir)
@@ -756,9 +796,10 @@ def check_ledger(spark, sf_dir):
 
 @query()
 def demo_corpus_summary(spark, sf_dir):
-    """What the generator of the demo corpus makes."""
-    c = nulls.demo_corpus(spark)
-    return _rounded(stats.summary(source.keep(c)), "mean_len")
+    """The corpus beside what the generator of the demo corpus makes of as many rows."""
+    c = _orders(spark, sf_dir).select(F.lit("corpus").alias("label"), F.col("id").cast("string").alias("id"), "signs")
+    demo = source.keep(nulls.demo_corpus(spark, c.count())).select(F.lit("demo").alias("label"), "id", "signs")
+    return _rounded(stats.summary(c.unionByName(demo), "label"), "mean_len")
 
 
 @query(f"""{WITH}, s AS (SELECT count(*) AS n_signs, count(*) FILTER (f) AS n_beginners, count(*) FILTER (l) AS n_enders, count(*) FILTER (o) AS n_solo FROM (SELECT sign, bool_and(pos = 0) AS f, bool_and(pos = len - 1) AS l, bool_and(len = 1) AS o FROM tok GROUP BY 1))
