@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from signflow.sources import records
+
 #: The persisted columns, all text in files. Reserved signs are pads and marks that models add.
 FIELDS = ("inscription_id", "sign_sequence", "site", "object_type", "line_count", "damaged", "reading_direction", "motif", "mean_uncertainty", "cisi_number")
 RESERVED = ("<S>", "<END>", "<PAD>", "<MASK>")
@@ -20,11 +22,12 @@ def or_unknown(c: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown"))
 
 
-def typed(raw: DataFrame) -> DataFrame:
-    """Text columns to the corpus schema, with a default for each missing column or value."""
+def typed(raw: DataFrame, *more: str) -> DataFrame:
+    """Text columns to the corpus schema, with a default for each missing column or value; the columns ``more`` stay."""
     get = lambda n: F.col(n) if n in raw.columns else F.lit(None).cast("string")
+    number = F.col("ord") if "ord" in raw.columns else F.monotonically_increasing_id()
     return raw.select(
-        F.coalesce(get("inscription_id"), F.concat(F.lit("row"), F.monotonically_increasing_id().cast("string"))).alias("id"),
+        *more, F.coalesce(get("inscription_id"), F.concat(F.lit("row"), number.cast("string"))).alias("id"),
         split_signs(get("sign_sequence")).alias("signs"), or_unknown(get("site")).alias("site"), or_unknown(get("object_type")).alias("object_type"),
         F.coalesce(F.expr("try_cast(line_count as int)") if "line_count" in raw.columns else F.lit(None), F.lit(1)).alias("line_count"),
         F.coalesce(F.lower(F.trim(get("damaged"))).isin("1", "true", "yes"), F.lit(False)).alias("damaged"),
@@ -34,9 +37,16 @@ def typed(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A corpus CSV: columns go by the header, optional ones may be missing."""
-    return typed(spark.read.option("header", True).option("escape", '"').csv(path))
+def read_csv(spark: SparkSession, path: str, ordered: bool = False) -> DataFrame:
+    """A corpus CSV: columns go by the header, optional ones may be missing.
+
+    ``ordered`` adds ``ord``, the record's number (from 0) in the order of files and lines; where ids are missing they
+    are ``row`` and that number. Files are read in splits.
+    """
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    if ordered or "inscription_id" not in raw.columns:
+        raw = records.counted(records.placed(raw), "ord", by_file=False)
+    return typed(raw, *(["ord"] if ordered else []))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -47,9 +57,13 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return typed(raw.withColumn("sign_sequence", F.when(F.col("sign_sequence").startswith("["), F.array_join(listed, " ")).otherwise(F.col("sign_sequence"))))
 
 
-def write_csv(corpus: DataFrame, path: str) -> None:
-    """The ten persisted columns, signs joined by spaces."""
-    out = corpus.select(F.col("id").alias("inscription_id"), F.array_join("signs", " ").alias("sign_sequence"), *[F.col(c).cast("string") for c in FIELDS[2:]])
+#: Columns of the forms that converters write: without the number of a catalogue, or with it in place of the uncertainty.
+FORMS = {"full": FIELDS, "plain": FIELDS[:9], "catalogued": (*FIELDS[:8], FIELDS[9])}
+
+
+def write_csv(corpus: DataFrame, path: str, form: str = "full") -> None:
+    """The persisted columns of a form (see FORMS), signs joined by spaces."""
+    out = corpus.select(F.col("id").alias("inscription_id"), F.array_join("signs", " ").alias("sign_sequence"), *[F.col(c).cast("string") for c in FORMS[form][2:]])
     out.write.option("header", True).option("escape", '"').csv(path)
 
 

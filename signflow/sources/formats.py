@@ -1,7 +1,7 @@
 """Readers of raw corpus files, each to the corpus schema of ``signflow.sources.corpus``.
 
-JSON arrays and marked-up or sentence files are read a file at a time (their records have no line of their own), so
-parallelism is by file; SQL dumps are split between statements. A missing or empty attribute is ``unknown``.
+JSON arrays and poems' CSV are read a file at a time (their records have no separator of their own), so parallelism is
+by file; SQL dumps, marked-up lines and sentence files are read in splits, between statements, lines and tokens. A missing or empty attribute is ``unknown``.
 Signs are joined and split at white space, as a round trip through the persisted CSV does.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signflow.sources import records
 from signflow.sources.corpus import or_unknown, split_signs
 
 # Sites by an id's first letter, tokens of illegible words, punctuation at a word's edges.
@@ -135,26 +136,35 @@ def read_positioned_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_marked_lines(spark: SparkSession, path: str, granularity: str = "lemma", min_tokens: int = 2) -> DataFrame:
-    """Marked-up compositions: of each ``<l n=..>`` the ``lemma`` (or ``form``) of its ``<w>``, illegible ones left out; all lines are numbered."""
+    """Marked-up compositions: of each ``<l n=..>`` the ``lemma`` (or ``form``) of its ``<w>``, illegible ones left out; all lines are numbered.
+
+    Files are split at the ends of lines. A line without an end at the end of its file counts as one.
+    """
     attribute = "lemma" if granularity == "lemma" else "form"
-    files = spark.read.text(path, wholetext=True)
-    lines = files.select(or_unknown(F.regexp_extract("value", r'<TEI\.2\s+id="([^"]*)"', 1)).alias("work"), F.posexplode(F.regexp_extract_all("value", F.lit(r'(?s)<l\s+n="[^"]*"[^>]*>(.*?)</l>'), 1)).alias("i", "line"))
+    parts = records.read(spark, path, "</l>")
+    named = parts.withColumn("work", F.regexp_extract("value", r'<TEI\.2\s+id="([^"]*)"', 1)).where("work <> ''")
+    works = named.groupBy("file_").agg(F.min_by("work", F.struct("split_", "row_")).alias("work"))
+    lines = parts.where(F.col("value").rlike(r'<l\s+n="[^"]*"[^>]*>')).withColumn("line", F.regexp_extract("value", r'(?s)<l\s+n="[^"]*"[^>]*>(.*)$', 1)).drop("value")
     words = F.filter(F.regexp_extract_all("line", F.lit(rf'<w\s[^>]*\b{attribute}="([^"]*)"[^>]*>'), 1), lambda t: ~t.isin(*ILLEGIBLE))
-    rows = lines.withColumn("words", words).where(F.size("words") >= min_tokens)
+    rows = records.counted(lines, "i").withColumn("words", words).where(F.size("words") >= min_tokens).join(works, "file_", "left").withColumn("work", F.coalesce("work", F.lit("unknown")))
     return _record(rows, F.concat(F.col("work"), F.lit(".L"), (F.col("i") + 1).cast("string")), F.col("words"), site=F.col("work"), object_type=F.lit("literary_line"))
 
 
 def read_conllu(spark: SparkSession, path: str, min_tokens: int = 2) -> DataFrame:
-    """CoNLL-U files: the lemmas of each sentence; numbers count sentences with a lemma. Files named ``*_parsed`` are left out."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"\r\n?", "\n").alias("text"))
-    files = files.where(~F.col("file").endswith("_parsed"))
+    """CoNLL-U files: the lemmas of each sentence; numbers count sentences with a lemma. Files named ``*_parsed`` are left out.
 
-    def lemmas(sentence: Column) -> Column:
-        fields = F.transform(F.filter(F.split(sentence, "\n"), lambda x: ~x.startswith("#")), lambda x: F.split(x, "\t"))
-        return F.transform(F.filter(fields, lambda f: (F.size(f) >= 3) & ~F.get(f, F.lit(0)).rlike("[-.]") & ~F.get(f, F.lit(2)).isin("", "_")), lambda f: f[2])
-
-    sentences = F.filter(F.transform(F.split("text", r"\n(?U)\s*\n"), lemmas), lambda s: F.size(s) > 0)
-    rows = files.select(F.regexp_replace("file", r"\.conllu", "").alias("work"), F.posexplode(sentences).alias("i", "words")).where(F.size("words") >= min_tokens)
+    Files are read line by line in splits; the blank lines before a line name its sentence.
+    """
+    lines = records.read(spark, path).where(~F.col("file_").endswith("_parsed"))
+    fields = F.split("value", "\t")
+    counts = records.counted(lines, "sentence", what=~F.col("value").rlike(r"(?U)\S")).withColumn("f", fields)
+    good = ~F.col("value").startswith("#") & (F.size("f") >= 3) & ~F.get("f", F.lit(0)).rlike("[-.]") & ~F.get("f", F.lit(2)).isin("", "_")
+    tokens = counts.where(good).select(*records.PLACE, "sentence", F.col("f")[2].alias("lemma"))
+    order = F.struct("split_", "row_")
+    sentences = tokens.groupBy("file_", "sentence").agg(F.min(order).alias("first_"), F.array_sort(F.collect_list(F.struct("split_", "row_", "lemma"))).alias("t"))
+    numbered = records.counted(sentences.select("file_", "first_.*", F.col("t.lemma").alias("words")), "i").where(F.size("words") >= min_tokens)
+    work = F.regexp_replace(F.url_decode(F.element_at(F.split("file_", "/"), -1)), r"\.conllu", "")
+    rows = numbered.withColumn("work", work)
     return _record(rows, F.concat(F.col("work"), F.lit(".S"), (F.col("i") + 1).cast("string")), F.col("words"), site=F.col("work"), object_type=F.lit("literary_sentence"))
 
 

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from signflow.sources import formats
+from signflow.sources import corpus, formats
 
 
 def rows(df, *columns):
@@ -80,3 +80,32 @@ def test_conllu(spark, tmp_path):
 def test_poems(spark, tmp_path):
     (tmp_path / "p.csv").write_text('id,tamil_text,thinai,work\n1,"“first, (word)!\n12 alone 1234\n7 .",hill,W\n2,,x,y\n3,"a b",,\n')
     assert rows(formats.read_poems(spark, str(tmp_path / "p.csv")), "site", "motif") == {"1.L1": ("first word", "W", "hill"), "1.L2": ("alone 1234", "W", "hill"), "3.L1": ("a b", "unknown", "unknown")}
+
+
+@pytest.fixture
+def small_splits(spark):
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.set(key, before)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_one_file_of_many_records_in_many_splits(spark, tmp_path, small_splits):
+    n = 90
+    (tmp_path / "a.xml").write_text('<TEI.2 id="c.9">' + "".join(f'<l n="{i}">\n<w lemma="x{i}"> <w lemma="y"></l>\n' for i in range(n)) + "</TEI.2>")
+    df = formats.read_marked_lines(spark, str(tmp_path / "a.xml"))
+    assert rows(df, "site") == {f"c.9.L{i + 1}": (f"x{i} y", "c.9") for i in range(n)}
+    (tmp_path / "w.conllu").write_text("\n\n".join(f"# {i}\n1\ta\tp{i}\n2\tb\tq\n3\tc\t_" if i % 7 else f"# none {i}\n1\ta\t_" for i in range(n)))
+    want = [i for i in range(n) if i % 7]
+    assert rows(formats.read_conllu(spark, str(tmp_path / "w.conllu"))) == {f"w.S{k + 1}": (f"p{i} q",) for k, i in enumerate(want)}
+    (tmp_path / "c.csv").write_text("sign_sequence,site\n" + "".join(f"s{i} t,x\n" for i in range(n)))
+    got = corpus.read_csv(spark, str(tmp_path / "c.csv"), ordered=True)
+    assert {(r["ord"], r["id"], r["signs"][0]) for r in got.collect()} == {(i, f"row{i}", f"s{i}") for i in range(n)}
+    assert {r["id"] for r in corpus.read_csv(spark, str(tmp_path / "c.csv")).collect()} == {f"row{i}" for i in range(n)}
+    assert spark.read.text(str(tmp_path / "c.csv")).rdd.getNumPartitions() > 2
+    for form, columns in corpus.FORMS.items():
+        corpus.write_csv(got, str(tmp_path / form), form)
+        assert spark.read.option("header", True).csv(str(tmp_path / form)).columns == list(columns)
