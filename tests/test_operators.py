@@ -1,5 +1,7 @@
 """The library's operators on literals, by invariants, and against SQL on the driver's small tables."""
 
+import hashlib
+import itertools
 import math
 from collections import Counter
 
@@ -344,8 +346,50 @@ def test_class_similarity_equals_its_pairs(spark):
     got = {r["component"]: r for r in substitution.mean_similarity(members, vectors, "component").collect()}
     cos = [v[f"s{i}"] @ v[f"s{j}"] / np.linalg.norm(v[f"s{i}"]) / np.linalg.norm(v[f"s{j}"]) for i in range(5) for j in range(i)]
     assert abs(got["a"]["similarity"] - np.mean(cos)) < 1e-9 and abs(got["b"]["similarity"]) < 1e-9 and got["c"]["similarity"] is None
-    found = substitution.corroborated(members, vectors, 20, 1).collect()
-    assert {r["component"] for r in found} == {"a", "b"} and all(r["corroborated"] == (r["similarity"] > r["baseline"]) for r in found)
+    found = {r["component"]: r for r in substitution.corroborated(members, vectors, 20, 1).collect()}
+    assert set(found) == {"a", "b"} and all(r["corroborated"] == (r["similarity"] > r["baseline"] + 1e-9) for r in found.values())
+    cosine = lambda x, y: 0.0 if not (v[x].any() and v[y].any()) else v[x] @ v[y] / np.linalg.norm(v[x]) / np.linalg.norm(v[y])
+    for name, k in (("a", 5), ("b", 2)):
+        sets = [sorted(v, key=lambda s: hashlib.md5(f"1|{d}|{s}".encode()).hexdigest())[:k] for d in range(20)]
+        assert all(len(set(x)) == k for x in sets)  # without replacement
+        assert abs(found[name]["baseline"] - np.mean([np.mean([cosine(x, y) for x, y in itertools.combinations(one, 2)]) for one in sets])) < 1e-9
+
+
+def test_sparse_svd_is_the_dense_one(spark):
+    rng = np.random.default_rng(4)
+    m = np.zeros((70, 70))
+    for g in range(7):  # seven groups of unlike strength, and noise
+        m[np.ix_(range(10 * g, 10 * g + 10), range(10 * g, 10 * g + 10))] = rng.random((10, 10)) * (g + 1)
+    m = np.where(rng.random(m.shape) < 0.1, m + 0.3, m)
+    m[69] = 0
+    names = [f"s{i:02}" for i in range(70)]
+    cells = [(names[i], names[j], float(x)) for (i, j), x in np.ndenumerate(m) if x or i == 69 and j == 0]
+    u, e, _ = np.linalg.svd(m)
+    for dims, more in ((5, 6), (20, 60)):
+        got = {r["sign"]: np.array(r["vector"]) for r in vectors.embed(spark.createDataFrame(cells, "a string, b string, ppmi double"), dims, more).collect()}
+        have, want = np.array([got[n] for n in names]), u[:, :dims] * e[:dims]
+        assert have.shape == want.shape and not have[69].any()
+        cos = lambda x: (x @ x.T) / np.maximum(np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)), 1e-9)
+        assert np.abs(cos(have)[:69, :69] - cos(want)[:69, :69]).max() < 1e-4
+    assert vectors.embed(spark.createDataFrame([], "a string, b string, ppmi double")).count() == 0
+    assert {tuple(r["vector"]) for r in vectors.embed(spark.createDataFrame([("a", "b", 0.0), ("b", "a", 0.0)], "a string, b string, ppmi double"), 3).collect()} == {(0.0,)}
+
+
+def test_restoration_scores_all_signs(spark):
+    rng = np.random.default_rng(6)
+    rows = [list(map(str, rng.choice(list("ABCDEFGHIJ"), rng.integers(2, 5), p=np.array([30, 20, 10, 5, 3, 2, 1, 1, 1, 1]) / 74))) for _ in range(60)] + [["Z", "Y"], ["X", "Z"]]
+    c = spark.createDataFrame([(f"r{i}", s) for i, s in enumerate(rows)], "id string, signs array<string>")
+    asked = [(f"r{i}", p) for i, s in enumerate(rows) for p in range(len(s))]
+    got = {(r["id"], r["pos"]): r for r in ngram.restoration(c, spark.createDataFrame(asked, "id string, pos int")).collect()}
+    vocab = sorted({x for s in rows for x in s})
+    for i, s in enumerate(rows):
+        for p, truth in enumerate(s):
+            before = s[p - 1] if p else "<S>"
+            counts = Counter(t[q] for j, t in enumerate(rows) if j != i for q in range(len(t)) if (t[q - 1] if q else "<S>") == before)
+            total, line = sum(counts.values()) + 0.5 * len(vocab), sorted(vocab, key=lambda x: (-counts[x], x))
+            inside = [x for k, x in enumerate(line) if sum(counts[y] + 0.5 for y in line[:k]) / total < 0.9]
+            r = got[f"r{i}", p]
+            assert (r["truth"], r["predicted"], r["set_size"], r["in_set"]) == (truth, line[0], len(inside), truth in inside)
 
 
 def test_summaries_name_the_first_pairs(spark):
@@ -365,6 +409,8 @@ def test_generators_keep_their_habits(spark):
     long = [r["signs"] for r in c if len(r["signs"]) > 1]
     assert len(c) == 1500 and min(len(r["signs"]) for r in c) >= 1 and max(len(r["signs"]) for r in c) <= 26
     assert 0.4 < np.mean([s[-1] == "S001" for s in long]) < 0.6 and 0.5 < np.mean([r["signs"][0] in ("S003", "S004", "S005") for r in c]) < 0.7
+    ends = [s for s in long if s[-1] == "S001"]
+    assert 0.25 < np.mean([len(s) > 2 and s[-2] == "S001" for s in ends]) < 0.5  # the common last sign is itself doubled
     assert 0.05 < np.mean([r["damaged"] for r in c]) < 0.11 and len({r["site"] for r in c}) == 5
     assert c == nulls.demo_corpus(spark, 1500).collect()
     d = nulls.civilization(spark, "d", 800, 1).collect()
@@ -383,7 +429,7 @@ def test_controls_and_streams(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r")).first().asDict() == {"k": "a", "n": 1, "x": [1.5]}
 
 
-SQL_QUERIES = ["bigram_markov_null", "trigram_markov_null", "component_stability_subsampled", "component_stability_by_site", "matched_size_call", "matched_null", "stratified_null", "uniqueness_against_null_trials", "feature_differences", "entropy_curve", "discount_sweep", "perplexity_ratio_by_site", "class_summaries", "pair_report", "restoration_summary", "check_ledger", "subsample", "minimal_pairs_by_position"]
+SQL_QUERIES = ["component_corroboration", "cross_site_corroboration", "control_verdict", "kn_gain_by_discount", "bigram_markov_null", "trigram_markov_null", "component_stability_subsampled", "component_stability_by_site", "matched_size_call", "matched_null", "stratified_null", "uniqueness_against_null_trials", "feature_differences", "entropy_curve", "discount_sweep", "perplexity_ratio_by_site", "class_summaries", "pair_report", "restoration_summary", "check_ledger", "subsample", "minimal_pairs_by_position"]
 
 
 @pytest.mark.parametrize("name", SQL_QUERIES)
