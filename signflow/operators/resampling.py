@@ -1,4 +1,4 @@
-"""Statistics over trials, and classification of corpora by their features. Trials are a column, never a loop."""
+"""Statistics over trials, and classification of corpora by their features. Trials are a column or a bitmap, not a loop; the few synthetic reference corpora are one plan each."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signflow.functions.portable import hashed, wilson
 from signflow.operators import ngram, nulls, stats, vectors
-from signflow.session import materialize
+from signflow.session import discard, materialize
 
 FEATURES = ("zipf_gamma", "zipf_r2", "entropy", "perplexity_ratio", "top_final_share", "mean_len")
 
@@ -44,13 +44,15 @@ def label_shares(predicted: DataFrame, *keys: str) -> DataFrame:
 
 def features(corpus: DataFrame, key: str) -> DataFrame:
     """key and the six FEATURES of each part of the corpus that the column ``key`` names."""
-    corpus, _ = materialize(corpus.select(key, "id", "signs"), "corpora")  # read by every feature
+    corpus, path = materialize(corpus.select(key, "id", "signs"), "corpora")  # read by every feature
     zipf = vectors.zipf(corpus, key).select(key, F.col("gamma").alias("zipf_gamma"), F.col("r2").alias("zipf_r2"))
     ends = stats.edge_counts(corpus, True, key).groupBy(key).agg((F.max("n") / F.sum("n")).alias("top_final_share"))
     parts = [stats.conditional_entropy(corpus, key).select(key, "entropy"), ngram.perplexity_ratio(corpus, key).withColumnRenamed("ratio", "perplexity_ratio"), ends, stats.summary(corpus, key).select(key, "mean_len")]
     for x in parts:
         zipf = zipf.join(x, key)
-    return zipf.select(key, *FEATURES)
+    out, _ = materialize(zipf.select(key, *FEATURES), "features")
+    discard(corpus.sparkSession, path)
+    return out
 
 
 def references(spark: SparkSession, kinds: str = "abc", seeds: int = 4, n: int = 500) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signflow.operators.tokens import counted, pairs, tokens
+from signflow.session import discard, materialize
 
 
 def summary(corpus: DataFrame, *keys: str) -> DataFrame:
@@ -81,15 +82,16 @@ def entropy_by_length(corpus: DataFrame, longest: int = 6) -> DataFrame:
 
 def direction(corpus: DataFrame) -> DataFrame:
     """Entropies of both ends and of transitions, as stored and reversed, and which way reads better. One row."""
-    c = slot_counts(corpus).cache()
+    (c, one_path), (b, two_path) = materialize(slot_counts(corpus), "slots"), materialize(bigrams(corpus), "bigrams")
     end = lambda n: entropy_of(c.where(F.col(n) > 0).select(F.col(n).alias("n")))
-    b = bigrams(corpus).cache()
     ahead, back = conditional_entropy_of(b), conditional_entropy_of(b.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     one = end("n_initial").select(F.col("entropy").alias("h_initial"), F.col("n_distinct").alias("n_initial"))
     for df, h, n in ((end("n_final"), "h_final", "n_final"), (ahead, "h_stored", None), (back, "h_reversed", None)):
         one = one.join(F.broadcast(df.select(F.col("entropy").alias(h), *([F.col("n_distinct").alias(n)] if n else []))))
     gap = F.col("h_initial") - F.col("h_final")
-    return one.withColumn("gap", gap).withColumn("likely", F.when(gap > 0, "as-stored").when(gap < 0, "reversed").otherwise("inconclusive"))
+    out, _ = materialize(one.withColumn("gap", gap).withColumn("likely", F.when(gap > 0, "as-stored").when(gap < 0, "reversed").otherwise("inconclusive")), "direction")
+    discard(corpus.sparkSession, one_path, two_path)
+    return out
 
 
 def transitions(corpus: DataFrame, *keys: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from signflow.functions.portable import folds, uniform, wilson
 from signflow.operators import ngram, nulls, resampling, stats, substitution, vectors
 from signflow.operators.tokens import tokens
+from signflow.session import discard, materialize
 from signflow.sources import corpus as source
 
 
@@ -452,13 +453,16 @@ def pair_report(spark, sf_dir):
     """Minimal pairs, graph and classes in one row."""
     c = _orders(spark, sf_dir)
     one = c.agg(F.count("*").alias("n"), F.count_if(F.col("motif") != "unknown").alias("n_known_motif"))
+    mined = {t: materialize(substitution.pair_counts(c, t), "pairs") for t in ("all", "context", "motif")}
     for name, tier in (("n_pairs", "all"), ("n_context", "context"), ("n_motif", "motif")):
-        one = one.join(F.broadcast(substitution.pair_counts(c, tier).agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))))
-    motif = _motif_edges(c)
+        one = one.join(F.broadcast(mined[tier][0].agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))))
+    motif = substitution.edges(mined["motif"][0])
     sizes = substitution.classes(motif).groupBy("component").agg(F.count("*").alias("size"))
-    for df in (substitution.edges(substitution.pair_counts(c)).agg(F.count("*").alias("n_edges")), motif.agg(F.count("*").alias("n_motif_edges")), sizes.agg(F.count("*").alias("n_classes"), F.max("size").alias("largest"))):
+    for df in (substitution.edges(mined["all"][0]).agg(F.count("*").alias("n_edges")), motif.agg(F.count("*").alias("n_motif_edges")), sizes.agg(F.count("*").alias("n_classes"), F.max("size").alias("largest"))):
         one = one.join(F.broadcast(df))
-    return one
+    out, _ = materialize(one, "report")
+    discard(spark, *[path for _, path in mined.values()])
+    return out
 
 
 @query(f"{WHOLE} SELECT u, v, contexts::BIGINT AS distinct_contexts FROM ed ORDER BY 3 DESC, 1, 2 LIMIT 10")
@@ -727,10 +731,10 @@ def site_feature_zscores(spark, sf_dir):
 
 @query()
 def civilization_leave_one_out(spark, sf_dir):
-    """The corpus and four labelled synthetic ones of as many rows, in eight instances each: each instance's nearest label by the six features, itself left out."""
+    """The corpus and five labelled synthetic ones of as many rows, in eight instances each: each instance's nearest label by the six features, itself left out."""
     c = _orders(spark, sf_dir).select(F.lit("given").alias("label"), F.col("id").cast("string").alias("id"), "signs")
     n = c.count()
-    rows = [c, *[nulls.civilization(spark, k, n, 5).select(F.lit(k).alias("label"), "id", "signs") for k in "abce"]]
+    rows = [c, *[nulls.civilization(spark, k, n, 5).select(F.lit(k).alias("label"), "id", "signs") for k in "abcde"]]
     every = reduce(DataFrame.unionByName, rows).withColumn("query", F.concat_ws("-", "label", F.pmod(F.xxhash64("id"), F.lit(8)).cast("string")))
     f = resampling.features(every, "query").withColumn("label", F.split_part("query", F.lit("-"), F.lit(1)))
     return vectors.nearest_centroid(f, list(resampling.FEATURES), "query", "label").select("query", "actual", "predicted", F.round("distance", 4).alias("distance"))
