@@ -120,7 +120,11 @@ def bounds(pilot_ids: np.ndarray, pilot: np.ndarray, ids: np.ndarray, q: np.ndar
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shard: int = SHARD, block: int = BLOCK, pilot: int = PILOT) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's ``k`` nearest other vectors by Euclidean distance."""
+    """query_id, rank, vec_id, score: each query's ``k`` nearest other vectors by Euclidean distance.
+
+    The pilot is drawn by hash of a row's id and vector, so the result does not depend on partitioning. What the shards
+    found stays in the shared folder for whoever reads the result.
+    """
     spark = vectors.sparkSession
     prepare(spark)
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -128,7 +132,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, shard: int = SHAR
     n = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     shards, blocks = max(1, -(-n["n"] // shard)), max(1, -(-n["q"] // block))
     lay = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    uniform = F.pmod(F.xxhash64(F.lit("pilot"), "vec_id", F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
+    uniform = F.pmod(F.xxhash64(F.lit("pilot"), "vec_id", "embedding"), F.lit(1 << 30)) / float(1 << 30)
     share = F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*[x for d, s in sizes.items() for x in (F.lit(d), F.lit(min(1.0, pilot / s)))]), lambda d, _: d == F.col("dim"))), F.lit(0)), F.lit(0.0)) if sizes else F.lit(0.0)
     sampled: dict[int, list] = {}
     for r in rows.where(uniform < share).select("dim", "vec_id", "embedding").collect():  # about ``pilot`` of each length

@@ -157,7 +157,7 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, path: str, block: int = BL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, k, first = Code(np.frombuffer(data, np.uint8)), TaskContext.get().partitionId(), 0, 0
-        docs, sizes, held = [], [], []
+        docs, sizes, held, size = [], [], [], 0
 
         def close() -> pa.RecordBatch:
             stream = np.concatenate(held)
@@ -168,16 +168,19 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, path: str, block: int = BL
 
         for b in batches:
             for d, n, width, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_tokens", "width", "ids")), strict=True):
-                if held and sum(sizes) + n > block:
+                if held and size + n > block:
                     yield close()
-                    k, first, docs, sizes, held = k + 1, first + sum(sizes), [], [], []
+                    k, first, docs, sizes, held, size = k + 1, first + size, [], [], [], 0
                 docs.append(d)
                 sizes.append(n)
+                size += n
                 held.append(unpack_ids(x, n, width))
         if held:
             yield close()
 
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    # Rows of one doc_id (or of none) may be many: they are dealt by what else they hold
+    keys = ["doc_id", "n_tokens", "hash_"]
+    ordered = ids.withColumn("hash_", F.xxhash64("ids")).repartitionByRange(*keys).sortWithinPartitions(*keys, "ids").drop("hash_")
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     ids.sparkSession.createDataFrame([(bytes(data),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
 
