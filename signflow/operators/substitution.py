@@ -155,6 +155,14 @@ def classes(edge_table: DataFrame, least: int = 1, *keys: str) -> DataFrame:
     return named.join(named.groupBy("component").agg(F.min("sign").alias("name")), "component").select(*keys, "sign", F.col("name").alias("component"))
 
 
+def class_places(pairs: DataFrame, members: DataFrame, min_length: int = 3) -> DataFrame:
+    """component, position, n: of the pairs within each class of ``members`` (sign, component), from rows of at least ``min_length`` signs, how many differ where."""
+    end = lambda side: members.select(F.col("sign").alias(f"sign_{side}"), F.col("component").alias(f"component_{side}"))
+    counted = pairs.where(F.col("len") >= min_length).groupBy("sign_a", "sign_b", "position").agg(_number(pairs).alias("n"))  # by sign before the joins
+    inside = counted.join(end("a"), "sign_a").join(end("b"), "sign_b").where("component_a = component_b")
+    return inside.groupBy(F.col("component_a").alias("component"), "position").agg(F.sum("n").alias("n"))
+
+
 def class_positions(pairs: DataFrame, members: DataFrame, slots: DataFrame, min_length: int = 3) -> DataFrame:
     """Where the classes of ``members`` (sign, component) stand: one row for each class.
 
@@ -166,10 +174,7 @@ def class_positions(pairs: DataFrame, members: DataFrame, slots: DataFrame, min_
     final, initial = F.col("n_final") / F.col("n"), F.col("n_initial") / F.col("n")
     several = lambda c: F.when(F.count("*") > 1, c)
     profile = members.join(slots, "sign").groupBy("component").agg(F.count("*").alias("members"), several(F.avg(final)).alias("mean_final"), several(F.stddev_pop(final)).alias("std_final"), several(F.avg(initial)).alias("mean_initial"), several(F.stddev_pop(initial)).alias("std_initial"))
-    end = lambda side: members.select(F.col("sign").alias(f"sign_{side}"), F.col("component").alias(f"component_{side}"))
-    counted = pairs.where(F.col("len") >= min_length).groupBy("sign_a", "sign_b", "position").agg(_number(pairs).alias("n"))  # by sign before the joins
-    inside = counted.join(end("a"), "sign_a").join(end("b"), "sign_b").where("component_a = component_b")
-    places = inside.groupBy(F.col("component_a").alias("component"), "position").agg(F.sum("n").alias("n"))
+    places = class_places(pairs, members, min_length)
     most = places.groupBy("component").agg(F.sum("n").alias("n_pairs"), F.max_by("position", F.struct("n", -F.col("position"))).alias("top_position"), F.max("n").alias("top"))
     out = profile.join(most, "component", "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0))).withColumn("top_share", F.col("top") / F.col("n_pairs"))
     slot = F.coalesce((F.col("top_share") > 0.6) & (F.col("n_pairs") >= 5) & (F.col("std_final") < 0.15), F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -195,6 +196,25 @@ def addalpha_mean_ppl(spark, sf_dir):
     return df.groupBy("order").agg(F.round(F.avg("perplexity"), 4).alias("perplexity"))
 
 
+def _addalpha_sql(orders: int) -> str:
+    """``pa`` (o, k, p): add-alpha perplexities in SQL for any number of orders."""
+    ctx = lambda o: "".join(f", c{j}" for j in range(1, o))
+    lags = "".join(f", lag(sign, {j}, '<S>') OVER q AS c{j}" for j in range(1, orders))
+    parts = [f"x4 AS (SELECT fold, sign AS w{lags} FROM (SELECT id, fold, unnest(signs) AS sign, unnest(range(len(signs))) AS pos FROM fo) WINDOW q AS (PARTITION BY id ORDER BY pos))", "v AS (SELECT count(*) + 1 AS v FROM uni)"]
+    parts += [f"y4 AS (SELECT fold, w{ctx(orders)}, count(*) AS n FROM x4 GROUP BY ALL)", f"tr4 AS (SELECT ks.k, w{ctx(orders)}, sum(n) AS n FROM y4 JOIN ks ON fold <> ks.k GROUP BY ALL)", f"he4 AS (SELECT fold AS k, w{ctx(orders)}, n AS held FROM y4 WHERE fold >= 0)"]
+    for o in range(1, orders + 1):
+        parts.append(f"a{o} AS (SELECT k, w{ctx(o)}, sum(n) AS n FROM tr4 GROUP BY ALL), b{o} AS (SELECT k{ctx(o)}, sum(n) AS t FROM tr4 GROUP BY ALL)")
+    each = [f"SELECT {o} AS o, k, pow(2, -sum(held * log2((coalesce(a{o}.n, 0) + 0.5) / (coalesce(b{o}.t, 0) + 0.5 * v))) / sum(held)) AS p FROM he4 CROSS JOIN v LEFT JOIN a{o} USING (k, w{ctx(o)}) LEFT JOIN b{o} USING (k{ctx(o)}) GROUP BY k" for o in range(1, orders + 1)]
+    return f"{FOLDS}, " + ", ".join(parts) + ", pa AS (" + " UNION ALL ".join(each) + ")"
+
+
+@query(f'{_addalpha_sql(4)} SELECT o AS "order", round(avg(p), 4) AS perplexity FROM pa GROUP BY 1')
+def addalpha_mean_ppl_to_four(spark, sf_dir):
+    """Orders one to four, the mean over the folds."""
+    df = ngram.add_alpha(folds(_orders(spark, sf_dir).select("id", "signs"), 5), (1, 2, 3, 4))
+    return df.groupBy("order").agg(F.round(F.avg("perplexity"), 4).alias("perplexity"))
+
+
 def _curve_sql(orders: int, discounts: tuple[float, ...]) -> str:
     """``ppl`` (o, dis, k, p) in SQL for any number of orders: counts by order and fold, then one interpolation after another."""
     ctx = lambda o: "".join(f", c{j}" for j in range(1, o))
@@ -471,6 +491,25 @@ def edges_by_contexts(spark, sf_dir):
     return substitution.distinct_contexts_whole(_orders(spark, sf_dir)).orderBy(F.desc("distinct_contexts"), "u", "v").limit(10)
 
 
+@query(f"{CLASSES} SELECT component, count(*)::BIGINT AS size FROM cl GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def largest_classes(spark, sf_dir):
+    """A top-5 report of the classes that the motif tier connects."""
+    return components_whole(spark, sf_dir).groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(5)
+
+
+@query(_registry["degree_centrality_whole"][1] + " ORDER BY centrality DESC, sign LIMIT 10")
+def central_signs(spark, sf_dir):
+    """A top-10 report."""
+    return degree_centrality_whole(spark, sf_dir).orderBy(F.desc("centrality"), "sign").limit(10)
+
+
+@query(f"{CLASSES} SELECT x.component, position, count(*)::BIGINT AS n FROM mp JOIN cl x ON x.sign = sign_a JOIN cl y ON y.sign = sign_b AND x.component = y.component WHERE len >= 3 GROUP BY 1, 2")
+def class_position_histogram(spark, sf_dir):
+    """At which positions the pairs within each class of the motif tier differ, in rows of three signs or more."""
+    c = _orders(spark, sf_dir)
+    return substitution.class_places(substitution.pair_counts(c), substitution.classes(_motif_edges(c)))
+
+
 @query(_registry["llr_bigrams"][1] + " ORDER BY g2 DESC, a, b LIMIT 10")
 def llr_top(spark, sf_dir):
     """A top-10 report."""
@@ -759,6 +798,57 @@ def _labelled(spark):
     return r.select(F.split_part("key", F.lit("/"), F.lit(1)).alias("label"), *resampling.FEATURES)
 
 
+def _dependency_sql() -> str:
+    """Kneser-Ney gains of the corpus and of nulls of as many rows, each label under its own folds."""
+    strata = {"pooled": "'all'", "motif": "motif", "site": "site", "site and motif": "concat_ws('|', site, motif)"}
+    drawn = [re.sub(r"\b(sc|ss|so|mg|iv|nk|ns|nn|np|nl)\b", rf"\1_{i}", _drawn(x, "(SELECT count(*) FROM corpus)", 42)) for i, x in enumerate(strata.values())]
+    rows = " UNION ALL ".join(f"SELECT '{name}', format('NULL-{{:05d}}', k), signs FROM nl_{i}" for i, name in enumerate(strata))
+    c = {1: "", 2: ", c1", 3: ", c1, c2"}
+    tables = ", ".join(f"h{o} AS (SELECT label, k, w{x}, sum(n) AS n FROM tr GROUP BY ALL), s{o} AS (SELECT label, k{x}, sum(n) AS t, count(*) AS d FROM h{o} GROUP BY ALL)" for o, x in c.items())
+    steps = ", ".join(f"q{o} AS (SELECT q{o - 1}.*, CASE WHEN s{o}.t IS NULL THEN p{o - 1} ELSE greatest(coalesce(h{o}.n, 0) - 0.75, 0) / s{o}.t::DOUBLE + 0.75 * s{o}.d / s{o}.t::DOUBLE * p{o - 1} END AS p{o} FROM q{o - 1} LEFT JOIN h{o} USING (label, k, w{x}) LEFT JOIN s{o} USING (label, k{x}))" for o, x in c.items())
+    ppl = " UNION ALL ".join(f"SELECT {o} AS o, label, k, pow(2, -sum(held * log2(greatest(p{o}, 1e-12))) / sum(held)) AS p FROM q3 GROUP BY ALL" for o in c)
+    return f"""{WITH}, {', '.join(drawn)}, cp AS (SELECT 'real' AS label, id::VARCHAR AS id, signs FROM corpus UNION ALL {rows}),
+fo AS (SELECT label, id, signs, CASE WHEN r < 5 * size THEN r // size ELSE -1 END AS fold FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('0|' || id), id) - 1 AS r, count(*) OVER (PARTITION BY label) // 5 AS size FROM cp)),
+x AS (SELECT label, fold, sign AS w, lag(sign, 1, '<S>') OVER q AS c1, lag(sign, 2, '<S>') OVER q AS c2 FROM (SELECT label, id, fold, unnest(signs) AS sign, unnest(range(len(signs))) AS pos FROM fo) WINDOW q AS (PARTITION BY label, id ORDER BY pos)),
+y AS (SELECT label, fold, w, c1, c2, count(*) AS n FROM x GROUP BY ALL), ks AS (SELECT unnest(range(5)) AS k), tr AS (SELECT label, k, w, c1, c2, sum(n) AS n FROM y JOIN ks ON fold <> k GROUP BY ALL), {tables},
+b AS (SELECT DISTINCT label, k, c1, w FROM tr), bw AS (SELECT label, k, w, count(*) AS kinds FROM b GROUP BY ALL), bk AS (SELECT label, k, count(*) AS kinds FROM b GROUP BY ALL),
+q0 AS (SELECT y.label, fold AS k, y.w, c1, c2, n AS held, coalesce(bw.kinds, 0) / bk.kinds::DOUBLE AS p0 FROM y JOIN bk ON bk.label = y.label AND bk.k = fold LEFT JOIN bw ON bw.label = y.label AND bw.k = fold AND bw.w = y.w), {steps},
+pp AS ({ppl}), m AS (SELECT o, label, log2(avg(p)) AS h FROM pp GROUP BY ALL), g AS (SELECT label, max(h) FILTER (o = 2) - max(h) FILTER (o = 3) AS gain FROM m GROUP BY 1)
+SELECT label, round(gain, 5) AS gain, CASE WHEN label <> 'real' THEN (SELECT round(gain, 5) FROM g WHERE label = 'real') > round(gain, 5) END AS beaten FROM g"""
+
+
+@query(_dependency_sql())
+def stratified_dependency(spark, sf_dir):
+    """The third order's gain in the corpus, and in null corpora of as many rows that keep the mix of motifs, sites, or both: whether the corpus beats each."""
+    c = _orders(spark, sf_dir)
+    n, motif = c.count(), source.broad_motif(F.col("motif"))
+    strata = {"pooled": None, "motif": motif, "site": F.col("site"), "site and motif": F.concat_ws("|", F.col("site"), motif)}
+    corpora = {"real": c.select("id", "signs")} | {name: materialize(nulls.matched_null(c, n, 42, x).select("id", "signs"), "null")[0] for name, x in strata.items()}
+    gain = {name: ngram.gains(ngram.kneser_ney(folds(x, 5), 3)).where(F.col("order") == 3).select(F.lit(name).alias("label"), F.round("gain", 5).alias("gain")) for name, x in corpora.items()}
+    every, real = reduce(DataFrame.unionByName, gain.values()), gain["real"].select(F.col("gain").alias("real_"))
+    return every.join(F.broadcast(real)).select("label", "gain", F.when(F.col("label") != "real", F.col("real_") > F.col("gain")).alias("beaten"))
+
+
+@query(f"""{WITH} SELECT count(*)::BIGINT AS n, count(DISTINCT signs)::BIGINT AS n_distinct, round(avg(len(signs)), 6) AS mean_len FROM corpus WHERE site = (SELECT site FROM {_BY_SIZE} ORDER BY n DESC, site LIMIT 1) AND starts_with(motif, 'BUIL')""")
+def site_motif_subset(spark, sf_dir):
+    """The rows of the largest site whose motif begins in a given way."""
+    c = _orders(spark, sf_dir)
+    site = c.groupBy("site").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "site").first()["site"]
+    rows = source.of_site_and_motif(c, site, "BUIL")
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("signs").alias("n_distinct"), F.round(F.avg(F.size("signs")), 6).alias("mean_len"))
+
+
+@query()
+def matched_subset(spark, sf_dir):
+    """The label of that subset beside the shares of labels of 30 samples of the whole corpus that are as large."""
+    c = _orders(spark, sf_dir)
+    site = c.groupBy("site").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "site").first()["site"]
+    subset = source.of_site_and_motif(c, site, "BUIL").select(F.lit("subset/0").alias("query"), "id", "signs")
+    samples = nulls.subsample(c, subset.count(), 30, 1).select(F.concat_ws("/", F.lit("samples"), F.col("trial").cast("string")).alias("query"), "id", "signs")
+    named = resampling.classify(resampling.features(subset.unionByName(samples), "query"), _labelled(spark)).withColumn("corpus", F.split_part("query", F.lit("/"), F.lit(1)))
+    return _rounded(resampling.label_shares(named, "corpus"), "share", "error", "low", "high")
+
+
 @query()
 def sample_size_curve(spark, sf_dir):
     """Labels that samples of several sizes are given (30 trials each): share, error and interval."""

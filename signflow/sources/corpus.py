@@ -82,6 +82,11 @@ def keep(corpus: DataFrame, exclude_damaged: bool = True, exclude_multiline: boo
     return corpus.where(wanted)
 
 
+def of_site_and_motif(corpus: DataFrame, site: str, prefix: str) -> DataFrame:
+    """The rows of a site whose motif begins with ``prefix``."""
+    return corpus.where((F.col("site") == site) & F.col("motif").startswith(prefix))
+
+
 def broad_motif(motif: Column) -> Column:
     """The motif's part before a colon."""
     return F.when(motif == "unknown", motif).otherwise(F.substring_index(motif, ":", 1))
