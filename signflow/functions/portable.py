@@ -32,11 +32,15 @@ def global_rank(df: DataFrame, *order: Column | str) -> DataFrame:
     return dealt.withColumn("within_", within).join(F.broadcast(offsets), "range_").withColumn("rank", F.col("before_") + F.col("within_")).drop("range_", "within_", "before_")
 
 
-def folds(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """``df`` with ``fold``: k equal ones by hashed order; the remainder gets -1 and is never held out."""
-    ranked = global_rank(df.withColumn("order_", hashed(seed, F.col("id"))), "order_", "id")
-    size = max(1, df.count() // k)
-    return ranked.withColumn("fold", F.when(F.col("rank") < k * size, F.floor(F.col("rank") / size)).otherwise(-1).cast("int")).drop("rank", "order_")
+def folds(df: DataFrame, k: int, seed: int = 0, *keys: str) -> DataFrame:
+    """``df`` with ``fold``: k equal ones (of each key's rows) by hashed order; the remainder gets -1 and is never held out."""
+    ranked = global_rank(df.withColumn("order_", hashed(seed, F.col("id"))), *keys, "order_", "id")
+    if keys:
+        sizes = ranked.groupBy(*keys).agg(F.min("rank").alias("first_"), F.greatest(F.floor(F.count("*") / k), F.lit(1)).alias("size_"))
+        ranked, at, size = ranked.join(F.broadcast(sizes), list(keys)), F.col("rank") - F.col("first_"), F.col("size_")
+    else:
+        at, size = F.col("rank"), F.lit(max(1, df.count() // k))
+    return ranked.withColumn("fold", F.when(at < k * size, F.floor(at / size)).otherwise(-1).cast("int")).drop("rank", "order_", "first_", "size_")
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:

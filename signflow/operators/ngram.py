@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signflow.functions.portable import global_rank, hashed
+from signflow.functions.portable import folds, global_rank
 from signflow.operators.tokens import contexts
 from signflow.session import discard, materialize
 
@@ -20,9 +20,9 @@ def _context(order: int) -> list[str]:
     return [f"c{j}" for j in range(1, order)]
 
 
-def _grams(folded: DataFrame, order: int) -> DataFrame:
-    """fold, c.., w, n"""
-    return contexts(folded, order, "fold").groupBy("fold", *_context(order), "w").agg(F.count("*").alias("n"))
+def _grams(folded: DataFrame, order: int, *keys: str) -> DataFrame:
+    """keys, fold, c.., w, n"""
+    return contexts(folded, order, *keys, "fold").groupBy(*keys, "fold", *_context(order), "w").agg(F.count("*").alias("n"))
 
 
 def _held(grams: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
@@ -54,8 +54,8 @@ def add_alpha(folded: DataFrame, orders: tuple[int, ...] = (1, 2, 3), alpha: flo
     return df
 
 
-def kneser_ney(folded: DataFrame, orders: int = 3, discounts: tuple[float, ...] = (0.75,)) -> DataFrame:
-    """order, discount, fold, perplexity of interpolated Kneser-Ney models up to ``orders``.
+def kneser_ney(folded: DataFrame, orders: int = 3, discounts: tuple[float, ...] = (0.75,), *keys: str) -> DataFrame:
+    """keys, order, discount, fold, perplexity of interpolated Kneser-Ney models up to ``orders``, one for each key's rows.
 
     Order 0 is the share of distinct predecessors (the start among them). An n-gram is one row whatever the folds, with
     its count in each of them, so what a fold trains on is a difference of two columns; lower orders are summed from
@@ -63,53 +63,51 @@ def kneser_ney(folded: DataFrame, orders: int = 3, discounts: tuple[float, ...]
     probabilities of the order below once. Perplexities of an order are sums over that order's own n-grams.
     """
     top = max(orders, 2)
-    grams, path = materialize(_grams(folded, top), "grams")
+    grams, path = materialize(_grams(folded, top, *keys), "grams")
     paths, most = [path], grams.agg(F.max("fold")).first()[0]
-    n_folds = 0 if most is None else most + 1
-    if not n_folds:
-        discard(folded.sparkSession, path)
-        return folded.sparkSession.createDataFrame([], '`order` int, discount double, fold int, perplexity double')
-    folds = range(n_folds)
-    table = {top: grams.groupBy(*_context(top), "w").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("fold") == j, F.col("n")).otherwise(0)).alias(f"n{j}") for j in folds])}
+    held = range(0 if most is None else most + 1)
+    table = {top: grams.groupBy(*keys, *_context(top), "w").agg(F.sum("n").alias("all"), *[F.sum(F.when(F.col("fold") == j, F.col("n")).otherwise(0)).alias(f"n{j}") for j in held])}
     for o in range(top, 1, -1):
         table[o], path = materialize(table[o], "counts")
         paths.append(path)
-        table[o - 1] = table[o].groupBy(*_context(o - 1), "w").agg(F.sum("all").alias("all"), *[F.sum(f"n{j}").alias(f"n{j}") for j in folds])
+        table[o - 1] = table[o].groupBy(*keys, *_context(o - 1), "w").agg(F.sum("all").alias("all"), *[F.sum(f"n{j}").alias(f"n{j}") for j in held])
     stays = lambda j: F.col("all") > F.col(f"n{j}")  # noqa: E731  whether the n-gram is in the training rows
-    kinds = table[2].groupBy("w").agg(*[F.count_if(stays(j)).alias(f"k{j}") for j in folds])
-    of_kinds = kinds.agg(*[F.sum(f"k{j}").alias(f"k{j}") for j in folds]).first()
-    of_signs = table[1].agg(F.count("*").alias("signs"), *[F.sum(F.col("all") - F.col(f"n{j}")).alias(f"t{j}") for j in folds], *[F.count_if(stays(j)).alias(f"d{j}") for j in folds]).first()
-    x = table[1].join(kinds, "w").withColumn("discount", F.explode(F.array(*map(F.lit, discounts))))
-    x = x.withColumns({f"p{j}": F.col(f"k{j}") / of_kinds[f"k{j}"] if of_kinds[f"k{j}"] else F.lit(1.0 / of_signs["signs"]) for j in folds})
-    x = x.withColumns({f"{c}{j}": F.lit(of_signs[f"{c}{j}"]) for c in "td" for j in folds})
+    kinds = table[2].groupBy(*keys, "w").agg(*[F.count_if(stays(j)).alias(f"k{j}") for j in held])
+    of_kinds = kinds.groupBy(*keys).agg(F.count("*").alias("signs_"), *[F.sum(f"k{j}").alias(f"kinds{j}") for j in held])  # a row for each key
+    of_signs = table[1].groupBy(*keys).agg(*[F.sum(F.col("all") - F.col(f"n{j}")).alias(f"t{j}") for j in held], *[F.count_if(stays(j)).alias(f"d{j}") for j in held])
+    x = table[1].join(kinds, [*keys, "w"]).withColumn("discount", F.explode(F.array(*map(F.lit, discounts))))
+    for whole in (of_kinds, of_signs):
+        x = x.join(F.broadcast(whole), list(keys)) if keys else x.join(F.broadcast(whole))
+    x = x.withColumns({f"p{j}": F.when(F.col(f"kinds{j}") > 0, F.try_divide(f"k{j}", f"kinds{j}")).otherwise(1.0 / F.col("signs_")) for j in held})
     each = []
     for o in range(1, orders + 1):
         if o > 1:
-            own = Window.partitionBy(*_context(o))
-            seen = table[o].withColumns({f"t{j}": F.sum(F.col("all") - F.col(f"n{j}")).over(own) for j in folds} | {f"d{j}": F.count_if(stays(j)).over(own) for j in folds})
-            x = seen.join(x.select("discount", *_context(o - 1), "w", *[f"p{j}" for j in folds]), [*_context(o - 1), "w"])
+            own = Window.partitionBy(*keys, *_context(o))
+            seen = table[o].withColumns({f"t{j}": F.sum(F.col("all") - F.col(f"n{j}")).over(own) for j in held} | {f"d{j}": F.count_if(stays(j)).over(own) for j in held})
+            x = seen.join(x.select(*keys, "discount", *_context(o - 1), "w", *[f"p{j}" for j in held]), [*keys, *_context(o - 1), "w"])
 
         def at(j: int) -> Column:
             left, t = F.greatest(F.col("all") - F.col(f"n{j}") - F.col("discount"), F.lit(0.0)), F.col(f"t{j}")
             return F.when(t > 0, F.try_divide(left, t) + F.try_divide(F.col("discount") * F.col(f"d{j}"), t) * F.col(f"p{j}")).otherwise(F.col(f"p{j}"))
 
-        x = x.select("discount", *_context(o), "w", *[f"n{j}" for j in folds], *[at(j).alias(f"p{j}") for j in folds])
+        x = x.select(*keys, "discount", *_context(o), "w", *[f"n{j}" for j in held], *[at(j).alias(f"p{j}") for j in held])
         if o < orders:
             x, path = materialize(x, "probabilities")
             paths.append(path)
-        bits = x.groupBy("discount").agg(*[F.sum(F.col(f"n{j}") * F.log2(F.greatest(F.col(f"p{j}"), F.lit(1e-12)))).alias(f"s{j}") for j in folds], *[F.sum(f"n{j}").alias(f"m{j}") for j in folds])
-        by_fold = F.explode(F.array(*[F.struct(F.lit(j).alias("fold"), F.pow(F.lit(2.0), -F.col(f"s{j}") / F.col(f"m{j}")).alias("perplexity")) for j in folds]))
-        each.append(bits.select(F.lit(o).alias("order"), "discount", by_fold.alias("x")).select("order", "discount", "x.fold", "x.perplexity"))
+        bits = x.groupBy(*keys, "discount").agg(*[F.sum(F.col(f"n{j}") * F.log2(F.greatest(F.col(f"p{j}"), F.lit(1e-12)))).alias(f"s{j}") for j in held], *[F.sum(f"n{j}").alias(f"m{j}") for j in held])
+        told = [F.struct(F.lit(j).alias("fold"), F.pow(F.lit(2.0), -F.try_divide(f"s{j}", f"m{j}")).alias("perplexity")) for j in held]
+        by_fold = F.explode(F.array(*told) if told else F.array().cast("array<struct<fold:int,perplexity:double>>"))
+        each.append(bits.select(*keys, F.lit(o).alias("order"), "discount", by_fold.alias("x")).select(*keys, "order", "discount", "x.fold", "x.perplexity").where("perplexity is not null"))
     out, _ = materialize(reduce(DataFrame.unionByName, each), "perplexities")
     discard(folded.sparkSession, *paths)
     return out
 
 
-def gains(perplexities: DataFrame) -> DataFrame:
-    """discount, order, perplexity (mean over folds) and gain = log2 of the order before minus log2 of this one."""
-    mean = perplexities.groupBy("discount", "order").agg(F.avg("perplexity").alias("perplexity"))
-    before = mean.select("discount", (F.col("order") + 1).alias("order"), F.col("perplexity").alias("before"))
-    return mean.join(before, ["discount", "order"], "left").select("discount", "order", "perplexity", (F.log2("before") - F.log2("perplexity")).alias("gain"))
+def gains(perplexities: DataFrame, *keys: str) -> DataFrame:
+    """keys, discount, order, perplexity (mean over folds) and gain = log2 of the order before minus log2 of this one."""
+    mean = perplexities.groupBy(*keys, "discount", "order").agg(F.avg("perplexity").alias("perplexity"))
+    before = mean.select(*keys, "discount", (F.col("order") + 1).alias("order"), F.col("perplexity").alias("before"))
+    return mean.join(before, [*keys, "discount", "order"], "left").select(*keys, "discount", "order", "perplexity", (F.log2("before") - F.log2("perplexity")).alias("gain"))
 
 
 def restoration(corpus: DataFrame, trials: DataFrame, alpha: float = 0.5, share: float = 0.9) -> DataFrame:
@@ -149,10 +147,7 @@ def restored(trials: DataFrame) -> DataFrame:
 
 def perplexity_ratio(corpus: DataFrame, key: str, k: int = 3, alpha: float = 0.5, seed: int = 0) -> DataFrame:
     """key, ratio: mean perplexity of order 2 over that of order 1, each part of the corpus under its own ``k`` folds (in hashed order; the remainder always trains)."""
-    ranked = global_rank(corpus.select(key, "id", "signs").withColumn("order_", hashed(seed, F.col("id"))), key, "order_", "id")
-    sizes = ranked.groupBy(key).agg(F.min("rank").alias("first_"), F.greatest(F.floor(F.count("*") / k), F.lit(1)).alias("size_"))
-    at = F.col("rank") - F.col("first_")
-    folded = ranked.join(F.broadcast(sizes), key).select(key, F.when(at < k * F.col("size_"), F.floor(at / F.col("size_"))).otherwise(-1).cast("int").alias("fold"), "id", "signs")
+    folded = folds(corpus.select(key, "id", "signs"), k, seed, key)
     grams, _ = materialize(contexts(folded, 2, key, "fold").groupBy(key, "fold", "c1", "w").agg(F.count("*").alias("n")), "grams")
     kinds = grams.groupBy(key).agg((F.count_distinct("w") + 1).alias("v"))
 
@@ -165,7 +160,7 @@ def perplexity_ratio(corpus: DataFrame, key: str, k: int = 3, alpha: float = 0.5
         own_t = own.groupBy(*ctx, "fold").agg(F.sum("n").alias("own_t"))
         x = own.join(total, [*ctx, "w"]).join(own_t, [*ctx, "fold"]).join(by_ctx, ctx).join(F.broadcast(kinds), key)
         p = (F.col("all_n") - F.col("n") + alpha) / (F.col("all_t") - F.col("own_t") + alpha * F.col("v"))
-        folds = x.groupBy(key, "fold").agg(F.pow(F.lit(2.0), -F.sum(F.col("n") * F.log2(p)) / F.sum("n")).alias("p"))
-        return folds.groupBy(key).agg(F.avg("p").alias(f"p{order}"))
+        each = x.groupBy(key, "fold").agg(F.pow(F.lit(2.0), -F.sum(F.col("n") * F.log2(p)) / F.sum("n")).alias("p"))
+        return each.groupBy(key).agg(F.avg("p").alias(f"p{order}"))
 
     return perplexity(1).join(perplexity(2), key).select(key, (F.col("p2") / F.col("p1")).alias("ratio"))

@@ -824,8 +824,10 @@ def stratified_dependency(spark, sf_dir):
     n, motif = c.count(), source.broad_motif(F.col("motif"))
     strata = {"pooled": None, "motif": motif, "site": F.col("site"), "site and motif": F.concat_ws("|", F.col("site"), motif)}
     corpora = {"real": c.select("id", "signs")} | {name: materialize(nulls.matched_null(c, n, 42, x).select("id", "signs"), "null")[0] for name, x in strata.items()}
-    gain = {name: ngram.gains(ngram.kneser_ney(folds(x, 5), 3)).where(F.col("order") == 3).select(F.lit(name).alias("label"), F.round("gain", 5).alias("gain")) for name, x in corpora.items()}
-    every, real = reduce(DataFrame.unionByName, gain.values()), gain["real"].select(F.col("gain").alias("real_"))
+    every = reduce(DataFrame.unionByName, [x.select(F.lit(name).alias("label"), F.col("id").cast("string").alias("id"), "signs") for name, x in corpora.items()])
+    gain = ngram.gains(ngram.kneser_ney(folds(every, 5, 0, "label"), 3, (0.75,), "label"), "label").where(F.col("order") == 3)
+    every = gain.select("label", F.round("gain", 5).alias("gain"))
+    real = every.where("label = 'real'").select(F.col("gain").alias("real_"))
     return every.join(F.broadcast(real)).select("label", "gain", F.when(F.col("label") != "real", F.col("real_") > F.col("gain")).alias("beaten"))
 
 
