@@ -278,6 +278,7 @@ def rigid_control(spark: SparkSession, vocab: int, n: int, mean: float, template
 
 def civilization(spark: SparkSession, kind: str, n: int, seed: int = 0) -> DataFrame:
     """Labelled synthetic corpora: ``a`` root, agreeing suffixes and a case marker; ``b`` administrative slots; ``c`` a mix of both with numerals; ``d`` a chain of order two; ``e`` category, sub-category and item, sometimes twice."""
+    # The probabilities, numbers of kinds and prefixes below, and those of chain_of_two and demo_corpus
     k = F.col("k")
     u = lambda *p: uniform(seed, kind, k, *p)
     pick = lambda prefix, m, *p: F.concat(F.lit(prefix), F.floor(u(*p) * m).cast("string"))
