@@ -180,7 +180,8 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, path: str, block: int = BL
 
     # Rows of one doc_id (or of none) may be many: they are dealt by what else they hold
     keys = ["doc_id", "n_tokens", "hash_"]
-    ordered = ids.withColumn("hash_", F.xxhash64("ids")).repartitionByRange(*keys).sortWithinPartitions(*keys, "ids").drop("hash_")
+    ids = ids if "hash_" in ids.columns else ids.withColumn("hash_", F.xxhash64("ids"))
+    ordered = ids.repartitionByRange(*keys).sortWithinPartitions(*keys, "ids").drop("hash_")
     ordered.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     ids.sparkSession.createDataFrame([(bytes(data),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
 
@@ -188,7 +189,7 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, path: str, block: int = BL
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, limit: int = 20) -> None:
     """Encode every text of ``docs`` and write the token files to ``path``. ``limit``: most bits of a code."""
     prepare(docs.sparkSession)
-    ids, temp = materialize(encode_ids(docs, tokenizer, end_id), "ids")
+    ids, temp = materialize(encode_ids(docs, tokenizer, end_id).withColumn("hash_", F.xxhash64("ids")), "ids")  # so that ranges are drawn without reading the ids
     found = np.array([(r["id"], r["n"]) for r in id_counts(ids).collect()], np.int64).reshape(-1, 2)  # a row for each id of the vocabulary at most
     counts = np.zeros(int(found[:, 0].max(initial=0)) + 1, np.int64)
     counts[found[:, 0]] = found[:, 1]
