@@ -240,6 +240,26 @@ def test_neighbours_of_many_queries(spark, monkeypatch):
     assert sorted(tuple(r) for r in vectors.cosine_neighbours(e.where("k < 500"), base, "k", "v", 2).collect()) == want
 
 
+def test_neighbours_are_found_by_blocks_with_the_order_of_the_formula(spark):
+    """Nulls, zeros, not-a-numbers, other lengths and many copies, against the formula on every pair; no row is made for a pair."""
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(60)] + [(100 + i, [1.0, 2.0, 3.0]) for i in range(20)]
+    rows += [(200, None), (201, [0.0, 0.0, 0.0]), (202, [1.0, None, 2.0]), (203, [1.0, 2.0]), (204, [float("nan"), 1.0, 1.0]), (205, [-1.0, -2.0, -3.0])]
+    e = spark.createDataFrame(rows, "k bigint, v array<double>")
+    every = e.select(F.col("k").alias("query"), F.col("v").alias("w")).join(e, F.col("k") != F.col("query")).select("query", "k", F.round(vectors.cosine(F.col("v"), F.col("w")), 6).alias("s"))
+    for k in (5, 80):
+        want = {}
+        for r in every.orderBy("query", F.desc("s"), "k").collect():
+            want.setdefault(r["query"], []).append((r["k"], str(r["s"])))
+        got = {}
+        for r in vectors.cosine_neighbours(e, e, "k", "v", k).orderBy("query", "rank").collect():
+            got.setdefault(r["query"], []).append((r["k"], str(r["similarity"])))
+        assert got == {q: x[:k] for q, x in want.items()}
+    names = e.where("k < 60").select(F.concat(F.lit("s"), F.col("k").cast("string")).alias("k"), "v")
+    plan = vectors.cosine_neighbours(names, names, "k", "v", 2)
+    assert plan.count() == 120 and "FlatMapCoGroupsInArrow" in plan._jdf.queryExecution().toString()
+
+
 def test_components_with_hot_nodes(spark, monkeypatch):
     from signflow.functions import skew
     from signflow.operators.graph import components
