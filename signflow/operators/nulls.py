@@ -308,9 +308,18 @@ def normal(u1: Column, u2: Column) -> Column:
     return F.sqrt(-2 * F.ln(F.greatest(u1, F.lit(1e-9)))) * F.cos(2 * np.pi * u2)
 
 
+#: Buckets of a number from 0 to 1, a power of two.
+BUCKETS = 1024
+
+
 def chosen(edges: list[float], u: Column) -> Column:
-    """Which of the intervals that end at ``edges`` holds ``u``."""
-    return F.least(F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x <= u)), F.lit(len(edges) - 1))
+    """Which of the intervals that end at ``edges`` (rising) holds ``u``: of all edges, those of its bucket are looked through."""
+    start = np.searchsorted(edges, np.arange(BUCKETS + 1) / BUCKETS, "right").tolist()
+    constant = lambda x, kind: F.from_json(F.lit(str(x)), f"array<{kind}>")  # noqa: E731  parsed once
+    bucket = F.floor(u * BUCKETS).cast("int")
+    first, end = F.get(constant(start, "int"), bucket), F.get(constant(start, "int"), bucket + 1)
+    passed = F.when(first == end, first).otherwise(first + F.size(F.filter(F.slice(constant(edges, "double"), first + 1, end - first), lambda x: x <= u)))
+    return F.least(passed, F.lit(len(edges) - 1))
 
 
 def chain_of_two(rows: DataFrame, u, signs: int = 40, special: int = 60, sure: float = 0.85) -> Column:
@@ -344,9 +353,9 @@ def demo_corpus(spark: SparkSession, n: int = 2000, signs: int = 120, seed: int
     edges = (weights / weights[-1]).tolist()
     has = rng.random(signs) < 0.15
     strong = F.array(*[F.lit(int(w) if h else -1) for h, w in zip(has, rng.integers(0, signs, signs), strict=True)])
-    k = F.col("k")
+    k, size = F.col("k"), F.col("size_")
     u = lambda *p: uniform(seed, "demo", k, *p)
-    size = F.least(F.greatest(F.round(4.4 + 2.0 * normal(u("n1"), u("n2"))).cast("int"), F.lit(1)), F.lit(26))
+    length = F.least(F.greatest(F.round(4.4 + 2.0 * normal(u("n1"), u("n2"))).cast("int"), F.lit(1)), F.lit(26))
     first = F.when(u("first?") < 0.55, 2 + F.floor(u("first") * 3).cast("int")).otherwise(chosen(edges, u("first")))
 
     def grow(out: Column, i: Column) -> Column:
@@ -359,8 +368,9 @@ def demo_corpus(spark: SparkSession, n: int = 2000, signs: int = 120, seed: int
     final = F.when(u("final") < 0.45, favoured).otherwise(F.array(chosen(edges, u("any", "final"))))
     numbers = F.when(size > 1, F.concat(numbers, final)).otherwise(numbers)
     of = lambda names, x: F.get(F.array(*map(F.lit, names)), F.floor(x * len(names)).cast("int"))
-    return spark.range(n).withColumnRenamed("id", "k").select(
-        F.format_string("SYN-%05d", "k").alias("id"), F.transform(numbers, lambda x: F.format_string("S%03d", x + 1)).alias("signs"),
+    names = F.array(*[F.lit(f"S{x + 1:03d}") for x in range(signs)])
+    return spark.range(n).select(F.col("id").alias("k"), length.alias("size_")).select(
+        F.format_string("SYN-%05d", "k").alias("id"), F.transform(numbers, lambda x: F.get(names, x)).alias("signs"),
         of(SITES, u("site")).alias("site"), F.get(F.array(*map(F.lit, TYPES)), chosen([0.55, 0.75, 0.9, 0.96, 1.0], u("type"))).alias("object_type"),
         F.lit("unknown").alias("motif"), (u("damaged") < 0.08).alias("damaged"), F.when(u("lines") < 0.9, 1).otherwise(2).alias("line_count"),
     )

@@ -469,3 +469,12 @@ def test_more_queries_equal_sql(spark, name):
     want = Counter(tuple(str(r[order.index(c)]) for c in columns) for r in found.fetchall())
     df = queries.queries()[name](spark, "/root/testdata/sf0.001")
     assert sorted(df.columns) == columns and Counter(tuple(str(r[c]) for c in columns) for r in df.collect()) == want
+
+
+def test_choices_by_bucket_and_one_draw_of_the_length(spark):
+    edges = (np.cumsum(1 / (np.arange(1, 121) + 2.7) ** 1.15) / np.sum(1 / (np.arange(1, 121) + 2.7) ** 1.15)).tolist()
+    asked = [0.0, *edges, *(np.arange(0, 2**32, 2**22) / 2**32).tolist(), 1 - 2.0**-32]
+    got = spark.createDataFrame([(x,) for x in asked], "u double").select("u", nulls.chosen(edges, F.col("u")).alias("i")).collect()
+    assert [r["i"] for r in got] == [min(int(np.searchsorted(edges, r["u"], "right")), 119) for r in got]
+    plan = nulls.demo_corpus(spark, 10).select("signs")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("COS(") == 1  # the length is a column, not drawn anew for each sign
