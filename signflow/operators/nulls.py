@@ -40,24 +40,37 @@ def global_shuffle(corpus: DataFrame, seed: int = 0) -> DataFrame:
     return rows
 
 
-def cuts(corpus: DataFrame, trials: int, seed: int = 0, n: int | None = None, fraction: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+def cuts(corpus: DataFrame, trials: int, seed: int = 0, n: int | None = None, fraction: float | None = None, keys: tuple[str, ...] = (), widths: float = 8.0) -> DataFrame:
     """keys, trial, cut: the largest hash of the rows that a trial takes, ``n`` or a ``fraction`` (at least one row) of each key's rows; all, if fewer.
 
-    Hashes are counted by their first four digits; only the rows of the digits that hold the last one are ranked.
+    The cut's place among even hashes is known to some deviations (``widths``): those below are counted, and only the
+    few within are kept and ranked. Where a cut is not among them the rows are read again, four times as wide.
     """
-    fanned = corpus.select(*keys, "id", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")).withColumn("order_", hashed(F.col("trial"), seed, F.col("id"))).withColumn("bucket_", F.substring("order_", 1, 4))
-    own = Window.partitionBy(*keys, "trial")  # 65,536 rows at most
-    counts = fanned.groupBy(*keys, "trial", "bucket_").agg(F.count("*").alias("here_")).withColumns({"upto_": F.sum("here_").over(own.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, 0)), "all_": F.sum("here_").over(own)})
+    spark, trial = corpus.sparkSession, F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")
     want = F.lit(n) if fraction is None else F.greatest(F.lit(1), F.rint(F.col("all_") * fraction))
-    rest = F.least(want, F.col("all_")).cast("bigint") - F.col("upto_") + F.col("here_")
-    last = counts.withColumn("rest_", rest).where((F.col("rest_") > 0) & (F.col("rest_") <= F.col("here_"))).select(*keys, "trial", "bucket_", "rest_")
-    ranked = fanned.join(F.broadcast(last), [*keys, "trial", "bucket_"]).withColumn("rank_", F.row_number().over(own.orderBy("order_")))
-    return ranked.where(F.col("rank_") == F.col("rest_")).select(*keys, "trial", F.col("order_").alias("cut"))
+    totals, path = materialize(corpus.groupBy(*keys).agg(F.count("*").alias("all_")).where("all_ > 0").withColumn("want_", F.least(want, F.col("all_")).cast("bigint")).where("want_ > 0"), "totals")
+    asked = totals.count() * trials
+    by, share = [*keys, "trial"], F.col("want_") / F.col("all_")
+    while True:
+        wide = widths * F.sqrt(share * (1 - share) / F.col("all_")) + widths * widths / F.col("all_")
+        bounds = totals.select(*keys, (share - wide).alias("low_"), (share + wide).alias("high_"))
+        near = corpus.select(*keys, "id").join(F.broadcast(bounds), list(keys)) if keys else corpus.select("id").join(F.broadcast(bounds))
+        near = near.select(*keys, "low_", "high_", "id", trial).select(*keys, "trial", "low_", "high_", hashed(F.col("trial"), seed, F.col("id")).alias("order_")).withColumn("at_", F.conv(F.substring("order_", 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0))
+        counted_, near_path = materialize(near.where("at_ <= high_").groupBy(*by, F.when(F.col("at_") >= F.col("low_"), F.col("order_")).alias("order_")).agg(F.count("*").alias("here_")), "near")  # a row for all below
+        upto = F.sum("here_").over(Window.partitionBy(*by).orderBy(F.asc_nulls_first("order_")).rowsBetween(Window.unboundedPreceding, 0))
+        ranked = counted_.withColumn("upto_", upto)
+        ranked = ranked.join(F.broadcast(totals.select(*keys, "want_")), list(keys)) if keys else ranked.join(F.broadcast(totals.select("want_")))
+        found, _ = materialize(ranked.where("order_ is not null and upto_ >= want_ and upto_ - here_ < want_").select(*by, F.col("order_").alias("cut")), "cuts")
+        discard(spark, near_path)
+        if found.count() == asked:
+            discard(spark, path)
+            return found
+        widths *= 4
 
 
 def subsample(corpus: DataFrame, n: int | None = None, trials: int = 1, seed: int = 0, fraction: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """``n`` rows (or a ``fraction``, of each key's rows) of each trial without replacement: those first in hashed order. Rows of one id stay together."""
-    table, _ = materialize(cuts(corpus, trials, seed, n, fraction, keys), "cuts")  # a row for each trial and key
+    table = cuts(corpus, trials, seed, n, fraction, keys)  # a row for each trial and key
     fanned = corpus.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     return fanned.join(F.broadcast(table), [*keys, "trial"]).where(hashed(F.col("trial"), seed, F.col("id")) <= F.col("cut")).select(*corpus.columns, "trial")
 

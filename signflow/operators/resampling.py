@@ -66,17 +66,15 @@ def references(spark: SparkSession, kinds: str = "abc", seeds: int = 4, n: int =
 
 
 def with_trials(corpus: DataFrame, n: int, trials: int, seed: int = 0) -> DataFrame:
-    """``corpus`` with ``trials``, a bitmap (longs) of the trials whose sample of ``n`` rows a row is in; the same samples as ``nulls.subsample``."""
+    """The rows of ``corpus`` that are in any trial's sample of ``n`` rows, each with ``trials``, a bitmap (longs) of the trials it is in; the same samples as ``nulls.subsample``. Written once."""
     known = {r["trial"]: r["cut"] for r in nulls.cuts(corpus, trials, seed, n).collect()}  # one for each trial
     cuts = F.array(*[F.lit(known.get(t, "")) for t in range(trials)])
-
-    def word(i: int) -> Column:
-        own = F.sequence(F.lit(64 * i), F.lit(min(64 * i + 64, trials) - 1))
-        within = lambda t: hashed(t, seed, F.col("id")) <= F.get(cuts, t)
-        bit = lambda t: F.when(within(t), F.call_function("shiftleft", F.lit(1).cast("bigint"), t % 64)).otherwise(F.lit(0).cast("bigint"))
-        return F.aggregate(own, F.lit(0).cast("bigint"), lambda out, t: out.bitwiseOR(bit(t)))
-
-    return corpus.withColumn("trials", F.array(*[word(i) for i in range(-(-trials // 64))]))
+    fanned = corpus.select("id", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
+    taken = fanned.where(hashed(F.col("trial"), seed, F.col("id")) <= F.get(cuts, F.col("trial")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("trial") % 64)
+    words = [F.bit_or(F.when(F.floor(F.col("trial") / 64) == i, bit).otherwise(F.lit(0).cast("bigint"))) for i in range(-(-trials // 64))]
+    members = taken.groupBy("id").agg(F.array(*words).alias("trials"))
+    return materialize(corpus.join(members, "id"), "sampled")[0].select(*corpus.columns, "trials")
 
 
 def classify(queries: DataFrame, labelled: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFrame:

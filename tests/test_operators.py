@@ -478,3 +478,49 @@ def test_choices_by_bucket_and_one_draw_of_the_length(spark):
     assert [r["i"] for r in got] == [min(int(np.searchsorted(edges, r["u"], "right")), 119) for r in got]
     plan = nulls.demo_corpus(spark, 10).select("signs")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("COS(") == 1  # the length is a column, not drawn anew for each sign
+
+
+def _odd_corpus(spark, n, seed=0):
+    rng = np.random.default_rng(seed)
+    rows = [(i, [f"s{x}" for x in rng.integers(0, 5, rng.integers(1, 5))], f"S{rng.integers(2)}", "T", "M" if rng.random() < 0.9 else "unknown") for i in range(n)]
+    return spark.createDataFrame(rows, "id bigint, signs array<string>, site string, object_type string, motif string")
+
+
+def test_first_pairs_are_those_of_all_pairs(spark):
+    c = _odd_corpus(spark, 300)
+    members = substitution.classes(substitution.edges(substitution.pair_counts(c, "motif")))
+    every = substitution.tier(substitution.minimal_pairs(c, None), "motif")
+    few = substitution.first_pairs(c, "motif")
+    told = lambda pairs: sorted((r["component"], r["size"], tuple(r["examples"])) for r in substitution.summaries(pairs, members).collect())
+    assert told(few) == told(every) and few.count() < every.count()
+
+
+def test_equal_rows_are_counted_before_their_places(spark):
+    c = _odd_corpus(spark, 400, 1)
+    for name, keys in (("all", ()), ("motif", ("site",))):
+        pairs = substitution.tier(substitution.minimal_pairs(c, None, *keys), name)
+        want = pairs.groupBy(*keys, "len", "position", F.least("sign_a", "sign_b"), F.greatest("sign_a", "sign_b")).count()
+        assert sorted(map(tuple, substitution.pair_counts(c, name, *keys).collect())) == sorted(map(tuple, want.collect()))
+    tagged = substitution.in_runs(c, 20)
+    want = substitution.minimal_pairs(c, 20).groupBy("len", "position", F.least("sign_a", "sign_b"), F.greatest("sign_a", "sign_b")).count()
+    assert sorted(map(tuple, substitution.pair_counts(tagged, within=("chunk",)).collect())) == sorted(map(tuple, want.collect()))
+    copies = c.crossJoin(spark.range(50).select(F.col("id").alias("copy")))
+    plan = substitution.pair_counts(copies)
+    plan.collect()
+    assert "ReusedExchange" in plan._jdf.queryExecution().executedPlan().toString()  # the places travel once, after their rows are counted
+
+
+@pytest.mark.parametrize("n, widths", [(7, 8.0), (150, 0.01), (298, 8.0), (500, 8.0)])
+def test_cuts_are_exact_and_trials_hold_sampled_rows_only(spark, n, widths):
+    from signflow.operators import resampling
+
+    c = spark.range(300).select("id", F.array(F.lit("A")).alias("signs"))
+    got = {r["trial"]: r["cut"] for r in nulls.cuts(c, 70, 4, n, widths=widths).collect()}
+    hashes = {t: sorted(hashlib.md5(f"{t}|4|{i}".encode()).hexdigest() for i in range(300)) for t in range(70)}
+    assert got == {t: x[min(n, 300) - 1] for t, x in hashes.items()}
+    rows = resampling.with_trials(c, n, 70, 4).collect()
+    want = {i: sum(1 << t for t in range(70) if hashlib.md5(f"{t}|4|{i}".encode()).hexdigest() <= got[t]) for i in range(300)}
+    assert {r["id"]: sum((w % 2**64) << 64 * k for k, w in enumerate(r["trials"])) for r in rows} == {i: x for i, x in want.items() if x}
+    by_key = nulls.cuts(c.withColumn("part", F.col("id") % 3), 2, 1, fraction=0.5, keys=("part",)).collect()
+    assert {(r["part"], r["trial"]): r["cut"] for r in by_key} == {(p, t): sorted(hashlib.md5(f"{t}|1|{i}".encode()).hexdigest() for i in range(p, 300, 3))[49] for p in range(3) for t in range(2)}
+    assert nulls.cuts(c.limit(0), 2, 1, 5).count() == 0
