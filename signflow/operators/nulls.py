@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signflow.functions.portable import global_rank, hashed, uniform
+from signflow.functions.portable import global_rank, hashed, uniform, uniform_of
 from signflow.operators.tokens import counted, pairs, tokens
-from signflow.session import discard, materialize
+from signflow.session import discard, materialize, ship
 
 #: Rows that a marginal table may have to be broadcast.
 SMALL = 200_000
@@ -215,32 +217,54 @@ def markov_null(corpus: DataFrame, n: int, order: int = 1, seed: int = 0, longes
     return out
 
 
-def _guide(table: list[tuple[int, int]]) -> tuple[str, str, str, int, int]:
-    """Ids, ends of intervals, and by bucket the first interval that ends beyond its start, as JSON; bucket width; total. ``table``: id, n."""
-    ends = np.cumsum([n for _, n in table])
-    total = int(ends[-1])
-    width = total // (2 * len(table)) + 1
-    guide = np.searchsorted(ends, np.arange(total // width + 2) * width, "right")
-    said = lambda x: "[" + ",".join(map(str, x)) + "]"
-    return said(i for i, _ in table), said(ends.tolist()), said(np.minimum(guide, len(table) - 1).tolist()), width, total
-
-
-def _guided(u: Column, table: list[tuple[int, int]]) -> Column:
-    """The id in whose interval ``u`` times the total lies: its bucket's intervals are looked through, on average two."""
-    ids, ends, guide, width, total = _guide(table)
-    array = lambda x, kind: F.from_json(F.lit(x), f"array<{kind}>")  # noqa: E731  a constant, parsed once
-    at = F.floor(u * total)
-    bucket = F.floor(at / width).cast("int")
-    start, stop = F.get(array(guide, "int"), bucket), F.get(array(guide, "int"), bucket + 1)
-    passed = F.size(F.filter(F.slice(array(ends, "bigint"), start + 1, stop - start + 1), lambda x: x <= at))
-    return F.get(array(ids, "int"), start + passed)
+def _row_codes(seed: int, table: dict[str, list[tuple[int, int]]], signs: int, n: int):
+    """A task's step from row numbers to trial, h1, h2: what identifies the row that ``matched_null`` draws (its signs as one number, or 128 bits of hash if it is long)."""
+    laid = {k: (np.array([i for i, _ in x], np.int64), np.cumsum([m for _, m in x])) for k, x in table.items() if x}
+    exact = int(62 / np.log2(signs + 1))  # places that fit in one number
+
+    def draw(kind: str, before: str, numbers: np.ndarray, after: str = "") -> np.ndarray:
+        ids, ends = laid[kind]
+        at = np.floor(uniform_of(before, numbers, after) * ends[-1])
+        return ids[np.minimum(np.searchsorted(ends, at, "right"), len(ids) - 1)]
+
+    def mixed(h: np.ndarray, x: np.ndarray, by: int) -> np.ndarray:
+        h = (h ^ x) * np.uint64(by)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            size = draw("length", f"{seed}|length|", k)
+            order = np.argsort(-size, kind="stable")
+            k, size = k[order], size[order]
+            code, h1, h2 = (np.zeros(len(k), np.uint64) for _ in range(3))
+            for pos in range(int(size.max(initial=0))):
+                m = int(np.searchsorted(-size, -pos, "left"))  # rows longer than pos
+                ends = int(np.searchsorted(-size, -pos - 1, "left"))  # and those that go on
+                x = np.empty(m, np.int64)
+                draws = lambda kind, s, pos=pos: draw(kind, f"{seed}|sign|", k[s], f"|{pos}")
+                if pos == 0:
+                    x[:] = draws("first", slice(0, m))
+                else:
+                    x[:ends] = draws("any", slice(0, ends))
+                    if m > ends:
+                        x[ends:] = draws("last", slice(ends, m))
+                x = (x + 1).astype(np.uint64)
+                code[:m] = code[:m] * np.uint64(signs + 1) + x
+                h1[:m], h2[:m] = mixed(h1[:m] + np.uint64(1), x, 0x9E3779B97F4A7C15), mixed(h2[:m] + np.uint64(7), x, 0xD6E8FEB86659FD93)
+            long = size > exact
+            yield pa.RecordBatch.from_arrays([pa.array((k // n).astype(np.int32)), pa.array(np.where(long, h1, code).view(np.int64)), pa.array(np.where(long, h2 | np.uint64(1), np.uint64(0)).view(np.int64))], ["trial", "h1", "h2"])
+
+    return run
 
 
 def matched_null_uniqueness(corpus: DataFrame, trials: int, n: int | None = None, seed: int = 0, most: int = SMALL) -> DataFrame:
     """trial, n_distinct, n, uniqueness of the rows that ``matched_null`` draws (without strata), ``n`` for each trial (None: as many as the corpus has).
 
-    Marginal tables of up to ``most`` entries are constants of one expression that draws a whole row, so nothing is
-    exploded or regrouped: what is shuffled is 128 bits of hash for each distinct row of a task and trial. Larger tables
+    Marginal tables of up to ``most`` entries go to the tasks, which draw whole rows, many at a time, so nothing is
+    exploded or regrouped: what is shuffled is at most 128 bits for each distinct row of a task and trial. Larger tables
     are drawn from by joins, with the same result.
     """
     c = corpus.where(F.size("signs") > 0).select("signs")
@@ -259,13 +283,8 @@ def matched_null_uniqueness(corpus: DataFrame, trials: int, n: int | None = None
             held[r["kind"]].append((r["sign"], r["n"]))
         number = {s: i for i, s in enumerate(sorted({s for k in ("first", "last", "any") for s, _ in held[k]}))}
         table = {k: [(int(s) if k == "length" else number[s], m) for s, m in x] for k, x in held.items()}
-        k = F.col("id")
-        size = _guided(uniform(seed, "length", k), table["length"])
-        sign = lambda pos: uniform(seed, "sign", F.col("id"), pos)
-        last = lambda pos: _guided(sign(pos), table["last"]) if table["last"] else F.lit(None).cast("int")
-        place = lambda pos: F.when(pos == 0, _guided(sign(pos), table["first"])).when(pos == F.col("size") - 1, last(pos)).otherwise(_guided(sign(pos), table["any"]))
-        rows = corpus.sparkSession.range(n * trials).withColumn("size", size).withColumn("signs", F.transform(F.sequence(F.lit(0), F.col("size") - 1), place))
-        drawn = rows.select(F.floor(F.col("id") / n).cast("int").alias("trial"), F.xxhash64("signs").alias("h1"), F.xxhash64(F.lit(1), "signs").alias("h2"))
+        ship(corpus.sparkSession)
+        drawn = corpus.sparkSession.range(n * trials).mapInArrow(_row_codes(seed, table, len(number), n), "trial int, h1 bigint, h2 bigint")
     found = drawn.groupBy("trial", "h1", "h2").agg(F.count("*").alias("m")).groupBy("trial").agg(F.count("*").alias("n_distinct"), F.sum("m").alias("n"))
     out, _ = materialize(found.withColumn("uniqueness", F.col("n_distinct") / F.col("n")), "uniqueness")
     discard(corpus.sparkSession, path)

@@ -524,3 +524,11 @@ def test_cuts_are_exact_and_trials_hold_sampled_rows_only(spark, n, widths):
     by_key = nulls.cuts(c.withColumn("part", F.col("id") % 3), 2, 1, fraction=0.5, keys=("part",)).collect()
     assert {(r["part"], r["trial"]): r["cut"] for r in by_key} == {(p, t): sorted(hashlib.md5(f"{t}|1|{i}".encode()).hexdigest() for i in range(p, 300, 3))[49] for p in range(3) for t in range(2)}
     assert nulls.cuts(c.limit(0), 2, 1, 5).count() == 0
+
+
+def test_hashed_numbers_of_whole_arrays():
+    from signflow.functions.portable import uniform_of
+
+    k = np.array([0, 1, 9, 10, 99, 100, 12345, 10**9, 10**18])
+    for before, after in (("5|sign|", "|3"), ("5|length|", ""), ("x" * 20, "|12")):
+        assert uniform_of(before, k, after).tolist() == [int(hashlib.md5(f"{before}{i}{after}".encode()).hexdigest()[:8], 16) / 2**32 for i in k.tolist()]
