@@ -532,3 +532,19 @@ def test_hashed_numbers_of_whole_arrays():
     k = np.array([0, 1, 9, 10, 99, 100, 12345, 10**9, 10**18])
     for before, after in (("5|sign|", "|3"), ("5|length|", ""), ("x" * 20, "|12")):
         assert uniform_of(before, k, after).tolist() == [int(hashlib.md5(f"{before}{i}{after}".encode()).hexdigest()[:8], 16) / 2**32 for i in k.tolist()]
+
+
+def test_stability_by_site_mines_once(spark, monkeypatch):
+    c = _odd_corpus(spark, 400, 2)
+    seen, mine = [], substitution._surrounded
+    monkeypatch.setattr(substitution, "_surrounded", lambda *a: seen.append(1) or mine(*a))
+    pairs = substitution.pair_counts(c, "motif", "site")
+    for classes in (substitution.classes, lambda e: substitution.modularity_classes(e).withColumnRenamed("community", "component")):
+        seen.clear()
+        got = plans._by_site(c, classes)
+        assert len(seen) == 1
+        want = substitution.stability_by_part(c, classes(substitution.edges(substitution.pair_counts(c, "motif"))), "site")
+        assert sorted((r["site"], r["class"], r["members"], round(r["jaccard"], 6)) for r in want.collect()) == sorted((r["site"], r["class"], r["members"], r["jaccard"]) for r in got.collect())
+    assert pairs.count() > 0
+    odd = spark.createDataFrame([("a", ["x", "1:y", "p"], "S", "T", "M"), ("b", ["x1:", "y", "p"], "S", "T", "M"), ("c", ["x", "1:y", "q"], "S", "T", "M"), ("d", [None, "y", "p"], "S", "T", "M"), ("e", ["~", "y", "q"], "S", "T", "M")], FULL)
+    assert [(r["position"], r["sign_a"], r["sign_b"], r["n"]) for r in substitution.pair_counts(odd).collect()] == [(2, "p", "q", 1)]  # texts of surroundings tell signs apart
