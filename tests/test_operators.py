@@ -548,3 +548,15 @@ def test_stability_by_site_mines_once(spark, monkeypatch):
     assert pairs.count() > 0
     odd = spark.createDataFrame([("a", ["x", "1:y", "p"], "S", "T", "M"), ("b", ["x1:", "y", "p"], "S", "T", "M"), ("c", ["x", "1:y", "q"], "S", "T", "M"), ("d", [None, "y", "p"], "S", "T", "M"), ("e", ["~", "y", "q"], "S", "T", "M")], FULL)
     assert [(r["position"], r["sign_a"], r["sign_b"], r["n"]) for r in substitution.pair_counts(odd).collect()] == [(2, "p", "q", 1)]  # texts of surroundings tell signs apart
+
+
+def test_counts_of_all_tiers_from_one_shuffle(spark):
+    c = _odd_corpus(spark, 500, 3).unionByName(spark.createDataFrame([(900 + i, [s], site, t, m) for i, (s, site, t, m) in enumerate(itertools.product("ab", (None, "unknown", "S0"), (None, "T"), (None, "M")))], "id bigint, signs array<string>, site string, object_type string, motif string"))
+    got = substitution.tier_counts(c)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1
+    for tier in ("all", "context", "motif"):
+        want = sorted(map(tuple, substitution.pair_counts(c, tier).collect()))
+        assert sorted(map(tuple, got.where(F.col("tier") == tier).drop("tier").collect())) == want and want
+    tagged = substitution.in_runs(c, 20)
+    assert sorted(map(tuple, substitution.tier_counts(tagged, ("chunk",)).where("tier = 'all'").drop("tier").collect())) == sorted(map(tuple, substitution.pair_counts(tagged, within=("chunk",)).collect()))
