@@ -120,12 +120,26 @@ def draw(rows: DataFrame, u: str, table: DataFrame, keys: list[str], out: str) -
     return urn(table, keys).draw(rows, u, out)
 
 
-def matched_null(corpus: DataFrame, n: int, seed: int = 0, stratum: Column | None = None, least: int = 20, trials: int = 1) -> DataFrame:
+def matched_null(corpus: DataFrame, n: int, seed: int = 0, stratum: Column | None = None, least: int = 20, trials: int = 1, most: int = SMALL) -> DataFrame:
     """trial, id, signs, stratum: ``n`` rows of each trial whose lengths, first, middle and last signs are drawn independently from the corpus' own.
 
-    With ``stratum`` (a column expression) each stratum has its own marginals, those of under ``least`` rows share
-    the pooled ones. All trials are one job; rows are numbered through them.
+    With ``stratum`` (a string expression) each stratum has its own marginals, those of under ``least`` rows share
+    the pooled ones. All trials are one job; rows are numbered through them. Marginal tables of up to ``most`` entries
+    go to the tasks, which draw whole rows, many at a time; larger ones are drawn from by joins, with the same result.
     """
+    spark = corpus.sparkSession
+    given = corpus.where(F.size("signs") > 0).select("signs", (F.lit("all") if stratum is None else stratum).alias("stratum"))
+    if given.schema["stratum"].dataType.simpleString() == "string":
+        pair = lambda kind, sign: F.struct(F.lit(kind).alias("kind"), sign.alias("sign"))
+        told = F.concat(F.array(pair("length", F.lpad(F.size("signs").cast("string"), 6, "0")), pair("first", F.element_at("signs", 1))), F.transform("signs", lambda x: pair("any", x)), F.when(F.size("signs") > 1, F.array(pair("last", F.element_at("signs", -1)))).otherwise(F.array().cast("array<struct<kind:string,sign:string>>")))
+        counts, path = materialize(counted(given.select("stratum", F.inline(told)), "stratum", "kind", "sign"), "marginals")
+        few = counts.count() <= most
+        rows = [(r["stratum"], r["kind"], r["sign"], r["n"]) for r in counts.collect()] if few else []
+        discard(spark, path)
+        if few:
+            ship(spark)
+            drawn = spark.range(n * trials if rows else 0).mapInArrow(_matched_rows(seed, rows, least), "k bigint, signs array<string>, stratum string")
+            return drawn.select(F.floor(F.col("k") / n).cast("int").alias("trial"), F.format_string("NULL-%05d", "k").alias("id"), "signs", "stratum")
     c = corpus.where(F.size("signs") > 0).select("signs", (F.lit("all") if stratum is None else stratum).alias("stratum"))
     sizes = counted(c, "stratum").withColumn("source", F.when(F.col("n") >= least, F.col("stratum")).otherwise("__pooled__"))
     pooled = c.select("signs", F.lit("__pooled__").alias("source"))
@@ -147,6 +161,58 @@ def matched_null(corpus: DataFrame, n: int, seed: int = 0, stratum: Column | Non
     return built.select(F.floor(F.col("k") / n).cast("int").alias("trial"), F.format_string("NULL-%05d", "k").alias("id"), "signs", "stratum")
 
 
+def _matched_rows(seed: int, counts: list[tuple[str | None, str, str | None, int]], least: int):
+    """A task's step from row numbers to k, signs, stratum of ``matched_null``, by the ``counts`` (stratum, kind, sign, n) of its marginals."""
+    first = lambda x: (x is not None, x or "")  # noqa: E731  as Spark orders them
+    sizes: dict[str | None, int] = {}
+    for s, kind, _, m in counts:
+        sizes[s] = sizes.get(s, 0) + (m if kind == "length" else 0)
+    strata = sorted(sizes, key=first)
+    pooled = len(strata)
+    source = np.array([i if sizes[s] >= least else pooled for i, s in enumerate(strata)], np.int64)
+    signs = sorted({x for _, kind, x, _ in counts if kind != "length"}, key=first)
+    number, place = {x: i for i, x in enumerate(signs)}, {s: i for i, s in enumerate(strata)}
+    tables: dict[str, dict[tuple[int, str | None], int]] = {k: {} for k in ("length", "first", "last", "any")}
+    for s, kind, x, m in counts:
+        for at in (place[s], pooled):
+            tables[kind][at, x] = tables[kind].get((at, x), 0) + m
+    laid = {}
+    for kind, table in tables.items():  # all sources end to end
+        entries = sorted(table.items(), key=lambda e: (e[0][0], first(e[0][1])))
+        m = np.array([n for _, n in entries], np.int64)
+        total = np.bincount([at for (at, _), _ in entries], m, pooled + 1).astype(np.int64) if entries else np.zeros(pooled + 1, np.int64)
+        laid[kind] = np.array([int(x) if kind == "length" else number[x] for (_, x), _ in entries], np.int64), np.cumsum(m), total, np.cumsum(total) - total
+    ends = np.cumsum([sizes[s] for s in strata])
+
+    def draw(kind: str, of: np.ndarray, u: np.ndarray) -> np.ndarray:
+        values, upto, total, start = laid[kind]
+        return values[np.searchsorted(upto, start[of] + np.floor(u * total[of]).astype(np.int64), "right")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, labels = pa.array(signs, pa.string()), pa.array(strata, pa.string())
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            own = np.searchsorted(ends, np.floor(uniform_of(f"{seed}|stratum|", k) * ends[-1]), "right")
+            if strata[0] is None:
+                k, own = k[own > 0], own[own > 0]
+            of = source[own]
+            size = draw("length", of, uniform_of(f"{seed}|length|", k))
+            order = np.argsort(-size, kind="stable")
+            k, own, of, size = k[order], own[order], of[order], size[order]
+            start = np.cumsum(size) - size
+            drawn = np.empty(int(size.sum()), np.int64)
+            for pos in range(int(size.max(initial=0))):
+                m = int(np.searchsorted(-size, -pos, "left"))  # rows longer than pos
+                on = int(np.searchsorted(-size, -pos - 1, "left"))  # and those that go on
+                u = uniform_of(f"{seed}|sign|", k[:m], f"|{pos}")
+                for kind, some in ((("first", slice(0, m)),) if pos == 0 else (("any", slice(0, on)), ("last", slice(on, m)))):
+                    drawn[start[some] + pos] = draw(kind, of[some], u[some])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(drawn)).astype(np.int32)), names.take(pa.array(drawn)))
+            yield pa.RecordBatch.from_arrays([pa.array(k), lists, labels.take(pa.array(own))], ["k", "signs", "stratum"])
+
+    return run
+
+
 END = "<END>"
 #: Steps of chains between writes.
 STEPS = 4
@@ -276,7 +342,7 @@ def matched_null_uniqueness(corpus: DataFrame, trials: int, n: int | None = None
     every = c.select(F.lit("any").alias("kind"), F.explode("signs").alias("sign"))
     tables, path = materialize(counted(ends.unionByName(every).where("sign is not null"), "kind", "sign"), "marginals")
     if tables.count() > most:
-        drawn = matched_null(corpus, n, seed, trials=trials).select("trial", F.xxhash64("signs").alias("h1"), F.xxhash64(F.lit(1), "signs").alias("h2"))
+        drawn = matched_null(corpus, n, seed, trials=trials, most=most).select("trial", F.xxhash64("signs").alias("h1"), F.xxhash64(F.lit(1), "signs").alias("h2"))
     else:
         held: dict[str, list] = {k: [] for k in (*kinds, "any")}
         for r in tables.orderBy("kind", "sign").collect():

@@ -560,3 +560,34 @@ def test_counts_of_all_tiers_from_one_shuffle(spark):
         assert sorted(map(tuple, got.where(F.col("tier") == tier).drop("tier").collect())) == want and want
     tagged = substitution.in_runs(c, 20)
     assert sorted(map(tuple, substitution.tier_counts(tagged, ("chunk",)).where("tier = 'all'").drop("tier").collect())) == sorted(map(tuple, substitution.pair_counts(tagged, within=("chunk",)).collect()))
+
+
+@pytest.mark.parametrize("n", [1, 3, 23, 4000])
+def test_folds_move_no_rows(spark, monkeypatch, n):
+    from signflow.functions import portable
+
+    rows = [(f"k{i % 2}", f"r{i}") for i in range(n)]
+    c = spark.createDataFrame(rows, "key string, id string")
+    ranked = {keys: sorted(map(tuple, portable._ranked_folds(c, 5, 3, *keys).collect())) for keys in ((), ("key",))}
+    monkeypatch.setattr(portable, "global_rank", lambda *a: pytest.fail("rows are ranked"))
+    for keys, want in ranked.items():
+        assert sorted(map(tuple, folds(c, 5, 3, *keys).collect())) == want
+    assert folds(c.limit(0), 5, 3, "key").count() == folds(c.limit(0), 5, 3).count() == 0
+    narrow = portable._fold_ends(c, 5, 3, widths=0.001).first()["ends_"]
+    assert sorted(narrow) == sorted(portable._fold_ends(c, 5, 3).first()["ends_"])
+
+
+def test_folds_of_equal_ids_stay_equal(spark):
+    c = spark.createDataFrame([(f"r{i % 3}",) for i in range(30)], "id string")
+    assert Counter(r["fold"] for r in folds(c, 5).collect()) == dict.fromkeys(range(5), 6)
+
+
+def test_matched_rows_are_those_of_joins(spark):
+    rows = [(f"r{i}", [f"s{(i * j * 7) % 11}" for j in range(1, 2 + i % 6)], None if i % 17 == 0 else f"M{i % 5 if i % 10 else 9 + i % 4}") for i in range(300)]
+    c = spark.createDataFrame([*rows, ("n", ["s1", None, "s2"], "M1"), ("e", [], "M1")], "id string, signs array<string>, motif string")
+    for stratum in (None, F.col("motif"), F.concat_ws("|", "motif", F.size("signs") % 2)):
+        some = c if stratum is not None else c.where("id <> 'n'")
+        told = lambda most, some=some, x=stratum: sorted(map(repr, nulls.matched_null(some, 400, 5, x, trials=2, most=most).select("trial", "id", "signs", "stratum").collect()))
+        assert told(0) == told(10**6) and len(told(0)) > 600
+    plan = nulls.matched_null(c, 400)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and nulls.matched_null(c.limit(0), 5).count() == 0
