@@ -149,6 +149,11 @@ def perplexity_ratio(corpus: DataFrame, key: str, k: int = 3, alpha: float = 0.5
     """key, ratio: mean perplexity of order 2 over that of order 1, each part of the corpus under its own ``k`` folds (in hashed order; the remainder always trains)."""
     folded = folds(corpus.select(key, "id", "signs"), k, seed, key)
     grams, _ = materialize(contexts(folded, 2, key, "fold").groupBy(key, "fold", "c1", "w").agg(F.count("*").alias("n")), "grams")
+    return perplexity_ratio_of(grams, key, alpha)
+
+
+def perplexity_ratio_of(grams: DataFrame, key: str, alpha: float = 0.5) -> DataFrame:
+    """``perplexity_ratio`` from the counts ``n`` of key, fold, c1, w."""
     kinds = grams.groupBy(key).agg((F.count_distinct("w") + 1).alias("v"))
 
     def perplexity(order: int) -> DataFrame:

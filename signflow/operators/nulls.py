@@ -382,17 +382,18 @@ def civilization(spark: SparkSession, kind: str, n: int, seed: int = 0) -> DataF
     pick = lambda prefix, m, *p: F.concat(F.lit(prefix), F.floor(u(*p) * m).cast("string"))
     none = F.array().cast("array<string>")
     rows = spark.range(n).withColumnRenamed("id", "k")
-    root = F.floor(u("root") * 40)
+    rows = rows.withColumns({"root_": F.floor(u("root") * 40), "n_": u("n"), "cat_": F.floor(u("cat", "1") * 4), "sub_": F.floor(u("sub", "1") * 3)})  # what is used more than once is a column, hashed once
+    root = F.col("root_")
     suffix = lambda i: F.concat(F.lit("SFA"), F.when(u("agree", i) < 0.85, root % 4).otherwise(F.floor(u("pool", i) * 4)).cast("string"), F.lit("_"), F.floor(u("s", i) * 6).cast("string"))
-    count = F.when(u("n") < 0.2, 0).when(u("n") < 0.75, 1).otherwise(2)
+    count = F.when(F.col("n_") < 0.2, 0).when(F.col("n_") < 0.75, 1).otherwise(2)
     a = F.concat(F.array(F.concat(F.lit("RTA"), root.cast("string"))), F.when(count == 0, none).when(count == 1, F.array(suffix("1"))).otherwise(F.array(suffix("1"), suffix("2"))), F.when(u("case") < 0.6, F.array(pick("CMA", 3, "marker"))).otherwise(none))
     b = F.concat(F.array(pick("CATB", 8, "cat")), F.when(u("loc?") < 0.7, F.array(pick("LOCB", 12, "loc"))).otherwise(none), F.when(u("aut?") < 0.5, F.array(pick("AUTB", 5, "aut"))).otherwise(none))
-    mixed = F.when(u("mix") < 0.5, a).otherwise(b)
-    at = F.floor(u("at") * (F.size(mixed) + 1)).cast("int")
+    rows = rows.withColumn("mixed_", F.when(u("mix") < 0.5, a).otherwise(b)).withColumn("at_", F.floor(u("at") * (F.size("mixed_") + 1)).cast("int"))
+    mixed, at = F.col("mixed_"), F.col("at_")
     c = F.when(u("num?") < 0.3, F.concat(F.slice(mixed, F.lit(1), at), F.array(pick("NUMC", 9, "num")), F.slice(mixed, at + 1, F.size(mixed)))).otherwise(mixed)
 
     def triple(p: str) -> Column:
-        cat, sub = F.floor(u("cat", p) * 4), F.floor(u("sub", p) * 3)
+        cat, sub = (F.col("cat_"), F.col("sub_")) if p == "1" else (F.floor(u("cat", p) * 4), F.floor(u("sub", p) * 3))
         name = lambda *x: F.concat_ws("_", *[v.cast("string") for v in x])
         return F.array(F.concat(F.lit("CAT"), name(cat)), F.concat(F.lit("SUB"), name(cat, sub)), F.concat(F.lit("ITM"), name(cat, sub, F.floor(u("itm", p) * 6))))
 
@@ -432,7 +433,8 @@ def chain_of_two(rows: DataFrame, u, signs: int = 40, special: int = 60, sure: f
     def grow(out: Column, i: Column) -> Column:
         before = F.get(out, i - 2) * signs + F.get(out, i - 1)
         own = F.when((i >= 2) & (u("sure", i) < sure), F.try_element_at(wanted, before))
-        any_ = F.when(i < 2, F.floor(u("any", i) * signs).cast("int")).otherwise(chosen(edges, u("any", i)))
+        of = lambda x: F.when(i < 2, F.floor(x * signs).cast("int")).otherwise(chosen(edges, x))
+        any_ = F.get(F.transform(F.array(u("any", i)), of), F.lit(0))  # hashed once
         return F.concat(out, F.array(F.coalesce(own, any_)))
 
     numbers = F.aggregate(F.sequence(F.lit(0), size - 1), F.array().cast("array<int>"), grow)

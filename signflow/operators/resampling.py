@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signflow.functions.portable import hashed, wilson
+from signflow.functions.portable import folds, hashed, wilson
 from signflow.operators import ngram, nulls, stats, vectors
+from signflow.operators.tokens import contexts
 from signflow.session import discard, materialize
 
 FEATURES = ("zipf_gamma", "zipf_r2", "entropy", "perplexity_ratio", "top_final_share", "mean_len")
@@ -44,14 +45,20 @@ def label_shares(predicted: DataFrame, *keys: str) -> DataFrame:
 
 def features(corpus: DataFrame, key: str) -> DataFrame:
     """key and the six FEATURES of each part of the corpus that the column ``key`` names."""
-    corpus, path = materialize(corpus.select(key, "id", "signs"), "corpora")  # read by every feature
-    zipf = vectors.zipf(corpus, key).select(key, F.col("gamma").alias("zipf_gamma"), F.col("r2").alias("zipf_r2"))
-    ends = stats.edge_counts(corpus, True, key).groupBy(key).agg((F.max("n") / F.sum("n")).alias("top_final_share"))
-    parts = [stats.conditional_entropy(corpus, key).select(key, "entropy"), ngram.perplexity_ratio(corpus, key).withColumnRenamed("ratio", "perplexity_ratio"), ends, stats.summary(corpus, key).select(key, "mean_len")]
+    corpus, path = materialize(corpus.select(key, "id", "signs"), "corpora")
+    folded = folds(corpus, 3, 0, key, written=True).withColumn("size_", F.size("signs"))
+    place = [(F.col("pos") == 0).alias("first_"), (F.col("pos") == F.col("size_") - 1).alias("last_")]
+    grams, grams_path = materialize(contexts(folded, 2, key, "fold", "size_").groupBy(key, "fold", *place, "c1", "w").agg(F.count("*").alias("n")), "grams")  # tokens are counted once, for every feature
+    of = lambda rows, *by: rows.groupBy(key, *by).agg(F.sum("n").alias("n"))
+    zipf = vectors.zipf(of(grams, F.col("w").alias("sign")), key, counted=True).select(key, F.col("gamma").alias("zipf_gamma"), F.col("r2").alias("zipf_r2"))
+    ends = of(grams.where("last_"), "w").groupBy(key).agg((F.max("n") / F.sum("n")).alias("top_final_share"))
+    entropy = stats.conditional_entropy_of(of(grams.where("not first_"), F.col("c1").alias("a"), F.col("w").alias("b")), key).select(key, "entropy")
+    ratio = ngram.perplexity_ratio_of(of(grams, "fold", "c1", "w"), key).withColumnRenamed("ratio", "perplexity_ratio")
+    parts = [entropy, ratio, ends, corpus.groupBy(key).agg(F.coalesce(F.avg(F.size("signs")), F.lit(0.0)).alias("mean_len"))]
     for x in parts:
         zipf = zipf.join(x, key)
     out, _ = materialize(zipf.select(key, *FEATURES), "features")
-    discard(corpus.sparkSession, path)
+    discard(corpus.sparkSession, path, grams_path)
     return out
 
 

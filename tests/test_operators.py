@@ -591,3 +591,16 @@ def test_matched_rows_are_those_of_joins(spark):
         assert told(0) == told(10**6) and len(told(0)) > 600
     plan = nulls.matched_null(c, 400)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and nulls.matched_null(c.limit(0), 5).count() == 0
+
+
+def test_features_count_tokens_once(spark, monkeypatch):
+    from signflow.operators import resampling
+
+    c = _odd_corpus(spark, 300, 4).select("site", F.col("id").cast("string").alias("id"), "signs").unionByName(spark.createDataFrame([("S0", "e", []), ("S0", "s", ["<S>", "s1"])], "site string, id string, signs array<string>"))
+    want = vectors.zipf(c, "site").select("site", "gamma", "r2").join(stats.conditional_entropy(c, "site").select("site", "entropy"), "site").join(ngram.perplexity_ratio(c, "site"), "site")
+    ends = stats.edge_counts(c, True, "site").groupBy("site").agg((F.max("n") / F.sum("n")).alias("top"))
+    want = sorted(tuple(r) for r in want.join(ends, "site").join(stats.summary(c, "site").select("site", "mean_len"), "site").collect())
+    for name in ("unigrams", "bigrams", "edge_counts", "summary"):
+        monkeypatch.setattr(stats, name, lambda *a, **k: pytest.fail("tokens are counted again"))
+    got = sorted(tuple(r) for r in resampling.features(c, "site").select("site", *resampling.FEATURES).collect())
+    assert [x[0] for x in got] == [x[0] for x in want] and np.allclose([x[1:] for x in got], [x[1:] for x in want], rtol=1e-9)
