@@ -71,10 +71,38 @@ def cuts(corpus: DataFrame, trials: int, seed: int = 0, n: int | None = None, fr
 
 
 def subsample(corpus: DataFrame, n: int | None = None, trials: int = 1, seed: int = 0, fraction: float | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``n`` rows (or a ``fraction``, of each key's rows) of each trial without replacement: those first in hashed order. Rows of one id stay together."""
-    table = cuts(corpus, trials, seed, n, fraction, keys)  # a row for each trial and key
+    """``n`` rows (or a ``fraction``, of each key's rows) of each trial without replacement: those first in hashed order. Rows of one id stay together.
+
+    Where all trials together take no more rows than there are, the rows that a trial may take are written as they are
+    hashed and its cut found among them, so that the corpus is read, and each row hashed for each trial, only once more.
+    """
+    spark, by = corpus.sparkSession, [*keys, "trial"]
+    order = hashed(F.col("trial"), seed, F.col("id"))
     fanned = corpus.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    return fanned.join(F.broadcast(table), [*keys, "trial"]).where(hashed(F.col("trial"), seed, F.col("id")) <= F.col("cut")).select(*corpus.columns, "trial")
+    sizes, path = materialize(corpus.groupBy(*keys).agg(F.count("*").alias("all_")), "sizes")
+    r = sizes.agg(F.coalesce(F.sum("all_"), F.lit(0)).alias("all_"), F.coalesce(F.sum(F.least("all_", F.lit(n))), F.lit(0)).alias("want_")).first() if n else None
+    widths = 8.0
+    while n and 0 < r["want_"] * trials <= r["all_"]:
+        share = F.least(F.lit(n), F.col("all_")) / F.col("all_")
+        most = share + widths * F.sqrt(share * (1 - share) / F.col("all_")) + widths * widths / F.col("all_")
+        text = F.lower(F.lpad(F.hex(F.floor(most * 4294967296).cast("bigint")), 8, "0"))
+        high = sizes.select(*keys, F.when(most < 1, F.concat(text, F.lit("g"))).otherwise("g").alias("high_"))  # after all hashes that begin so
+        rows = fanned.join(F.broadcast(high), list(keys)) if keys else fanned.join(F.broadcast(high))
+        rows = rows.withColumn("order_", order).where("order_ <= high_")
+        taken, _ = materialize(rows.select(*corpus.columns, "trial", "order_"), "taken")
+        asked = sizes.select(*keys, F.least(F.lit(n), F.col("all_")).alias("want_"))
+        upto = F.sum("here_").over(Window.partitionBy(*by).orderBy("order_").rowsBetween(Window.unboundedPreceding, 0))
+        ranked = taken.groupBy(*by, "order_").agg(F.count("*").alias("here_")).withColumn("upto_", upto)
+        ranked = ranked.join(F.broadcast(asked), list(keys)) if keys else ranked.join(F.broadcast(asked))
+        table, table_path = materialize(ranked.where("upto_ >= want_ and upto_ - here_ < want_").select(*by, F.col("order_").alias("cut")), "cuts")
+        if table.count() == (sizes.where(reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])) if keys else sizes).count() * trials:
+            discard(spark, path)
+            return taken.join(F.broadcast(table), by).where("order_ <= cut").select(*corpus.columns, "trial")
+        discard(spark, table_path)
+        widths *= 4
+    discard(spark, path)
+    table = cuts(corpus, trials, seed, n, fraction, keys)  # a row for each trial and key
+    return fanned.join(F.broadcast(table), by).where(order <= F.col("cut")).select(*corpus.columns, "trial")
 
 
 def intervals(counts: DataFrame, *keys: str) -> DataFrame:

@@ -593,6 +593,19 @@ def test_matched_rows_are_those_of_joins(spark):
     assert "Exchange" not in plan and nulls.matched_null(c.limit(0), 5).count() == 0
 
 
+def test_samples_are_hashed_once(spark, monkeypatch):
+    c = spark.range(2000).select("id", F.array(F.lit("A")).alias("signs"), (F.col("id") % 3).alias("part"))
+    want = {}
+    for keys, n in (((), 40), (("part",), 15)):
+        table = nulls.cuts(c, 7, 4, n, keys=keys)
+        fanned = c.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(6)))).join(table, [*keys, "trial"])
+        want[keys, n] = sorted(map(tuple, fanned.where(F.md5(F.concat_ws("|", F.col("trial").cast("string"), F.lit("4"), F.col("id").cast("string"))) <= F.col("cut")).select(*c.columns, "trial").collect()))
+    monkeypatch.setattr(nulls, "cuts", lambda *a, **k: pytest.fail("rows are hashed for their cuts, then for themselves"))
+    for (keys, n), rows in want.items():
+        assert sorted(map(tuple, nulls.subsample(c, n, 7, 4, keys=keys).collect())) == rows and len(rows) == 7 * n * (3 if keys else 1)
+    assert nulls.subsample(c.limit(4), 1, 4, 2).count() == 4
+
+
 def test_features_count_tokens_once(spark, monkeypatch):
     from signflow.operators import resampling
 
