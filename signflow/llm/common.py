@@ -74,6 +74,9 @@ class ChunkEncoder:
     the tokenizers library as one text, whose ids are then cut at the chunks.
     """
 
+    #: Characters encoded together, about.
+    RUN = 2_000_000
+
     def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -103,20 +106,71 @@ class ChunkEncoder:
         raise NotImplementedError
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
-        for s, e in slices(texts, 2_000_000):
+        for s, e in slices(texts, self.RUN):
             yield from self.some(texts[s:e])
 
     def some(self, texts: list[str]) -> list[bytes]:
         raise NotImplementedError
 
 
+#: What byte-level pretokens are made of, by byte: the 0 between texts, letters (and bytes of Latin ones), digits, other signs, white space.
+_KINDS = np.full(256, 3, np.uint8)
+for _k, _of in enumerate((b"\0", bytes(c for c in range(256) if c > 127 or chr(c).isalpha()), b"0123456789", b"", b" \t\n\r")):
+    _KINDS[list(_of)] = _k
+
+
+def pretoken_starts(raw: bytes) -> np.ndarray:
+    """Offsets of the byte-level pretokens of plain texts, each with a byte 0 behind it (which is one by itself).
+
+    They are contractions; letters, digits or other signs with a space before them; white space, whose last
+    character before something else is left to itself. Fixed by the tokenizer.
+    """
+    b = np.frombuffer(raw, np.uint8)
+    kind = _KINDS[b]
+    start = np.ones(len(b), bool)
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start[kind == 0] = True
+    last = np.flatnonzero((kind[:-1] == 4) & (kind[1:] > 0) & (kind[1:] < 4))
+    start[last] = True
+    start[last[b[last] == 32] + 1] = False
+    mark = np.flatnonzero(b == 39)
+    mark = mark[start[mark]]
+    one, two = b[mark + 1], b[np.minimum(mark + 2, len(b) - 1)]
+    for at, n in ((np.isin(one, [*b"stmd"]), 2), ((two == 101) & ((one == 114) | (one == 118)) | (one == 108) & (two == 108), 3)):  # re, ve, ll
+        start[mark[at] + 1] = False
+        start[mark[at] + n] = True
+    return np.flatnonzero(start)
+
+
 class ByteBpe(ChunkEncoder):
-    """For a byte-level BPE whose pretokens take one space before a word: chunks with the space before them."""
+    """For a byte-level BPE. Plain texts: all pretokens of some texts are found at once, and each distinct one is looked up once.
+
+    New pretokens go to the library's model as one text in the letters of its vocabulary, whose ids are then
+    cut by the bytes they stand for. The memo is two dicts: once the newer one holds half of ``most`` it replaces
+    the older, so that what is met again stays. Other texts (other scripts, control characters, special tokens) go by
+    chunks with the space before them.
+    """
+
+    RUN = 4_000_000
 
     def __init__(self, path: str):
         super().__init__(path)
-        n = self.tokenizer.get_vocab_size()
-        self.leads = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(n)])
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        t = self.tokenizer
+        names = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
+        self.leads = np.array([x.startswith("\u0120") for x in names])
+        self.n_bytes = np.array([len(x) for x in names])
+        self.special = [x.content for x in t.get_added_tokens_decoder().values()]
+        pre = t.pre_tokenizer
+        self.usual = t.normalizer is None and isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
+        self.model = Tokenizer(t.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = iter(range(256, 512))
+        self.letters = {b: b if b in shown else next(rest) for b in range(256)} | {0: 32}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def learn(self, new: list[str]) -> None:
         named = [c for c in new if c]
@@ -129,12 +183,67 @@ class ByteBpe(ChunkEncoder):
             self.memo.update((c, self.whole(" " + c)) for c in named)
         self.memo[""] = self.whole(" ")
 
-    def some(self, texts: list[str]) -> list[bytes]:
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of pretokens, by the library's model."""
+        text = b"\0".join(words).decode("latin-1").translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        to = np.cumsum(self.n_bytes[ids])
+        ends = np.cumsum([len(w) for w in words])
+        cut = np.searchsorted(to, ends)
+        if not len(to) or to[-1] != ends[-1] or (to[cut] != ends).any():  # a vocabulary without some bytes
+            return [self.whole(w.decode()) for w in words]
+        raw, at = ids.tobytes(), (4 * cut + 4).tolist()
+        return [raw[s:e] for s, e in zip([0, *at], at, strict=False)]
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct pretokens, from the memo or the model."""
+        out = list(map(self.new.get, words))
+        missing = [w for w, x in zip(words, out, strict=True) if x is None]
+        if missing:
+            found = list(map(self.old.get, missing))
+            unknown = [w for w, x in zip(missing, found, strict=True) if x is None]
+            if unknown:
+                merged = iter(self.merge(unknown))
+                found = [next(merged) if x is None else x for x in found]
+            if len(self.new) + len(missing) > self.most // 2:
+                self.old, self.new = self.new, {}
+            self.new.update(zip(missing, found, strict=True))
+            rest = iter(found)
+            out = [next(rest) if x is None else x for x in out]
+        return out
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without odd characters and special tokens."""
+        raw = "\0".join([*texts, ""]).encode()
+        at = pretoken_starts(raw)
+        found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(raw))), pa.py_buffer(raw)]).dictionary_encode()
+        codes, words = found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        zero = words.index(b"\0")
+        ids = self.words(words[:zero] + words[zero + 1 :])
+        ids.insert(zero, b"")
+        flat, n = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) for x in ids]) // 4
+        first, n = (np.cumsum(n) - n)[codes], n[codes]
+        to = np.cumsum(n)
+        raw = flat[np.repeat(first - (to - n), n) + np.arange(to[-1])].tobytes()
+        ends = (4 * to[codes == zero]).tolist()
+        return [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+
+    def chunks(self, texts: list[str]) -> list[bytes]:
+        """The ids of any texts, by chunks."""
         lists = [[] if "  " in t else t.split(" ") for t in texts]  # runs of spaces are pretokens of their own
         self.known([x[1:] for x in lists])
         get = self.memo.__getitem__
         return [self.whole(x[0]) + b"".join(map(get, x[1:])) if x else self.whole(t) for x, t in zip(lists, texts, strict=True)]
 
+    def some(self, texts: list[str]) -> list[bytes]:
+        odd = [not self.usual or _ODD.search(t) is not None or any(s in t for s in self.special) for t in texts]
+        parts = [iter(way(some) if (some := [t for t, o in zip(texts, odd, strict=True) if o == k]) else []) for k, way in ((False, self.plain), (True, self.chunks))]
+        return [next(parts[o]) for o in odd]
+
+
+#: Neither plain ASCII nor a Latin letter.
+_ODD = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]")
+
 
 class WordBpe(ChunkEncoder):
     """For a tokenizer that drops white space: each chunk stands alone."""

@@ -34,45 +34,79 @@ BLOCKS = "part int, block int, doc_ids array<bigint>, doc_tokens array<bigint>,
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, width, ids (compressed byte planes, ``width`` of each id): every whole text's ids and ``end_id``."""
+    """doc_id, n_tokens, width, ids (compressed byte planes, ``width`` of each id): every whole text's ids and ``end_id``.
+
+    Each task adds a row of its own, all null but ``tally``: how often each id occurs in its documents (compressed int64).
+    """
     end = np.array([end_id], "<u4").tobytes()
+    names = ["doc_id", "n_tokens", "width", "ids", "tally"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ByteBpe, path)
-        for b in batches:
+        encode, total = encoder(ByteBpe, path), np.zeros(0, np.int64)
+        for b in joined(batches):
             n, wide, out = [], [], []
+            held, size = [], 0
             for raw in encode.texts(texts_of(b)):
                 ids = np.frombuffer(raw + end, "<u4")
                 n.append(len(ids))
                 wide.append(2 if ids.max() < 65536 else 4)
                 planes = ids.view("u1").reshape(-1, 4).T[: wide[-1]]  # byte planes pack better
                 out.append(pa.compress(planes.tobytes(), "zstd", asbytes=True))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(wide, pa.int32()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "width", "ids"])
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, width int, ids binary")
+                held.append(ids)
+                size += len(ids)
+                if size >= BLOCK:
+                    total, held, size = added(total, held), [], 0
+            total = added(total, held)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(wide, pa.int32()), pa.array(out, pa.binary()), pa.nulls(len(n), pa.binary())], names)
+        if len(total):
+            tally = pa.compress(total.astype("<i8").tobytes(), "zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.binary())), pa.array([len(total).to_bytes(4, "little") + tally], pa.binary())], names)
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, width int, ids binary, tally binary")
+
+
+def joined(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches, put together up to about ``most`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def added(total: np.ndarray, held: list[np.ndarray]) -> np.ndarray:
+    """``total`` and the counts of the ids held: of many documents at once, as each count passes over the vocabulary."""
+    if not held:
+        return total
+    c = np.bincount(np.concatenate(held), minlength=len(total))
+    c[: len(total)] += total
+    return c
 
 
 def unpack_ids(data: bytes, n: int, width: int) -> np.ndarray:
     """The ids that ``encode_ids`` packed."""
-    out = np.zeros((n, 4), np.uint8)
-    out[:, :width] = np.frombuffer(pa.decompress(data, decompressed_size=width * n, codec="zstd"), np.uint8).reshape(width, n).T
-    return out.view("<u4").ravel()
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=width * n, codec="zstd"), np.uint8).reshape(width, n)
+    out = planes[0].astype("<u4")
+    for k in range(1, width):
+        out |= planes[k].astype("<u4") << np.uint32(8 * k)
+    return out
 
 
 def id_counts(ids: DataFrame) -> DataFrame:
-    """id, n: how often each id occurs in all documents; each task sums its own rows first."""
+    """id, n: how often each id occurs in all documents, from the tasks' tallies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for b in batches:
-            for data, n, width in zip(*(b.column(c).to_pylist() for c in ("ids", "n_tokens", "width")), strict=True):
-                c = np.bincount(unpack_ids(data, n, width), minlength=len(total))
-                c[: len(total)] += total
-                total = c
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+            for data in b.column("tally").to_pylist():
+                total = np.frombuffer(pa.decompress(data[4:], decompressed_size=8 * int.from_bytes(data[:4], "little"), codec="zstd"), "<i8")
+                seen = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    return ids.select("n_tokens", "width", "ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.where("tally is not null").select("tally").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
@@ -113,20 +147,18 @@ class Code:
         span = np.int64(1) << (self.limit - self.lengths[order])
         first = np.cumsum(span) - span
         self.codes = np.zeros(len(lengths), np.uint64)
-        self.codes[order] = (first >> (self.limit - self.lengths[order])).astype(np.uint64)
-        self.table_id = np.zeros(1 << self.limit, np.uint32)
-        self.table_bits = np.ones(1 << self.limit, np.int64)
+        self.codes[order] = first.astype(np.uint64) << np.uint64(64 - self.limit)  # at the upper end
+        self.table = np.ones(1 << self.limit, np.uint32)  # id and, in the lowest 5 bits, the length of its code
         if len(order):
-            self.table_id[: span.sum()] = np.repeat(order, span)
-            self.table_bits[: span.sum()] = np.repeat(self.lengths[order], span)
+            self.table[: span.sum()] = np.repeat(order << 5 | self.lengths[order], span)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The code words of ``ids`` and the bit offsets of every ``CHECKPOINT``-th id."""
-        bits = self.lengths[ids]
+        bits = self.lengths.take(ids)
         at = np.cumsum(bits) - bits
         total = int(at[-1] + bits[-1])
         word = at >> 5
-        piece = self.codes[ids] << (64 - bits - (at & 31)).astype(np.uint64)  # a code of up to 32 bits ends in the next word
+        piece = self.codes.take(ids) >> (at & 31).view(np.uint64)  # a code of up to 32 bits ends in the next word
         starts = np.flatnonzero(np.diff(word, prepend=-1))
         both = np.bitwise_or.reduceat(piece, starts)
         out = np.zeros((total >> 5) + 2, np.uint32)
@@ -136,19 +168,20 @@ class Code:
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` ids of a block, all its checkpoints in step."""
-        raw = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint64)
-        ahead = np.zeros(len(raw) - 4, np.uint64)  # 40 bits from each byte on
-        for k in range(5):
-            ahead |= raw[k : len(raw) - 4 + k] << np.uint64(32 - 8 * k)
+        raw = np.frombuffer(payload + bytes(8), np.uint8).astype(np.int64)
+        ahead = raw[:-4] << 32  # 40 bits from each byte on
+        for k in range(1, 5):
+            ahead |= raw[k : len(raw) - 4 + k] << (32 - 8 * k)
         at = checkpoints.astype(np.int64)
-        out = np.zeros((len(at), CHECKPOINT), np.uint32)
-        mask, drop = np.uint64((1 << self.limit) - 1), 40 - self.limit
-        top = 8 * (len(ahead) - 1)
-        for k in range(CHECKPOINT):
-            got = ((ahead[at >> 3] >> (drop - (at & 7)).astype(np.uint64)) & mask).astype(np.int64)
-            out[:, k] = self.table_id[got]
-            at = np.minimum(at + self.table_bits[got], top)
-        return out.ravel()[:n]
+        out = np.empty((CHECKPOINT, len(at)), np.uint32)
+        mask, drop = (1 << self.limit) - 1, 40 - self.limit
+        for row in out:
+            got = ahead.take(at >> 3, mode="clip")  # the last stretch may run past the end
+            got >>= drop - (at & 7)
+            got &= mask
+            self.table.take(got, mode="clip", out=row)
+            at += row & 31
+        return (out >> 5).T.ravel()[:n]
 
 
 def write_blocks(ids: DataFrame, lengths: np.ndarray, path: str, block: int = BLOCK) -> None:
@@ -189,8 +222,9 @@ def write_blocks(ids: DataFrame, lengths: np.ndarray, path: str, block: int = BL
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, limit: int = 20) -> None:
     """Encode every text of ``docs`` and write the token files to ``path``. ``limit``: most bits of a code."""
     prepare(docs.sparkSession)
-    ids, temp = materialize(encode_ids(docs, tokenizer, end_id).withColumn("hash_", F.xxhash64("ids")), "ids")  # so that ranges are drawn without reading the ids
-    found = np.array([(r["id"], r["n"]) for r in id_counts(ids).collect()], np.int64).reshape(-1, 2)  # a row for each id of the vocabulary at most
+    rows, temp = materialize(encode_ids(docs, tokenizer, end_id).withColumn("hash_", F.xxhash64("ids")), "ids")  # so that ranges are drawn without reading the ids
+    ids = rows.where("tally is null").drop("tally")
+    found = np.array([(r["id"], r["n"]) for r in id_counts(rows).collect()], np.int64).reshape(-1, 2)  # a row for each id of the vocabulary at most
     counts = np.zeros(int(found[:, 0].max(initial=0)) + 1, np.int64)
     counts[found[:, 0]] = found[:, 1]
     write_blocks(ids, code_lengths(counts, limit), path)

@@ -28,6 +28,37 @@ def test_chunks_encode_as_the_library(kind, path):
             assert np.frombuffer(raw, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+def test_plain_texts_encode_as_the_library():
+    rng, t, own = np.random.default_rng(4), Tokenizer.from_file(BYTE), ByteBpe(BYTE)
+    own.most = 60  # the memo turns over all the time
+    parts = [" ", " ", "  ", "\n", "\t", "\r\n", "'", "'s", "'re", "'ll", "'store", "''s", "ve", "l", "word", "Straße", "ɏé", "12", "3", ",", ".", "!?", "_", "é", "×", "²", "\0", "\x0b", "’", "<|endoftext|>", "語"]
+    weights = np.array([6] * 24 + [0.02] * 7)
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30), p=weights / weights.sum())) for _ in range(4000)]
+    for text, raw in zip(texts, own.texts(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_in_new_company_are_not_encoded_again():
+    own, sent = ByteBpe(BYTE), []
+
+    class Counting:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **more):
+            sent.extend(map(len, texts))
+            return self.library.encode_batch_fast(texts, **more)
+
+    for name in ("tokenizer", "model"):
+        if hasattr(own, name):
+            setattr(own, name, Counting(getattr(own, name)))
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(500)]
+    list(own.texts([" " + " ".join(words)]))
+    sent.clear()
+    list(own.texts([f" {w}," for w in words] + [f" {w}.\n{words[0]}'s" for w in words]))
+    assert sum(sent) < 100  # only the marks and the word without a space before it are new
+
+
 def test_code_lengths_are_limited_and_complete():
     rng = np.random.default_rng(1)
     counts = (rng.pareto(0.4, 900) * 3).astype(np.int64)
@@ -58,6 +89,19 @@ def test_token_files(spark, docs, tmp_path):
         at += r["n_tokens"]
 
 
+def test_ids_are_counted_over_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(token_codec, "BLOCK", 50)
+    texts = [f"word {k % 7} of {k}" for k in range(300)]
+    t, want = Tokenizer.from_file(BYTE), {0: len(texts)}
+    for x in texts:
+        for i in t.encode(x, add_special_tokens=False).ids:
+            want[i] = want.get(i, 0) + 1
+    ids = token_codec.encode_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3), BYTE, 0)
+    assert {r["id"]: r["n"] for r in token_codec.id_counts(ids).collect()} == want
+    tallies = ids.where("n_tokens is null")  # counting needs no ids
+    assert tallies.count() == 3 and {r["id"]: r["n"] for r in token_codec.id_counts(tallies).collect()} == want
+
+
 def test_token_files_of_nothing(spark, docs):
     assert token_codec.token_report(docs.limit(0), BYTE).count() == 0
 
