@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signflow.llm.common import prepare, slices, texts_of
+from signflow.llm.common import PlainTexts, distinct_pretokens, joined, prepare, slices, texts_of
 from signflow.session import discard, materialize
 
 #: Pretokens of the lexicon, at most.
@@ -50,6 +50,8 @@ def pretokens(text: str) -> list[str]:
     return regex.findall(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", text)
 
 
+#: What a plain text lacks: control characters, and what neither ASCII nor a Latin letter is.
+_UNPLAIN = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]")
 #: What neither ASCII nor a Latin letter is.
 _ODD = re.compile("[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ɏ]")
 
@@ -61,7 +63,12 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-_NONE = 1 << 60
+#: Bytes of a word that is merged together with others, at most.
+WIDEST = 36
+#: Where the rank of a merge is asked for: the pair does not merge.
+_NONE = 1 << 25
+#: A place without a pair that merges.
+_FREE = (1 << 31) - 1
 
 
 class Merges:
@@ -78,8 +85,10 @@ class Merges:
             self.pairs[vocab[a] << 20 | vocab[b]] = k << 20 | vocab[a + b]
         keys = np.array(sorted(self.pairs), np.int64)
         values = np.array([self.pairs[k] for k in keys.tolist()], np.int64)
-        self.keys, self.values = np.append(keys, 1 << 62), np.append(values, _NONE)
-        of_byte = np.array(self.first, np.int64)
+        self.keys, self.values = np.append(keys, 1 << 62), np.append(values >> 20, _NONE).astype(np.int32)
+        self.merged = np.zeros(len(spec["model"]["merges"]), np.int32)
+        self.merged[values >> 20] = values & 0xFFFFF
+        of_byte = np.array(self.first, np.int32)
         self.of_byte, self.of_bytes = of_byte, self.ranks(np.repeat(of_byte, 256), np.tile(of_byte, 256)).reshape(256, 256)
         back = {c: b for b, c in enumerate(letters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -91,50 +100,78 @@ class Merges:
             self.bytes[i] = token.encode()
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """rank << 20 | merged id of each pair, _NONE for those that don't merge."""
-        key = a << 20 | b
+        """The rank of each pair's merge, _NONE for those that don't merge."""
+        key = a.astype(np.int64) << 20 | b
         at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.values[at], _NONE)
+        return np.where(self.keys[at] == key, self.values[at], np.int32(_NONE))
 
     def many(self, words: list[bytes]) -> list[list[int]]:
-        """The same for many words at once: in each round every word merges its best pair."""
-        out: list[list[int]] = [[]] * len(words)
-        for i, w in enumerate(words):
-            if len(w) > 36:
-                out[i] = self(w)
-        for rows, raw, sizes in by_width(words, 36):
-            width = raw.shape[1]
+        """The same for many words."""
+        return [np.frombuffer(x, "<u4").tolist() for x in self.packed(words)]
+
+    def packed(self, words: list[bytes]) -> list[bytes]:
+        """The ids (little-endian uint32) of many words at once: in each round every word merges its best pair."""
+        out = [b""] * len(words)
+        alone = [i for i, w in enumerate(words) if len(w) > WIDEST]
+        for rows, raw, sizes in by_width(words, WIDEST):
             if len(rows) < 20:
-                for i in rows.tolist():
-                    out[i] = self(words[i])
+                alone += rows.tolist()
                 continue
-            place = np.arange(width)
-            ids = np.where(place < sizes[:, None], self.of_byte[raw], -1)
-            rank = np.full((len(rows), width + 1), _NONE, np.int64)
-            rank[:, 1:width] = np.where(place[1:] < sizes[:, None], self.of_bytes[raw[:, :-1], raw[:, 1:]], _NONE)  # of each id with the one before it
-            todo = np.arange(len(rows))
-            while len(todo):
-                best = rank.argmin(1)
-                own = np.arange(len(todo))
-                value = rank[own, best]
-                going = value != _NONE
-                for k in np.flatnonzero(~going):
-                    out[rows[todo[k]]] = ids[k, : sizes[k]].tolist()
-                todo, ids, rank, sizes, best, value = todo[going], ids[going], rank[going], sizes[going], best[going], value[going]
-                if not len(todo):
-                    break
-                own = np.arange(len(todo))
-                ids[own, best - 1] = value & 0xFFFFF
-                later = np.minimum(place + (place >= best[:, None]), width - 1)
-                ids = np.take_along_axis(ids, later, 1)
-                rank[:, :width] = np.take_along_axis(rank, np.minimum(place + (place >= best[:, None]), width), 1)
-                sizes = sizes - 1
-                left = np.flatnonzero(best > 1)
-                rank[left, best[left] - 1] = self.ranks(ids[left, best[left] - 2], ids[left, best[left] - 1])
-                right = np.flatnonzero(best < sizes)
-                rank[right, best[right]] = self.ranks(ids[right, best[right] - 1], ids[right, best[right]])
+            ids = self.rounds(raw, sizes).T
+            kept = ids >= 0
+            ends = (4 * np.cumsum(kept.sum(1))).tolist()
+            flat = ids[kept].astype("<u4").tobytes()
+            for i, start, end in zip(rows.tolist(), [0, *ends], ends, strict=False):
+                out[i] = flat[start:end]
+        for i in alone:
+            out[i] = np.array(self(words[i]), "<u4").tobytes()
         return out
 
+    def rounds(self, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The ids of words given as columns of bytes, at the places of their first bytes; -1 elsewhere.
+
+        Each column has a row before and behind it that merges with nothing; ``key`` holds rank and place of the
+        pair that starts at a place, ``after`` and ``before`` link the places that are left.
+        """
+        width, n = raw.shape
+        place = np.arange(width)[:, None]
+        ids = np.full((width + 2, n), 0xFFFFF, np.int32)
+        ids[1:-1] = np.where(place < sizes, self.of_byte[raw], -1)
+        key = np.full((width + 2, n), _FREE, np.int32)
+        pair = self.of_bytes[raw[:-1], raw[1:]]
+        key[1:-2] = np.where((pair != _NONE) & (place[1:] < sizes), pair << 6 | place[1:], _FREE)
+        after = np.repeat(np.arange(1, width + 3, dtype=np.int8)[:, None], n, 1)
+        after[sizes, np.arange(n)] = width + 1
+        before = after - np.int8(2)
+        out, todo = np.empty((width, n), np.int32), np.arange(n)
+        while True:
+            best = key.min(0)
+            at = np.flatnonzero(best != _FREE)
+            if 2 * len(at) < len(todo):  # the columns that are done are put away
+                out[:, todo] = ids[1:-1]
+                if not len(at):
+                    return out
+                todo, best = todo[at], best[at]
+                ids, key, after, before = (x.take(at, 1) for x in (ids, key, after, before))
+                at = np.arange(len(todo))
+            else:
+                best = best[at]
+            new, place = self.merged[best >> 6], best & 63
+            n = len(todo)
+            i, k, f, p = ids.reshape(-1), key.reshape(-1), after.reshape(-1), before.reshape(-1)
+            own = place * np.int64(n) + at
+            gone = f[own] * np.int64(n) + at
+            right = f[gone]
+            i[own], i[gone], k[gone], f[own] = new, -1, _FREE, right
+            right = right * np.int64(n) + at
+            p[right] = place
+            left = p[own]
+            rank = self.ranks(new, i[right])
+            k[own] = np.where(rank == _NONE, _FREE, rank << 6 | place)
+            own = left * np.int64(n) + at
+            rank = self.ranks(i[own], new)
+            k[own] = np.where(rank == _NONE, _FREE, rank << 6 | left)
+
     def __call__(self, word: bytes) -> list[int]:
         ids, get, none = [self.first[b] for b in word], self.pairs.get, 1 << 60
         ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
@@ -223,13 +260,14 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
 
 
 def by_width(words: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Words of up to ``most`` bytes in groups of near widths: their rows, bytes (padded with zeros) and sizes."""
+    """Words of up to ``most`` bytes in groups of near widths: their rows, bytes (a column each, with what follows it) and sizes."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
+    raw = np.frombuffer(b"".join(words) + bytes(most), np.uint8)
     widths = -(-sizes // 6) * 6
     for width in np.unique(widths[(widths > 0) & (widths <= most)]).tolist():
         rows = np.flatnonzero(widths == width)
-        raw = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in rows.tolist()]), np.uint8).reshape(-1, width)
-        yield rows, raw, sizes[rows]
+        yield rows, raw[starts[rows] + np.arange(width)[:, None]], sizes[rows]
 
 
 class Lexicon:
@@ -252,9 +290,9 @@ class Lexicon:
         for rows, raw, sizes in by_width(words, LONGEST * 4):
             state, rank = np.full(len(rows), len(self.final) - 1, np.uint32), np.zeros(len(rows), np.int64)
             known, at = np.ones(len(rows), bool), np.arange(len(rows))
-            for k in range(raw.shape[1]):
+            for k in range(len(raw)):
                 at = at[sizes[at] > k]
-                key = state[at] << np.uint32(8) | raw[at, k]
+                key = state[at] << np.uint32(8) | raw[k, at]
                 arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 found = self.keys[arc] == key
                 known[at[~found]] = False
@@ -266,32 +304,39 @@ class Lexicon:
             out[rows] = np.where(known & (self.final[state] > 0), rank, -1)
         return out
 
-    def many(self, words: list[bytes]) -> list[list[int] | None]:
-        """The ids of each word; None for words that the lexicon lacks."""
-        ids, ends = self.ids, self.ends.tolist()
-        return [ids[ends[r] : ends[r + 1]].tolist() if r >= 0 else None for r in self.ranks(words).tolist()]
+    def packed(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids (little-endian uint32) of each word; None for words that the lexicon lacks."""
+        ids, ends = self.ids.tobytes(), (4 * self.ends.astype(np.int64)).tolist()
+        return [ids[ends[r] : ends[r + 1]] if r >= 0 else None for r in self.ranks(words).tolist()]
 
     def get(self, word: bytes) -> list[int] | None:
-        return self.many([word])[0]
+        ids = self.packed([word])[0]
+        return None if ids is None else np.frombuffer(ids, "<u4").tolist()
+
 
+class Encoder(PlainTexts):
+    """Texts to ids by the lexicon and exact merges, and back.
 
-class Encoder:
-    """Texts to ids by the lexicon and exact merges, and back. A bounded memo of two generations keeps what chunks between spaces came to."""
+    Other texts than plain ones (other scripts, control characters, special tokens) go by chunks between spaces; a
+    bounded memo of two generations keeps what the chunks came to.
+    """
 
     def __init__(self, tokenizer: str, lexicon: str, most: int = 500_000):
-        self.merges, self.lexicon, self.most = Merges(tokenizer), Lexicon(lexicon), most
+        super().__init__(most)
+        self.merges, self.lexicon = Merges(tokenizer), Lexicon(lexicon)
         self.special = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")") if self.merges.special else None
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.bytes = pa.array(self.merges.bytes, pa.large_binary())
+        self.decimals = pa.array([b"%d," % i for i in range(len(self.merges.bytes))], pa.large_binary())
 
-    def words(self, words: list[str]) -> dict[str, list[int]]:
+    def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of distinct words: the lexicon's, and all others merged together."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        found = self.lexicon.many(raw)
+        found = self.lexicon.packed(words)
         rest = [i for i, x in enumerate(found) if x is None]
-        for i, ids in zip(rest, self.merges.many([raw[i] for i in rest]), strict=True):
+        for i, ids in zip(rest, self.merges.packed([words[i] for i in rest]), strict=True):
             found[i] = ids
-        return dict(zip(words, found, strict=True))
+        return found
 
     def parts(self, text: str) -> list[str | int]:
         """The pretokens of a text; special tokens as their ids."""
@@ -300,7 +345,32 @@ class Encoder:
             out += [self.merges.special[part]] if k % 2 else pretokens(part)
         return out
 
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, one after the other, and where each text's end."""
+        odd = [_UNPLAIN.search(t) is not None or any(s in t for s in self.merges.special) for t in texts]
+        plain = [t for t, o in zip(texts, odd, strict=True) if not o]
+        flat, ends = self.plain_ids(plain) if plain else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        if not any(odd):
+            return flat, ends
+        other = iter(self.chunks([t for t, o in zip(texts, odd, strict=True) if o]))
+        spans = iter(zip([0, *ends.tolist()], ends.tolist(), strict=False))
+        out = [np.frombuffer(next(other), "<u4") if o else flat[slice(*next(spans))] for o in odd]
+        return np.concatenate(out), np.cumsum([len(x) for x in out])
+
     def some(self, texts: list[str]) -> list[bytes]:
+        ids, ends = self.ids(texts)
+        return [ids[s:e].tobytes() for s, e in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+
+    def written(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[memoryview]:
+        """Each text's ids in decimal, with commas between them."""
+        return (x[:-1] for x in spelled(self.decimals, ids, ends))
+
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[str]:
+        """What each text's ids decode to."""
+        return (str(x, "utf-8", "replace") for x in spelled(self.bytes, ids, ends))
+
+    def chunks(self, texts: list[str]) -> list[bytes]:
+        """The ids of any texts, by chunks."""
         lists = [[] if "  " in t else t.split(" ") for t in texts]  # runs of spaces are pretokens of their own
         wanted = set().union(*(x[1:] for x in lists))
         new = wanted.difference(self.memo)
@@ -317,11 +387,11 @@ class Encoder:
         if len(starts) != len(plain):  # not each chunk begins with its space
             split.update((" " + c, self.parts(" " + c)) for c in plain)
             plain, words, starts = [], [], []
-        own = self.words(list(set(words).union(w for x in split.values() for w in x if isinstance(w, str))))
-        pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
-        whole = {t: np.array([i for w in x for i in (own[w] if isinstance(w, str) else (w,))], "<u4").tobytes() for t, x in split.items()}
-        for c, s, e in zip(plain, starts, [*starts[1:], len(words)], strict=True):
-            memo[c] = pack(own[words[s]] if e == s + 1 else [i for w in words[s:e] for i in own[w]])
+        named = list(set(words).union(w for x in split.values() for w in x if isinstance(w, str)))
+        own = dict(zip(named, self.words([w.encode("utf-8", "surrogatepass") for w in named]), strict=True))
+        whole = {t: b"".join([own[w] if isinstance(w, str) else struct.pack("<I", w) for w in x]) for t, x in split.items()}
+        for c, s, e in zip(plain, starts, [*starts[1:], len(words)], strict=False):  # there may be none
+            memo[c] = own[words[s]] if e == s + 1 else b"".join([own[w] for w in words[s:e]])
         memo.update((c, whole[" " + c]) for c in new if c not in memo)
         get = memo.__getitem__
         return [whole[x[0]] + b"".join(map(get, x[1:])) if x else whole[t] for x, t in zip(lists, texts, strict=True)]
@@ -330,6 +400,14 @@ class Encoder:
         return b"".join(map(self.merges.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def spelled(of: pa.LargeBinaryArray, ids: np.ndarray, ends: np.ndarray) -> Iterator[memoryview]:
+    """The bytes of all ids of each text, joined, by what each id stands for."""
+    taken = of.take(pa.array(ids))
+    at = np.frombuffer(taken.buffers()[1], np.int64)[ends].tolist() if len(ids) else [0] * len(ends)
+    data = memoryview(taken.buffers()[2] or b"")
+    return (data[s:e] for s, e in zip([0, *at], at, strict=False))
+
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
@@ -343,33 +421,22 @@ def _encoder(tokenizer: str, lexicon: str) -> Encoder:
 def frequent_words(docs: DataFrame, most: int = LEXICON) -> list[str]:
     """The ``most`` pretokens that occur most often in all documents; a tie goes to the smaller one."""
     prepare(docs.sparkSession)
+    names = ["word", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, chunks = Counter(), Counter()  # at the start of a text, and behind a space
-
-        def flush() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for space, counts in (("", heads), (" ", chunks)):
-                for c, n in counts.items():
-                    if c.isalpha():
-                        words[space + c] += n
-                    else:
-                        for w in pretokens(space + c):
-                            words[w] += n
-                counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
-
-        for b in batches:
+        for b in joined(batches):
+            texts, others = [], Counter()
             for t in texts_of(b):
-                if "  " in t:
-                    heads.update(pretokens(t))
+                if _UNPLAIN.search(t):
+                    others.update(pretokens(t))
                 else:
-                    head, *tail = t.split(" ")
-                    heads[head] += 1
-                    chunks.update(tail)
-                if len(chunks) + len(heads) > 400_000:
-                    yield flush()
-        yield flush()
+                    texts.append(t)
+            for s, e in slices(texts):
+                found, zero = distinct_pretokens(texts[s:e])
+                n = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
+                n[zero] = 0
+                yield pa.RecordBatch.from_arrays([found.dictionary.cast(pa.large_string()).cast(pa.string()), pa.array(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(others), pa.string()), pa.array(list(others.values()), pa.int64())], names)
 
     counted = docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     known, path = materialize(counted.where(F.length("word").between(1, LONGEST) & (F.col("n") > 1)), "words")
@@ -402,18 +469,16 @@ def encode_decode(docs: DataFrame, tokenizer: str, most: int = LEXICON) -> DataF
     name = share_lexicon(docs, tokenizer, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer, name)
-        decimal = [str(i) for i in range(len(encode.merges.bytes))]
-        for b in batches:
+        coder = _encoder(tokenizer, name)
+        for b in joined(batches):
             n, of_ids, of_text = [], [], []
             texts = texts_of(b)
-            for s, e in slices(texts, 2_000_000):
-                for raw in encode.some(texts[s:e]):
-                    ids = memoryview(raw).cast("I").tolist() if raw else []
-                    n.append(len(ids))
-                    of_ids.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    of_text.append(hashlib.sha256(encode.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for s, e in slices(texts):
+                ids, ends = coder.ids(texts[s:e])
+                n += np.diff(ends, prepend=0).tolist()
+                of_ids += [hashlib.sha256(x).hexdigest() for x in coder.written(ids, ends)]
+                of_text += [hashlib.sha256(x.encode()).hexdigest() for x in coder.decoded(ids, ends)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 

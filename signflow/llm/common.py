@@ -59,6 +59,19 @@ def slices(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
+def joined(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches, put together up to about ``most`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def tokenizer_path(name: str) -> str:
     """The default place of a public tokenizer's file; operators take any path instead."""
     import public_tokenizers
@@ -142,19 +155,71 @@ def pretoken_starts(raw: bytes) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-class ByteBpe(ChunkEncoder):
-    """For a byte-level BPE. Plain texts: all pretokens of some texts are found at once, and each distinct one is looked up once.
+def distinct_pretokens(texts: list[str]) -> tuple[pa.DictionaryArray, int]:
+    """The byte-level pretokens of plain texts, a byte 0 behind each text, and that byte's code."""
+    raw = "\0".join([*texts, ""]).encode()
+    at = pretoken_starts(raw)
+    found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(raw))), pa.py_buffer(raw)]).dictionary_encode()
+    return found, found.dictionary.index(pa.scalar(b"\0", pa.large_binary())).as_py()
+
+
+class PlainTexts:
+    """Byte-level BPE of plain texts: all pretokens of some texts are found at once, and each distinct one is looked up once.
+
+    The memo is two dicts: once the newer one holds half of ``most`` it replaces the older, so that what is met
+    again stays. ``merge`` gives the ids of pretokens that it lacks.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        raise NotImplementedError
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct pretokens, from the memo or merged."""
+        out = list(map(self.new.get, words))
+        missing = [w for w, x in zip(words, out, strict=True) if x is None]
+        if missing:
+            found = list(map(self.old.get, missing))
+            unknown = [w for w, x in zip(missing, found, strict=True) if x is None]
+            if unknown:
+                merged = iter(self.merge(unknown))
+                found = [next(merged) if x is None else x for x in found]
+            if len(self.new) + len(missing) > self.most // 2:
+                self.old, self.new = self.new, {}
+            self.new.update(zip(missing, found, strict=True))
+            rest = iter(found)
+            out = [next(rest) if x is None else x for x in out]
+        return out
+
+    def plain_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts without odd characters and special tokens, one after the other, and where each text's end."""
+        found, zero = distinct_pretokens(texts)
+        codes, words = found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = self.words(words[:zero] + words[zero + 1 :])
+        ids.insert(zero, b"")
+        flat, n = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) for x in ids]) // 4
+        first, n = (np.cumsum(n) - n)[codes], n[codes]
+        to = np.cumsum(n)
+        return flat[np.repeat(first - (to - n), n) + np.arange(to[-1])], to[codes == zero]
+
+
+class ByteBpe(PlainTexts, ChunkEncoder):
+    """For a byte-level BPE.
 
-    New pretokens go to the library's model as one text in the letters of its vocabulary, whose ids are then
-    cut by the bytes they stand for. The memo is two dicts: once the newer one holds half of ``most`` it replaces
-    the older, so that what is met again stays. Other texts (other scripts, control characters, special tokens) go by
+    New pretokens of plain texts go to the library's model as one text in the letters of its vocabulary, whose ids
+    are then cut by the bytes they stand for. Other texts (other scripts, control characters, special tokens) go by
     chunks with the space before them.
     """
 
     RUN = 4_000_000
 
     def __init__(self, path: str):
-        super().__init__(path)
+        ChunkEncoder.__init__(self, path)
+        PlainTexts.__init__(self, self.most)
         from tokenizers import Tokenizer, pre_tokenizers
 
         t = self.tokenizer
@@ -169,8 +234,6 @@ class ByteBpe(ChunkEncoder):
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.letters = {b: b if b in shown else next(rest) for b in range(256)} | {0: 32}
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
 
     def learn(self, new: list[str]) -> None:
         named = [c for c in new if c]
@@ -195,37 +258,10 @@ class ByteBpe(ChunkEncoder):
         raw, at = ids.tobytes(), (4 * cut + 4).tolist()
         return [raw[s:e] for s, e in zip([0, *at], at, strict=False)]
 
-    def words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of distinct pretokens, from the memo or the model."""
-        out = list(map(self.new.get, words))
-        missing = [w for w, x in zip(words, out, strict=True) if x is None]
-        if missing:
-            found = list(map(self.old.get, missing))
-            unknown = [w for w, x in zip(missing, found, strict=True) if x is None]
-            if unknown:
-                merged = iter(self.merge(unknown))
-                found = [next(merged) if x is None else x for x in found]
-            if len(self.new) + len(missing) > self.most // 2:
-                self.old, self.new = self.new, {}
-            self.new.update(zip(missing, found, strict=True))
-            rest = iter(found)
-            out = [next(rest) if x is None else x for x in out]
-        return out
-
     def plain(self, texts: list[str]) -> list[bytes]:
         """The ids of texts without odd characters and special tokens."""
-        raw = "\0".join([*texts, ""]).encode()
-        at = pretoken_starts(raw)
-        found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(raw))), pa.py_buffer(raw)]).dictionary_encode()
-        codes, words = found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist()
-        zero = words.index(b"\0")
-        ids = self.words(words[:zero] + words[zero + 1 :])
-        ids.insert(zero, b"")
-        flat, n = np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) for x in ids]) // 4
-        first, n = (np.cumsum(n) - n)[codes], n[codes]
-        to = np.cumsum(n)
-        raw = flat[np.repeat(first - (to - n), n) + np.arange(to[-1])].tobytes()
-        ends = (4 * to[codes == zero]).tolist()
+        ids, ends = self.plain_ids(texts)
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
         return [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)]
 
     def chunks(self, texts: list[str]) -> list[bytes]:

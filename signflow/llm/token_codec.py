@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signflow.llm.common import ByteBpe, encoder, prepare, texts_of
+from signflow.llm.common import ByteBpe, encoder, joined, prepare, texts_of
 from signflow.session import discard, materialize, scratch
 
 #: Ids between two checkpoints, and about how many ids a block holds.
@@ -65,19 +65,6 @@ def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, width int, ids binary, tally binary")
 
 
-def joined(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches, put together up to about ``most`` bytes."""
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size >= most:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, size = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
 def added(total: np.ndarray, held: list[np.ndarray]) -> np.ndarray:
     """``total`` and the counts of the ids held: of many documents at once, as each count passes over the vocabulary."""
     if not held:

@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -147,6 +148,61 @@ def test_lexicon_is_exact_and_minimal(tmp_path):
         assert coder.decode(ids) == t.decode(ids, skip_special_tokens=False)
 
 
+def test_lexicon_words_in_new_company_are_not_merged_again(tmp_path):
+    path, sent = tmp_path / "lexicon", []
+    path.write_bytes(bpe_lexicon.compile_lexicon({b" the": bpe_lexicon.Merges(BYTE)(b" the")}))
+    coder = bpe_lexicon.Encoder(BYTE, str(path))
+    for name in ("many", "packed"):
+        if method := getattr(coder.merges, name, None):
+            setattr(coder.merges, name, lambda words, method=method: sent.extend(words) or method(words))
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(500)]
+    coder.some([" " + " ".join(words)])
+    assert len(set(sent)) == len(words)
+    sent.clear()
+    coder.some([f" {w}," for w in words] + [f" {w}.\n{words[0]}'s" for w in words])
+    assert len(sent) < 10  # only the marks and the word without a space before it are new
+
+
+def test_lexicon_encodes_mixed_texts_as_the_library(tmp_path):
+    merges, rng, t = bpe_lexicon.Merges(BYTE), np.random.default_rng(5), Tokenizer.from_file(BYTE)
+    path = tmp_path / "lexicon"
+    path.write_bytes(bpe_lexicon.compile_lexicon({w: merges(w) for w in (b" word", b"word", b" ", b",")}))
+    coder = bpe_lexicon.Encoder(BYTE, str(path), most=60)  # the memo turns over all the time
+    parts = [" ", " ", "  ", "\n", "\t", "\r\n", "'", "'s", "'re", "'ll", "'store", "''s", "ve", "l", "word", "Straße", "ɏé", "12", "3", ",", ".", "!?", "_", "é", "×", "²", "\0", "\x0b", "’", "<|endoftext|>", "語"]
+    weights = np.array([6] * 24 + [0.2] * 7)
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30), p=weights / weights.sum())) for _ in range(2000)]
+    for some in (texts, ["語"] * 3, ["", ""], []):
+        ids, ends = coder.ids(some)
+        want = [t.encode(x, add_special_tokens=False).ids for x in some]
+        assert [x.tolist() for x in np.split(ids, ends)[: len(some)]] == want
+        assert [x.tobytes().decode() for x in coder.written(ids, ends)] == [",".join(map(str, x)) for x in want]
+        assert list(coder.decoded(ids, ends)) == [t.decode(x, skip_special_tokens=False) for x in want]
+
+
+def test_batches_without_new_chunks(spark):
+    rows = spark.range(1500).selectExpr("id as doc_id", "if(id < 1200, 'hello', 'a b') as text").coalesce(1)
+    t = Tokenizer.from_file(BYTE)
+    want = {len(t.encode(x, add_special_tokens=False).ids): n for x, n in (("hello", 1200), ("a b", 300))}
+    assert {r["n_tokens"]: r["count"] for r in bpe_lexicon.encode_decode(rows, BYTE).groupBy("n_tokens").count().collect()} == want
+
+
+def test_broken_utf8_is_decoded_as_the_library(tmp_path):
+    merges, t = bpe_lexicon.Merges(BYTE), Tokenizer.from_file(BYTE)
+    path = tmp_path / "lexicon"
+    path.write_bytes(bpe_lexicon.compile_lexicon({}))
+    coder = bpe_lexicon.Encoder(BYTE, str(path))
+    lists = [[i for x in raw for i in merges(bytes([x]))] for raw in (b"a\xe6\x97b", b"\xff\xc3\xa9", b"\xc3", b"\xf0\x9f\x98", b"")]
+    got = coder.decoded(np.array([i for x in lists for i in x], "<u4"), np.cumsum([len(x) for x in lists]))
+    assert list(got) == [t.decode(x, skip_special_tokens=False) for x in lists]
+
+
+def test_frequent_words_are_counted_exactly(spark, docs):
+    counts = Counter(w for r in docs.collect() for w in bpe_lexicon.pretokens(r["text"] or ""))
+    known = sorted((w for w, n in counts.items() if n > 1 and len(w) <= bpe_lexicon.LONGEST), key=lambda w: (-counts[w], w.encode()))
+    assert bpe_lexicon.frequent_words(docs) == known
+    assert bpe_lexicon.frequent_words(docs, 7) == known[:7]
+
+
 def test_bpe_report(spark, docs):
     t = Tokenizer.from_file(BYTE)
     got = sorted(tuple(map(str, r)) for r in bpe_lexicon.encode_decode(docs, BYTE, most=50).collect())
