@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signflow.functions.portable import global_rank, hashed, uniform, uniform_of
+from signflow.functions.portable import first_bits, global_rank, hashed, uniform, uniform_of
 from signflow.operators.tokens import counted, pairs, tokens
 from signflow.session import discard, materialize, ship
 
@@ -311,15 +311,33 @@ def markov_null(corpus: DataFrame, n: int, order: int = 1, seed: int = 0, longes
     return out
 
 
-def _row_codes(seed: int, table: dict[str, list[tuple[int, int]]], signs: int, n: int):
-    """A task's step from row numbers to trial, h1, h2: what identifies the row that ``matched_null`` draws (its signs as one number, or 128 bits of hash if it is long)."""
-    laid = {k: (np.array([i for i, _ in x], np.int64), np.cumsum([m for _, m in x])) for k, x in table.items() if x}
-    exact = int(62 / np.log2(signs + 1))  # places that fit in one number
+#: Rows of a trial that one task draws at a time; a larger trial is drawn in parts, whose distinct rows then meet.
+PART = 1 << 24
+#: Rows of a length that there may be for those that were drawn to be marked in a table; of others, numbers are sorted.
+MARKS = 1 << 24
+#: Signs that are drawn together, about.
+TOGETHER = 1 << 18
 
-    def draw(kind: str, before: str, numbers: np.ndarray, after: str = "") -> np.ndarray:
-        ids, ends = laid[kind]
-        at = np.floor(uniform_of(before, numbers, after) * ends[-1])
-        return ids[np.minimum(np.searchsorted(ends, at, "right"), len(ids) - 1)]
+
+def _drawn_parts(seed: int, table: dict[str, list[tuple[int, int]]], signs: int, n: int, parts: int):
+    """A task's step from numbers of parts to how many distinct rows (of those that ``matched_null`` draws) a trial's only part holds, or to the rows themselves, packed by length and bucket.
+
+    A row of up to 62 bits is one number by its signs, a longer one 128 bits of hash. A length all of whose possible
+    rows have been drawn is drawn no more.
+    """
+    laid = {k: _laid_out(x) for k, x in table.items() if x}
+    exact = int(62 / np.log2(max(signs, 2)))  # signs that fit in one number
+    total = sum(m for _, m in table["length"])
+    longest = max(size for size, _ in table["length"])
+    step = max(1, min(1 << 16, TOGETHER * total // sum(size * m for size, m in table["length"])))
+    possible = lambda size: len(table["first"]) * (len(table["any"]) ** (size - 2) * len(table["last"]) if size > 1 else 1)
+
+    def draw(kind: str, bits: np.ndarray) -> np.ndarray:
+        ids, bounds, guide = laid[kind]
+        got = guide[bits >> np.uint32(GUIDE)]
+        unsure = np.flatnonzero(got < 0)
+        got[unsure] = ids[np.searchsorted(bounds, bits[unsure].astype(np.int64), "right")]
+        return got
 
     def mixed(h: np.ndarray, x: np.ndarray, by: int) -> np.ndarray:
         h = (h ^ x) * np.uint64(by)
@@ -327,61 +345,171 @@ def _row_codes(seed: int, table: dict[str, list[tuple[int, int]]], signs: int, n
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return h ^ (h >> np.uint64(32))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.column(0).to_numpy()
-            size = draw("length", f"{seed}|length|", k)
-            order = np.argsort(-size, kind="stable")
+    def rows(k: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By row, longest first: the number of a short one, two hashes of a long one."""
+        place = np.arange(longest)
+        more = len(size) - np.searchsorted(size[::-1], place, "right")  # rows longer than each place
+        place, more = place[more > 0], more[more > 0]
+        bits = first_bits(f"{seed}|sign|", np.concatenate([k[:m] for m in more]), "|", np.repeat(place, more))
+        long = int(np.searchsorted(-size, -exact, "left"))
+        code, h = np.zeros(len(k), np.int64), np.zeros((2, long), np.uint64)
+        at = 0
+        for pos, m in enumerate(more):
+            own, at = bits[at : at + m], at + m
+            on = more[pos + 1] if pos + 1 < len(more) else 0  # rows that go on
+            x = draw("first", own) if not pos else np.concatenate([draw("any", own[:on]), draw("last", own[on:])]) if on < m else draw("any", own)
+            if m > long:
+                code[long:m] *= signs
+                code[long:m] += x[long:]
+            if long:
+                y, m = (x[:long] + 1).astype(np.uint64), min(m, long)
+                h[0, :m], h[1, :m] = mixed(h[0, :m] + np.uint64(1), y, 0x9E3779B97F4A7C15), mixed(h[1, :m] + np.uint64(7), y, 0xD6E8FEB86659FD93)
+        return code, h
+
+    def distinct(start: int, stop: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Length (0: all long ones) and distinct rows, in order, of those that the numbers from ``start`` draw."""
+        marked, full, drawn, rest = {}, np.zeros(longest + 1, bool), {}, {}
+        every = np.array([size for size, _ in table["length"]])
+        for at in range(start, stop, step):
+            if full[every].all():
+                break
+            k = np.arange(at, min(at + step, stop))
+            size = draw("length", first_bits(f"{seed}|length|", k))
+            if full.any():
+                left = ~full[size]
+                k, size = k[left], size[left]
+                if not len(k):
+                    continue
+            order = np.argsort((longest - size).astype(np.uint16 if longest < 1 << 16 else np.int64), kind="stable")
             k, size = k[order], size[order]
-            code, h1, h2 = (np.zeros(len(k), np.uint64) for _ in range(3))
-            for pos in range(int(size.max(initial=0))):
-                m = int(np.searchsorted(-size, -pos, "left"))  # rows longer than pos
-                ends = int(np.searchsorted(-size, -pos - 1, "left"))  # and those that go on
-                x = np.empty(m, np.int64)
-                draws = lambda kind, s, pos=pos: draw(kind, f"{seed}|sign|", k[s], f"|{pos}")
-                if pos == 0:
-                    x[:] = draws("first", slice(0, m))
+            code, h = rows(k, size)
+            if h.shape[1]:
+                rest.setdefault(0, []).append(h.view(np.int64))
+            ends = np.append(np.flatnonzero(np.diff(size)) + 1, len(size))
+            for i, j in zip([0, *ends[:-1]], ends):
+                length = int(size[i])
+                if length > exact:
+                    continue
+                drawn[length] = drawn.get(length, 0) + int(j - i)
+                if signs**length <= min(MARKS, 8 * (stop - start)):
+                    if length not in marked:
+                        marked[length] = np.zeros(signs**length, bool)
+                    marked[length][code[i:j]] = True
+                    if drawn[length] >= possible(length):
+                        full[length] = np.count_nonzero(marked[length]) == possible(length)
                 else:
-                    x[:ends] = draws("any", slice(0, ends))
-                    if m > ends:
-                        x[ends:] = draws("last", slice(ends, m))
-                x = (x + 1).astype(np.uint64)
-                code[:m] = code[:m] * np.uint64(signs + 1) + x
-                h1[:m], h2[:m] = mixed(h1[:m] + np.uint64(1), x, 0x9E3779B97F4A7C15), mixed(h2[:m] + np.uint64(7), x, 0xD6E8FEB86659FD93)
-            long = size > exact
-            yield pa.RecordBatch.from_arrays([pa.array((k // n).astype(np.int32)), pa.array(np.where(long, h1, code).view(np.int64)), pa.array(np.where(long, h2 | np.uint64(1), np.uint64(0)).view(np.int64))], ["trial", "h1", "h2"])
+                    rest.setdefault(length, []).append(code[i:j].copy())
+        for length, marks in marked.items():
+            yield length, np.flatnonzero(marks)
+        for length in list(rest):
+            yield length, _distinct(rest.pop(length))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                trial, part = divmod(part, parts)
+                found = distinct(trial * n + part * n // parts, trial * n + (part + 1) * n // parts)
+                if parts == 1:
+                    yield pa.RecordBatch.from_pylist([{"trial": trial, "length": None, "bucket": None, "n_distinct": sum(x.shape[-1] for _, x in found), "rows": None}], PACKED)
+                    continue
+                for length, x in found:
+                    bucket = ((x if length else x[0]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(4 * parts)
+                    for i in np.unique(bucket).tolist():
+                        yield pa.RecordBatch.from_pylist([{"trial": trial, "length": length, "bucket": i, "n_distinct": None, "rows": _packed(x[..., bucket == i])}], PACKED)
 
     return run
 
 
-def matched_null_uniqueness(corpus: DataFrame, trials: int, n: int | None = None, seed: int = 0, most: int = SMALL) -> DataFrame:
+#: Bits below those that the guide of a table goes by.
+GUIDE = 18
+PACKED = pa.schema([("trial", pa.int32()), ("length", pa.int32()), ("bucket", pa.int32()), ("n_distinct", pa.int64()), ("rows", pa.binary())])
+
+
+def _laid_out(table: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids; the least 32 bits from which each next one is drawn; by the upper bits the id that all of them draw, or -1. ``table``: id, n."""
+    ids, ends = np.array([i for i, _ in table], np.int64), np.cumsum([m for _, m in table])
+    low, high = np.zeros(len(ids), np.int64), np.full(len(ids), 1 << 32, np.int64)
+    while (low < high).any():  # the product is rounded, as SQL's is, but never falls
+        mid = (low + high) // 2
+        reached = np.floor(mid / 4294967296.0 * ends[-1]) >= ends
+        low, high = np.where(reached, low, mid + 1), np.where(reached, mid, high)
+    bounds = low[:-1]
+    starts = np.arange(1 << 32 - GUIDE, dtype=np.int64) << GUIDE
+    first, last = (np.searchsorted(bounds, x, "right") for x in (starts, starts + (1 << GUIDE) - 1))
+    return ids, bounds, np.where(first == last, ids[first], -1)
+
+
+def _distinct(found: list[np.ndarray]) -> np.ndarray:
+    """The distinct numbers, or pairs of hashes (two lines), in order."""
+    x = np.concatenate(found, -1)
+    found.clear()
+    if x.ndim == 1:
+        x.sort()
+        return x[np.append(True, x[1:] != x[:-1])]
+    x = x[:, np.lexsort(x[::-1])]
+    return x[:, np.append(True, (x[:, 1:] != x[:, :-1]).any(0))]
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers in order as the bytes of their differences, all lowest bytes first, so that those above the highest are left out; hashes as they are."""
+    if x.ndim > 1:
+        return x.tobytes()
+    apart = np.diff(x, prepend=0)
+    width = (int(apart.max()).bit_length() + 7) // 8 or 1
+    return bytes([width]) + apart.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(text: bytes, length: int) -> np.ndarray:
+    if not length:
+        return np.frombuffer(text, np.int64).reshape(2, -1)
+    planes = np.frombuffer(text, np.uint8, offset=1).reshape(text[0], -1)
+    apart = np.zeros((planes.shape[1], 8), np.uint8)
+    apart[:, : text[0]] = planes.T
+    return np.cumsum(apart.view("<i8").ravel())
+
+
+def _met(key: tuple, rows: pa.Table) -> pa.Table:
+    """trial, n_distinct of the rows of one trial, length and bucket, from all parts."""
+    trial, length = key[0].as_py(), key[1].as_py()
+    n = _distinct([_unpacked(x.as_py(), length) for x in rows.column("rows")]).shape[-1]
+    return pa.table({"trial": pa.array([trial], pa.int32()), "n_distinct": pa.array([n], pa.int64())})
+
+
+def matched_null_uniqueness(corpus: DataFrame, trials: int, n: int | None = None, seed: int = 0, most: int = SMALL, counts: DataFrame | None = None, part: int = PART) -> DataFrame:
     """trial, n_distinct, n, uniqueness of the rows that ``matched_null`` draws (without strata), ``n`` for each trial (None: as many as the corpus has).
 
-    Marginal tables of up to ``most`` entries go to the tasks, which draw whole rows, many at a time, so nothing is
-    exploded or regrouped: what is shuffled is at most 128 bits for each distinct row of a task and trial. Larger tables
+    ``counts`` are the corpus' distinct rows with their numbers ``n``, where they are at hand. Marginal tables of up to
+    ``most`` entries go to the tasks, which draw whole rows, many at a time, and find the distinct ones. Trials of up to
+    ``part`` rows are counted where they are drawn; the distinct rows of larger ones are shuffled, packed. Larger tables
     are drawn from by joins, with the same result.
     """
-    c = corpus.where(F.size("signs") > 0).select("signs")
-    n = c.count() if n is None else n
-    if not n:
-        return corpus.sparkSession.createDataFrame([], "trial int, n_distinct bigint, n bigint, uniqueness double")
+    spark = corpus.sparkSession
+    each = (counted(corpus.select("signs"), "signs") if counts is None else counts).where(F.size("signs") > 0)
     kinds = {"length": F.lpad(F.size("signs").cast("string"), 6, "0"), "first": F.element_at("signs", 1), "last": F.when(F.size("signs") > 1, F.element_at("signs", -1))}
-    ends = c.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), e.alias("sign")) for k, e in kinds.items()])).alias("x")).select("x.*")
-    every = c.select(F.lit("any").alias("kind"), F.explode("signs").alias("sign"))
-    tables, path = materialize(counted(ends.unionByName(every).where("sign is not null"), "kind", "sign"), "marginals")
+    told = F.concat(F.array(*[F.struct(F.lit(k).alias("kind"), e.alias("sign")) for k, e in kinds.items()]), F.transform("signs", lambda x: F.struct(F.lit("any").alias("kind"), x.alias("sign"))))
+    tables, path = materialize(each.select("n", F.inline(told)).where("sign is not null").groupBy("kind", "sign").agg(F.sum("n").alias("n")), "marginals")
+    n = tables.where("kind = 'length'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] if n is None else n
+    if not n:
+        discard(spark, path)
+        return spark.createDataFrame([], "trial int, n_distinct bigint, n bigint, uniqueness double")
     if tables.count() > most:
         drawn = matched_null(corpus, n, seed, trials=trials, most=most).select("trial", F.xxhash64("signs").alias("h1"), F.xxhash64(F.lit(1), "signs").alias("h2"))
+        found = drawn.groupBy("trial", "h1", "h2").agg(F.lit(1).alias("n_distinct"))
     else:
         held: dict[str, list] = {k: [] for k in (*kinds, "any")}
         for r in tables.orderBy("kind", "sign").collect():
             held[r["kind"]].append((r["sign"], r["n"]))
         number = {s: i for i, s in enumerate(sorted({s for k in ("first", "last", "any") for s, _ in held[k]}))}
         table = {k: [(int(s) if k == "length" else number[s], m) for s, m in x] for k, x in held.items()}
-        ship(corpus.sparkSession)
-        drawn = corpus.sparkSession.range(n * trials).mapInArrow(_row_codes(seed, table, len(number), n), "trial int, h1 bigint, h2 bigint")
-    found = drawn.groupBy("trial", "h1", "h2").agg(F.count("*").alias("m")).groupBy("trial").agg(F.count("*").alias("n_distinct"), F.sum("m").alias("n"))
-    out, _ = materialize(found.withColumn("uniqueness", F.col("n_distinct") / F.col("n")), "uniqueness")
-    discard(corpus.sparkSession, path)
+        ship(spark)
+        parts = -(-n // part)
+        tasks = min(trials * parts, max(4 * spark.sparkContext.defaultParallelism, n * trials >> 20))
+        found = spark.range(0, trials * parts, 1, tasks).mapInArrow(_drawn_parts(seed, table, len(number), n, parts), "trial int, length int, bucket int, n_distinct bigint, rows binary")
+        if parts > 1:
+            found = found.groupBy("trial", "length", "bucket").applyInArrow(_met, "trial int, n_distinct bigint")
+    found = found.groupBy("trial").agg(F.sum("n_distinct").alias("n_distinct"))
+    out, _ = materialize(found.select("trial", "n_distinct", F.lit(n).cast("bigint").alias("n"), (F.col("n_distinct") / n).alias("uniqueness")), "uniqueness")
+    discard(spark, path)
     return out
 
 

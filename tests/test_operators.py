@@ -534,6 +534,52 @@ def test_hashed_numbers_of_whole_arrays():
         assert uniform_of(before, k, after).tolist() == [int(hashlib.md5(f"{before}{i}{after}".encode()).hexdigest()[:8], 16) / 2**32 for i in k.tolist()]
 
 
+def test_trials_in_parts_marked_or_sorted_draw_what_the_null_draws(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    for vocab, longest, n in ((2, 3, 900), (25, 7, 2000), (300, 12, 1000), (1, 90, 300)):
+        c = spark.createDataFrame([(f"r{i}", [f"s{int(x)}" for x in rng.random(rng.integers(1, longest + 1)) ** 2 * vocab]) for i in range(200)], "id string, signs array<string>")
+        want = {}
+        for r in nulls.matched_null(c, n, 3, trials=2).collect():
+            want.setdefault(r["trial"], set()).add(tuple(r["signs"]))
+        for marks, together, part in ((nulls.MARKS, nulls.TOGETHER, nulls.PART), (nulls.MARKS, 100, 350), (20, 5000, 350)):
+            monkeypatch.setattr(nulls, "MARKS", marks)
+            monkeypatch.setattr(nulls, "TOGETHER", together)
+            got = {r["trial"]: (r["n_distinct"], r["n"]) for r in nulls.matched_null_uniqueness(c, 2, n, seed=3, part=part).collect()}
+            assert got == {t: (len(x), n) for t, x in want.items()}
+        monkeypatch.undo()
+
+
+def test_trials_hash_many_texts_at_once_and_no_more_of_full_lengths(monkeypatch):
+    import pyarrow as pa
+
+    asked, hash_ = [], nulls.first_bits
+    monkeypatch.setattr(nulls, "first_bits", lambda *a: asked.append(len(a[1])) or hash_(*a))
+    signs, units = [(i, 3 + i % 5) for i in range(25)], [pa.RecordBatch.from_arrays([pa.array([0, 1])], ["id"])]
+    tables = lambda lengths: {"length": lengths, "first": signs, "any": signs, "last": signs}
+    found = list(nulls._drawn_parts(5, tables([(i, 10) for i in range(1, 8)]), 25, 100_000, 1)(units))
+    assert [b.num_rows for b in found] == [1, 1]  # nothing is shuffled but a number for each trial
+    assert len(asked) == 8 and max(asked) > 200_000  # lengths and signs of 65,536 rows at once
+    asked.clear()
+    found = list(nulls._drawn_parts(5, tables([(1, 1), (2, 9)]), 25, 1_000_000, 1)(units))
+    assert [b.to_pylist()[0]["n_distinct"] for b in found] == [650, 650] and sum(asked) < 1_000_000  # in place of 5,800,000
+
+
+def test_texts_of_several_numbers_and_bounds_of_draws():
+    from signflow.functions.portable import first_bits
+
+    rng = np.random.default_rng(0)
+    for high in (7, 10**4, 123_456, 3 * 10**9, 10**13, 2**62):
+        k, p = rng.integers(0, high, 500), rng.integers(0, 120, 500)
+        assert first_bits("5|sign|", k, "|", p, block=300).tolist() == [int(hashlib.md5(f"5|sign|{i}|{j}".encode()).hexdigest()[:8], 16) for i, j in zip(k.tolist(), p.tolist())]
+    for counts in ([1], [3, 1, 5], rng.integers(1, 10**9, 40).tolist(), rng.integers(1, 9, 50_000).tolist()):
+        ids, bounds, guide = nulls._laid_out(list(enumerate(counts)))
+        x = np.unique(np.concatenate([rng.integers(0, 1 << 32, 2000), bounds, bounds - 1, [0, (1 << 32) - 1]]).clip(0, (1 << 32) - 1))
+        want = np.searchsorted(np.cumsum(counts), np.floor(x / 2**32 * sum(counts)), "right")
+        assert ids[np.searchsorted(bounds, x, "right")].tolist() == want.tolist()
+        told = guide[x >> nulls.GUIDE]
+        assert (told[told >= 0] == want[told >= 0]).all()
+
+
 def test_stability_by_site_mines_once(spark, monkeypatch):
     c = _odd_corpus(spark, 400, 2)
     seen, mine = [], substitution._surrounded
